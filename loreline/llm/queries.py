@@ -1,0 +1,41 @@
+"""The thin ``opN_<name>`` queries over whole tables, with production parameters, and their SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loreline.llm.substring_dedup import substring_dedup
+
+
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup(_read(spark, sf_dir, "documents"), window=13)
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+_OP6_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, list_aggregate(w[i:i + 12], 'string_agg', ' ') AS s FROM d, LATERAL (SELECT unnest(range(1, len(w) - 11)) AS i) t),
+first_of AS (SELECT s, min(doc_id) AS least FROM win GROUP BY s),
+hit AS (SELECT win.doc_id, win.i FROM win JOIN first_of USING (s) WHERE first_of.least < win.doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS k FROM hit),
+word AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS k FROM d),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY k) AS t FROM word ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id),
+cnt AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(cnt.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN cnt USING (doc_id)
+"""
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {"op6_substring_dedup": op6_substring_dedup}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {"op6_substring_dedup": _OP6_SQL}
