@@ -50,6 +50,10 @@ _SPACE[[32, *range(9, 14)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
+NOT_ALNUM = np.ones(256, bool)  # separators for tokens of letters and digits; bytes of multi-byte characters count as letters
+NOT_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+LOWER = _LOWER
+
 
 @dataclass
 class Words:
@@ -61,12 +65,13 @@ class Words:
     first: np.ndarray
 
 
-def split_words(data: np.ndarray, offsets: np.ndarray) -> Words:
+def split_words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> Words:
+    """Maximal runs of bytes that are not in the byte set ``space``."""
     n = len(data)
     if not n:
         z = np.zeros(0, np.int64)
         return Words(z, z, z, np.zeros(len(offsets), np.int64))
-    ink = ~_SPACE[data]
+    ink = ~space[data]
     head, tail = ink.copy(), ink.copy()
     head[1:] &= ~ink[:-1]
     tail[:-1] &= ~ink[1:]
@@ -160,3 +165,15 @@ def spans_cover(starts: np.ndarray, width: int, n: int) -> np.ndarray:
     np.add.at(delta, starts, 1)
     np.add.at(delta, np.minimum(starts + width, n), -1)
     return np.cumsum(delta[:n]) > 0
+
+
+def slices(batches, column: str, most: int = 4 << 20):
+    """Arrow batches cut so that the texts of a piece hold about ``most`` bytes (one text at least): memory follows that, not the rows."""
+    for batch in batches:
+        size = np.diff(bytes_of(batch.column(column))[1])
+        done = np.cumsum(size)
+        at = 0
+        while at < len(size):
+            stop = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + most, "right")))
+            yield batch.slice(at, stop - at)
+            at = stop

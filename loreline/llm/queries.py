@@ -7,13 +7,54 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loreline.llm.decontam import find_contamination
+from loreline.llm.html_extract import extract_html
+from loreline.llm.mixing import mix_sources
+from loreline.llm.quality import score_quality
 from loreline.llm.substring_dedup import substring_dedup
+from loreline.llm.toxicity import score_toxicity
+
+# The language mixture the mixing query and the pipeline aim at (shares of words).
+LANG_TARGETS = {"de": 0.2, "en": 0.4, "es": 0.2, "fr": 0.2}
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a document and a benchmark item that it holds."""
+    return find_contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Severity of every document: doc_id, severity, grade, toxic."""
+    return score_toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    labels = _read(spark, sf_dir, "labels").filter(~held_out)
+    scored = score_quality(_read(spark, sf_dir, "documents"), labels)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract_html(_read(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def lang_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Domain labels of the labelled documents: their language."""
+    return docs.select("doc_id", "lang").join(labels.select("doc_id"), "doc_id", "left_semi")
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rate of every document in a mixture by language: doc_id, n_words, domain, posterior, rate, copies."""
+    docs = _read(spark, sf_dir, "documents")
+    return mix_sources(docs, lang_labels(docs, _read(spark, sf_dir, "labels")), LANG_TARGETS)
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring_dedup(_read(spark, sf_dir, "documents"), window=13)
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -34,7 +75,7 @@ FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN cnt USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_substring_dedup": op6_substring_dedup}
+    return {f.__name__: f for f in (op1_decontamination, op3_toxicity, op4_quality, op5_html_extraction, op6_substring_dedup, op8_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
