@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loreline.llm.decontam import find_contamination
 from loreline.llm.html_extract import extract_html
+from loreline.llm.jaccard_join import near_duplicates
 from loreline.llm.mixing import mix_sources
 from loreline.llm.quality import score_quality
 from loreline.llm.substring_dedup import substring_dedup
@@ -74,9 +75,28 @@ FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN cnt USING (doc_id)
 """
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document: doc_id, n_shingles, component_id."""
+    return near_duplicates(_read(spark, sf_dir, "documents"), width=5, percent=80)
+
+
+_OP9_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM d, LATERAL (SELECT unnest(range(1, greatest(len(w) - 3, 2))) AS i) t WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+rare AS (SELECT s FROM sh GROUP BY s HAVING count(*) > 1),
+sh2 AS (SELECT sh.* FROM sh SEMI JOIN rare USING (s)),
+inter AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sh2 x JOIN sh2 y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id),
+link AS (SELECT a, b FROM inter JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+comp AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, comp.component_id FROM d LEFT JOIN n USING (doc_id) JOIN comp USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op3_toxicity, op4_quality, op5_html_extraction, op6_substring_dedup, op8_mixing)}
+    return {f.__name__: f for f in (op1_decontamination, op3_toxicity, op4_quality, op5_html_extraction, op6_substring_dedup, op8_mixing, op9_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_substring_dedup": _OP6_SQL}
+    return {"op6_substring_dedup": _OP6_SQL, "op9_jaccard_join": _OP9_SQL}
