@@ -157,20 +157,24 @@ def matches_in(index: Index, data, offsets, similarity: float) -> list[tuple]:
     return [(t, i, *v) for (t, i), v in best.items()]
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """Pairs of a text and a benchmark item it holds: id, item id, similarity, start_word, n_words, distance (bits)."""
-    spark = docs.sparkSession
-    named = docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text"))
+def _indexes(items: DataFrame, item_id_col: str, item_text_col: str, shingle: int, radius: int):
+    """Broadcast indexes over blocks of at most about BLOCK_ITEMS items."""
+    spark = items.sparkSession
     rows = items.select(col(item_id_col).cast("long").alias("item"), col(item_text_col).alias("text")).filter("text is not null")
     blocks = max(1, -(-rows.count() // BLOCK_ITEMS))
-    schema = "id long, item long, similarity double, start_word long, n_words long, distance int"
-    out = spark.createDataFrame([], schema)
     for k in range(blocks):
-        part = rows.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).toArrow() if blocks > 1 else rows.toArrow()
+        part = rows.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).toArrow()
         index = Index(part["item"].to_pylist(), part["text"].to_pylist(), shingle, PARTS, radius)
-        if not index.ids:
-            continue
-        shared = spark.sparkContext.broadcast(index)  # at most BLOCK_ITEMS items
+        if index.ids:
+            yield spark.sparkContext.broadcast(index)
+
+
+def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """Pairs of a text and a benchmark item it holds: id, item id, similarity, start_word, n_words, distance (bits)."""
+    named = docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text"))
+    schema = "id long, item long, similarity double, start_word long, n_words long, distance int"
+    out = docs.sparkSession.createDataFrame([], schema)
+    for shared in _indexes(items, item_id_col, item_text_col, shingle, radius):
 
         def run(batches, shared=shared):
             index = shared.value
@@ -183,6 +187,16 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     return out.select(F.col("id").alias(id_col), F.col("item").alias(item_id_col), "similarity", "start_word", "n_words", "distance")
 
 
-def contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """Ids of texts that hold at least one benchmark item."""
-    return find_contamination(docs, items, **options).select(options.get("id_col", "doc_id")).distinct()
+def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs`` whose text holds no benchmark item, with all their columns: one map, no join back."""
+    out = docs
+    for shared in _indexes(items, item_id_col, item_text_col, shingle, radius):
+
+        def run(batches, shared=shared):
+            for b in X.slices(batches, text_col):
+                hit = np.zeros(b.num_rows, bool)
+                hit[[f[0] for f in matches_in(shared.value, *X.bytes_of(b.column(text_col)), similarity)]] = True
+                yield b.filter(pa.array(~hit))
+
+        out = out.mapInArrow(run, out.schema)
+    return out

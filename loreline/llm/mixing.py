@@ -4,12 +4,13 @@
    all texts, no shuffle).
 2. Document rates r >= 0 are fitted so that the expected tokens of every domain, sum of r * n_words * p[k], meet the targets: projected
    gradient on least squares, distributed. A step needs one aggregate of a few numbers a domain over all rows; the rates themselves
-   never leave the executors. Residuals are measured in the metric of the (domains x domains) moment matrix, which makes steps short
-   in number whatever the domains' sizes; rates start at 1, so the fit stays near the corpus.
+   never leave the executors. Rates start at 1 and distance between rates is weighted by tokens, so that a long text's rate moves
+   no further than a short one's of the same posterior; residuals are measured in the metric of the (domains x domains) moment
+   matrix, which needs few steps whatever the domains' sizes.
 
 Only rows of posteriors (no texts) are written to the checkpoint folder between steps.
 
-Defined cases: null or empty text has no tokens, flat posteriors and rate 1; null ids and repeated rows are fitted like others; rows
+Defined cases: null or empty text has no tokens and gets the rate of the classifier's prior; null ids and repeated rows are fitted like others; rows
 without a label are not used in training; a domain in the targets that has no labelled text gets posterior 0 (its target cannot be met,
 which ``achieved`` shows); targets are normalised to sum 1; an empty table gives an empty result.
 """
@@ -65,8 +66,8 @@ def softmax(z: np.ndarray) -> np.ndarray:
 def posteriors(docs: DataFrame, weights: np.ndarray, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per text: id, k0.. (the columns of ``keep``), n_words, p (posterior of each domain)."""
     model = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))  # a fixed size
-    held = [f"k{i}" for i in range(len(keep))]
-    named = docs.select(col(id_col).cast("long").alias("id"), *[col(k).alias(h) for k, h in zip(keep, held)], col(text_col).alias("text"))
+    held = ["text" if k == text_col else f"k{i}" for i, k in enumerate(keep)]  # the text goes to Python once
+    named = docs.select(col(id_col).cast("long").alias("id"), *[col(k).alias(h) for k, h in zip(keep, held) if h != "text"], col(text_col).alias("text"))
 
     def run(batches):
         w = model.value
@@ -78,11 +79,19 @@ def posteriors(docs: DataFrame, weights: np.ndarray, id_col: str, text_col: str,
     return named.mapInArrow(run, T.StructType([T.StructField("id", T.LongType()), *[T.StructField(h, docs.schema[k].dataType) for k, h in zip(keep, held)], T.StructField("n_words", T.LongType()), T.StructField("p", T.ArrayType(T.DoubleType()))]))
 
 
-def fit_rates(rows: DataFrame, targets: list[float], steps: int = STEPS, tolerance: float = 1e-4) -> tuple[DataFrame, np.ndarray]:
-    """Add ``rate`` to rows of (n_words, p); also the achieved domain shares. One aggregate of domains**2 numbers, then one of ``domains`` a step."""
+def _parts(k: int) -> list:
+    return [F.coalesce(F.col("p")[i], F.lit(0.0)) for i in range(k)]
+
+
+def fit_rates(rows: DataFrame, targets: list[float], steps: int = STEPS, tolerance: float = 1e-4) -> tuple[list[np.ndarray], np.ndarray]:
+    """Projected gradient over rows of (n_words, p). Returns the moves, which give any row's rate (``rate_of``), and the achieved shares.
+
+    The driver gets domains**2 numbers once and ``domains`` numbers a step.
+    """
     k = len(targets)
-    a = [F.col("n_words") * F.coalesce(F.col("p")[i], F.lit(0.0)) for i in range(k)]
-    first = rows.agg(F.sum("n_words"), *[F.sum(x) for x in a], *[F.sum(a[i] * a[j]) for i in range(k) for j in range(i, k)]).first()
+    p = _parts(k)
+    a = [F.col("n_words") * x for x in p]  # expected tokens of each domain
+    first = rows.agg(F.sum("n_words"), *[F.sum(x) for x in a], *[F.sum(a[i] * p[j]) for i in range(k) for j in range(i, k)]).first()
     total = float(first[0] or 0)
     goal = total * np.asarray(targets) / max(sum(targets), 1e-12)
     have = np.array([float(x or 0) for x in first[1:k + 1]])
@@ -90,31 +99,50 @@ def fit_rates(rows: DataFrame, targets: list[float], steps: int = STEPS, toleran
     moment[np.triu_indices(k)] = [float(x or 0) for x in first[k + 1:]]
     moment = moment + np.triu(moment, 1).T
     scale = max(np.trace(moment) / k, 1e-12)
-    metric = np.linalg.pinv(moment + 1e-6 * scale * np.eye(k))  # the gradient in this metric takes whole Newton-like steps
-    rate = F.lit(1.0)
+    metric = np.linalg.pinv(moment + 1e-6 * scale * np.eye(k))  # in this metric a gradient step goes nearly all the way
+    moves: list[np.ndarray] = []
     for _ in range(steps):
         gap = have - goal
         if not total or np.abs(gap).max() <= tolerance * total:
             break
-        move = metric @ gap
-        # next rates = max(0, rate - a . move); a row's a and past moves give its rate, so that nothing but k numbers a step travels
-        rate = F.greatest(F.lit(0.0), rate - sum((x * F.lit(float(m)) for x, m in zip(a, move)), F.lit(0.0)))
+        moves.append(metric @ gap)
+        rate = rate_of(moves, k)
         have = np.array([float(x or 0) for x in rows.agg(*[F.sum(x * rate) for x in a]).first()])
-    return rows.withColumn("rate", rate), have / max(have.sum(), 1e-12)
+    return moves, have / max(have.sum(), 1e-12)
+
+
+def rate_of(moves: list[np.ndarray], k: int):
+    """A row's rate: from 1, minus each move along its posterior, held at 0 or more."""
+    rate = F.lit(1.0)
+    for move in moves:
+        rate = F.greatest(F.lit(0.0), rate - sum((x * F.lit(float(m)) for x, m in zip(_parts(k), move)), F.lit(0.0)))
+    return rate
 
 
 def mix_sources(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample: int = SAMPLE, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per text: id, the columns of ``keep``, n_words, domain (likeliest), posterior (array in the order of sorted target names), rate, copies.
+    """Per text: id, the columns of ``keep``, n_words, domain (likeliest), posterior (in the order of sorted target names), rate, copies.
 
-    ``labels`` holds (id, label_col). ``copies`` rounds the rate by a hash of the id, so that its mean is the rate.
+    ``labels`` holds (id, label_col). ``copies`` rounds the rate by a hash of the id, so that its mean is the rate. With ``keep`` the
+    posteriors are worked out again for the result, so that no text is written to the checkpoint folder.
     """
     domains = sorted(targets)
     weights = train(docs, labels, id_col, text_col, label_col, domains, sample)
-    rows = checkpoint(posteriors(docs, weights, id_col, text_col, keep))
-    rated, _ = fit_rates(rows, [targets[d] for d in domains])
-    held = [F.col(f"k{i}").alias(k) for i, k in enumerate(keep)]
+    rows = checkpoint(posteriors(docs, weights, id_col, text_col))
+    moves, _ = fit_rates(rows, [targets[d] for d in domains])
+    if keep:
+        rows = posteriors(docs, weights, id_col, text_col, keep)
+    held = [F.col("text" if k == text_col else f"k{i}").alias(k) for i, k in enumerate(keep)]
     best = F.array_position("p", F.array_max("p")).cast("int")
     chance = F.pmod(F.xxhash64(F.col("id"), F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    out = rated.select("id", *held, "n_words", F.element_at(F.array(*[F.lit(d) for d in domains]), best).alias("domain"), F.col("p").alias("posterior"), "rate")
-    out = out.withColumn("copies", F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long"))
-    return out.withColumnRenamed("id", id_col)
+    out = rows.withColumn("rate", rate_of(moves, len(domains)))
+    copies = (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long")).alias("copies")
+    return out.select(F.col("id").alias(id_col), *held, "n_words", F.element_at(F.array(*[F.lit(d) for d in domains]), best).alias("domain"), F.col("p").alias("posterior"), "rate", copies)
+
+
+# The language mixture the mixing query and the pipeline aim at (shares of words).
+LANG_TARGETS = {"de": 0.2, "en": 0.4, "es": 0.2, "fr": 0.2}
+
+
+def lang_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Domain labels of the labelled documents: their language."""
+    return docs.select("doc_id", "lang").join(labels.select("doc_id"), "doc_id", "left_semi")

@@ -189,8 +189,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per text: id, the columns of ``keep``, score (0 .. 1, higher: label 1 likelier) and predicted (1 if score >= 0.5)."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col, label_col, sample))  # a fixed size
-    held = [f"k{i}" for i in range(len(keep))]
-    named = docs.select(col(id_col).cast("long").alias("id"), *[col(k).alias(h) for k, h in zip(keep, held)], col(text_col).alias("text"))
+    held = ["text" if k == text_col else f"k{i}" for i, k in enumerate(keep)]  # the text goes to Python once
+    named = docs.select(col(id_col).cast("long").alias("id"), *[col(k).alias(h) for k, h in zip(keep, held) if h != "text"], col(text_col).alias("text"))
 
     def run(batches):
         for b in X.slices(batches, "text"):

@@ -10,13 +10,11 @@ from pyspark.sql import functions as F
 from loreline.llm.decontam import find_contamination
 from loreline.llm.html_extract import extract_html
 from loreline.llm.jaccard_join import near_duplicates
-from loreline.llm.mixing import mix_sources
+from loreline.llm.mixing import LANG_TARGETS, lang_labels, mix_sources
 from loreline.llm.quality import score_quality
 from loreline.llm.substring_dedup import substring_dedup
 from loreline.llm.toxicity import score_toxicity
 
-# The language mixture the mixing query and the pipeline aim at (shares of words).
-LANG_TARGETS = {"de": 0.2, "en": 0.4, "es": 0.2, "fr": 0.2}
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -45,11 +43,6 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
-def lang_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Domain labels of the labelled documents: their language."""
-    return docs.select("doc_id", "lang").join(labels.select("doc_id"), "doc_id", "left_semi")
-
-
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rate of every document in a mixture by language: doc_id, n_words, domain, posterior, rate, copies."""
     docs = _read(spark, sf_dir, "documents")
@@ -95,8 +88,12 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, comp.component_
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op3_toxicity, op4_quality, op5_html_extraction, op6_substring_dedup, op8_mixing, op9_jaccard_join)}
+    from corpus_pipeline import run
+
+    return {"pipeline": run} | {f.__name__: f for f in (op1_decontamination, op3_toxicity, op4_quality, op5_html_extraction, op6_substring_dedup, op8_mixing, op9_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_substring_dedup": _OP6_SQL, "op9_jaccard_join": _OP9_SQL}
+    from corpus_pipeline import ORACLE_SQL
+
+    return ({"pipeline": ORACLE_SQL} if ORACLE_SQL else {}) | {"op6_substring_dedup": _OP6_SQL, "op9_jaccard_join": _OP9_SQL}

@@ -120,9 +120,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     w, th = train(docs, labels, id_col, text_col, label_col, grades, sample, dims)
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast((w, th))  # dims weights: a fixed size
-    held = [f"k{i}" for i in range(len(keep))]
-    named = docs.select(col(id_col).cast("long").alias("id"), *[col(k).alias(h) for k, h in zip(keep, held)], col(text_col).alias("text"))
-    own = [h for k, h in zip(keep, held)]
+    held = ["text" if k == text_col else f"k{i}" for i, k in enumerate(keep)]  # the text goes to Python once
+    named = docs.select(col(id_col).cast("long").alias("id"), *[col(k).alias(h) for k, h in zip(keep, held) if h != "text"], col(text_col).alias("text"))
 
     def run(batches):
         w, th = model.value
@@ -130,7 +129,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
             f = L.Features(b.column("text"), len(w), share=False)
             above = L.sigmoid(f.dot(w)[:, None] - th[None, :])
             high = (above >= 0.5).sum(axis=1)
-            yield pa.record_batch({"id": b.column("id")} | {h: b.column(h) for h in own} | {"severity": pa.array(above.sum(axis=1)), "grade": pa.array(high.astype(np.int32)), "toxic": pa.array(high > 0)})
+            yield pa.record_batch({"id": b.column("id")} | {h: b.column(h) for h in held} | {"severity": pa.array(above.sum(axis=1)), "grade": pa.array(high.astype(np.int32)), "toxic": pa.array(high > 0)})
 
     schema = T.StructType([T.StructField("id", T.LongType()), *[T.StructField(h, docs.schema[k].dataType) for k, h in zip(keep, held)], T.StructField("severity", T.DoubleType()), T.StructField("grade", T.IntegerType()), T.StructField("toxic", T.BooleanType())])
     return named.mapInArrow(run, schema).select(F.col("id").alias(id_col), *[F.col(h).alias(k) for k, h in zip(keep, held)], "severity", "grade", "toxic")
