@@ -13,6 +13,7 @@ from loreline.llm.jaccard_join import near_duplicates
 from loreline.llm.mixing import LANG_TARGETS, lang_labels, mix_sources
 from loreline.llm.quality import score_quality
 from loreline.llm.substring_dedup import substring_dedup
+from loreline.llm.topk import top_k
 from loreline.llm.toxicity import score_toxicity
 
 
@@ -87,13 +88,27 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, comp.component_
 """
 
 
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 highest integer inner products of every 50th vector: query_id, rank, vec_id, score."""
+    return top_k(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+_OP10_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s)
+SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 5
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from corpus_pipeline import run
 
-    return {"pipeline": run} | {f.__name__: f for f in (op1_decontamination, op3_toxicity, op4_quality, op5_html_extraction, op6_substring_dedup, op8_mixing, op9_jaccard_join)}
+    return {"pipeline": run} | {f.__name__: f for f in (op1_decontamination, op3_toxicity, op4_quality, op5_html_extraction, op6_substring_dedup, op8_mixing, op9_jaccard_join, op10_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
     from corpus_pipeline import ORACLE_SQL
 
-    return ({"pipeline": ORACLE_SQL} if ORACLE_SQL else {}) | {"op6_substring_dedup": _OP6_SQL, "op9_jaccard_join": _OP9_SQL}
+    return ({"pipeline": ORACLE_SQL} if ORACLE_SQL else {}) | {"op6_substring_dedup": _OP6_SQL, "op9_jaccard_join": _OP9_SQL, "op10_topk": _OP10_SQL}
