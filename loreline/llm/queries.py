@@ -13,6 +13,7 @@ from loreline.llm.jaccard_join import near_duplicates
 from loreline.llm.mixing import LANG_TARGETS, lang_labels, mix_sources
 from loreline.llm.quality import score_quality
 from loreline.llm.substring_dedup import substring_dedup
+from loreline.llm.suffix_dedup import suffix_dedup
 from loreline.llm.topk import top_k
 from loreline.llm.toxicity import score_toxicity
 
@@ -69,6 +70,11 @@ FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN cnt USING (doc_id)
 """
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup(_read(spark, sf_dir, "documents"), length=50)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of every document: doc_id, n_shingles, component_id."""
     return near_duplicates(_read(spark, sf_dir, "documents"), width=5, percent=80)
@@ -105,7 +111,7 @@ SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 5
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from corpus_pipeline import run
 
-    return {"pipeline": run} | {f.__name__: f for f in (op1_decontamination, op3_toxicity, op4_quality, op5_html_extraction, op6_substring_dedup, op8_mixing, op9_jaccard_join, op10_topk)}
+    return {"pipeline": run} | {f.__name__: f for f in (op1_decontamination, op3_toxicity, op4_quality, op5_html_extraction, op6_substring_dedup, op7_suffix_dedup, op8_mixing, op9_jaccard_join, op10_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
