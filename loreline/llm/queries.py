@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loreline.llm.decontam import find_contamination
 from loreline.llm.html_extract import extract_html
 from loreline.llm.jaccard_join import near_duplicates
+from loreline.llm.license_scan import scan_licenses
 from loreline.llm.mixing import LANG_TARGETS, lang_labels, mix_sources
 from loreline.llm.quality import score_quality
 from loreline.llm.substring_dedup import substring_dedup
@@ -28,6 +29,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses that documents name: doc_id, license, containment, start_word, n_words."""
+    return scan_licenses(_read(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Severity of every document: doc_id, severity, grade, toxic."""
     return score_toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
@@ -111,7 +117,7 @@ SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 5
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from corpus_pipeline import run
 
-    return {"pipeline": run} | {f.__name__: f for f in (op1_decontamination, op3_toxicity, op4_quality, op5_html_extraction, op6_substring_dedup, op7_suffix_dedup, op8_mixing, op9_jaccard_join, op10_topk)}
+    return {"pipeline": run} | {f.__name__: f for f in (op1_decontamination, op2_license_scan, op3_toxicity, op4_quality, op5_html_extraction, op6_substring_dedup, op7_suffix_dedup, op8_mixing, op9_jaccard_join, op10_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
