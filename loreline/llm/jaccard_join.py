@@ -8,13 +8,15 @@ more nearly empty parts than that sends those signatures too, so no linked pair
 
 1. One map over the texts gives (id, size, set hash, parity sketch); equal sets meet in one representative (map-side aggregated).
 2. One map over the texts sends signatures in blocks to buckets; a bucket keeps the groups that share one.
-3. Each set is verified exactly against the smallest set of its groups; components of these links.
-4. Groups that still hold several components: pairs across components that neither their sizes nor the parity sketches (a lower
-   bound of the Hamming distance) rule out are verified exactly. Pairs inside a component need no look: a further link would change nothing.
+3. Sizes and parity sketches (a lower bound of the Hamming distance) rule out most pairs of a group. Each set of a group is
+   verified exactly against one leader that it may link with; components of these links.
+4. Groups that still hold several components: pairs across components that are not ruled out are verified exactly. Pairs inside a
+   component need no look: a further link would change nothing.
 5. Components of all links and equal sets.
 
-Verification sends each set to its partner's key (a hot partner is salted and its set repeated for each salt). Texts are sent only for
-candidates, told by a Bloom filter of fixed size, which affects cost alone.
+Verification of leaders sends each set to its leader's key (a hot leader is salted and its set repeated for each salt); that of step 4
+deals a component's sets to tiles of bounded size. Texts are sent only for candidates, told by a Bloom filter of fixed size, which
+affects cost alone.
 
 Defined cases: ASCII case folded; fewer words than ``width`` make one shingle of all words; no words or null text: an empty set, linked with
 nothing; null ids: linked with nothing, component null; repeated ids are one node with several sets; other columns are ignored; an
@@ -37,7 +39,9 @@ WIDTH, PERCENT = 5, 80
 SUBPARTS, SLACK = 4, 3
 BUCKET_BYTES = 12 << 20
 SIGNATURE = 6  # bytes of a signature that travel; a chance agreement is only a candidate more
-SKETCH_BITS = 1024
+SKETCH_BITS = (1024, 1 << 17)
+SMALL_GROUP = 64  # members up to which all pairs of a group are looked at in one vector step
+TILE = 128  # sets of one cell of a tile
 SALT_AT = 256  # sets verified against one copy of a partner's set
 BLOOM_BITS = 1 << 21
 U = X.U
@@ -95,8 +99,20 @@ def signatures(shingles: np.ndarray, percent: int, subparts: int = SUBPARTS, sla
 
 
 def sketch(shingles: np.ndarray) -> bytes:
-    """Parity of the number of shingles in each of SKETCH_BITS cells: two sets differ in at least as many shingles as their sketches in bits."""
-    return np.packbits(np.bincount((shingles % U(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS).astype(np.uint8) & 1).tobytes()
+    """Parity of the number of shingles in each cell: two sets differ in at least as many shingles as their sketches in bits.
+
+    The number of cells is a power of two of at least twice the size, within SKETCH_BITS.
+    """
+    bits = min(max(SKETCH_BITS[0], 1 << (2 * len(shingles) - 1).bit_length()), SKETCH_BITS[1])
+    return np.packbits(np.bincount((shingles & U(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def fold(sketches: list[bytes]) -> np.ndarray:
+    """Sketches folded to the smallest length: parts of a parity sketch add up to the sketch of fewer cells."""
+    width = SKETCH_BITS[0] // 8
+    if all(len(x) == width for x in sketches):
+        return np.frombuffer(b"".join(sketches), U).reshape(-1, width // 8)
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(x, U).reshape(-1, width // 8), axis=0) for x in sketches])
 
 
 def _set_key(s: np.ndarray) -> tuple[int, int]:
@@ -220,27 +236,132 @@ def _verify(texts: DataFrame, pairs: DataFrame, width: int, percent: int) -> Dat
     return sent.groupBy("key", "salt").applyInArrow(_verify_group(percent), "a long, b long")
 
 
+class _Members:
+    """Groups of sets (grp, id, n, sketch) in one bucket, sorted by group and id."""
+
+    def __init__(self, table: pa.Table, percent: int):
+        grp, ids = table["grp"].to_numpy(), table["id"].to_numpy()
+        order = np.lexsort((ids, grp))
+        self.grp, self.ids, self.n = grp[order], ids[order], table["n"].to_numpy()[order]
+        self.sketch = table["sketch"].take(pa.array(order)).to_pylist()
+        self.bits = fold(self.sketch)
+        self.component = table["component"].to_numpy()[order] if "component" in table.column_names else None
+        self.percent = percent
+        begin = np.flatnonzero(np.concatenate([[True], self.grp[1:] != self.grp[:-1]]))
+        size = np.diff(np.append(begin, len(self.grp)))
+        self.large = [(b, b + m) for b, m in zip(begin[size > SMALL_GROUP], size[size > SMALL_GROUP])]
+        self.size = np.repeat(size, size)
+
+    def possible(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Mask of pairs that sizes and sketches allow to link."""
+        p, n = self.percent, self.n
+        ok = 100 * np.minimum(n[i], n[j]) >= p * np.maximum(n[i], n[j])
+        at = np.flatnonzero(ok)
+        differ = np.bitwise_count(self.bits[i[at]] ^ self.bits[j[at]]).sum(axis=1, dtype=np.int64)
+        ok[at] = (100 + p) * differ <= (100 - p) * (n[i[at]] + n[j[at]])
+        for k in np.flatnonzero(ok):  # long sets have finer sketches
+            x, y = self.sketch[i[k]], self.sketch[j[k]]
+            if len(x) > SKETCH_BITS[0] // 8 and len(x) == len(y):
+                differ = int(np.bitwise_count(np.frombuffer(x, U) ^ np.frombuffer(y, U)).sum())
+                ok[k] = (100 + p) * differ <= (100 - p) * (n[i[k]] + n[j[k]])
+        return ok
+
+    def small_pairs(self):
+        """(i, j) for all pairs of small groups, one distance at a time, nearest first."""
+        for d in range(1, SMALL_GROUP):
+            i = np.flatnonzero((self.grp[:-d] == self.grp[d:]) & (self.size[:-d] <= SMALL_GROUP)) if d < len(self.grp) else []
+            if not len(i):
+                return
+            if self.component is not None:
+                i = i[self.component[i] != self.component[i + d]]
+            ok = self.possible(i, i + d)
+            yield i[ok], i[ok] + d
+
+
+def _leaders(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        """For each set of a group the first one before it that it may link with; and the groups that hold further possible pairs."""
+        g = _Members(table, percent)
+        first = np.full(len(g.ids), -1)
+        times = np.zeros(len(g.ids), np.int64)
+        for i, j in g.small_pairs():
+            first[j] = i
+            times[j] += 1
+        more = set(g.grp[times > 1].tolist())
+        for lo, hi in g.large:
+            free = np.ones(hi - lo, bool)
+            for i in range(hi - lo):  # sets that no leader takes lead
+                if free[i]:
+                    js = lo + i + 1 + np.flatnonzero(free[i + 1:])
+                    js = js[g.possible(np.full(len(js), lo + i), js)]
+                    free[js - lo] = False
+                    first[js] = lo + i
+            more.add(int(g.grp[lo]))
+        j = np.flatnonzero(first >= 0)
+        pairs = {(int(a), int(b)) for a, b in zip(g.ids[first[j]], g.ids[j])}
+        rows = [(a, b, None) for a, b in pairs] + [(None, None, x) for x in more]
+        return pa.table({c: pa.array([r[k] for r in rows], pa.int64()) for k, c in enumerate(("a", "b", "grp"))})
+
+    return run
+
+
 def _across(percent: int):
     def run(table: pa.Table) -> pa.Table:
-        """Pairs of one group in different components that sizes and sketches leave possible."""
-        comp, ids, n = (table[c].to_numpy() for c in ("component", "id", "n"))
-        order = np.lexsort((ids, n))
-        comp, ids, n = comp[order], ids[order], n[order]
-        bits = np.frombuffer(b"".join(table["sketch"].take(pa.array(order)).to_pylist()), np.uint64).reshape(len(n), -1)
-        a, b = [], []
-        for i in range(len(n) - 1):  # one set against the larger ones that its size allows, in one vector step
-            stop = np.searchsorted(n, 100 * n[i] // percent, "right")
-            js = i + 1 + np.flatnonzero(comp[i + 1:stop] != comp[i])
-            if len(js):
-                differ = np.bitwise_count(bits[js] ^ bits[i]).sum(axis=1)
-                js = js[(100 + percent) * differ <= (100 - percent) * (n[js] + n[i])]
-                a += [ids[i]] * len(js)
-                b += ids[js].tolist()
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        """Pairs of a group in different components that may link. Sets of a large group's largest component need no turn of their own."""
+        g = _Members(table, percent)
+        pairs: set[tuple[int, int]] = set()
+        for i, j in g.small_pairs():
+            pairs.update(zip(g.ids[i].tolist(), g.ids[j].tolist()))
+        for lo, hi in g.large:
+            _, comp, size = np.unique(g.component[lo:hi], return_inverse=True, return_counts=True)
+            place = np.argsort(np.argsort(size, kind="stable"))[comp]  # components by size; a pair is the smaller one's
+            for i in np.flatnonzero(place < place.max()):
+                js = lo + np.flatnonzero(place > place[i])
+                js = js[g.possible(np.full(len(js), lo + i), js)]
+                pairs.update((min(x, y), max(x, y)) for x, y in zip([int(g.ids[lo + i])] * len(js), g.ids[js].tolist()))
+        return pa.table({c: pa.array([r[k] for r in pairs], pa.int64()) for k, c in enumerate(("a", "b"))})
+
+    return run
+
+
+def _verify_tile(percent: int):
+    def run(texts: pa.Table, pairs: pa.Table) -> pa.Table:
+        sets = dict(zip(texts["id"].to_pylist(), (np.frombuffer(x, U) for x in texts["shingles"].to_pylist())))
+        out = []
+        for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist()):
+            x, y = sets.get(a), sets.get(b)
+            if x is not None and y is not None:
+                at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+                both = int((x[at] == y).sum())
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    out.append((a, b))
+        return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
 
     return run
 
 
+def _verify_many(texts: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Like ``_verify`` for pairs that are dense among few sets: each set goes once to every tile of its pair component that has
+    pairs of it, where a component of m sets has cells of about TILE sets and a tile is a pair of cells."""
+    comp = components(pairs)
+    size = comp.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / F.lit(TILE)).cast("long").alias("cells"))
+    cell = comp.join(size, "component").select("id", "component", F.pmod(F.xxhash64("id"), F.col("cells")).alias("cell"))
+    tiled = (pairs.join(cell.select(F.col("id").alias("a"), "component", F.col("cell").alias("ca")), "a").join(cell.select(F.col("id").alias("b"), F.col("cell").alias("cb")), "b")
+             .select("a", "b", "component", F.least("ca", "cb").alias("lo"), F.greatest("ca", "cb").alias("hi")))
+    tiled = checkpoint(tiled)
+    wanted = checkpoint(tiled.select(F.col("a").alias("id"), "component", "lo", "hi").union(tiled.select("b", "component", "lo", "hi")).distinct())
+    member = _bloom_filter(wanted)
+
+    def run(batches):
+        for b in X.slices(batches, "text"):
+            sets = shingle_sets(*X.bytes_of(b.column("text")), width)
+            yield pa.record_batch({c: b.column(c) for c in ("component", "lo", "hi", "id")} | {"shingles": pa.array([s.tobytes() for s in sets], pa.binary())})
+
+    sent = texts.filter(member(F.col("id"))).join(wanted, "id").select("component", "lo", "hi", "id", "text").mapInArrow(run, "component long, lo long, hi long, id long, shingles binary")
+    key = ("component", "lo", "hi")
+    return sent.groupBy(*key).cogroup(tiled.groupBy(*key)).applyInArrow(_verify_tile(percent), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Per text: id, n_shingles (size of its set), component_id (smallest id reachable by links, itself included)."""
     rows = docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text"))
@@ -252,24 +373,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     equal = full.join(sets.select("h1", "h2", "rep"), ["h1", "h2"]).filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     met = rows.mapInArrow(_send(width, percent, buckets), "bucket int, sets binary, times binary, values binary").groupBy("bucket").applyInArrow(_meet, "members array<long>")
     groups = checkpoint(met.groupBy(F.xxhash64("members").alias("grp"), F.size("members").alias("m")).agg(F.first("members").alias("members")).select("grp", "members"))
-    # each set against the smallest set of its groups
-    star = groups.select(F.element_at("members", 1).alias("top"), F.explode("members").alias("h1")).filter("h1 <> top").groupBy("h1").agg(F.min("top").alias("top"))
-    rep = sets.select("h1", F.col("rep"))
-    first = star.join(rep.withColumnRenamed("rep", "b"), "h1").join(rep.select(F.col("h1").alias("top"), F.col("rep").alias("a")), "top").select("a", "b").filter("a <> b")
-    first = checkpoint(first.distinct())
-    # one text for each id that stands for a set
-    one = rows.filter("id is not null")
+    # each set against the first one of its groups that it may link with
+    bucket = F.pmod("grp", F.lit(buckets)).alias("bucket")
+    named = groups.select("grp", F.explode("members").alias("h1")).join(sets, "h1").select(bucket, "grp", F.col("rep").alias("id"), "n", "sketch")
+    told_pairs = checkpoint(named.groupBy("bucket").applyInArrow(_leaders(percent), "a long, b long, grp long"))
+    first = checkpoint(told_pairs.filter("a is not null").select("a", "b").distinct())
+    one = rows.filter("id is not null")  # has the text of every id that stands for a set
     linked = checkpoint(_verify(one, first, width, percent).distinct())
     found = components(linked)
-    # what the stars leave open
-    named = groups.select("grp", F.explode("members").alias("h1")).join(sets, "h1").select("grp", F.col("rep").alias("id"), "n", "h1", "h2")
-    named = named.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = named.groupBy("grp").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("grp")
-    left = named.join(mixed, "grp", "left_semi").join(sets.select("h1", "h2", "sketch"), ["h1", "h2"]).select("grp", "id", "n", "component", "sketch")
-    second = left.groupBy("grp").applyInArrow(_across(percent), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    second = checkpoint(second.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+    # what that leaves open: groups with further possible pairs that hold several components
+    open_groups = told_pairs.filter("grp is not null").select("grp")
+    placed = named.join(open_groups, "grp", "left_semi").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = placed.groupBy("grp").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("grp")
+    second = placed.join(mixed, "grp", "left_semi").groupBy("bucket").applyInArrow(_across(percent), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    second = checkpoint(second.join(first, ["a", "b"], "left_anti"))
     if not second.isEmpty():
-        linked = linked.unionByName(_verify(one, second, width, percent))
+        linked = linked.unionByName(checkpoint(_verify_many(one, second, width, percent).distinct()))
     every = components(linked.unionByName(equal))
     out = told.join(every, "id", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
