@@ -167,7 +167,7 @@ def spans_cover(starts: np.ndarray, width: int, n: int) -> np.ndarray:
     return np.cumsum(delta[:n]) > 0
 
 
-def slices(batches, column: str, most: int = 4 << 20):
+def slices(batches, column: str, most: int = 2 << 20):
     """Arrow batches cut so that the texts of a piece hold about ``most`` bytes (one text at least): memory follows that, not the rows."""
     for batch in batches:
         size = np.diff(bytes_of(batch.column(column))[1])

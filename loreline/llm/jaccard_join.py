@@ -15,7 +15,7 @@ more nearly empty parts than that sends those signatures too, so no linked pair
 5. Components of all links and equal sets.
 
 Verification of leaders sends each set to its leader's key (a hot leader is salted and its set repeated for each salt); that of step 4
-deals a component's sets to tiles of bounded size. Texts are sent only for candidates, told by a Bloom filter of fixed size, which
+deals a component's sets to tiles of bounded size. Sets are made only for candidates, told by a Bloom filter of fixed size, which
 affects cost alone.
 
 Defined cases: ASCII case folded; fewer words than ``width`` make one shingle of all words; no words or null text: an empty set, linked with
@@ -37,7 +37,7 @@ from loreline.llm._frames import checkpoint, col, text_bytes
 
 WIDTH, PERCENT = 5, 80
 SUBPARTS, SLACK = 4, 3
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES = 6 << 20
 SIGNATURE = 6  # bytes of a signature that travel; a chance agreement is only a candidate more
 SKETCH_BITS = (1024, 1 << 17)
 SMALL_GROUP = 64  # members up to which all pairs of a group are looked at in one vector step
@@ -184,21 +184,27 @@ def _meet(table: pa.Table) -> pa.Table:
     return pa.table({"members": pa.array([np.frombuffer(g, np.int64) for g in groups], pa.list_(pa.int64()))})
 
 
-def _bloom_filter(ids: DataFrame):
-    """A filter of fixed size over column ``id``: at most BLOOM_BITS cell numbers reach the driver."""
-    cells = ids.select(F.pmod(F.xxhash64("id"), F.lit(BLOOM_BITS)).cast("int").alias("c")).distinct().toArrow()["c"].to_numpy()
+def _sets_of(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(id, shingles) of the texts whose id stands in ``wanted``, and of a few more.
+
+    Ids are told by a Bloom filter of fixed size (at most BLOOM_BITS cell numbers reach the driver), so that other texts are neither
+    hashed nor shuffled; a full filter costs time, never a text.
+    """
+    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(BLOOM_BITS)).cast("int")
+    cells = wanted.select(cell("id").alias("c")).distinct().toArrow()["c"].to_numpy()
     bits = np.zeros(BLOOM_BITS, bool)
     bits[cells] = True
-    shared = ids.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    shared = wanted.sparkSession.sparkContext.broadcast(np.packbits(bits))
 
-    def has(cell):
-        import pandas as pd
-
-        c = cell.to_numpy()
-        return pd.Series((shared.value[c >> 3] >> (7 - (c & 7))) & 1 > 0)
+    def run(batches):
+        for whole in batches:
+            c = whole.column("cell").to_numpy()
+            told = (shared.value[c >> 3] >> (7 - (c & 7))) & 1 > 0
+            for b in X.slices([whole.filter(pa.array(told))], "text"):
+                sets = shingle_sets(*X.bytes_of(b.column("text")), width)
+                yield pa.record_batch({"id": b.column("id"), "shingles": pa.array([s.tobytes() for s in sets], pa.binary())})
 
-    udf = F.pandas_udf(has, T.BooleanType())
-    return lambda column: udf(F.pmod(F.xxhash64(column), F.lit(BLOOM_BITS)).cast("int"))
+    return texts.select("id", cell("id").alias("cell"), "text").mapInArrow(run, "id long, shingles binary")
 
 
 def _verify_group(percent: int):
@@ -225,14 +231,7 @@ def _verify(texts: DataFrame, pairs: DataFrame, width: int, percent: int) -> Dat
     asked = pairs.join(count, "a").select(F.col("b").alias("id"), F.col("a").alias("key"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"))
     heads = count.select(F.col("a").alias("id"), F.col("a").alias("key"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"))
     wanted = checkpoint(asked.unionByName(heads))
-    member = _bloom_filter(wanted)
-
-    def run(batches):
-        for b in X.slices(batches, "text"):
-            sets = shingle_sets(*X.bytes_of(b.column("text")), width)
-            yield pa.record_batch({c: b.column(c) for c in ("key", "salt", "role", "id")} | {"shingles": pa.array([s.tobytes() for s in sets], pa.binary())})
-
-    sent = texts.filter(member(F.col("id"))).join(wanted, "id").select("key", "salt", "role", "id", "text").mapInArrow(run, "key long, salt int, role int, id long, shingles binary")
+    sent = _sets_of(texts, wanted, width).join(wanted, "id").select("key", "salt", "role", "id", "shingles")
     return sent.groupBy("key", "salt").applyInArrow(_verify_group(percent), "a long, b long")
 
 
@@ -350,14 +349,7 @@ def _verify_many(texts: DataFrame, pairs: DataFrame, width: int, percent: int) -
              .select("a", "b", "component", F.least("ca", "cb").alias("lo"), F.greatest("ca", "cb").alias("hi")))
     tiled = checkpoint(tiled)
     wanted = checkpoint(tiled.select(F.col("a").alias("id"), "component", "lo", "hi").union(tiled.select("b", "component", "lo", "hi")).distinct())
-    member = _bloom_filter(wanted)
-
-    def run(batches):
-        for b in X.slices(batches, "text"):
-            sets = shingle_sets(*X.bytes_of(b.column("text")), width)
-            yield pa.record_batch({c: b.column(c) for c in ("component", "lo", "hi", "id")} | {"shingles": pa.array([s.tobytes() for s in sets], pa.binary())})
-
-    sent = texts.filter(member(F.col("id"))).join(wanted, "id").select("component", "lo", "hi", "id", "text").mapInArrow(run, "component long, lo long, hi long, id long, shingles binary")
+    sent = _sets_of(texts, wanted, width).join(wanted, "id").select("component", "lo", "hi", "id", "shingles")
     key = ("component", "lo", "hi")
     return sent.groupBy(*key).cogroup(tiled.groupBy(*key)).applyInArrow(_verify_tile(percent), "a long, b long")
 
