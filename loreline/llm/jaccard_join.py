@@ -107,9 +107,8 @@ def sketch(shingles: np.ndarray) -> bytes:
     return np.packbits(np.bincount((shingles & U(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
 
 
-def fold(sketches: list[bytes]) -> np.ndarray:
-    """Sketches folded to the smallest length: parts of a parity sketch add up to the sketch of fewer cells."""
-    width = SKETCH_BITS[0] // 8
+def fold(sketches: list[bytes], width: int = SKETCH_BITS[0] // 8) -> np.ndarray:
+    """Sketches folded to ``width`` bytes: parts of a parity sketch add up to the sketch of fewer cells."""
     if all(len(x) == width for x in sketches):
         return np.frombuffer(b"".join(sketches), U).reshape(-1, width // 8)
     return np.stack([np.bitwise_xor.reduce(np.frombuffer(x, U).reshape(-1, width // 8), axis=0) for x in sketches])
@@ -260,8 +259,9 @@ class _Members:
         ok[at] = (100 + p) * differ <= (100 - p) * (n[i[at]] + n[j[at]])
         for k in np.flatnonzero(ok):  # long sets have finer sketches
             x, y = self.sketch[i[k]], self.sketch[j[k]]
-            if len(x) > SKETCH_BITS[0] // 8 and len(x) == len(y):
-                differ = int(np.bitwise_count(np.frombuffer(x, U) ^ np.frombuffer(y, U)).sum())
+            if min(len(x), len(y)) > SKETCH_BITS[0] // 8:
+                x, y = fold([x, y], min(len(x), len(y)))
+                differ = int(np.bitwise_count(x ^ y).sum())
                 ok[k] = (100 + p) * differ <= (100 - p) * (n[i[k]] + n[j[k]])
         return ok
 
@@ -369,7 +369,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bucket = F.pmod("grp", F.lit(buckets)).alias("bucket")
     named = groups.select("grp", F.explode("members").alias("h1")).join(sets, "h1").select(bucket, "grp", F.col("rep").alias("id"), "n", "sketch")
     told_pairs = checkpoint(named.groupBy("bucket").applyInArrow(_leaders(percent), "a long, b long, grp long"))
-    first = checkpoint(told_pairs.filter("a is not null").select("a", "b").distinct())
+    pairs = checkpoint(told_pairs.filter("a is not null").select("a", "b").distinct())
+    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     one = rows.filter("id is not null")  # has the text of every id that stands for a set
     linked = checkpoint(_verify(one, first, width, percent).distinct())
     found = components(linked)
@@ -378,7 +379,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = named.join(open_groups, "grp", "left_semi").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = placed.groupBy("grp").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("grp")
     second = placed.join(mixed, "grp", "left_semi").groupBy("bucket").applyInArrow(_across(percent), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    second = checkpoint(second.join(first, ["a", "b"], "left_anti"))
+    # and the other pairs of step 3, where they still stand between two components
+    of = lambda c: found.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
+    rest = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    second = checkpoint(second.union(rest).distinct().join(first, ["a", "b"], "left_anti"))
     if not second.isEmpty():
         linked = linked.unionByName(checkpoint(_verify_many(one, second, width, percent).distinct()))
     every = components(linked.unionByName(equal))
