@@ -367,7 +367,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = checkpoint(met.groupBy(F.xxhash64("members").alias("grp"), F.size("members").alias("m")).agg(F.first("members").alias("members")).select("grp", "members"))
     # each set against the first one of its groups that it may link with
     bucket = F.pmod("grp", F.lit(buckets)).alias("bucket")
-    named = groups.select("grp", F.explode("members").alias("h1")).join(sets, "h1").select(bucket, "grp", F.col("rep").alias("id"), "n", "sketch")
+    member = groups.select("grp", F.explode("members").alias("h1"))
+    named = member.join(sets, "h1").select(bucket, "grp", F.col("rep").alias("id"), "n", "sketch")
     told_pairs = checkpoint(named.groupBy("bucket").applyInArrow(_leaders(percent), "a long, b long, grp long"))
     pairs = checkpoint(told_pairs.filter("a is not null").select("a", "b").distinct())
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
@@ -376,9 +377,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = components(linked)
     # what that leaves open: groups with further possible pairs that hold several components
     open_groups = told_pairs.filter("grp is not null").select("grp")
-    placed = named.join(open_groups, "grp", "left_semi").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    # (ids alone are joined here; sketches come to the few groups that are left)
+    placed = (member.join(open_groups, "grp", "left_semi").join(sets.select("h1", F.col("rep").alias("id")), "h1").select("grp", "id")
+              .join(found, "id", "left").select("grp", "id", F.coalesce("component", "id").alias("component")))
     mixed = placed.groupBy("grp").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("grp")
-    second = placed.join(mixed, "grp", "left_semi").groupBy("bucket").applyInArrow(_across(percent), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rows_left = placed.join(mixed, "grp", "left_semi").join(sets.select(F.col("rep").alias("id"), "n", "sketch"), "id")
+    second = rows_left.select(bucket, "grp", "id", "n", "component", "sketch").groupBy("bucket").applyInArrow(_across(percent), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     # and the other pairs of step 3, where they still stand between two components
     of = lambda c: found.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
     rest = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
