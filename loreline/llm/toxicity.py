@@ -24,7 +24,7 @@ from loreline.llm import _text as X
 from loreline.llm._frames import col
 
 DIMS = 1 << 18
-SAMPLE = 16_000  # labelled texts the model is fitted on, at most
+SAMPLE = 24_000  # labelled texts the model is fitted on, at most
 GRADES = 3
 
 
