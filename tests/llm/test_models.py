@@ -145,6 +145,21 @@ def test_html(spark):
     assert html_extract.extract_html(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_neighbours_on_the_host(spark, monkeypatch):
+    """One page a lead ('/a-1001', '/b-1001', ...), and more ranges than pages of a host: each page meets the pages beside it."""
+    schema = "page_id long, url string, html string"
+    monkeypatch.setattr("loreline.llm.html_extract.SAMPLED", 1, raising=False)
+    pages = [(100 * h + k, f"http://h{h}.example/{'abcdefgh'[k]}-1001", f"<p>Site {h}</p><p>story {h} {k}</p><p>Call us</p><p>pair {h} {k // 2}</p>") for h in range(5) for k in range(8)]
+    pages += [(900, "http://alone.example/x", "<p>Site 0</p><p>Call us</p>"), (None, "http://nulls.example/x", "<p>n</p><p>m</p>"), (901, "http://nulls.example/x", "<p>n</p><p>o</p>")]
+    got = {(x.page_id, x.url): x.text for x in html_extract.extract_html(spark.createDataFrame(pages, schema).repartition(5)).collect()}
+    assert len(got) == len(pages)
+    for h in range(5):
+        for k in range(8):
+            assert got[100 * h + k, pages[8 * h + k][1]] == f"story {h} {k}"
+    assert got[900, "http://alone.example/x"] == "Site 0\nCall us"
+    assert got[None, "http://nulls.example/x"] == "m" and got[901, "http://nulls.example/x"] == "o"
+
+
 def test_lcs_mask():
     a = lambda *x: np.array(x, np.int64)
     assert html_extract.shared_lines(a(1, 2, 3, 4, 5), a(1, 3, 9, 5)).tolist() == [True, False, True, False, True]
