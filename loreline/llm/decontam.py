@@ -1,7 +1,8 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, exact weighted-shingle similarity.
 
-Benchmark items (in blocks of at most ``BLOCK_ITEMS``, which bounds what is broadcast) become sets of weighted shingles and 64-bit
-SimHash fingerprints. Texts are mapped without a shuffle: windows of an item's size are laid where a text shares a shingle with
+Benchmark items become sets of weighted shingles and 64-bit SimHash fingerprints. Their indexes are broadcast in blocks of at most about
+``BLOCK_ITEMS`` items; the shingles of all items, with weights and places, are broadcast once, so that weights, windows and results are
+the same however items are dealt to blocks. Texts are mapped without a shuffle: windows of an item's size are laid where a text shares a shingle with
 an item (a window that shares none has similarity 0 with all), each window is fingerprinted, and candidates are the items whose
 fingerprint lies within ``RADIUS`` bits. They come from ``PARTS`` indexes over parts of the fingerprint: a pair within the radius
 differs by at most RADIUS // PARTS bits in some part, and each index holds all values so near, so none within the radius is missed.
@@ -54,35 +55,54 @@ def fingerprints(shingles: np.ndarray, weights: np.ndarray, begin: np.ndarray) -
     return np.packbits(votes > 0, axis=1).copy().view(X.U).ravel()
 
 
+def _places(hashes: np.ndarray, ok: np.ndarray, words: X.Words) -> tuple[np.ndarray, ...]:
+    """(hash, place in its item, words of the item, 1 where it is the item's first shingle of that hash) of every shingle of the items."""
+    text = words.text[ok]
+    at = (np.flatnonzero(ok) - words.first[text]).astype(np.int64)
+    order = np.lexsort((at, text, hashes[ok]))
+    h, t = hashes[ok][order], text[order]
+    new = np.ones(len(h), np.int64)
+    new[1:] = (h[1:] != h[:-1]) | (t[1:] != t[:-1])
+    return h, at[order], np.diff(words.first)[t], new
+
+
+class Shingles:
+    """Shingles of all items, whatever block an item is in: weights, and the places (begin in an item, its words) that lay windows."""
+
+    def __init__(self, hashes: np.ndarray, at: np.ndarray, length: np.ndarray, new: np.ndarray):
+        order = np.argsort(hashes, kind="stable")
+        self.at, self.length = at[order], length[order]
+        self.known, first = np.unique(hashes[order], return_index=True)
+        self.first = np.append(first, len(hashes))
+        items = int(new[at == 0].sum())  # the shingle at 0 is the first of its hash
+        df = np.add.reduceat(new[order], first) if len(first) else np.zeros(0, np.int64)
+        self.idf = 1 + np.log(items / df)
+        self.rare = 1 + np.log(max(items, 1))
+        self.gate = np.zeros(1 << 20, bool)
+        self.gate[(self.known >> X.U(44)).astype(np.int64)] = True
+
+    def weight(self, shingles: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.known, shingles), len(self.known) - 1)
+        return np.where(self.known[at] == shingles, self.idf[at], self.rare)
+
+
 class Index:
-    """Items, their shingles and the multi-index over their fingerprints."""
+    """Items of one block and the multi-index over their fingerprints. ``every`` holds the shingles of all items (default: these)."""
 
-    def __init__(self, item_ids: list, texts: list[str], shingle: int = SHINGLE, parts: int = PARTS, radius: int = RADIUS):
+    def __init__(self, item_ids: list, texts: list[str], shingle: int = SHINGLE, parts: int = PARTS, radius: int = RADIUS, every: Shingles | None = None):
         data, offsets = X.bytes_of(pa.array(texts, pa.large_string()))
         words = X.split_words(data, offsets, X.NOT_ALNUM)
         hashes, ok = _shingles(data, words, shingle)
         text = words.text[ok]
         keep = np.unique(text)
         self.ids = [item_ids[i] for i in keep]
-        self.length = np.diff(words.first)[keep]
         self.shingle, self.parts, self.radius = shingle, parts, radius
-        item = np.searchsorted(keep, text)
-        at = (np.flatnonzero(ok) - words.first[text]).astype(np.int64)
-        order = np.argsort(hashes[ok], kind="stable")
-        self.hash, self.item, self.at = hashes[ok][order], item[order], at[order]
-        self.begin = np.searchsorted(item, np.arange(len(keep) + 1))
+        self.begin = np.searchsorted(np.searchsorted(keep, text), np.arange(len(keep) + 1))
         self.bag = hashes[ok]
         if not len(keep):
             return
-        self.known, first = np.unique(self.hash, return_index=True)
-        pairs = np.unique(np.stack([self.hash, self.item.astype(X.U)]), axis=1)
-        df = np.bincount(np.searchsorted(self.known, pairs[0]), minlength=len(self.known))
-        self.idf = 1 + np.log(len(keep) / df)
-        self.rare = 1 + np.log(len(keep))
-        self.first = np.append(first, len(self.hash))
-        self.gate = np.zeros(1 << 20, bool)
-        self.gate[(self.known >> X.U(44)).astype(np.int64)] = True
-        self.print = fingerprints(self.bag, self.weight(self.bag), self.begin[:-1])
+        every = every or Shingles(*_places(hashes, ok, words))
+        self.print = fingerprints(self.bag, every.weight(self.bag), self.begin[:-1])
         # part p, value v -> items whose part p is within radius // parts bits of v
         self.width = BITS // parts
         self.values = self.print.view(np.uint16).reshape(-1, BITS // 16) if self.width == 16 else None
@@ -94,10 +114,6 @@ class Index:
             order = np.argsort(near, kind="stable")
             self.table.append((np.searchsorted(near[order], np.arange(65537)), who[order].astype(np.int32)))
 
-    def weight(self, shingles: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.known, shingles), len(self.known) - 1)
-        return np.where(self.known[at] == shingles, self.idf[at], self.rare)
-
     def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (window, item) within the radius."""
         found = []
@@ -113,32 +129,32 @@ class Index:
         return pair // len(self.ids), pair % len(self.ids)
 
 
-def _similarity(index: Index, window: np.ndarray, item: int) -> float:
+def _similarity(index: Index, every: Shingles, window: np.ndarray, item: int) -> float:
     """Exact weighted Jaccard of the bags of a window and an item."""
     a, na = np.unique(window, return_counts=True)
     b, nb = np.unique(index.bag[index.begin[item]:index.begin[item + 1]], return_counts=True)
     both, ia, ib = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    low = float((np.minimum(na[ia], nb[ib]) * index.weight(both)).sum())
-    high = float((na * index.weight(a)).sum() + (nb * index.weight(b)).sum()) - low
+    low = float((np.minimum(na[ia], nb[ib]) * every.weight(both)).sum())
+    high = float((na * every.weight(a)).sum() + (nb * every.weight(b)).sum()) - low
     return low / high if high else 0.0
 
 
-def matches_in(index: Index, data, offsets, similarity: float) -> list[tuple]:
+def matches_in(index: Index, every: Shingles, data, offsets, similarity: float) -> list[tuple]:
     """(text, item, similarity, first word, words, Hamming distance) of the best window of each pair in a batch."""
     words = X.split_words(data, offsets, X.NOT_ALNUM)
     hashes, ok = _shingles(data, words, index.shingle)
-    at = np.flatnonzero(ok & index.gate[(hashes >> X.U(44)).astype(np.int64)])
-    k = np.minimum(np.searchsorted(index.known, hashes[at]), len(index.known) - 1)
-    real = index.known[k] == hashes[at]
+    at = np.flatnonzero(ok & every.gate[(hashes >> X.U(44)).astype(np.int64)])
+    k = np.minimum(np.searchsorted(every.known, hashes[at]), len(every.known) - 1)
+    real = every.known[k] == hashes[at]
     at, k = at[real], k[real]
     if not len(at):
         return []
-    # every (shared shingle, item that has it) lays one window of the item's size where the item would start
-    count = index.first[k + 1] - index.first[k]
-    where = np.repeat(index.first[k], count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-    item, text = index.item[where], words.text[np.repeat(at, count)]
-    size = np.minimum(index.length[item], (words.first[1:] - words.first[:-1])[text])
-    start = np.repeat(at, count) - index.at[where]
+    # every place of a shared shingle, in whatever block its item is, lays one window of the item's size where the item would start
+    count = every.first[k + 1] - every.first[k]
+    where = np.repeat(every.first[k], count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    text = words.text[np.repeat(at, count)]
+    size = np.minimum(every.length[where], (words.first[1:] - words.first[:-1])[text])
+    start = np.repeat(at, count) - every.at[where]
     start = np.clip(start, words.first[text], words.first[text + 1] - size)
     spans = np.unique(np.stack([start, size]), axis=1)
     start, size = spans[0], spans[1]
@@ -146,27 +162,42 @@ def matches_in(index: Index, data, offsets, similarity: float) -> list[tuple]:
     begin = np.cumsum(n_sh) - n_sh
     inside = np.repeat(start, n_sh) + np.arange(int(n_sh.sum())) - np.repeat(begin, n_sh)
     shingles = hashes[inside]
-    prints = fingerprints(shingles, index.weight(shingles), begin)
+    prints = fingerprints(shingles, every.weight(shingles), begin)
     window, item = index.candidates(prints)
     best: dict[tuple, tuple] = {}
     for w, i in zip(window, item):
-        s = _similarity(index, shingles[begin[w]:begin[w] + n_sh[w]], i)
+        s = _similarity(index, every, shingles[begin[w]:begin[w] + n_sh[w]], i)
         t = int(words.text[start[w]])
         if s >= similarity and s > best.get((t, i), (0,))[0]:
             best[t, i] = (s, int(start[w] - words.first[t]), int(size[w]), int(np.bitwise_count(prints[w] ^ index.print[i])))
     return [(t, i, *v) for (t, i), v in best.items()]
 
 
+def _every_shingle(rows: DataFrame, shingle: int) -> Shingles:
+    """Places of the shingles of all items, counted in Spark; equal ones are one row."""
+
+    def run(batches):
+        for b in X.slices(batches, "text"):
+            data, offsets = X.bytes_of(b.column("text"))
+            words = X.split_words(data, offsets, X.NOT_ALNUM)
+            h, at, length, new = _places(*_shingles(data, words, shingle), words)
+            yield pa.record_batch({"hash": pa.array(h.view(np.int64)), "at": pa.array(at), "length": pa.array(length.astype(np.int64)), "new": pa.array(new)})
+
+    told = rows.select("text").mapInArrow(run, "hash long, at long, length long, new long").groupBy("hash", "at", "length").agg(F.sum("new").alias("new")).toArrow()
+    return Shingles(told["hash"].to_numpy().view(X.U), *(told[c].to_numpy() for c in ("at", "length", "new")))
+
+
 def _indexes(items: DataFrame, item_id_col: str, item_text_col: str, shingle: int, radius: int):
-    """Broadcast indexes over blocks of at most about BLOCK_ITEMS items."""
+    """Broadcast indexes over blocks of at most about BLOCK_ITEMS items, each with the broadcast shingles of all items."""
     spark = items.sparkSession
     rows = items.select(col(item_id_col).cast("long").alias("item"), col(item_text_col).alias("text")).filter("text is not null")
     blocks = max(1, -(-rows.count() // BLOCK_ITEMS))
+    every = spark.sparkContext.broadcast(_every_shingle(rows, shingle))
     for k in range(blocks):
         part = rows.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).toArrow()
-        index = Index(part["item"].to_pylist(), part["text"].to_pylist(), shingle, PARTS, radius)
+        index = Index(part["item"].to_pylist(), part["text"].to_pylist(), shingle, PARTS, radius, every.value)
         if index.ids:
-            yield spark.sparkContext.broadcast(index)
+            yield spark.sparkContext.broadcast(index), every
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -174,12 +205,12 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     named = docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text"))
     schema = "id long, item long, similarity double, start_word long, n_words long, distance int"
     out = docs.sparkSession.createDataFrame([], schema)
-    for shared in _indexes(items, item_id_col, item_text_col, shingle, radius):
+    for shared, every in _indexes(items, item_id_col, item_text_col, shingle, radius):
 
-        def run(batches, shared=shared):
+        def run(batches, shared=shared, every=every):
             index = shared.value
             for b in X.slices(batches, "text"):
-                found = matches_in(index, *X.bytes_of(b.column("text")), similarity)
+                found = matches_in(index, every.value, *X.bytes_of(b.column("text")), similarity)
                 ids = b.column("id")
                 yield pa.record_batch({"id": ids.take(pa.array([f[0] for f in found], pa.int64())), "item": pa.array([index.ids[f[1]] for f in found], pa.int64()), "similarity": pa.array([f[2] for f in found], pa.float64()), "start_word": pa.array([f[3] for f in found], pa.int64()), "n_words": pa.array([f[4] for f in found], pa.int64()), "distance": pa.array([f[5] for f in found], pa.int32())})
 
@@ -190,12 +221,12 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` whose text holds no benchmark item, with all their columns: one map, no join back."""
     out = docs
-    for shared in _indexes(items, item_id_col, item_text_col, shingle, radius):
+    for shared, every in _indexes(items, item_id_col, item_text_col, shingle, radius):
 
-        def run(batches, shared=shared):
+        def run(batches, shared=shared, every=every):
             for b in X.slices(batches, text_col):
                 hit = np.zeros(b.num_rows, bool)
-                hit[[f[0] for f in matches_in(shared.value, *X.bytes_of(b.column(text_col)), similarity)]] = True
+                hit[[f[0] for f in matches_in(shared.value, every.value, *X.bytes_of(b.column(text_col)), similarity)]] = True
                 yield b.filter(pa.array(~hit))
 
         out = out.mapInArrow(run, out.schema)

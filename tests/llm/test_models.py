@@ -45,6 +45,27 @@ def test_decontamination(spark):
     assert decontam.find_contamination(df.limit(0), items).count() == decontam.find_contamination(df, items.limit(0)).count() == 0
 
 
+def test_decontamination_is_the_same_in_any_blocks(spark, monkeypatch):
+    """Items share phrases, so that weights and windows of one come from others; texts hold them changed, near the threshold."""
+    r = random.Random(11)
+    phrases = [" ".join(f"p{k}w{j}" for j in range(8)) for k in range(4)]
+    items = [(k, " ".join(f"i{k}w{j}" for j in range(r.randint(4, 14))) + " " + " ".join(r.sample(phrases, r.randint(1, 3)))) for k in range(24)]
+    items += [(3, items[3][1]), (50, items[5][1] + " and more words")]
+    docs = []
+    for i in range(300):
+        w = r.choice(items)[1].split()
+        for _ in range(r.randint(0, 3)):
+            w[r.choice([0, 1, len(w) - 1, r.randrange(len(w))])] = f"x{i}"
+        docs.append((i, " ".join(["start"] * r.randint(0, 9) + w + r.choice(phrases).split()[:r.randint(0, 8)])))
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = lambda: sorted((x.doc_id, x.item_id, round(x.similarity, 9), x.start_word, x.n_words, x.distance) for x in decontam.find_contamination(df, bench).collect())
+    left = lambda: sorted(x.doc_id for x in decontam.drop_contaminated(df, bench).collect())
+    one, kept = found(), left()
+    assert 0 < len({x[0] for x in one}) < 300 and len(kept) == 300 - len({x[0] for x in one})
+    monkeypatch.setattr(decontam, "BLOCK_ITEMS", 3)
+    assert found() == one and left() == kept
+
+
 def test_multi_index_finds_all_within_the_radius():
     r = np.random.default_rng(3)
     words = lambda: " ".join(f"w{x}" for x in r.integers(0, 10**6, 20))
