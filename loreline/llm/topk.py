@@ -3,18 +3,18 @@
 The score of a vector is the sum of its scores on ``LISTS`` slices of the components, one local list each. Local scores are lifted
 by a bound per query and slice (Cauchy-Schwarz) so that none is negative.
 
-1. Gather: every task keeps, for each query and list, its k best local scores; merged, they give a lower bound t1 of the k-th total.
+1. Gather: every task keeps, for each query and list, its k best local scores of different ids; merged, they give a lower bound t1 of the k-th total.
 2. Cutoff: a vector with every local score below t1 / LISTS cannot reach t1. The cutoffs are broadcast (one number a query); tasks
-   send the vectors with a local score at the cutoff or above: their partial sums and which lists they cover. The k-th partial sum is a
-   better bound t2; vectors that cannot reach it, their missing lists taken at the cutoff, go.
+   send the vectors with a local score at the cutoff or above: their partial sums and which lists they cover. The k-th partial sum
+   of different ids is a better bound t2; vectors that cannot reach it, their missing lists taken at the cutoff, go.
 3. Resolve: the totals of what is left are worked out from the whole vectors, and the k highest are the answer.
 
 Queries are handled in blocks of at most ``QUERY_BLOCK``, so what is broadcast is bounded; candidates are all rows, never sampled.
 Matrix products run in double precision, exact while sums stay below 2 ** 53, and in int64 beyond that.
 
 Defined cases: vectors that are null, empty, hold null or non-finite components or have another length than the most common one take no
-part; null ids take no part; rows with the query's own id are no candidates of it; repeated ids are candidates each (their best counts
-once); ties go to the smaller id; fewer candidates than k give all; other columns are ignored; an empty table gives an empty result.
+part; null ids take no part; rows with the query's own id are no candidates of it; rows of a repeated id are candidates each, and the
+id counts once, with its best (bounds count ids once too); a repeated query id asks with each of its vectors; ties go to the smaller id; fewer candidates than k give all; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -42,10 +42,10 @@ def _slices(dims: int) -> list[slice]:
 
 
 class _Queries:
-    """A block of queries as matrices; ``lift`` makes local scores non-negative."""
+    """A block of queries as matrices, with the key of each (its row) and its id; ``lift`` makes local scores non-negative."""
 
-    def __init__(self, ids: np.ndarray, q: np.ndarray, reach: list[float], top: int):
-        self.ids, self.q = ids, q
+    def __init__(self, keys: np.ndarray, ids: np.ndarray, q: np.ndarray, reach: list[float], top: int):
+        self.keys, self.ids, self.q = keys, ids, q
         self.cut = _slices(q.shape[1])
         self.exact = float(top) ** 2 * q.shape[1] < 2.0**52
         self.lift = np.stack([np.ceil(np.sqrt((q[:, c].astype(float) ** 2).sum(axis=1)) * r) + 1 for c, r in zip(self.cut, reach)]).astype(np.int64)
@@ -60,24 +60,52 @@ def _pieces(batches):
     for b in batches:
         for at in range(0, b.num_rows, ROWS):
             piece = b.slice(at, ROWS)
-            yield piece.column("vec").to_numpy(), _matrix(piece.column("x"))
+            yield piece.column("row").to_numpy(), piece.column("vec").to_numpy(), _matrix(piece.column("x"))
+
+
+def _best(score: np.ndarray, ids: np.ndarray, k: int, *more: np.ndarray) -> list[np.ndarray]:
+    """The k best scores of different ids along the last axis, best first, with their ids and ``more``; where fewer, scores of -1."""
+    keep = np.argsort(-score, axis=-1, kind="stable")
+    score, ids, *more = (np.take_along_axis(x, keep, -1) for x in (score, ids, *more))
+    for j in range(1, score.shape[-1]):
+        again = ((ids[..., :j] == ids[..., j:j + 1]) & (score[..., :j] >= 0)).any(axis=-1)
+        score[..., j][again] = -1
+    keep = np.argsort(-score, axis=-1, kind="stable")[..., :k]
+    return [np.take_along_axis(x, keep, -1) for x in (score, ids, *more)]
+
+
+def _heads(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k best scores along the last axis (a column of ``ids`` each), one an id at most; k columns or all."""
+    order = np.argsort(ids, kind="stable")
+    begin = np.flatnonzero(np.concatenate([[True], np.diff(ids[order]) != 0]))
+    if len(begin) == len(ids):  # no id twice
+        order = np.arange(len(ids))
+        top, column = score, np.broadcast_to(order, score.shape)
+    else:
+        top = np.maximum.reduceat(score[..., order], begin, axis=-1)
+        group = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(ids))))
+        column = np.full(top.shape, -1)
+        for at in range(len(ids) - 1, -1, -1):  # the first row of an id that has its best
+            g = group[at]
+            column[..., g] = np.where(score[..., order[at]] == top[..., g], order[at], column[..., g])
+    if top.shape[-1] <= k:
+        return column
+    return np.take_along_axis(column, np.argpartition(-top, k - 1, axis=-1)[..., :k], -1)
 
 
 def _gather(shared, k: int):
     def run(batches):
         block = shared.value
-        n, m = len(block.ids), len(block.cut)
+        n, m = len(block.keys), len(block.cut)
         best = np.full((m, n, k), -1, np.int64)
-        who = np.zeros((m, n, k), np.int64)
-        for ids, x in _pieces(batches):
+        who, row = np.zeros((m, n, k), np.int64), np.zeros((m, n, k), np.int64)
+        for rows, ids, x in _pieces(batches):
             u = block.local(x)
             u[:, block.ids[:, None] == ids[None, :]] = -1
-            score = np.concatenate([best, u], axis=2)
-            name = np.concatenate([who, np.broadcast_to(ids, u.shape)], axis=2)
-            keep = np.argpartition(-score, k - 1, axis=2)[:, :, :k]
-            best, who = np.take_along_axis(score, keep, 2), np.take_along_axis(name, keep, 2)
+            at = _heads(u, ids, k)
+            best, who, row = _best(np.concatenate([best, np.take_along_axis(u, at, -1)], axis=2), np.concatenate([who, ids[at]], axis=2), k, np.concatenate([row, rows[at]], axis=2))
         j, q, r = np.nonzero(best >= 0)
-        yield pa.record_batch({"query": pa.array(block.ids[q]), "list": pa.array(j.astype(np.int32)), "vec": pa.array(who[j, q, r]), "u": pa.array(best[j, q, r])})
+        yield pa.record_batch({"query": pa.array(block.keys[q]), "list": pa.array(j.astype(np.int32)), "row": pa.array(row[j, q, r]), "vec": pa.array(who[j, q, r]), "u": pa.array(best[j, q, r])})
 
     return run
 
@@ -85,18 +113,20 @@ def _gather(shared, k: int):
 def _send(shared, cutoffs, k: int):
     def run(batches):
         block, cut = shared.value, cutoffs.value
-        floor = np.zeros((len(block.ids), k), np.int64)  # the k best partial sums so far: a lower bound that only grows
-        for ids, x in _pieces(batches):
+        floor = np.full((len(block.keys), k), -1, np.int64)  # the k best partial sums of different ids so far: a lower bound that only grows
+        who = np.zeros((len(block.keys), k), np.int64)
+        for _, ids, x in _pieces(batches):
             u = block.local(x)
             own = block.ids[:, None] == ids[None, :]
             over = (u >= cut[None, :, None]) & ~own[None]
             some = over.any(axis=0)
             part = np.where(over, u, 0).sum(axis=0)
-            seen = np.where(some, part, 0)
-            floor = -np.partition(-np.concatenate([floor, seen], axis=1), k - 1, axis=1)[:, :k]
+            seen = np.where(some, part, -1)
+            at = _heads(seen, ids, k)
+            floor, who = _best(np.concatenate([floor, np.take_along_axis(seen, at, -1)], axis=1), np.concatenate([who, ids[at]], axis=1), k)
             most = part + (~over).sum(axis=0) * np.maximum(cut[:, None] - 1, 0)
             q, r = np.nonzero(some & (most >= floor.min(axis=1)[:, None]))
-            yield pa.record_batch({"query": pa.array(block.ids[q]), "vec": pa.array(ids[r]), "part": pa.array(part[q, r]), "most": pa.array(most[q, r])})
+            yield pa.record_batch({"query": pa.array(block.keys[q]), "vec": pa.array(ids[r]), "part": pa.array(part[q, r]), "most": pa.array(most[q, r])})
 
     return run
 
@@ -115,40 +145,43 @@ def top_k(vectors: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vecto
     if common is None:
         return spark.createDataFrame([], schema)
     dims = int(common["d"])
-    rows = checkpoint(rows.filter(F.size("x") == dims))
+    rows = checkpoint(rows.filter(F.size("x") == dims).withColumn("row", F.monotonically_increasing_id()))
+    asking = rows.filter("is_query").groupBy("vec", "x").agg(F.min("row").alias("query"))
     cut = _slices(dims)
     norm = lambda c: F.max(F.sqrt(F.aggregate(F.slice("x", c.start + 1, c.stop - c.start), F.lit(0.0), lambda a, y: a + y.cast("double") * y.cast("double"))))
     facts = rows.agg(F.count_if("is_query"), F.max(F.array_max(F.transform("x", lambda y: F.abs(y)))), *[norm(c) for c in cut]).first()
     blocks = max(1, -(-int(facts[0]) // QUERY_BLOCK))
     out = spark.createDataFrame([], schema)
     for b in range(blocks):
-        mine = rows.filter("is_query").filter(F.pmod(F.xxhash64("vec"), F.lit(blocks)) == b).dropDuplicates(["vec"]).select("vec", "x").toArrow()
+        mine = asking.filter(F.pmod(F.xxhash64("vec"), F.lit(blocks)) == b).toArrow()
         if not mine.num_rows:
             continue
-        order = np.argsort(mine["vec"].to_numpy())
-        ids = mine["vec"].to_numpy()[order]
-        block = _Queries(ids, _matrix(mine["x"])[order], [float(r) for r in facts[2:]], int(facts[1]))
+        order = np.argsort(mine["query"].to_numpy())
+        keys = mine["query"].to_numpy()[order]
+        block = _Queries(keys, mine["vec"].to_numpy()[order], _matrix(mine["x"])[order], [float(r) for r in facts[2:]], int(facts[1]))
         shared = spark.sparkContext.broadcast(block)
         # 1: k best local scores a query and list; the k-th of their partial sums. Each task sent k of each, so groups stay small.
-        local = rows.select("vec", "x").mapInArrow(_gather(shared, k), "query long, list int, vec long, u long")
-        tops = local.withColumn("r", F.row_number().over(Window.partitionBy("query", "list").orderBy(F.desc("u"), "vec"))).filter(F.col("r") <= k)
-        sums = tops.groupBy("query", "vec").agg(F.sum("u").alias("part"))
+        local = rows.select("row", "vec", "x").mapInArrow(_gather(shared, k), "query long, list int, row long, vec long, u long")
+        # one row an id and list, then sums by row: what an id is said to reach is reached by one of its rows
+        heads = local.groupBy("query", "list", "vec").agg(F.max(F.struct("u", "row")).alias("h")).select("query", "list", "vec", "h.u", "h.row")
+        tops = heads.withColumn("r", F.row_number().over(Window.partitionBy("query", "list").orderBy(F.desc("u"), "vec"))).filter(F.col("r") <= k)
+        sums = tops.groupBy("query", "vec", "row").agg(F.sum("u").alias("part")).groupBy("query", "vec").agg(F.max("part").alias("part"))
         kth = sums.groupBy("query").agg(F.sort_array(F.collect_list("part"), False).alias("parts")).select("query", F.try_element_at("parts", F.lit(k)).alias("t1")).toArrow()
-        t1 = np.zeros(len(ids), np.int64)
+        t1 = np.zeros(len(keys), np.int64)
         found = kth.drop_null() if kth.num_rows else kth
-        t1[np.searchsorted(ids, found["query"].to_numpy())] = found["t1"].to_numpy()
+        t1[np.searchsorted(keys, found["query"].to_numpy())] = found["t1"].to_numpy()
         m = len(cut)
         cutoffs = spark.sparkContext.broadcast(-(-t1 // m))
         # 2: what may reach the k-th total
-        sent = checkpoint(rows.select("vec", "x").mapInArrow(_send(shared, cutoffs, k), "query long, vec long, part long, most long"))
+        sent = checkpoint(rows.select("row", "vec", "x").mapInArrow(_send(shared, cutoffs, k), "query long, vec long, part long, most long"))
         # the k-th partial sum of different vectors
         t2 = sent.groupBy("query", "vec").agg(F.max("part").alias("part")).withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("part")))).filter(F.col("r") == k).select("query", F.col("part").alias("t2"))
         left = sent.join(t2, "query", "left").filter(F.col("most") >= F.coalesce("t2", F.lit(0))).select("query", "vec").distinct()
         # 3: whole scores of what is left
-        asked = rows.filter("is_query").select(F.col("vec").alias("query"), F.col("x").alias("q")).dropDuplicates(["query"])
+        asked = asking.select("query", F.col("vec").alias("query_id"), F.col("x").alias("q"))
         whole = left.join(rows.select("vec", "x"), "vec").join(asked, "query")
         score = F.aggregate(F.zip_with("x", "q", lambda a, c: a * c), F.lit(0).cast("long"), lambda a, y: a + y)
-        scored = whole.groupBy("query", "vec").agg(F.max(score).alias("score"))
-        ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec"))).filter(F.col("rank") <= k)
-        out = out.unionByName(ranked.select(F.col("query").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("vec").alias("vec_id"), "score"))
+        scored = whole.groupBy("query_id", "vec").agg(F.max(score).alias("score"))
+        ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec"))).filter(F.col("rank") <= k)
+        out = out.unionByName(ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("vec").alias("vec_id"), "score"))
     return out
