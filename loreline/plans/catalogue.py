@@ -311,14 +311,14 @@ def pagerank_fixed(spark, d):
 
 @query()
 def pagerank_top(spark, d):
-    edges = _edges(spark, d).filter("phase in (0, 2)")
+    edges = _edges(spark, d)
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    return graph.top_ranked(nodes, edges, 20, iterations=15).select("node", F.round("rank", 6).alias("rank"))
+    return graph.top_ranked(nodes, edges, 20).select("node", F.round("rank", 6).alias("rank"))
 
 
 @query()
 def communities(spark, d):
-    return graph.communities(_edges(spark, d).filter("phase in (0, 2)"), 4)
+    return graph.communities(_edges(spark, d))
 
 
 @query(f"WITH {_EDGES_SQL}, n AS (SELECT src AS q FROM edges UNION SELECT dst FROM edges) SELECT (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM edges) AS edges")

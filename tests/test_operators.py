@@ -149,3 +149,34 @@ def test_evaluation(spark):
     m = evaluate.metrics(evaluate.evaluate(cases, res, syms)).first()
     assert (m.top1_rate, m.top3_rate, m.function_rate) == (0.5, 1.0, 0.5)
     assert evaluate.metrics(evaluate.evaluate(cases.limit(0), res, syms)).first().top1_rate is None
+
+
+@pytest.fixture(scope="module")
+def small_graph(spark, tmp_path_factory):
+    """Tables of the catalogue's graph: 2 regions, 3 nations, 4 customers, 3 suppliers, 5 parts."""
+    d = str(tmp_path_factory.mktemp("graph"))
+    tables = {"region": ("r_regionkey", [(0,), (1,)]), "nation": ("n_nationkey,n_regionkey", [(0, 0), (1, 0), (2, 1)]), "customer": ("c_custkey,c_nationkey", [(1, 0), (2, 0), (3, 1), (4, 2)]),
+              "supplier": ("s_suppkey,s_nationkey", [(1, 0), (2, 1), (3, 2)]), "lineitem": ("l_suppkey,l_partkey", [(1, 1), (1, 2), (2, 2), (2, 3), (3, 4), (3, 5), (3, 5)])}
+    for name, (columns, rows) in tables.items():
+        spark.createDataFrame(rows, [c for c in columns.split(",")]).write.parquet(f"{d}/{name}.parquet")
+    pairs = {(f"R{b}", f"N{a}") for a, b in tables["nation"][1]} | {(f"N{b}", f"C{a}") for a, b in tables["customer"][1]} | {(f"N{b}", f"S{a}") for a, b in tables["supplier"][1]} | {(f"S{a}", f"P{b}") for a, b in tables["lineitem"][1]}
+    return d, pairs
+
+
+def test_graph_queries_run_on_the_whole_graph(spark, small_graph):
+    from loreline.plans import catalogue
+
+    d, pairs = small_graph
+    nodes = sorted({x for p in pairs for x in p})
+    rank = {x: 1 / len(nodes) for x in nodes}
+    out = {x: [b for a, b in pairs if a == x] for x in nodes}
+    for _ in range(100):
+        lost = sum(rank[x] for x in nodes if not out[x])
+        rank = {x: 0.15 / len(nodes) + 0.85 * (sum(rank[a] / len(out[a]) for a, b in pairs if b == x) + lost / len(nodes)) for x in nodes}
+    got = {r.node: r["rank"] for r in catalogue.queries()["pagerank_top"](spark, d).collect()}
+    assert got.keys() == set(nodes) and all(abs(got[x] - rank[x]) < 1e-4 for x in nodes)
+    label = {x: x for x in nodes}
+    for _ in range(10):
+        votes = {x: [label[b if a == x else a] for a, b in pairs if x in (a, b)] + [label[x]] for x in nodes}
+        label = {x: min(v, key=lambda c, v=v: (-v.count(c), c)) for x, v in votes.items()}
+    assert {r.node: r.community for r in catalogue.queries()["communities"](spark, d).collect()} == label
