@@ -6,6 +6,8 @@ convergence figures comes back to the driver.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,8 +92,8 @@ def top_ranked(nodes: DataFrame, edges: DataFrame, top_n: int = 20, **options) -
     return pagerank(nodes, edges, **options).orderBy(F.desc(F.round("rank", 12)), "node").limit(top_n)
 
 
-def shortest_path(edges: DataFrame, source: str, target: str, most: int = 50) -> list[str] | None:
-    """Directed, unweighted; among shortest paths the lexicographically first. None if there is none.
+def shortest_path(edges: DataFrame, source: str, target: str, most: int | None = None) -> list[str] | None:
+    """Directed, unweighted; among shortest paths the lexicographically first. None if there is none (of ``most`` hops, if given).
 
     A breadth-first front keeps one parent a node (the one with the smallest path), so a level holds each node once.
     """
@@ -101,7 +103,7 @@ def shortest_path(edges: DataFrame, source: str, target: str, most: int = 50) ->
         return [source] if not pairs.filter((F.col("src") == source) | (F.col("dst") == source)).isEmpty() else None
     front = spark.createDataFrame([(source, [source])], "node string, path array<string>")
     seen = front.select("node")
-    for _ in range(most):
+    for _ in itertools.count() if most is None else range(most):
         step = front.join(pairs, front["node"] == pairs["src"]).groupBy(F.col("dst").alias("node")).agg(F.min("path").alias("p")).join(seen, "node", "left_anti")
         front = checkpoint(step.select("node", F.concat("p", F.array("node")).alias("path")))
         found = front.filter(F.col("node") == target).first()
@@ -113,12 +115,12 @@ def shortest_path(edges: DataFrame, source: str, target: str, most: int = 50) ->
     return None
 
 
-def path_lengths(edges: DataFrame, source: str, most: int = 20) -> DataFrame:
-    """node, length of the shortest directed path from the source."""
+def path_lengths(edges: DataFrame, source: str, most: int | None = None) -> DataFrame:
+    """node, length of the shortest directed path from the source (of ``most`` hops, if given)."""
     spark = edges.sparkSession
     pairs = edges.select("src", "dst").distinct()
     seen = front = spark.createDataFrame([(source, 0)], "node string, length int")
-    for d in range(1, most + 1):
+    for d in itertools.count(1) if most is None else range(1, most + 1):
         front = checkpoint(front.join(pairs, front["node"] == pairs["src"]).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("length", F.lit(d)))
         if front.isEmpty():
             break

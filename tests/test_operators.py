@@ -180,3 +180,10 @@ def test_graph_queries_run_on_the_whole_graph(spark, small_graph):
         votes = {x: [label[b if a == x else a] for a, b in pairs if x in (a, b)] + [label[x]] for x in nodes}
         label = {x: min(v, key=lambda c, v=v: (-v.count(c), c)) for x, v in votes.items()}
     assert {r.node: r.community for r in catalogue.queries()["communities"](spark, d).collect()} == label
+
+
+def test_long_chains_have_paths(spark):
+    e = edges(spark, *[(f"n{i:02}", f"n{i + 1:02}") for i in range(52)])
+    assert graph.shortest_path(e, "n00", "n52") == [f"n{i:02}" for i in range(53)]
+    tail = e.filter("src >= 'n30'")
+    assert {r.node: r.length for r in graph.path_lengths(tail, "n30").collect()} == {f"n{i}": i - 30 for i in range(30, 53)}
