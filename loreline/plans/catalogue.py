@@ -91,6 +91,12 @@ def bm25_postings(spark, d):
     return bm25.build_index(_t(spark, d, "documents")).postings.filter("tf >= 20").select("doc_id", "token", F.col("tf").cast("long").alias("tf"))
 
 
+@query(f"SELECT doc_id, tk AS token, count(*) AS tf FROM (SELECT doc_id, unnest({_TOKENS.format('text')}) AS tk FROM documents) GROUP BY doc_id, tk")
+def bm25_index(spark, d):
+    """All postings; ``bm25_postings`` shows the frequent ones."""
+    return bm25.build_index(_t(spark, d, "documents")).postings.select("doc_id", "token", F.col("tf").cast("long").alias("tf"))
+
+
 @query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'red') OR contains(lower(p_type), 'red') ORDER BY p_partkey LIMIT 20")
 def like_search(spark, d):
     return retrieval.like_search(_t(spark, d, "part"), "RED", 20, ("p_name", "p_type"), "p_partkey").select("p_partkey", "p_name")

@@ -187,3 +187,15 @@ def test_long_chains_have_paths(spark):
     assert graph.shortest_path(e, "n00", "n52") == [f"n{i:02}" for i in range(53)]
     tail = e.filter("src >= 'n30'")
     assert {r.node: r.length for r in graph.path_lengths(tail, "n30").collect()} == {f"n{i}": i - 30 for i in range(30, 53)}
+
+
+def test_bm25_index_holds_every_posting(spark, tmp_path):
+    from collections import Counter
+
+    from loreline.plans import catalogue
+
+    docs = [(1, "a b a"), (2, "Load the user"), (3, ""), (4, None), (5, "word " * 25 + "rare")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {(i, w, n) for i, t in docs for w, n in Counter((t or "").lower().split()).items()}
+    got = catalogue.queries()["bm25_index"](spark, str(tmp_path)).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
