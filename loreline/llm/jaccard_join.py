@@ -16,7 +16,7 @@ more nearly empty parts than that sends those signatures too, so no linked pair
 
 Verification of leaders sends each set to its leader's key (a hot leader is salted and its set repeated for each salt); that of step 4
 deals a component's sets to tiles of bounded size. Sets are made only for candidates, told by a Bloom filter of fixed size, which
-affects cost alone.
+affects cost alone. A set goes by the hash of its id and text, never by its id, so an id's several texts are several sets.
 
 Defined cases: ASCII case folded; fewer words than ``width`` make one shingle of all words; no words or null text: an empty set, linked with
 nothing; null ids: linked with nothing, component null; repeated ids are one node with several sets; other columns are ignored; an
@@ -126,7 +126,7 @@ def _describe(width: int):
         for b in X.slices(batches, "text"):
             sets = shingle_sets(*X.bytes_of(b.column("text")), width)
             keys = [_set_key(s) for s in sets]
-            yield pa.record_batch({"id": b.column("id"), "n": pa.array([len(s) for s in sets], pa.int64()), "h1": pa.array([k[0] for k in keys], pa.int64()), "h2": pa.array([k[1] for k in keys], pa.int64()), "sketch": pa.array([sketch(s) if len(s) else None for s in sets], pa.binary())})
+            yield pa.record_batch({"doc": b.column("doc"), "id": b.column("id"), "n": pa.array([len(s) for s in sets], pa.int64()), "h1": pa.array([k[0] for k in keys], pa.int64()), "h2": pa.array([k[1] for k in keys], pa.int64()), "sketch": pa.array([sketch(s) if len(s) else None for s in sets], pa.binary())})
 
     return run
 
@@ -225,7 +225,7 @@ def _verify_group(percent: int):
 
 
 def _verify(texts: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of ids whose sets link. ``texts`` has one row for each id that stands in pairs."""
+    """The pairs (a, b) of ids whose sets link. ``texts`` has a row for each id that stands in pairs; rows of one id are equal."""
     count = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(SALT_AT)).cast("int").alias("salts"))
     asked = pairs.join(count, "a").select(F.col("b").alias("id"), F.col("a").alias("key"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"))
     heads = count.select(F.col("a").alias("id"), F.col("a").alias("key"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"))
@@ -356,13 +356,14 @@ def _verify_many(texts: DataFrame, pairs: DataFrame, width: int, percent: int) -
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Per text: id, n_shingles (size of its set), component_id (smallest id reachable by links, itself included)."""
-    rows = docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text"))
+    doc = col(id_col).cast("long")
+    rows = docs.select(doc.alias("doc"), F.when(doc.isNotNull(), F.xxhash64(doc, col(text_col))).alias("id"), col(text_col).alias("text"))
     _, size = text_bytes(docs, "`" + text_col + "`")
     buckets = max(1, -(-size // BUCKET_BYTES))
-    told = checkpoint(rows.mapInArrow(_describe(width), "id long, n long, h1 long, h2 long, sketch binary"))
+    told = checkpoint(rows.mapInArrow(_describe(width), "doc long, id long, n long, h1 long, h2 long, sketch binary"))
     full = told.filter("n > 0 and id is not null")
-    sets = checkpoint(full.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-    equal = full.join(sets.select("h1", "h2", "rep"), ["h1", "h2"]).filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    sets = checkpoint(full.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    equal = full.join(sets.select("h1", "h2", F.col("doc").alias("least")), ["h1", "h2"]).filter("doc <> least").select(F.col("least").alias("a"), F.col("doc").alias("b"))
     met = rows.mapInArrow(_send(width, percent, buckets), "bucket int, sets binary, times binary, values binary").groupBy("bucket").applyInArrow(_meet, "members array<long>")
     groups = checkpoint(met.groupBy(F.xxhash64("members").alias("grp"), F.size("members").alias("m")).agg(F.first("members").alias("members")).select("grp", "members"))
     # each set against the first one of its groups that it may link with
@@ -389,9 +390,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     second = checkpoint(second.union(rest).distinct().join(first, ["a", "b"], "left_anti"))
     if not second.isEmpty():
         linked = linked.unionByName(checkpoint(_verify_many(one, second, width, percent).distinct()))
-    every = components(linked.unionByName(equal))
-    out = told.join(every, "id", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    # from sets to the ids that hold them: here an id's sets become one node
+    ids = lambda c: sets.select(F.col("rep").alias(c), F.col("doc").alias(f"d{c}"))
+    named_links = linked.join(ids("a"), "a").join(ids("b"), "b").select(F.col("da").alias("a"), F.col("db").alias("b"))
+    every = components(named_links.unionByName(equal))
+    out = told.join(every.withColumnRenamed("id", "doc"), "doc", "left")
+    return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

@@ -93,6 +93,30 @@ def test_odd_tables(spark):
     assert kept.columns == df.columns and sorted(r.doc_id or 99 for r in kept.collect()) == [1, 1, 99]
 
 
+def test_repeated_ids_are_one_node_with_several_sets(spark):
+    """Every id has two texts (or none), near copies of texts of other ids; links through either count."""
+    r = random.Random(13)
+    bases = [[f"b{k}w{j}" for j in range(60)] for k in range(14)]
+    rows = []
+    for i in range(40):
+        for k in {r.randrange(14), r.randrange(14)} if i % 10 == 0 else {r.randrange(14)}:
+            w = list(bases[k])
+            w[r.randrange(60)] = f"x{i}"
+            rows.append((i, " ".join(w)))
+        rows.append((i, f"own text of {i} " * 3))
+        rows.append((i, None))
+    pairs = [(x, brute.shingles(t)) for x, t in rows]
+    root = {i: i for i in range(40)}
+    for _ in range(40):
+        for i, x in pairs:
+            for j, y in pairs:
+                if x and y and 100 * len(x & y) >= 80 * len(x | y):
+                    root[i] = root[j] = min(root[i], root[j])
+    got = near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    assert sorted(tuple(x) for x in got) == sorted((i, len(s), root[i]) for i, s in pairs)
+    assert 1 < len(set(root.values())) < 40
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 400), st.integers(0, 120), st.integers(0, 10**6))
 def test_partenum_loses_no_linked_pair(n, change, seed):
