@@ -10,24 +10,35 @@ from pyspark.sql import functions as F
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back: lineage ends there and lost executors cost nothing.
-
-    The folder is spark.checkpoint.dir; only where that is unset (a local test) a temporary folder is set.
-    """
+    """Write ``df`` to the shared checkpoint folder and read it back: lineage ends there and lost executors cost nothing."""
     spark = df.sparkSession
-    if not shared_dir(spark):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loreline-"))
-    path = f"{shared_dir(spark).rstrip('/')}/loreline-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/loreline-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``checkpoint`` wrote and that nothing reads any more."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Where it is unset, a temporary one, but on one machine only (a local test)."""
     own = spark.conf.get("spark.checkpoint.dir", None)
     if own:
-        return own
+        return own.rstrip("/")
     at = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return at.get() if at.isDefined() else ""
+    if not at.isDefined():
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loreline-"))
+        at = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return at.get().rstrip("/")
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -41,13 +41,10 @@ class Features:
 
 
 class Rows:
-    """A sample of feature rows in compressed form, with products in both directions."""
+    """A sample of ``n`` feature rows in compressed form (cell, value, row of each entry), with products in both directions."""
 
-    def __init__(self, cells: list[np.ndarray], values: list[np.ndarray], dims: int):
-        self.dims, self.n = dims, len(cells)
-        self.cell = np.concatenate(cells) if cells else np.zeros(0, np.int32)
-        self.value = np.concatenate(values) if values else np.zeros(0)
-        self.row = np.repeat(np.arange(self.n), [len(c) for c in cells])
+    def __init__(self, cell: np.ndarray, value: np.ndarray, row: np.ndarray, dims: int, n: int):
+        self.cell, self.value, self.row, self.dims, self.n = cell, value, row, dims, n
 
     def times(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, self.value * w[self.cell], self.n)

@@ -11,12 +11,16 @@
 Only rows of posteriors (no texts) are written to the checkpoint folder between steps.
 
 Defined cases: null or empty text has no tokens and gets the rate of the classifier's prior; null ids and repeated rows are fitted like others; rows
-without a label are not used in training; a domain in the targets that has no labelled text gets posterior 0 (its target cannot be met,
-which ``achieved`` shows); targets are normalised to sum 1; an empty table gives an empty result.
+without a label are not used in training; of conflicting labels of an id the largest counts; a domain in the targets that has no
+labelled text gets posterior 0 (its target cannot be met, which ``achieved`` shows and a warning says); columns of ``keep`` may be called
+like a result column's source (id, p, text), and other columns are ignored; targets are normalised to sum 1; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import warnings
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,23 +29,24 @@ from pyspark.sql import types as T
 
 from loreline.llm import _linear as L
 from loreline.llm import _text as X
-from loreline.llm._frames import checkpoint, col
-from loreline.llm.toxicity import sample_features
+from loreline.llm._frames import checkpoint, col, discard
+from loreline.llm._sample import take
 
 DIMS = 1 << 15
 SAMPLE = 8_000  # labelled texts the classifier is fitted on, at most
-STEPS = 12
+STEPS = 100  # at most; steps end when the targets are met, or when a step no longer brings them nearer
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, domains: list[str], sample: int = SAMPLE, dims: int = DIMS) -> np.ndarray:
     """Softmax weights (dims, domains); a domain without labelled texts gets the lowest score everywhere."""
-    got = [r for r in sample_features(docs, labels, id_col, text_col, [label_col], sample, dims, share=True) if r["y"][0] in domains and r["words"]]
+    got = take(docs, labels, id_col, text_col, label_col, sample, dims)
     w = np.zeros((dims + 1, len(domains)))
-    if not got:
+    use = np.isin(got.names, domains)[got.y] & (got.words > 0) if got.names else np.zeros(0, bool)
+    if not use.any():
         return w
-    y = np.array([domains.index(r["y"][0]) for r in got])
+    y = np.array([domains.index(k) if k in domains else -1 for k in got.names])[got.y[use]]
     seen = np.bincount(y, minlength=len(domains)) > 0
-    rows = L.Rows([r["cells"] for r in got], [r["times"] / (2.0 * r["words"]) for r in got], dims)
+    rows = got.rows(got.times / (2.0 * np.repeat(np.maximum(got.words, 1), np.diff(got.first))), use, dims)
     hot = np.zeros((len(y), len(domains)))
     hot[np.arange(len(y)), y] = 1
     balance = (1 / np.maximum(np.bincount(y, minlength=len(domains)), 1))[y]
@@ -84,7 +89,8 @@ def _parts(k: int) -> list:
 
 
 def fit_rates(rows: DataFrame, targets: list[float], steps: int = STEPS, tolerance: float = 1e-4) -> tuple[list[np.ndarray], np.ndarray]:
-    """Projected gradient over rows of (n_words, p). Returns the moves, which give any row's rate (``rate_of``), and the achieved shares.
+    """Projected gradient over rows of (n_words, p). Returns the moves, which give any row's rate (``rate_of``), and the achieved tokens of
+    each domain, as shares of the goal's total.
 
     The driver gets domains**2 numbers once and ``domains`` numbers a step.
     """
@@ -101,14 +107,16 @@ def fit_rates(rows: DataFrame, targets: list[float], steps: int = STEPS, toleran
     scale = max(np.trace(moment) / k, 1e-12)
     metric = np.linalg.pinv(moment + 1e-6 * scale * np.eye(k))  # in this metric a gradient step goes nearly all the way
     moves: list[np.ndarray] = []
+    gap = have - goal
     for _ in range(steps):
-        gap = have - goal
         if not total or np.abs(gap).max() <= tolerance * total:
             break
-        moves.append(metric @ gap)
-        rate = rate_of(moves, k)
-        have = np.array([float(x or 0) for x in rows.agg(*[F.sum(x * rate) for x in a]).first()])
-    return moves, have / max(have.sum(), 1e-12)
+        step = [*moves, metric @ gap]
+        now = np.array([float(x or 0) for x in rows.agg(*[F.sum(x * rate_of(step, k)) for x in a]).first()])
+        if np.abs(now - goal).max() > 0.99 * np.abs(gap).max():
+            break  # as near as rates of 0 and more can come
+        moves, have, gap = step, now, now - goal
+    return moves, have / max(total, 1e-12)
 
 
 def rate_of(moves: list[np.ndarray], k: int):
@@ -119,24 +127,49 @@ def rate_of(moves: list[np.ndarray], k: int):
     return rate
 
 
-def mix_sources(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample: int = SAMPLE, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per text: id, the columns of ``keep``, n_words, domain (likeliest), posterior (in the order of sorted target names), rate, copies.
+@dataclass
+class Mixture:
+    """Documents with their rates, and each domain's target and achieved share of the tokens; ``met``: all within ``TOLERANCE``."""
+
+    frame: DataFrame
+    domains: list[str]
+    target: list[float]
+    achieved: list[float]
+    met: bool
+
+
+TOLERANCE = 1e-3
+
 
-    ``labels`` holds (id, label_col). ``copies`` rounds the rate by a hash of the id, so that its mean is the rate. With ``keep`` the
+def mixture_of(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample: int = SAMPLE, keep: tuple[str, ...] = ()) -> Mixture:
+    """``labels`` holds (id, label_col). ``copies`` rounds the rate by a hash of the id, so that its mean is the rate. With ``keep`` the
     posteriors are worked out again for the result, so that no text is written to the checkpoint folder.
     """
     domains = sorted(targets)
     weights = train(docs, labels, id_col, text_col, label_col, domains, sample)
     rows = checkpoint(posteriors(docs, weights, id_col, text_col))
-    moves, _ = fit_rates(rows, [targets[d] for d in domains])
+    moves, achieved = fit_rates(rows, [targets[d] for d in domains])
     if keep:
+        discard(rows)
         rows = posteriors(docs, weights, id_col, text_col, keep)
     held = [F.col("text" if k == text_col else f"k{i}").alias(k) for i, k in enumerate(keep)]
     best = F.array_position("p", F.array_max("p")).cast("int")
     chance = F.pmod(F.xxhash64(F.col("id"), F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     out = rows.withColumn("rate", rate_of(moves, len(domains)))
     copies = (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long")).alias("copies")
-    return out.select(F.col("id").alias(id_col), *held, "n_words", F.element_at(F.array(*[F.lit(d) for d in domains]), best).alias("domain"), F.col("p").alias("posterior"), "rate", copies)
+    of = lambda values: F.element_at(F.array(*[F.lit(x) for x in values]), best)
+    frame = out.select(F.col("id").alias(id_col), *held, "n_words", of(domains).alias("domain"), F.col("p").alias("posterior"), "rate", copies, of([float(x) for x in achieved]).alias("achieved"))
+    target = [targets[d] / max(sum(targets.values()), 1e-12) for d in domains]
+    return Mixture(frame, domains, target, [float(x) for x in achieved], not achieved.any() or bool(np.abs(achieved - target).max() <= TOLERANCE))
+
+
+def mix_sources(docs: DataFrame, labels: DataFrame, targets: dict[str, float], **options) -> DataFrame:
+    """Per text: id, the columns of ``keep``, n_words, domain (likeliest), posterior (in the order of sorted target names), rate, copies,
+    achieved (share of the tokens that the domain gets). Warns if rates of 0 and more cannot meet the targets; see ``mixture_of``."""
+    mix = mixture_of(docs, labels, targets, **options)
+    if not mix.met:
+        warnings.warn(f"targets not met: wanted {dict(zip(mix.domains, mix.target))}, achieved {dict(zip(mix.domains, mix.achieved))}", stacklevel=2)
+    return mix.frame
 
 
 # The language mixture the mixing query and the pipeline aim at (shares of words).

@@ -6,7 +6,7 @@ threshold, children, value); scoring walks all texts of a batch down one tree at
 a shuffle.
 
 Defined cases: null and empty texts get the score of their (empty) statistics; null ids and repeated rows are scored like others;
-null labels are not used; with labels of one kind every score is the share of label 1 (0.5 without labels); other columns pass only if
+null labels are not used; of conflicting labels of an id the largest counts, of several texts of a labelled id one is fitted on; with labels of one kind every score is the share of label 1 (0.5 without labels); other columns pass only if
 named in ``keep``.
 """
 
@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from loreline.llm import _text as X
 from loreline.llm._frames import col
+from loreline.llm._sample import labelled
 
 NAMES = ("bytes", "words", "mean_word", "sd_word", "longest_word", "upper", "digit", "punct", "space", "wide", "exclaim", "rare_punct", "pipe", "stop_end", "lines", "words_per_line", "short_lines", "repeat_lines", "distinct_words", "top_word", "repeat_pairs", "repeat_shingles", "title_words", "upper_words", "mark_words", "entropy", "comma", "sentence")
 SAMPLE = 20_000
@@ -172,14 +173,15 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, b
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int = SAMPLE) -> Trees:
     """Fit on at most ``sample`` labelled texts; only their statistics reach the driver."""
-    picked = labels.dropna(subset=[id_col, label_col]).dropDuplicates([id_col]).orderBy(F.xxhash64(col(id_col)), col(id_col)).limit(sample)
-    rows = docs.select(col(id_col).alias("id"), col(text_col).alias("text")).join(F.broadcast(picked.select(col(id_col).alias("id"), col(label_col).cast("double").alias("y"))), "id")
+    picked = labelled(labels, id_col, label_col, sample).select("id", F.col("y").cast("double").alias("y"))
+    rows = docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text")).join(F.broadcast(picked), "id")
 
     def run(batches):
         for b in X.slices(batches, "text"):
-            yield pa.record_batch({"id": b.column("id").cast(pa.int64()), "y": b.column("y"), "x": pa.array(list(statistics(b.column("text"))), pa.list_(pa.float32()))})
+            yield pa.record_batch({"id": b.column("id"), "y": b.column("y"), "x": pa.array(list(statistics(b.column("text"))), pa.list_(pa.float32()))})
 
-    got = rows.mapInArrow(run, "id long, y double, x array<float>").toArrow()
+    one = rows.mapInArrow(run, "id long, y double, x array<float>").groupBy("id", "y").agg(F.min("x").alias("x"))  # one text an id
+    got = one.toArrow()
     x = np.array(got["x"].to_pylist(), np.float32).reshape(-1, len(NAMES))
     y, ids = got["y"].to_numpy(), got["id"].to_numpy()
     order = np.lexsort((*x.T, ids))  # a fixed order, so that the fit is the same in every run

@@ -4,11 +4,13 @@ P(grade > k) = sigmoid(w . x - theta_k): one weight vector is shared by all thre
 expected grade. x holds the presence of hashed words and word prefixes. The model is fitted on a bounded sample of labelled texts
 (``sample`` rows, the ones with the smallest id hash); scoring is a map over all texts without a shuffle.
 
-Labels are graded before fitting: 0 is clean; toxic texts get 1 .. grades - 1 by how often the words stand in them that the sample
-shows to mark toxic texts (quantiles among its toxic texts). A table of grades can be given instead.
+Labels may be grades themselves (any label above 1). Labels of 0 and 1 are graded before fitting: 0 is clean; toxic texts get
+1 .. grades - 1 by how often the words stand in them that the sample shows to mark toxic texts (quantiles among its toxic texts), so
+there severity above the threshold of toxicity is learned from a derived word list, not from people's grades.
 
 Defined cases: null or empty text has no features and gets the base severity; null ids and repeated rows are scored like others; null
-labels are not used; without labels of both kinds the severity is 0; other columns pass only if named in ``keep``.
+labels are not used; of conflicting labels of an id the largest counts, of several texts of a labelled id one is fitted on; without
+labels of both kinds the severity is 0; other columns pass only if named in ``keep``, even those called like a result column.
 """
 
 from __future__ import annotations
@@ -22,49 +24,36 @@ from pyspark.sql import types as T
 from loreline.llm import _linear as L
 from loreline.llm import _text as X
 from loreline.llm._frames import col
+from loreline.llm._sample import Sample, take, telling
 
 DIMS = 1 << 18
 SAMPLE = 24_000  # labelled texts the model is fitted on, at most
 GRADES = 3
 
 
-def sample_features(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_cols: list[str], sample: int, dims: int, share: bool) -> list[dict]:
-    """The features of a bounded sample of labelled texts: at most ``sample`` rows of cells and counts reach the driver."""
-    picked = labels.dropna(subset=[id_col, *label_cols]).dropDuplicates([id_col]).orderBy(F.xxhash64(col(id_col)), col(id_col)).limit(sample)
-    rows = docs.select(col(id_col).alias("id"), col(text_col).alias("text")).join(F.broadcast(picked.select(col(id_col).alias("id"), *[col(c).cast("string").alias(f"y{i}") for i, c in enumerate(label_cols)])), "id")
+def marks(df: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Mask of cells that mark toxic texts: df and n by (clean, toxic)."""
+    lift = np.log((df[1] + 0.5) / max(1, n[1])) - np.log((df[0] + 0.5) / max(1, n[0]))
+    return (df[1] >= 3) & (lift >= 2.5)
 
-    def run(batches):
-        for b in X.slices(batches, "text"):
-            f = L.Features(b.column("text"), dims, share)
-            cut = range(b.num_rows)
-            yield pa.record_batch({"y": pa.array([[b.column(f"y{i}")[r].as_py() for i in range(len(label_cols))] for r in cut], pa.list_(pa.string())), "id": b.column("id").cast(pa.int64()), "cells": pa.array([f.cell[f.first[r]:f.first[r + 1]].tobytes() for r in cut], pa.binary()), "times": pa.array([np.minimum(f.times[f.first[r]:f.first[r + 1]], 65535).astype(np.uint16).tobytes() for r in cut], pa.binary()), "words": pa.array(f.n_words)})
-
-    got = rows.mapInArrow(run, "y array<string>, id long, cells binary, times binary, words long").toArrow()
-    out = [{"y": y, "id": i, "cells": np.frombuffer(c, np.int32), "times": np.frombuffer(t, np.uint16), "words": n} for y, i, c, t, n in zip(*[got[c].to_pylist() for c in ("y", "id", "cells", "times", "words")])]
-    return sorted(out, key=lambda r: (r["id"], r["words"]))  # a fixed order, so that the fit is the same in every run
-
-
-def telling(classes: np.ndarray, rows: list[dict], dims: int, least: float = 4.0) -> np.ndarray:
-    """Mask of features whose presence differs between the two classes by at least ``least`` standard errors."""
-    df = np.zeros((2, dims))
-    for r, t in zip(rows, classes):
-        df[int(t), r["cells"]] += 1
-    n0, n1 = (classes == 0).sum(), (classes == 1).sum()
-    pooled = df.sum(axis=0) / (n0 + n1)
-    return np.abs(df[1] / n1 - df[0] / n0) > least * np.sqrt(pooled * (1 - pooled) * (1 / n0 + 1 / n1) + 1e-12)
-
-
-def grade(toxic: np.ndarray, rows: list[dict], grades: int, dims: int) -> np.ndarray:
-    """Grades of a sample: 0 for clean texts, and quantiles of the share of marked words among the toxic ones."""
-    df = np.zeros((2, dims))
-    for r, t in zip(rows, toxic):
-        df[int(t), r["cells"]] += 1
-    n0, n1 = max(1, int((toxic == 0).sum())), max(1, int((toxic == 1).sum()))
-    lift = np.log((df[1] + 0.5) / n1) - np.log((df[0] + 0.5) / n0)
-    marks = (df[1] >= 3) & (lift >= 2.5)
-    count = np.array([r["times"][marks[r["cells"]]].sum() for r in rows], float)
-    out = np.zeros(len(rows), int)
-    at = np.flatnonzero(toxic == 1)
+
+def _two(by_label: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Counts by (clean, toxic) from counts by label."""
+    return np.stack([by_label[~toxic].sum(axis=0), by_label[toxic].sum(axis=0)])
+
+
+def grades_of(got: Sample, toxic: np.ndarray, grades: int) -> np.ndarray:
+    """Grade of every text of a sample. Labels above 1 are grades themselves (at most grades - 1). Of 0/1 labels, 0 is clean and toxic
+    texts get quantiles of the times that marked words stand in them."""
+    value = np.array([float(k) for k in got.names])
+    if value.max(initial=0) > 1:
+        return np.clip(value, 0, grades - 1).astype(int)[got.y]
+    is_mark = np.zeros(max(got.told.max(initial=0) + 1, 1), bool)
+    is_mark[got.told] = marks(_two(got.df, toxic), _two(got.per_class(), toxic))
+    row = np.repeat(np.arange(len(got.y)), np.diff(got.first))
+    count = np.bincount(row, got.times * is_mark[got.cell], len(got.y))
+    out = np.zeros(len(got.y), int)
+    at = np.flatnonzero(toxic[got.y])
     if len(at):
         cuts = np.quantile(count[at], np.arange(1, grades - 1) / (grades - 1)) if grades > 2 else []
         out[at] = 1 + np.searchsorted(cuts, count[at], "left")
@@ -103,15 +92,24 @@ def fit(rows: L.Rows, y: np.ndarray, grades: int, steps: int = 150, rate: float
     return p[:rows.dims], thetas(p)
 
 
+def _toxic(names: list[str]) -> np.ndarray:
+    return np.array([float(k) > 0 for k in names], bool)
+
+
+def _pick(names: list[str], df: np.ndarray, n: np.ndarray) -> np.ndarray:
+    two, n2 = _two(df, _toxic(names)), _two(n, _toxic(names))
+    return telling(two, n2) | marks(two, n2)
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, grades: int, sample: int, dims: int):
-    got = sample_features(docs, labels, id_col, text_col, [label_col], sample, dims, share=False)
-    toxic = np.array([int(float(r["y"][0])) > 0 for r in got], int)
-    if not len(got) or toxic.min() == toxic.max():
+    got = take(docs, labels, id_col, text_col, label_col, sample, dims, _pick)
+    toxic = _toxic(got.names)
+    if toxic.all() or not toxic.any():  # no labels, or of one kind only
         return np.zeros(dims, np.float32), np.full(grades - 1, 40.0)
-    use = telling(toxic, got, dims)
-    cells = [r["cells"][use[r["cells"]]] for r in got]
-    rows = L.Rows(cells, [np.ones(len(c)) for c in cells], dims)
-    w, th = fit(rows, grade(toxic, got, grades, dims), grades)
+    use = np.zeros(dims, bool)
+    use[got.told[telling(_two(got.df, toxic), _two(got.per_class(), toxic))]] = True
+    rows = got.rows(use[got.cell].astype(float), np.ones(len(got.y), bool), dims)
+    w, th = fit(rows, grades_of(got, toxic, grades), grades)
     return w.astype(np.float32), th
 
 
