@@ -2,11 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and reread as the next one's docs.
 All but the last return the columns of ``documents``; the last adds the mixture.
+
+Defined cases: a null text is clean and no near duplicate, and is an empty text from the third stage on; null ids are never near
+duplicates and lose passages to every other id; of repeated rows of one id all stay that are not near duplicates of a smaller id's;
+columns of ``documents`` beyond the five are not carried; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,7 +64,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to ``documents``; each one's result is written to the shared folder and reread."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{(shared_dir(spark) or tempfile.mkdtemp(prefix='loreline-')).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
