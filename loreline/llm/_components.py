@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loreline.llm._frames import checkpoint
+from loreline.llm._frames import checkpoint, discard
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,6 +23,9 @@ def components(edges: DataFrame) -> DataFrame:
         step = labels.join(near, "id").select("id", F.least("component", "near").alias("next"), F.col("component").alias("was"))
         jump = step.join(labels.select(F.col("id").alias("next"), F.col("component").alias("far")), "next", "left")
         moved = checkpoint(jump.select("id", F.least("next", F.coalesce("far", "next")).alias("component"), (F.least("next", F.coalesce("far", "next")) < F.col("was")).alias("moved")))
+        discard(labels)
         labels = moved.select("id", "component")
+        labels.written_to = moved.written_to
         if moved.filter("moved").isEmpty():
+            discard(both)
             return labels

@@ -3,19 +3,24 @@
 A text's set holds its different ``width``-word shingles. Sets are put into bands of nearly equal size; within two
 neighbouring bands Jaccard >= t means a Hamming distance of at most k. PartEnum deals the shingle domain to n1 parts of n2
 sub-parts; two sets within k agree, in some part, on all but one sub-part, so the signatures "part without one sub-part" have one in
-common. A signature that covers no shingle says nothing and is not sent: n1 holds ``SLACK`` parts more than needed, and a set with
-more nearly empty parts than that sends those signatures too, so no linked pair is lost.
+common. For k <= 1 every shingle is a sub-part of its own: the signatures are the set, and the set without each one shingle.
+
+A signature that covers no shingle says nothing, and all short texts would meet in it, so it is not sent. A set with more parts that give
+such a signature than its distance leaves to spare takes part in a second dealing of the domain, by another hash, and so on: if the only common
+signature of two linked sets is an empty one, both have such parts and both take part. After ``LEVELS`` dealings (a share of the
+sets that falls at least tenfold each time is left) empty signatures are sent too, so no linked pair is lost.
 
 1. One map over the texts gives (id, size, set hash, parity sketch); equal sets meet in one representative (map-side aggregated).
-2. One map over the texts sends signatures in blocks to buckets; a bucket keeps the groups that share one.
-3. Sizes and parity sketches (a lower bound of the Hamming distance) rule out most pairs of a group. Each set of a group is
-   verified exactly against one leader that it may link with; components of these links.
-4. Groups that still hold several components: pairs across components that are not ruled out are verified exactly. Pairs inside a
-   component need no look: a further link would change nothing.
+2. One map over the texts sends signatures to buckets, one copy of a set a task; a bucket keeps the groups that share one. It reads its
+   signatures as a stream: a signature of more than ``PAGE`` sets leaves in pages that share their first set.
+3. Sizes and parity sketches (a lower bound of the Hamming distance) rule out most pairs of a group or page. Each set is verified
+   exactly against one leader, the nearest by sketch of those that it may link with; components of these links.
+4. Groups that still hold several components: pairs across components that are not ruled out (by finer sketches) are verified exactly; a paged group is
+   split into tiles of PAGE by PAGE sets for that. Pairs inside a component need no look: a further link would change nothing.
 5. Components of all links and equal sets.
 
-Verification of leaders sends each set to its leader's key (a hot leader is salted and its set repeated for each salt); that of step 4
-deals a component's sets to tiles of bounded size. Sets are made only for candidates, told by a Bloom filter of fixed size, which
+Verification of leaders sends each text to its leader's key (a hot leader is salted and its text repeated for each salt); that of step 4
+deals a component's texts to tiles of bounded size. Texts are sent only for candidates, told by a Bloom filter of fixed size, which
 affects cost alone. A set goes by the hash of its id and text, never by its id, so an id's several texts are several sets.
 
 Defined cases: ASCII case folded; fewer words than ``width`` make one shingle of all words; no words or null text: an empty set, linked with
@@ -25,6 +30,8 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,16 +40,19 @@ from pyspark.sql import types as T
 
 from loreline.llm import _text as X
 from loreline.llm._components import components
-from loreline.llm._frames import checkpoint, col, text_bytes
+from loreline.llm._frames import checkpoint, col, discard, text_bytes
 
 WIDTH, PERCENT = 5, 80
-SUBPARTS, SLACK = 4, 3
+SUBPARTS, LEVELS = 3, 6
 BUCKET_BYTES = 6 << 20
-SIGNATURE = 6  # bytes of a signature that travel; a chance agreement is only a candidate more
-SKETCH_BITS = (1024, 1 << 17)
+SIGNATURE, NAME = 4, 5  # bytes of a signature and of a set's name that travel; a chance agreement is only a candidate more
+SKETCH_BITS, FINE_BITS = (512, 1 << 16), (1024, 1 << 17)  # least and most
 SMALL_GROUP = 64  # members up to which all pairs of a group are looked at in one vector step
-TILE = 128  # sets of one cell of a tile
+PAGE = 1024  # sets of a signature that are looked at together
+CHUNK = 1 << 20  # signatures of a bucket that are sorted at once, besides those that wait for others
+TILE = 64  # sets of one cell of a tile
 SALT_AT = 256  # sets verified against one copy of a partner's set
+VERIFY = 256  # texts verified in one call
 BLOOM_BITS = 1 << 21
 U = X.U
 
@@ -76,38 +86,91 @@ def bands(size: int, percent: int) -> tuple[tuple[int, int], ...]:
         low, band = high + 1, band + 1
 
 
-def signatures(shingles: np.ndarray, percent: int, subparts: int = SUBPARTS, slack: int = SLACK) -> np.ndarray:
-    """PartEnum signatures of one set, for both instances of its size."""
-    out = []
-    for band, k in bands(len(shingles), percent):
-        spare = slack if k >= 8 else 0
-        parts = k // 2 + 1 + spare
-        code = X.mix(shingles ^ U(0xA0761D6478BD642F + band))
-        cell = ((code >> U(8)) % U(parts)).astype(np.int64) * subparts + (code & U(0xFF)).astype(np.int64) % subparts
-        with np.errstate(over="ignore"):
-            total = np.zeros(parts * subparts, U)
-            np.add.at(total, cell, X.mix(code))
-            total = total.reshape(parts, subparts)
-            count = np.bincount(cell, minlength=parts * subparts).reshape(parts, subparts)
-            rest = total.sum(axis=1, dtype=U)[:, None] - total
-            left = count.sum(axis=1)[:, None] - count
-            name = (np.arange(parts * subparts).reshape(parts, subparts) + band * 1_000_003).astype(U)
-            value = X.mix(rest + X.mix(name))
-        bare = int(((count > 0).sum(axis=1) <= 1).sum())  # parts in which some signature covers nothing
-        out.append(value[left > 0] if bare <= spare else value.ravel())
-    return np.concatenate(out)
-
-
-def sketch(shingles: np.ndarray) -> bytes:
+def _parts(k: np.ndarray) -> np.ndarray:
+    """Parts for distance k: k // 2 + 1 are needed, some are spare."""
+    return k // 2 + 1 + np.where(k >= 8, 2 + k // 100, np.where(k >= 4, 1, 0))
+
+
+def _deal(values: np.ndarray, size: np.ndarray, band: np.ndarray, k: np.ndarray, reach: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One dealing for sets of ``size`` shingles each (k of 2 or more): signatures, their sets, and the sets that need another dealing.
+
+    ``reach`` bounds a set's own distance from what it links with, so at most reach // 2 of its parts hold two differences or more; a
+    set whose other parts could all give empty signatures needs another dealing.
+    """
+    n = len(size)
+    owner = np.repeat(np.arange(n), size)
+    parts = _parts(k)
+    first = np.cumsum(parts) - parts
+    code = X.mix(values ^ (U(0xA0761D6478BD642F) + band.astype(U) + U(level << 32))[owner])
+    part = first[owner] + ((code >> U(8)) % parts.astype(U)[owner]).astype(np.int64)
+    cell = part * SUBPARTS + (code & U(0xFF)).astype(np.int64) % SUBPARTS
+    rows = int(parts.sum())
+    with np.errstate(over="ignore"):
+        total = np.zeros(rows * SUBPARTS, U)
+        np.add.at(total, cell, X.mix(code))
+        total = total.reshape(rows, SUBPARTS)
+        count = np.bincount(cell, minlength=rows * SUBPARTS).reshape(rows, SUBPARTS)
+        rest = total.sum(axis=1, dtype=U)[:, None] - total
+        left = count.sum(axis=1)[:, None] - count
+        of = np.repeat(np.arange(n), parts)
+        name = (np.arange(rows) - first[of]) * SUBPARTS + band[of] * 1_000_003 + level * 500_009
+        value = X.mix(rest + X.mix((name[:, None] + np.arange(SUBPARTS)).astype(U)))
+    again = np.bincount(of, ((count > 0).sum(axis=1) <= 1), n) >= parts - reach // 2
+    send = (left > 0) | (again[of][:, None] & (level == LEVELS - 1))
+    return value[send], np.broadcast_to(of[:, None], send.shape)[send], np.flatnonzero(again)
+
+
+def signatures_of(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """PartEnum signatures of sets that are not empty, for both instances of each one's size: (signature, index of its set)."""
+    size = np.array([len(x) for x in sets], np.int64)
+    values = np.concatenate(sets)
+    first = np.cumsum(size) - size
+    known = {int(n): bands(int(n), percent) for n in np.unique(size)}
+    own = (size + 100 * size // percent) * (100 - percent) // (100 + percent)  # a partner has at most 100 / percent times the size
+    out, who = [], []
+    for instance in (0, 1):
+        band, k = (np.array([known[int(n)][instance][j] for n in size], np.int64) for j in (0, 1))
+        few = np.flatnonzero(k <= 1)
+        if len(few):
+            at = np.repeat(first[few], size[few]) + np.arange(int(size[few].sum())) - np.repeat(np.cumsum(size[few]) - size[few], size[few])
+            owner = np.repeat(few, size[few])
+            with np.errstate(over="ignore"):
+                each = X.mix(values[at] ^ (U(0xA0761D6478BD642F) + band[owner].astype(U)))
+                whole = np.add.reduceat(each, np.cumsum(size[few]) - size[few])
+                name = X.mix((band * 1_000_003 + 999_983).astype(U))
+                out.append(X.mix(whole + name[few]))
+                who.append(few)
+                one = np.repeat(k[few] == 1, size[few])
+                out.append(X.mix(np.repeat(whole, size[few]) - each + name[owner])[one])
+                who.append(owner[one])
+        mine = np.flatnonzero(k > 1)
+        for level in range(LEVELS):
+            if not len(mine):
+                break
+            at = np.repeat(first[mine], size[mine]) + np.arange(int(size[mine].sum())) - np.repeat(np.cumsum(size[mine]) - size[mine], size[mine])
+            value, owner, again = _deal(values[at], size[mine], band[mine], k[mine], np.minimum(k, own)[mine], level)
+            out.append(value)
+            who.append(mine[owner])
+            mine = mine[again]
+    return np.concatenate(out), np.concatenate(who)
+
+
+def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
+    return signatures_of([shingles], percent)[0]
+
+
+def sketch(shingles: np.ndarray, fine: bool) -> bytes:
     """Parity of the number of shingles in each cell: two sets differ in at least as many shingles as their sketches in bits.
 
-    The number of cells is a power of two of at least twice the size, within SKETCH_BITS.
+    The number of cells is a power of two of at least half the size (enough to tell unlike sets), or twice it (to tell near ones).
     """
-    bits = min(max(SKETCH_BITS[0], 1 << (2 * len(shingles) - 1).bit_length()), SKETCH_BITS[1])
+    low, high = FINE_BITS if fine else SKETCH_BITS
+    want = 2 * len(shingles) if fine else len(shingles) // 2
+    bits = min(max(low, 1 << max(want - 1, 1).bit_length()), high)
     return np.packbits(np.bincount((shingles & U(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
 
 
-def fold(sketches: list[bytes], width: int = SKETCH_BITS[0] // 8) -> np.ndarray:
+def fold(sketches: list[bytes], width: int) -> np.ndarray:
     """Sketches folded to ``width`` bytes: parts of a parity sketch add up to the sketch of fewer cells."""
     if all(len(x) == width for x in sketches):
         return np.frombuffer(b"".join(sketches), U).reshape(-1, width // 8)
@@ -126,68 +189,98 @@ def _describe(width: int):
         for b in X.slices(batches, "text"):
             sets = shingle_sets(*X.bytes_of(b.column("text")), width)
             keys = [_set_key(s) for s in sets]
-            yield pa.record_batch({"doc": b.column("doc"), "id": b.column("id"), "n": pa.array([len(s) for s in sets], pa.int64()), "h1": pa.array([k[0] for k in keys], pa.int64()), "h2": pa.array([k[1] for k in keys], pa.int64()), "sketch": pa.array([sketch(s) if len(s) else None for s in sets], pa.binary())})
+            yield pa.record_batch({"doc": b.column("doc"), "id": b.column("id"), "n": pa.array([len(s) for s in sets], pa.int64()), "h1": pa.array([k[0] for k in keys], pa.int64()), "h2": pa.array([k[1] for k in keys], pa.int64()), "sketch": pa.array([sketch(s, False) if len(s) else None for s in sets], pa.binary()), "fine": pa.array([sketch(s, True) if len(s) else None for s in sets], pa.binary())})
 
     return run
 
 
 def _send(width: int, percent: int, buckets: int):
     def run(batches):
+        sent: set[tuple[int, int]] = set()  # the sets of this task: copies send once
         for b in X.slices(batches, "text"):
-            seen: dict[int, np.ndarray] = {}
+            keys, sets = [], []
             for i, s in zip(b.column("id").to_pylist(), shingle_sets(*X.bytes_of(b.column("text")), width)):
-                if len(s) and i is not None:
-                    seen.setdefault(_set_key(s)[0], s)
-            if not seen:
+                if len(s) and i is not None and (key := _set_key(s)) not in sent:
+                    sent.add(key)
+                    keys.append(key[0])
+                    sets.append(s)
+            if not sets:
                 continue
-            lists = [signatures(s, percent) for s in seen.values()]
-            value = np.concatenate(lists)
-            owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-            bucket = (value % U(buckets)).astype(np.uint16 if buckets < 65536 else np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            name = np.fromiter(seen, np.int64, len(seen))
-            rows = []
-            for k in np.flatnonzero(np.diff(cut)):
-                at = order[cut[k]:cut[k + 1]]
-                who, times = np.unique(owner[at], return_counts=True)
-                rows.append((int(k), name[who].tobytes(), times.astype(np.uint32).tobytes(), X.planes(value[at] // U(buckets), SIGNATURE)))
-            yield pa.record_batch({"bucket": pa.array([r[0] for r in rows], pa.int32()), "sets": pa.array([r[1] for r in rows], pa.binary()), "times": pa.array([r[2] for r in rows], pa.binary()), "values": pa.array([r[3] for r in rows], pa.binary())})
+            value, owner = signatures_of(sets, percent)
+            # buckets by the high half of a signature, of which the low half travels; in order of signatures, so that an entry costs
+            # the same bytes at any number of buckets
+            order = np.argsort(value)
+            value, name = value[order], np.array(keys, np.int64).astype(U)[owner[order]]
+            cut = np.searchsorted(((value >> U(32)) * U(buckets)) >> U(32), np.arange(buckets + 1, dtype=U))
+            some = np.flatnonzero(np.diff(cut))
+            yield pa.record_batch({"bucket": pa.array(some, pa.int32()), "entries": pa.array([X.planes(value[cut[k]:cut[k + 1]], SIGNATURE) + X.planes(name[cut[k]:cut[k + 1]], NAME) for k in some], pa.binary())})
 
     return run
 
 
-def _meet(table: pa.Table) -> pa.Table:
-    """Groups of sets that share a signature in one bucket; equal groups once."""
-    value, who = [], []
-    for s, t, v in zip(table["sets"].to_pylist(), table["times"].to_pylist(), table["values"].to_pylist()):
-        times = np.frombuffer(t, np.uint32)
-        n = int(times.sum())
-        value.append(X.unplanes(v, n, SIGNATURE))
-        who.append(np.repeat(np.frombuffer(s, np.int64), times))
-    value, who = np.concatenate(value), np.concatenate(who)
-    order = np.argsort(value)
-    ranked = value[order]
-    shared = np.zeros(len(ranked), bool)
-    same = ranked[1:] == ranked[:-1]
-    shared[1:] |= same
-    shared[:-1] |= same
-    value, who = ranked[shared], who[order][shared]
-    order = np.lexsort((who, value))
-    value, who = value[order], who[order]
-    new = np.ones(len(who), bool)
-    new[1:] = (value[1:] != value[:-1]) | (who[1:] != who[:-1])  # the same set by way of two batches
-    value, who = value[new], who[new]
+def _runs(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and size of each run of equal values."""
     begin = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]])) if len(value) else np.zeros(0, np.int64)
-    groups = {who[a:b].tobytes() for a, b in zip(begin, np.append(begin[1:], len(who))) if b - a > 1}
-    return pa.table({"members": pa.array([np.frombuffer(g, np.int64) for g in groups], pa.list_(pa.int64()))})
+    return begin, np.diff(np.append(begin, len(value)))
+
+
+def _meet(page: int, chunk: int):
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Groups of sets that share a signature in one bucket, equal groups once; those of more than ``page`` sets in pages with ``sig``."""
+        bucket = key[0].as_py()
+        value, name = np.zeros(0, U), np.zeros(0, np.int64)  # what waits for others
+        heads: dict[int, int] = {}  # signatures that are paged, with the set that all pages share
+        fresh: list[bytes] = []
+        pages: list[tuple[int, np.ndarray]] = []
+
+        def absorb():
+            nonlocal value, name, fresh
+            n = [len(x) // (SIGNATURE + NAME) for x in fresh]
+            value = np.concatenate([value, *[X.unplanes(x[:m * SIGNATURE], m, SIGNATURE) for x, m in zip(fresh, n)]])
+            name = np.concatenate([name, *[X.unplanes(x[m * SIGNATURE:], m, NAME, np.int64) for x, m in zip(fresh, n)]])
+            fresh = []
+            order = np.lexsort((name, value))
+            value, name = value[order], name[order]
+            new = np.ones(len(value), bool)
+            new[1:] = (value[1:] != value[:-1]) | (name[1:] != name[:-1])
+            value, name = value[new], name[new]
+            begin, size = _runs(value)
+            hot = (size > page) | np.isin(value[begin], np.fromiter(heads, U, len(heads)))
+            for a, m in zip(begin[hot], size[hot]):
+                head = heads.setdefault(int(value[a]), int(name[a]))
+                rest = name[a:a + m][name[a:a + m] != head]
+                rest = rest[np.argsort(X.mix(rest.astype(U) ^ value[a]))]  # sets that share several signatures meet on a page of some
+                pages.extend((int(value[a]), np.append(head, rest[j:j + page])) for j in range(0, len(rest), page))
+            wait = ~np.repeat(hot, size)
+            value, name = value[wait], name[wait]
+
+        def out(rows):
+            return pa.record_batch({"sig": pa.array([None if v is None else int(X.mix(np.array([v ^ bucket << 40], U)).view(np.int64)[0]) for v, _ in rows], pa.int64()), "members": pa.array([m for _, m in rows], pa.list_(pa.int64()))})
+
+        have = 0
+        for b in batches:
+            for x in b.column("entries").to_pylist():
+                fresh.append(x)
+                have += len(x) // (SIGNATURE + NAME)
+                if have >= chunk:
+                    absorb()
+                    have = 0
+                    if pages:
+                        yield out(pages)
+                        pages.clear()
+        absorb()
+        begin, size = _runs(value)
+        groups = {name[a:a + m].tobytes() for a, m in zip(begin[size > 1], size[size > 1])}
+        yield out(pages + [(None, np.frombuffer(g, np.int64)) for g in groups])
+
+    return run
 
 
-def _sets_of(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(id, shingles) of the texts whose id stands in ``wanted``, and of a few more.
+def _texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, text) of the texts whose id stands in ``wanted``, and of a few more.
 
-    Ids are told by a Bloom filter of fixed size (at most BLOOM_BITS cell numbers reach the driver), so that other texts are neither
-    hashed nor shuffled; a full filter costs time, never a text.
+    Ids are told by a Bloom filter of fixed size (at most BLOOM_BITS cell numbers reach the driver), so that other texts are not
+    shuffled; a full filter costs time, never a text.
     """
     cell = lambda c: F.pmod(F.xxhash64(c), F.lit(BLOOM_BITS)).cast("int")
     cells = wanted.select(cell("id").alias("c")).distinct().toArrow()["c"].to_numpy()
@@ -196,29 +289,33 @@ def _sets_of(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     shared = wanted.sparkSession.sparkContext.broadcast(np.packbits(bits))
 
     def run(batches):
-        for whole in batches:
-            c = whole.column("cell").to_numpy()
+        for b in batches:
+            c = b.column("cell").to_numpy()
             told = (shared.value[c >> 3] >> (7 - (c & 7))) & 1 > 0
-            for b in X.slices([whole.filter(pa.array(told))], "text"):
-                sets = shingle_sets(*X.bytes_of(b.column("text")), width)
-                yield pa.record_batch({"id": b.column("id"), "shingles": pa.array([s.tobytes() for s in sets], pa.binary())})
+            yield b.select(["id", "text"]).filter(pa.array(told))
+
+    return texts.select("id", "text", cell("id").alias("cell")).mapInArrow(run, "id long, text string")
+
 
-    return texts.select("id", cell("id").alias("cell"), "text").mapInArrow(run, "id long, shingles binary")
+def _link(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+    both = int((x[at] == y).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _verify_group(percent: int):
+def _verify_heads(width: int, percent: int):
     def run(table: pa.Table) -> pa.Table:
-        role = table["role"].to_numpy()
-        sets = [np.frombuffer(x, U) for x in table["shingles"].to_pylist()]
-        ids = table["id"].to_numpy()
-        out = []
-        for head in np.flatnonzero(role == 0)[:1]:
-            whole = sets[head]
-            for i in np.flatnonzero(role == 1):
-                at = np.minimum(np.searchsorted(whole, sets[i]), len(whole) - 1)
-                both = int((whole[at] == sets[i]).sum())
-                if 100 * both >= percent * (len(whole) + len(sets[i]) - both):
-                    out.append((ids[head], ids[i]))
+        """Pairs (a, b) that link: each asked text (role 1) against the head (role 0) of its key and salt."""
+        ids, role, out = table["id"].to_numpy(), table["role"].to_numpy(), []
+        order = np.lexsort((role, table["salt"].to_numpy(), table["key"].to_numpy()))
+        head, of = None, None
+        for b in X.slices(table.take(pa.array(order)).select(["key", "salt", "role", "id", "text"]).combine_chunks().to_batches(), "text"):
+            at = list(zip(b.column("key").to_pylist(), b.column("salt").to_pylist()))
+            for k, r, i, s in zip(at, b.column("role").to_pylist(), b.column("id").to_pylist(), shingle_sets(*X.bytes_of(b.column("text")), width)):
+                if r == 0:
+                    head, of = s, k
+                elif k == of and _link(head, s, percent):
+                    out.append((k[0], i))
         return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
 
     return run
@@ -230,8 +327,11 @@ def _verify(texts: DataFrame, pairs: DataFrame, width: int, percent: int) -> Dat
     asked = pairs.join(count, "a").select(F.col("b").alias("id"), F.col("a").alias("key"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"))
     heads = count.select(F.col("a").alias("id"), F.col("a").alias("key"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"))
     wanted = checkpoint(asked.unionByName(heads))
-    sent = _sets_of(texts, wanted, width).join(wanted, "id").select("key", "salt", "role", "id", "shingles")
-    return sent.groupBy("key", "salt").applyInArrow(_verify_group(percent), "a long, b long")
+    calls = max(1, wanted.count() // VERIFY)
+    sent = _texts_of(texts, wanted).join(wanted, "id").select(F.pmod(F.xxhash64("key", "salt"), F.lit(calls)).alias("call"), "key", "salt", "role", "id", "text")
+    found = checkpoint(sent.groupBy("call").applyInArrow(_verify_heads(width, percent), "a long, b long").distinct())
+    discard(wanted)
+    return found
 
 
 class _Members:
@@ -242,7 +342,10 @@ class _Members:
         order = np.lexsort((ids, grp))
         self.grp, self.ids, self.n = grp[order], ids[order], table["n"].to_numpy()[order]
         self.sketch = table["sketch"].take(pa.array(order)).to_pylist()
-        self.bits = fold(self.sketch)
+        self.order = order
+        base = min(map(len, self.sketch), default=8)
+        self.bits = fold(self.sketch, base)
+        self.long = np.array([len(x) for x in self.sketch]) > base
         self.component = table["component"].to_numpy()[order] if "component" in table.column_names else None
         self.percent = percent
         begin = np.flatnonzero(np.concatenate([[True], self.grp[1:] != self.grp[:-1]]))
@@ -250,56 +353,62 @@ class _Members:
         self.large = [(b, b + m) for b, m in zip(begin[size > SMALL_GROUP], size[size > SMALL_GROUP])]
         self.size = np.repeat(size, size)
 
-    def possible(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Mask of pairs that sizes and sketches allow to link."""
+    def near(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Mask of pairs that sizes and sketches allow to link, and how many cells their sketches differ in (at their widest)."""
         p, n = self.percent, self.n
         ok = 100 * np.minimum(n[i], n[j]) >= p * np.maximum(n[i], n[j])
+        differ = np.zeros(len(ok), np.int64)
         at = np.flatnonzero(ok)
-        differ = np.bitwise_count(self.bits[i[at]] ^ self.bits[j[at]]).sum(axis=1, dtype=np.int64)
-        ok[at] = (100 + p) * differ <= (100 - p) * (n[i[at]] + n[j[at]])
-        for k in np.flatnonzero(ok):  # long sets have finer sketches
+        differ[at] = np.bitwise_count(self.bits[i[at]] ^ self.bits[j[at]]).sum(axis=1, dtype=np.int64)
+        ok[at] = (100 + p) * differ[at] <= (100 - p) * (n[i[at]] + n[j[at]])
+        for k in np.flatnonzero(ok & self.long[i] & self.long[j]):  # long sets have finer sketches
             x, y = self.sketch[i[k]], self.sketch[j[k]]
-            if min(len(x), len(y)) > SKETCH_BITS[0] // 8:
-                x, y = fold([x, y], min(len(x), len(y)))
-                differ = int(np.bitwise_count(x ^ y).sum())
-                ok[k] = (100 + p) * differ <= (100 - p) * (n[i[k]] + n[j[k]])
-        return ok
+            width = min(len(x), len(y))
+            differ[k] = int(np.bitwise_count(fold([x], width) ^ fold([y], width)).sum())
+            ok[k] = (100 + p) * differ[k] <= (100 - p) * (n[i[k]] + n[j[k]])
+        return ok, differ
+
+    def possible(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return self.near(i, j)[0]
 
     def small_pairs(self):
-        """(i, j) for all pairs of small groups, one distance at a time, nearest first."""
+        """(i, j, differing cells) for the possible pairs of small groups, one step between their places at a time."""
         for d in range(1, SMALL_GROUP):
             i = np.flatnonzero((self.grp[:-d] == self.grp[d:]) & (self.size[:-d] <= SMALL_GROUP)) if d < len(self.grp) else []
             if not len(i):
                 return
             if self.component is not None:
                 i = i[self.component[i] != self.component[i + d]]
-            ok = self.possible(i, i + d)
-            yield i[ok], i[ok] + d
+            ok, differ = self.near(i, i + d)
+            yield i[ok], i[ok] + d, differ[ok]
 
 
 def _leaders(percent: int):
     def run(table: pa.Table) -> pa.Table:
-        """For each set of a group the first one before it that it may link with; and the groups that hold further possible pairs."""
+        """For each set of a group the nearest one before it that it may link with; and the groups that hold further possible pairs."""
         g = _Members(table, percent)
+        best = np.full(len(g.ids), np.iinfo(np.int64).max)
         first = np.full(len(g.ids), -1)
         times = np.zeros(len(g.ids), np.int64)
-        for i, j in g.small_pairs():
-            first[j] = i
+
+        def offer(i, j, differ):
             times[j] += 1
-        more = set(g.grp[times > 1].tolist())
+            nearer = differ < best[j]
+            j = j[nearer]
+            best[j], first[j] = differ[nearer], (i[nearer] if isinstance(i, np.ndarray) else i)
+
+        for i, j, differ in g.small_pairs():
+            offer(i, j, differ)
         for lo, hi in g.large:
-            free = np.ones(hi - lo, bool)
-            for i in range(hi - lo):  # sets that no leader takes lead
-                if free[i]:
-                    js = lo + i + 1 + np.flatnonzero(free[i + 1:])
-                    js = js[g.possible(np.full(len(js), lo + i), js)]
-                    free[js - lo] = False
-                    first[js] = lo + i
-            more.add(int(g.grp[lo]))
+            for i in range(lo, hi - 1):
+                js = np.arange(i + 1, hi)
+                ok, differ = g.near(np.full(len(js), i), js)
+                offer(i, js[ok], differ[ok])
+        more = set(g.grp[times > 1].tolist())
         j = np.flatnonzero(first >= 0)
-        pairs = {(int(a), int(b)) for a, b in zip(g.ids[first[j]], g.ids[j])}
-        rows = [(a, b, None) for a, b in pairs] + [(None, None, x) for x in more]
-        return pa.table({c: pa.array([r[k] for r in rows], pa.int64()) for k, c in enumerate(("a", "b", "grp"))})
+        pairs = {(int(a), int(b)): int(d) for a, b, d in zip(g.ids[first[j]], g.ids[j], best[j])}
+        rows = [(a, b, d, None) for (a, b), d in pairs.items()] + [(None, None, None, x) for x in more]
+        return pa.table({c: pa.array([r[k] for r in rows], pa.int64()) for k, c in enumerate(("a", "b", "differ", "grp"))})
 
     return run
 
@@ -309,7 +418,7 @@ def _across(percent: int):
         """Pairs of a group in different components that may link. Sets of a large group's largest component need no turn of their own."""
         g = _Members(table, percent)
         pairs: set[tuple[int, int]] = set()
-        for i, j in g.small_pairs():
+        for i, j, _ in g.small_pairs():
             pairs.update(zip(g.ids[i].tolist(), g.ids[j].tolist()))
         for lo, hi in g.large:
             _, comp, size = np.unique(g.component[lo:hi], return_inverse=True, return_counts=True)
@@ -323,35 +432,62 @@ def _across(percent: int):
     return run
 
 
-def _verify_tile(percent: int):
+def _across_tile(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Like ``_across`` for one tile of a paged group: sets outside its largest component (role 0) against a page of all its sets."""
+        g = _Members(table, percent)
+        role, minor = table["role"].to_numpy()[g.order], table["minor"].to_numpy(zero_copy_only=False)[g.order]
+        all_of = np.flatnonzero(role == 1)
+        pairs: set[tuple[int, int]] = set()
+        for i in np.flatnonzero(role == 0):
+            js = all_of[(g.component[all_of] != g.component[i]) & (~minor[all_of] | (g.ids[all_of] > g.ids[i]))]
+            js = js[g.possible(np.full(len(js), i), js)]
+            pairs.update((min(x, y), max(x, y)) for x, y in zip([int(g.ids[i])] * len(js), g.ids[js].tolist()))
+        return pa.table({c: pa.array([r[k] for r in pairs], pa.int64()) for k, c in enumerate(("a", "b"))})
+
+    return run
+
+
+def _tiles(rows: DataFrame, percent: int) -> DataFrame:
+    """Possible pairs across components of paged groups: rows (grp, id, n, component, sketch)."""
+    per = rows.groupBy("grp", "component").agg(F.count(F.lit(1)).alias("m"))
+    cells = lambda m: F.greatest(F.lit(1), F.ceil(m / F.lit(PAGE))).cast("long")
+    stats = per.groupBy("grp").agg(F.max_by("component", F.struct("m", "component")).alias("top"), cells(F.sum("m")).alias("b"), cells(F.sum("m") - F.max("m")).alias("a"))
+    sized = rows.join(stats, "grp").withColumn("minor", F.col("component") != F.col("top"))
+    own = ("id", "n", "component", "sketch", "minor")
+    span = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = sized.filter("minor").select("grp", F.pmod(F.xxhash64("id"), "a").alias("ca"), span("b").alias("cb"), F.lit(0).alias("role"), *own)
+    right = sized.select("grp", span("a").alias("ca"), F.pmod(F.xxhash64("id", F.lit(7)), "b").alias("cb"), F.lit(1).alias("role"), *own)
+    return left.unionByName(right).groupBy("grp", "ca", "cb").applyInArrow(_across_tile(percent), "a long, b long")
+
+
+def _verify_tile(width: int, percent: int):
     def run(texts: pa.Table, pairs: pa.Table) -> pa.Table:
-        sets = dict(zip(texts["id"].to_pylist(), (np.frombuffer(x, U) for x in texts["shingles"].to_pylist())))
         out = []
-        for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist()):
-            x, y = sets.get(a), sets.get(b)
-            if x is not None and y is not None:
-                at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-                both = int((x[at] == y).sum())
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    out.append((a, b))
+        if texts.num_rows and pairs.num_rows:
+            sets = dict(zip(texts["id"].to_pylist(), shingle_sets(*X.bytes_of(texts["text"]), width)))
+            out = [(p["a"], p["b"]) for row in pairs["pairs"].to_pylist() for p in row if p["a"] in sets and p["b"] in sets and _link(sets[p["a"]], sets[p["b"]], percent)]
         return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
 
     return run
 
 
 def _verify_many(texts: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Like ``_verify`` for pairs that are dense among few sets: each set goes once to every tile of its pair component that has
+    """Like ``_verify`` for pairs that are dense among few sets: each text goes once to every tile of its pair component that has
     pairs of it, where a component of m sets has cells of about TILE sets and a tile is a pair of cells."""
     comp = components(pairs)
     size = comp.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / F.lit(TILE)).cast("long").alias("cells"))
     cell = comp.join(size, "component").select("id", "component", F.pmod(F.xxhash64("id"), F.col("cells")).alias("cell"))
-    tiled = (pairs.join(cell.select(F.col("id").alias("a"), "component", F.col("cell").alias("ca")), "a").join(cell.select(F.col("id").alias("b"), F.col("cell").alias("cb")), "b")
-             .select("a", "b", "component", F.least("ca", "cb").alias("lo"), F.greatest("ca", "cb").alias("hi")))
-    tiled = checkpoint(tiled)
-    wanted = checkpoint(tiled.select(F.col("a").alias("id"), "component", "lo", "hi").union(tiled.select("b", "component", "lo", "hi")).distinct())
-    sent = _sets_of(texts, wanted, width).join(wanted, "id").select("component", "lo", "hi", "id", "shingles")
     key = ("component", "lo", "hi")
-    return sent.groupBy(*key).cogroup(tiled.groupBy(*key)).applyInArrow(_verify_tile(percent), "a long, b long")
+    tiled = (pairs.join(cell.select(F.col("id").alias("a"), "component", F.col("cell").alias("ca")), "a").join(cell.select(F.col("id").alias("b"), F.col("cell").alias("cb")), "b")
+             .select("component", F.least("ca", "cb").alias("lo"), F.greatest("ca", "cb").alias("hi"), "a", "b"))
+    tiled = checkpoint(tiled.groupBy(*key).agg(F.collect_list(F.struct("a", "b")).alias("pairs")))  # TILE * TILE pairs at most
+    ends = tiled.select(*key, F.explode("pairs").alias("p")).select(*key, F.explode(F.array("p.a", "p.b")).alias("id"))
+    wanted = checkpoint(ends.distinct())
+    sent = _texts_of(texts, wanted).distinct().join(wanted, "id").select(*key, "id", "text")
+    found = checkpoint(sent.groupBy(*key).cogroup(tiled.groupBy(*key)).applyInArrow(_verify_tile(width, percent), "a long, b long").distinct())
+    discard(tiled, wanted, comp)
+    return found
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -360,40 +496,47 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(doc.alias("doc"), F.when(doc.isNotNull(), F.xxhash64(doc, col(text_col))).alias("id"), col(text_col).alias("text"))
     _, size = text_bytes(docs, "`" + text_col + "`")
     buckets = max(1, -(-size // BUCKET_BYTES))
-    told = checkpoint(rows.mapInArrow(_describe(width), "doc long, id long, n long, h1 long, h2 long, sketch binary"))
+    told = checkpoint(rows.mapInArrow(_describe(width), "doc long, id long, n long, h1 long, h2 long, sketch binary, fine binary"))
     full = told.filter("n > 0 and id is not null")
-    sets = checkpoint(full.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-    equal = full.join(sets.select("h1", "h2", F.col("doc").alias("least")), ["h1", "h2"]).filter("doc <> least").select(F.col("least").alias("a"), F.col("doc").alias("b"))
-    met = rows.mapInArrow(_send(width, percent, buckets), "bucket int, sets binary, times binary, values binary").groupBy("bucket").applyInArrow(_meet, "members array<long>")
-    groups = checkpoint(met.groupBy(F.xxhash64("members").alias("grp"), F.size("members").alias("m")).agg(F.first("members").alias("members")).select("grp", "members"))
-    # each set against the first one of its groups that it may link with
-    bucket = F.pmod("grp", F.lit(buckets)).alias("bucket")
-    member = groups.select("grp", F.explode("members").alias("h1"))
-    named = member.join(sets, "h1").select(bucket, "grp", F.col("rep").alias("id"), "n", "sketch")
-    told_pairs = checkpoint(named.groupBy("bucket").applyInArrow(_leaders(percent), "a long, b long, grp long"))
-    pairs = checkpoint(told_pairs.filter("a is not null").select("a", "b").distinct())
-    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    one = rows.filter("id is not null")  # has the text of every id that stands for a set
-    linked = checkpoint(_verify(one, first, width, percent).distinct())
+    name = F.col("h1").bitwiseAND(F.lit((1 << 8 * NAME) - 1)).alias("name")  # sets of one name are all members of its groups
+    sets = checkpoint(full.groupBy("h1", "h2").agg(F.min(F.struct("id", "doc", "n", "sketch", "fine")).alias("r"), F.min("doc").alias("doc")).select(name, "h1", "h2", F.col("r.id").alias("rep"), "doc", "r.n", "r.sketch", "r.fine"))
+    equal = full.join(sets.select("h1", "h2", F.col("doc").alias("least")), ["h1", "h2"]).filter("doc <> least").select(F.col("least").alias("a"), F.col("doc").alias("b")).distinct()
+    met = rows.select("id", "text").mapInArrow(_send(width, percent, buckets), "bucket int, entries binary").groupBy("bucket").applyInArrow(_meet(PAGE, CHUNK), "sig long, members array<long>")
+    groups = checkpoint(met.groupBy(F.xxhash64("members").alias("unit"), F.col("sig")).agg(F.first("members").alias("members")).select("unit", F.coalesce("sig", "unit").alias("grp"), F.col("sig").isNotNull().alias("paged"), "members"))
+    # each set against the nearest one of its groups that it may link with
+    bucket = lambda c: F.pmod(c, F.lit(buckets)).alias("bucket")
+    member = groups.select("unit", "grp", "paged", F.explode("members").alias("name"))
+    named = member.join(sets, "name").select(bucket("unit"), F.col("unit").alias("grp"), F.col("rep").alias("id"), "n", "sketch")
+    told_pairs = checkpoint(named.groupBy("bucket").applyInArrow(_leaders(percent), "a long, b long, differ long, grp long"))
+    pairs = checkpoint(told_pairs.filter("a is not null").groupBy("a", "b").agg(F.min("differ").alias("differ")))
+    first = pairs.groupBy("b").agg(F.min(F.struct("differ", "a")).alias("r")).select("r.a", "b")
+    one = rows.filter("id is not null").select("id", "text")  # has the text of every id that stands for a set
+    linked = _verify(one, first, width, percent)
     found = components(linked)
-    # what that leaves open: groups with further possible pairs that hold several components
-    open_groups = told_pairs.filter("grp is not null").select("grp")
+    # what that leaves open: paged groups, and groups with further possible pairs, that hold several components
+    open_units = told_pairs.filter("grp is not null").select(F.col("grp").alias("unit")).distinct()
+    left_open = member.filter("not paged").join(open_units, "unit", "left_semi").unionByName(member.filter("paged").dropDuplicates(["grp", "name"]))
     # (ids alone are joined here; sketches come to the few groups that are left)
-    placed = (member.join(open_groups, "grp", "left_semi").join(sets.select("h1", F.col("rep").alias("id")), "h1").select("grp", "id")
-              .join(found, "id", "left").select("grp", "id", F.coalesce("component", "id").alias("component")))
+    placed = (left_open.join(sets.select("name", F.col("rep").alias("id")), "name").select("grp", "paged", "id")
+              .join(found, "id", "left").select("grp", "paged", "id", F.coalesce("component", "id").alias("component")))
     mixed = placed.groupBy("grp").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("grp")
-    rows_left = placed.join(mixed, "grp", "left_semi").join(sets.select(F.col("rep").alias("id"), "n", "sketch"), "id")
-    second = rows_left.select(bucket, "grp", "id", "n", "component", "sketch").groupBy("bucket").applyInArrow(_across(percent), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rows_left = checkpoint(placed.join(mixed, "grp", "left_semi").join(sets.select(F.col("rep").alias("id"), "n", F.col("fine").alias("sketch")), "id"))
+    own = ("grp", "id", "n", "component", "sketch")
+    small = rows_left.filter("not paged").select(bucket("grp"), *own).groupBy("bucket").applyInArrow(_across(percent), "a long, b long")
+    second = small.unionByName(_tiles(rows_left.filter("paged").select(*own), percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     # and the other pairs of step 3, where they still stand between two components
     of = lambda c: found.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
-    rest = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    second = checkpoint(second.union(rest).distinct().join(first, ["a", "b"], "left_anti"))
-    if not second.isEmpty():
-        linked = linked.unionByName(checkpoint(_verify_many(one, second, width, percent).distinct()))
+    rest = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    asked = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    second = checkpoint(second.union(rest).distinct().join(asked, ["a", "b"], "left_anti"))
+    discard(groups, told_pairs, pairs, rows_left, found)
+    links = [linked] if second.isEmpty() else [linked, _verify_many(one, second, width, percent)]
     # from sets to the ids that hold them: here an id's sets become one node
     ids = lambda c: sets.select(F.col("rep").alias(c), F.col("doc").alias(f"d{c}"))
-    named_links = linked.join(ids("a"), "a").join(ids("b"), "b").select(F.col("da").alias("a"), F.col("db").alias("b"))
-    every = components(named_links.unionByName(equal))
+    named_links = [x.join(ids("a"), "a").join(ids("b"), "b").select(F.col("da").alias("a"), F.col("db").alias("b")) for x in links]
+    edges = named_links[0] if len(links) == 1 else named_links[0].unionByName(named_links[1])
+    every = components(edges.unionByName(equal))
+    discard(second, sets, *links)
     out = told.join(every.withColumnRenamed("id", "doc"), "doc", "left")
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
 

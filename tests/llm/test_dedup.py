@@ -145,3 +145,42 @@ def test_interval_expansion(symbols, length):
     for i in whole:
         for j in whole:
             assert (of[i] == of[j]) == (symbols[i:i + length] == symbols[j:j + length])
+
+
+def test_many_one_shingle_texts(spark):
+    """Short texts differ or are equal; none meets all others in a signature that covers nothing."""
+    texts = [(i, f"short text {i % 4000}") for i in range(5000)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(texts, SCHEMA)).collect()}
+    assert got == {i: (1, i % 4000) for i in range(5000)}
+
+
+def test_small_sets_share_a_signature():
+    r = np.random.default_rng(17)
+    for _ in range(4000):
+        n = int(r.integers(1, 40))
+        x = np.unique(r.integers(0, 2**63, n, dtype=np.int64).astype(np.uint64))
+        change = int(r.integers(0, n // 4 + 2))
+        y = np.unique(np.concatenate([x[change // 2:], r.integers(0, 2**63, change - change // 2, dtype=np.int64).astype(np.uint64)]))
+        both = len(np.intersect1d(x, y))
+        if len(y) and 100 * both >= 80 * (len(x) + len(y) - both):
+            assert len(np.intersect1d(signatures(x, 80), signatures(y, 80)))
+
+
+@pytest.mark.parametrize("seed", [21, 22])
+def test_paged_groups_against_brute_force(spark, seed, monkeypatch):
+    """Signatures of many sets, in pages and tiles: chains of near copies, and unlike texts around one passage."""
+    for name, value in (("PAGE", 7), ("CHUNK", 50), ("TILE", 5), ("SALT_AT", 4), ("VERIFY", 9)):
+        monkeypatch.setattr(f"loreline.llm.jaccard_join.{name}", value)
+    r = random.Random(seed)
+    docs, now = [], [f"w{k}" for k in range(60)]
+    for i in range(70):
+        docs.append((i, " ".join(now)))
+        now = list(now)
+        now[r.randrange(60)] = f"n{i}"
+    passage = " ".join(f"p{k}" for k in range(80))
+    for i in range(70, 150):
+        docs.append((i, passage + " " + " ".join(f"x{r.randrange(400)}" for _ in range(r.choice([8, 10, 12, 14])))))
+    docs += [(i, docs[r.randrange(150)][1]) for i in range(150, 170)]
+    r.shuffle(docs)
+    got = near_duplicates(spark.createDataFrame(docs, SCHEMA).repartition(6)).collect()
+    assert sorted(tuple(x) for x in got) == sorted(brute.near_duplicates(docs))
