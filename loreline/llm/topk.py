@@ -3,18 +3,22 @@
 The score of a vector is the sum of its scores on ``LISTS`` slices of the components, one local list each. Local scores are lifted
 by a bound per query and slice (Cauchy-Schwarz) so that none is negative.
 
-1. Gather: every task keeps, for each query and list, its k best local scores of different ids; merged, they give a lower bound t1 of the k-th total.
-2. Cutoff: a vector with every local score below t1 / LISTS cannot reach t1. The cutoffs are broadcast (one number a query); tasks
-   send the vectors with a local score at the cutoff or above: their partial sums and which lists they cover. The k-th partial sum
-   of different ids is a better bound t2; vectors that cannot reach it, their missing lists taken at the cutoff, go.
+1. Gather: every task keeps, for each query and list, its k best local scores; merged, they give a lower bound t1 of the k-th total.
+2. Cutoff: a vector with every local score below t1 / LISTS cannot reach t1. The cutoffs travel with the queries (one number each);
+   tasks send the vectors with a local score at the cutoff or above: their partial sums and which lists they cover. The k-th partial
+   sum is a better bound t2; vectors that cannot reach it, their missing lists taken at the cutoff, go.
 3. Resolve: the totals of what is left are worked out from the whole vectors, and the k highest are the answer.
 
-Queries are handled in blocks of at most ``QUERY_BLOCK``, so what is broadcast is bounded; candidates are all rows, never sampled.
-Matrix products run in double precision, exact while sums stay below 2 ** 53, and in int64 beyond that.
+Candidates are packed into chunks of about ``CHUNK_BYTES`` with vectors of one length, queries into blocks of ``QUERY_BLOCK`` at most,
+both in place, without a shuffle. A phase is one job over all pairs of a chunk and a block of its length (the stated query set against all rows, in blocks); nothing but counts and bounds
+of the whole table comes to the driver. Candidates are all rows, never sampled. Matrix products run in double precision where sums
+stay below 2 ** 52, and in int64 beyond that; where a score could pass 2 ** 62, ``top_k`` raises.
 
-Defined cases: vectors that are null, empty, hold null or non-finite components or have another length than the most common one take no
-part; null ids take no part; rows with the query's own id are no candidates of it; rows of a repeated id are candidates each, and the
-id counts once, with its best (bounds count ids once too); a repeated query id asks with each of its vectors; ties go to the smaller id; fewer candidates than k give all; other columns are ignored; an empty table gives an empty result.
+Defined cases: vectors that are null, empty, or hold null or non-finite components take no part; null ids take no part; a vector is scored
+against vectors of its own length only, as others have no inner product with it; rows with the query's own id are no candidates of it;
+every other row is a candidate, so copies of a row and rows of a repeated id each take a rank; a repeated query id asks with each of its
+rows, and its answer is the k best of all their pairs; ties go to the smaller id; fewer candidates than k give all; other columns
+are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,31 +28,54 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loreline.llm._frames import checkpoint, col
+from loreline.llm._frames import checkpoint, col, discard
 
 LISTS = 4
-QUERY_BLOCK = 2048
+QUERY_BLOCK = 1024
+CHUNK_BYTES = 1 << 20  # of packed candidates; a batch of pairs holds many
 ROWS = 1024  # candidate rows scored at once
 
 
-def _matrix(column) -> np.ndarray:
-    arr = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return arr.flatten().to_numpy(zero_copy_only=False).reshape(len(arr), -1).astype(np.int64)
-
-
 def _slices(dims: int) -> list[slice]:
     edge = np.linspace(0, dims, min(LISTS, dims) + 1).astype(int).tolist()
     return [slice(a, b) for a, b in zip(edge[:-1], edge[1:])]
 
 
-class _Queries:
-    """A block of queries as matrices, with the key of each (its row) and its id; ``lift`` makes local scores non-negative."""
+def _longs(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.int64)
+
+
+def _pack(most: int | None):
+    """Rows (row, vec, d, x) of a batch as rows of bytes, one for each length and ``most`` vectors (default: CHUNK_BYTES of them)."""
+
+    def run(batches):
+        for b in batches:
+            lengths = b.column("d").to_numpy()
+            for d in np.unique(lengths):
+                own = b.filter(pa.array(lengths == d))
+                step = most or max(1, CHUNK_BYTES // (8 * int(d)))
+                for at in range(0, own.num_rows, step):
+                    part = own.slice(at, step)
+                    rows = part.column("row").to_numpy()
+                    x = np.ascontiguousarray(part.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, d).astype(np.int64))
+                    norms = [float(np.sqrt((x[:, c].astype(float) ** 2).sum(axis=1)).max()) for c in _slices(int(d))]
+                    yield pa.record_batch({"d": pa.array([int(d)], pa.int32()), "named": pa.array([rows if most else []], pa.list_(pa.int64())), "rows": pa.array([rows.tobytes()], pa.binary()), "vecs": pa.array([part.column("vec").to_numpy().tobytes()], pa.binary()), "x": pa.array([x.tobytes()], pa.binary()), "norms": pa.array([norms], pa.list_(pa.float64())), "top": pa.array([float(np.abs(x.astype(float)).max())], pa.float64())})
+
+    return run
+
+
+_PACKED = "d int, named array<long>, rows binary, vecs binary, x binary, norms array<double>, top double"
+
+
+class _Block:
+    """A block of queries: rows, ids, matrix; ``lift`` makes local scores non-negative."""
 
-    def __init__(self, keys: np.ndarray, ids: np.ndarray, q: np.ndarray, reach: list[float], top: int):
-        self.keys, self.ids, self.q = keys, ids, q
-        self.cut = _slices(q.shape[1])
-        self.exact = float(top) ** 2 * q.shape[1] < 2.0**52
-        self.lift = np.stack([np.ceil(np.sqrt((q[:, c].astype(float) ** 2).sum(axis=1)) * r) + 1 for c, r in zip(self.cut, reach)]).astype(np.int64)
+    def __init__(self, row: dict):
+        self.rows, self.ids = _longs(row["q_rows"]), _longs(row["q_vecs"])
+        self.q = _longs(row["q_x"]).reshape(len(self.rows), -1)
+        self.cut = _slices(self.q.shape[1])
+        self.exact = float(row["top"]) ** 2 * self.q.shape[1] < 2.0**52
+        self.lift = np.stack([np.ceil(np.sqrt((self.q[:, c].astype(float) ** 2).sum(axis=1)) * r) + 1 for c, r in zip(self.cut, row["reach"])]).astype(np.int64)
 
     def local(self, x: np.ndarray) -> np.ndarray:
         """(lists, queries, rows) lifted local scores."""
@@ -56,77 +83,65 @@ class _Queries:
         return np.stack([(self.q[:, c].astype(kind) @ x[:, c].T.astype(kind)).astype(np.int64) + up[:, None] for c, up in zip(self.cut, self.lift)])
 
 
-def _pieces(batches):
+def _pieces(row: dict, dims: int):
+    rows, vecs, x = _longs(row["rows"]), _longs(row["vecs"]), _longs(row["x"]).reshape(-1, dims)
+    for at in range(0, len(rows), ROWS):
+        yield rows[at:at + ROWS], vecs[at:at + ROWS], x[at:at + ROWS]
+
+
+def _pairs(batches):
+    """(block, its cutoffs, chunk) of every pair; a block is read once while it stays the same."""
+    name = block = None
     for b in batches:
-        for at in range(0, b.num_rows, ROWS):
-            piece = b.slice(at, ROWS)
-            yield piece.column("row").to_numpy(), piece.column("vec").to_numpy(), _matrix(piece.column("x"))
-
-
-def _best(score: np.ndarray, ids: np.ndarray, k: int, *more: np.ndarray) -> list[np.ndarray]:
-    """The k best scores of different ids along the last axis, best first, with their ids and ``more``; where fewer, scores of -1."""
-    keep = np.argsort(-score, axis=-1, kind="stable")
-    score, ids, *more = (np.take_along_axis(x, keep, -1) for x in (score, ids, *more))
-    for j in range(1, score.shape[-1]):
-        again = ((ids[..., :j] == ids[..., j:j + 1]) & (score[..., :j] >= 0)).any(axis=-1)
-        score[..., j][again] = -1
-    keep = np.argsort(-score, axis=-1, kind="stable")[..., :k]
-    return [np.take_along_axis(x, keep, -1) for x in (score, ids, *more)]
-
-
-def _heads(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Columns of the k best scores along the last axis (a column of ``ids`` each), one an id at most; k columns or all."""
-    order = np.argsort(ids, kind="stable")
-    begin = np.flatnonzero(np.concatenate([[True], np.diff(ids[order]) != 0]))
-    if len(begin) == len(ids):  # no id twice
-        order = np.arange(len(ids))
-        top, column = score, np.broadcast_to(order, score.shape)
-    else:
-        top = np.maximum.reduceat(score[..., order], begin, axis=-1)
-        group = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(ids))))
-        column = np.full(top.shape, -1)
-        for at in range(len(ids) - 1, -1, -1):  # the first row of an id that has its best
-            g = group[at]
-            column[..., g] = np.where(score[..., order[at]] == top[..., g], order[at], column[..., g])
-    if top.shape[-1] <= k:
-        return column
-    return np.take_along_axis(column, np.argpartition(-top, k - 1, axis=-1)[..., :k], -1)
-
-
-def _gather(shared, k: int):
+        for row in b.to_pylist():
+            if row["block"] != name:
+                name, block = row["block"], _Block(row)
+            yield name, block, row
+
+
+def _keep(best: np.ndarray, k: int, score: np.ndarray, *more: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+    """The k best of ``best`` and ``score`` along the last axis, with what goes along (pairs of old and new)."""
+    every = np.concatenate([best, score], axis=-1)
+    at = np.argpartition(-every, k - 1, axis=-1)[..., :k]
+    return [np.take_along_axis(every, at, -1), *(np.take_along_axis(np.concatenate(m, axis=-1), at, -1) for m in more)]
+
+
+def _gather(k: int):
     def run(batches):
-        block = shared.value
-        n, m = len(block.keys), len(block.cut)
-        best = np.full((m, n, k), -1, np.int64)
-        who, row = np.zeros((m, n, k), np.int64), np.zeros((m, n, k), np.int64)
-        for rows, ids, x in _pieces(batches):
-            u = block.local(x)
-            u[:, block.ids[:, None] == ids[None, :]] = -1
-            at = _heads(u, ids, k)
-            best, who, row = _best(np.concatenate([best, np.take_along_axis(u, at, -1)], axis=2), np.concatenate([who, ids[at]], axis=2), k, np.concatenate([row, rows[at]], axis=2))
-        j, q, r = np.nonzero(best >= 0)
-        yield pa.record_batch({"query": pa.array(block.keys[q]), "list": pa.array(j.astype(np.int32)), "row": pa.array(row[j, q, r]), "vec": pa.array(who[j, q, r]), "u": pa.array(best[j, q, r])})
+        best: dict[int, tuple] = {}
+        for name, block, pair in _pairs(batches):
+            n, m = len(block.rows), len(block.cut)
+            if name not in best:
+                best[name] = (block.rows, np.full((m, n, k), -1, np.int64), np.zeros((m, n, k), np.int64))
+            _, u, row = best[name]
+            for rows, ids, x in _pieces(pair, block.q.shape[1]):
+                new = block.local(x)
+                new[:, block.ids[:, None] == ids[None, :]] = -1
+                u, row = _keep(u, k, new, (row, np.broadcast_to(rows, new.shape)))
+            best[name] = (block.rows, u, row)
+        for rows, u, row in best.values():
+            j, q, r = np.nonzero(u >= 0)
+            yield pa.record_batch({"query": pa.array(rows[q]), "list": pa.array(j.astype(np.int32)), "row": pa.array(row[j, q, r]), "u": pa.array(u[j, q, r])})
 
     return run
 
 
-def _send(shared, cutoffs, k: int):
+def _send(k: int):
     def run(batches):
-        block, cut = shared.value, cutoffs.value
-        floor = np.full((len(block.keys), k), -1, np.int64)  # the k best partial sums of different ids so far: a lower bound that only grows
-        who = np.zeros((len(block.keys), k), np.int64)
-        for _, ids, x in _pieces(batches):
-            u = block.local(x)
-            own = block.ids[:, None] == ids[None, :]
-            over = (u >= cut[None, :, None]) & ~own[None]
-            some = over.any(axis=0)
-            part = np.where(over, u, 0).sum(axis=0)
-            seen = np.where(some, part, -1)
-            at = _heads(seen, ids, k)
-            floor, who = _best(np.concatenate([floor, np.take_along_axis(seen, at, -1)], axis=1), np.concatenate([who, ids[at]], axis=1), k)
-            most = part + (~over).sum(axis=0) * np.maximum(cut[:, None] - 1, 0)
-            q, r = np.nonzero(some & (most >= floor.min(axis=1)[:, None]))
-            yield pa.record_batch({"query": pa.array(block.keys[q]), "vec": pa.array(ids[r]), "part": pa.array(part[q, r]), "most": pa.array(most[q, r])})
+        floors: dict[int, np.ndarray] = {}  # the k best partial sums so far: a lower bound that only grows
+        for name, block, pair in _pairs(batches):
+            known = dict(zip(pair["asked"] or [], pair["t1"] or []))
+            cut = np.array([-(-known.get(int(q), 0) // len(block.cut)) for q in block.rows], np.int64)
+            floor = floors.setdefault(name, np.full((len(block.rows), k), -1, np.int64))
+            for rows, ids, x in _pieces(pair, block.q.shape[1]):
+                u = block.local(x)
+                over = (u >= cut[None, :, None]) & ~(block.ids[:, None] == ids[None, :])[None]
+                some = over.any(axis=0)
+                part = np.where(over, u, 0).sum(axis=0)
+                floor = floors[name] = _keep(floor, k, np.where(some, part, -1))[0]
+                most = part + (~over).sum(axis=0) * np.maximum(cut[:, None] - 1, 0)
+                q, r = np.nonzero(some & (most >= floor.min(axis=1)[:, None]))
+                yield pa.record_batch({"query": pa.array(block.rows[q]), "row": pa.array(rows[r]), "part": pa.array(part[q, r]), "most": pa.array(most[q, r])})
 
     return run
 
@@ -136,52 +151,37 @@ def top_k(vectors: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vecto
 
     ``queries`` is a boolean column that picks the query rows of ``vectors``.
     """
-    spark = vectors.sparkSession
     v = F.transform(col(vector_col), lambda x: x.cast("double"))
     fit = v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
-    rows = vectors.filter(fit & col(id_col).isNotNull()).select(col(id_col).cast("long").alias("vec"), F.transform(v, lambda x: F.floor(x * F.lit(scale)).cast("long")).alias("x"), queries.alias("is_query"))
-    schema = "query_id long, rank int, vec_id long, score long"
-    common = rows.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    if common is None:
-        return spark.createDataFrame([], schema)
-    dims = int(common["d"])
-    rows = checkpoint(rows.filter(F.size("x") == dims).withColumn("row", F.monotonically_increasing_id()))
-    asking = rows.filter("is_query").groupBy("vec", "x").agg(F.min("row").alias("query"))
-    cut = _slices(dims)
-    norm = lambda c: F.max(F.sqrt(F.aggregate(F.slice("x", c.start + 1, c.stop - c.start), F.lit(0.0), lambda a, y: a + y.cast("double") * y.cast("double"))))
-    facts = rows.agg(F.count_if("is_query"), F.max(F.array_max(F.transform("x", lambda y: F.abs(y)))), *[norm(c) for c in cut]).first()
-    blocks = max(1, -(-int(facts[0]) // QUERY_BLOCK))
-    out = spark.createDataFrame([], schema)
-    for b in range(blocks):
-        mine = asking.filter(F.pmod(F.xxhash64("vec"), F.lit(blocks)) == b).toArrow()
-        if not mine.num_rows:
-            continue
-        order = np.argsort(mine["query"].to_numpy())
-        keys = mine["query"].to_numpy()[order]
-        block = _Queries(keys, mine["vec"].to_numpy()[order], _matrix(mine["x"])[order], [float(r) for r in facts[2:]], int(facts[1]))
-        shared = spark.sparkContext.broadcast(block)
-        # 1: k best local scores a query and list; the k-th of their partial sums. Each task sent k of each, so groups stay small.
-        local = rows.select("row", "vec", "x").mapInArrow(_gather(shared, k), "query long, list int, row long, vec long, u long")
-        # one row an id and list, then sums by row: what an id is said to reach is reached by one of its rows
-        heads = local.groupBy("query", "list", "vec").agg(F.max(F.struct("u", "row")).alias("h")).select("query", "list", "vec", "h.u", "h.row")
-        tops = heads.withColumn("r", F.row_number().over(Window.partitionBy("query", "list").orderBy(F.desc("u"), "vec"))).filter(F.col("r") <= k)
-        sums = tops.groupBy("query", "vec", "row").agg(F.sum("u").alias("part")).groupBy("query", "vec").agg(F.max("part").alias("part"))
-        kth = sums.groupBy("query").agg(F.sort_array(F.collect_list("part"), False).alias("parts")).select("query", F.try_element_at("parts", F.lit(k)).alias("t1")).toArrow()
-        t1 = np.zeros(len(keys), np.int64)
-        found = kth.drop_null() if kth.num_rows else kth
-        t1[np.searchsorted(keys, found["query"].to_numpy())] = found["t1"].to_numpy()
-        m = len(cut)
-        cutoffs = spark.sparkContext.broadcast(-(-t1 // m))
-        # 2: what may reach the k-th total
-        sent = checkpoint(rows.select("row", "vec", "x").mapInArrow(_send(shared, cutoffs, k), "query long, vec long, part long, most long"))
-        # the k-th partial sum of different vectors
-        t2 = sent.groupBy("query", "vec").agg(F.max("part").alias("part")).withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("part")))).filter(F.col("r") == k).select("query", F.col("part").alias("t2"))
-        left = sent.join(t2, "query", "left").filter(F.col("most") >= F.coalesce("t2", F.lit(0))).select("query", "vec").distinct()
-        # 3: whole scores of what is left
-        asked = asking.select("query", F.col("vec").alias("query_id"), F.col("x").alias("q"))
-        whole = left.join(rows.select("vec", "x"), "vec").join(asked, "query")
-        score = F.aggregate(F.zip_with("x", "q", lambda a, c: a * c), F.lit(0).cast("long"), lambda a, y: a + y)
-        scored = whole.groupBy("query_id", "vec").agg(F.max(score).alias("score"))
-        ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec"))).filter(F.col("rank") <= k)
-        out = out.unionByName(ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("vec").alias("vec_id"), "score"))
-    return out
+    named = vectors.filter(fit & col(id_col).isNotNull()).select(col(id_col).cast("long").alias("vec"), F.transform(v, lambda x: F.floor(x * F.lit(scale)).cast("long")).alias("x"), queries.alias("is_query"))
+    # a row's number is written down once: it names the row in all phases
+    rows = checkpoint(named.select(F.monotonically_increasing_id().alias("row"), "vec", F.size("x").alias("d"), "x", "is_query"))
+    packed = lambda df, most: df.select("row", "vec", "d", "x").mapInArrow(_pack(most), _PACKED)
+    chunks = checkpoint(packed(rows, None))
+    facts = chunks.groupBy("d").agg(F.max("top").alias("top"), F.array(*[F.max(F.try_element_at("norms", F.lit(j + 1))) for j in range(LISTS)]).alias("reach"))
+    worst = facts.agg(F.max(F.pow("top", F.lit(2.0)) * F.col("d"))).first()[0]
+    if worst is not None and worst >= 2.0**62:
+        raise ValueError("inner products of these vectors can pass 2 ** 62")
+    blocks = checkpoint(packed(rows.filter("is_query"), QUERY_BLOCK).join(facts.select("d", F.col("top").alias("peak"), "reach"), "d")
+                        .select(F.col("named")[0].alias("block"), "d", "named", F.col("rows").alias("q_rows"), F.col("vecs").alias("q_vecs"), F.col("x").alias("q_x"), F.col("peak").alias("top"), "reach"))
+    thin = chunks.select(F.col("d").alias("cd"), "rows", "vecs", "x")
+    # all blocks against all chunks of their length: no equality that Spark could shuffle by, as lengths are few
+    meet = lambda asked: asked.join(thin, (F.col("d") - F.col("cd")) == 0)
+    # 1: k best local scores a query and list; the k-th of their partial sums
+    local = meet(blocks.drop("named")).mapInArrow(_gather(k), "query long, list int, row long, u long")
+    tops = local.withColumn("r", F.row_number().over(Window.partitionBy("query", "list").orderBy(F.desc("u"), "row"))).filter(F.col("r") <= k)
+    sums = tops.groupBy("query", "row").agg(F.sum("u").alias("part"))
+    kth = lambda df, name: df.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("part")))).filter(F.col("r") == k).select("query", F.col("part").alias(name))
+    t1 = blocks.select("block", F.explode("named").alias("query")).join(kth(sums, "t1"), "query")
+    cutoffs = t1.groupBy("block").agg(F.collect_list("query").alias("asked"), F.collect_list("t1").alias("t1"))  # QUERY_BLOCK of them at most
+    given = checkpoint(blocks.drop("named").join(cutoffs, "block", "left"))
+    # 2: what may reach the k-th total
+    sent = checkpoint(meet(given).mapInArrow(_send(k), "query long, row long, part long, most long"))
+    left = sent.join(kth(sent, "t2"), "query", "left").filter(F.col("most") >= F.coalesce("t2", F.lit(0))).select("query", "row")
+    discard(blocks, given, chunks)
+    # 3: whole scores of what is left
+    asked = rows.filter("is_query").select(F.col("row").alias("query"), F.col("vec").alias("query_id"), F.col("x").alias("q"))
+    whole = left.join(rows.select("row", "vec", "x"), "row").join(asked, "query")
+    score = F.aggregate(F.zip_with("x", "q", lambda a, c: a * c), F.lit(0).cast("long"), lambda a, y: a + y)
+    ranked = whole.select("query_id", "vec", score.alias("score")).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec"))).filter(F.col("rank") <= k)
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("vec").alias("vec_id"), "score")

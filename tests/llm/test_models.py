@@ -29,27 +29,27 @@ def test_topk_against_brute_force(spark, monkeypatch):
     assert top_k(few, F.col("vec_id") % 50 == 0).count() == 2 and top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
-def test_topk_counts_a_repeated_id_once(spark, monkeypatch):
-    """Many rows of the best ids, equal and different, and a query id with two vectors: as in brute force, an id's best counts once."""
+def test_topk_takes_every_row_as_a_candidate(spark, monkeypatch):
+    """Copies, ties, repeated ids with different vectors, a query id with several rows, and several lengths: as the query's SQL says."""
     from pyspark.sql import functions as F
 
+    monkeypatch.setattr("loreline.llm.topk.QUERY_BLOCK", 2)
     r = random.Random(12)
     rows = [(i, [float(r.randint(-8, 8)) for _ in range(6)]) for i in range(120)]
     for i in (1, 2, 3, 60):
         rows += [(i, [9.0 if j % 3 == c % 3 else 8.0 for j in range(6)]) for c in range(9)]
     rows += [(0, [float(r.randint(-8, 8)) for _ in range(6)])] + [rows[50]] * 3 + [rows[7]] * 8
+    rows += [(i, [float(r.randint(-8, 8)) for _ in range(3)]) for i in range(140, 160)] + [(200, [1.0])]
     want = []
-    for q in (0, 50, 100):
-        best = {}
-        for a in [v for i, v in rows if i == q]:
-            for j, v in rows:
-                if j != q:
-                    best[j] = max(best.get(j, -10**9), sum(int(256 * x) * int(256 * y) for x, y in zip(a, v)))
-        want += [(q, n + 1, j, s) for n, (j, s) in enumerate(sorted(best.items(), key=lambda b: (-b[1], b[0]))[:5])]
+    for q in sorted({i for i, _ in rows if i % 50 == 0}):
+        pairs = [(-sum(int(256 * x) * int(256 * y) for x, y in zip(a, v)), j) for i, a in rows if i == q for j, v in rows if j != q and len(v) == len(a)]
+        want += [(q, n + 1, j, -s) for n, (s, j) in enumerate(sorted(pairs)[:5])]
+    assert {w[0] for w in want} == {0, 50, 100, 150}
     for piece, parts in ((1024, 1), (16, 3), (7, 1)):
         monkeypatch.setattr("loreline.llm.topk.ROWS", piece)
+        monkeypatch.setattr("loreline.llm.topk.CHUNK_BYTES", 48 * piece)
         df = spark.createDataFrame(r.sample(rows, len(rows)), "vec_id long, embedding array<float>").repartition(parts)
-        assert sorted(tuple(x) for x in top_k(df, F.col("vec_id") % 50 == 0).collect()) == want
+        assert sorted(tuple(x) for x in top_k(df.withColumn("row", F.lit(1)), F.col("vec_id") % 50 == 0).collect()) == want
 
 
 def test_decontamination(spark):
