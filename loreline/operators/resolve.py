@@ -1,55 +1,84 @@
-"""Name resolution: raw calls, imports and base classes to edges, by prioritised joins.
+"""Name resolution: raw calls, imports and base classes to edges, by joins on reduced keys.
 
-The symbol index (name, ord, qname, n candidates) is joined on the short name; every rule that fits gives a row with its priority, and the
-best one a call is taken by an aggregate over a struct, so no window sorts.
+A short name may have a share of all symbols as candidates, so calls never meet them all: the index is first reduced to one row for each
+name, for each name and dotted prefix, and for each dotted suffix (all aggregated map-side), and calls join those by equality.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loreline.functions.text import path_to_module, same_top_package
 
 
 def symbol_index(symbols: DataFrame) -> DataFrame:
-    """name, qname, ord, n: candidates of every short name in arrival order."""
-    own = Window.partitionBy("name")
+    """name, qname, at: candidates of every short name; ``at`` orders them by arrival."""
     order = [F.col(c) for c in ("file_path", "pos") if c in symbols.columns] or [F.col("symbol_id")]
-    rows = symbols.select("name", F.col("qualified_name").alias("qname"), F.struct(*order).alias("at"))
-    return rows.withColumn("ord", F.row_number().over(own.orderBy("at", "qname"))).withColumn("n", F.count(F.lit(1)).over(own)).drop("at")
+    return symbols.select("name", F.col("qualified_name").alias("qname"), F.struct(*order, F.col("qualified_name")).alias("at"))
 
 
 def candidates(index: DataFrame) -> DataFrame:
     """name -> qualified names in arrival order."""
-    return index.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "qname"))), lambda x: x["qname"]).alias("qnames"))
+    return index.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "qname"))), lambda x: x["qname"]).alias("qnames"))
+
+
+def first_of(index: DataFrame) -> DataFrame:
+    """name, first (the candidate that arrived first), n candidates."""
+    return index.groupBy("name").agg(F.min_by("qname", "at").alias("first"), F.count(F.lit(1)).alias("n"))
+
+
+def _cut(qname: Column, front: bool) -> Column:
+    """All dotted prefixes of a name (each with its dot), or all dotted suffixes (the name itself first)."""
+    parts = F.split(qname, r"\.")
+    n = F.size(parts)
+    if front:
+        return F.transform(F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>")), lambda k: F.concat(F.array_join(F.slice(parts, F.lit(1), k), "."), F.lit(".")))
+    return F.transform(F.sequence(F.lit(1), n), lambda k: F.array_join(F.slice(parts, k, n), "."))
+
+
+def first_in_module(index: DataFrame) -> DataFrame:
+    """name, prefix, inside: the first candidate whose qualified name begins with that dotted prefix."""
+    return index.select("name", "qname", "at", F.explode(_cut(F.col("qname"), True)).alias("prefix")).groupBy("name", "prefix").agg(F.min_by("qname", "at").alias("inside"))
+
+
+def first_with_suffix(index: DataFrame) -> DataFrame:
+    """name, suffix, ending: the first candidate that is, or ends with a dot and, the suffix."""
+    return index.select("name", "qname", "at", F.explode(_cut(F.col("qname"), False)).alias("suffix")).groupBy("name", "suffix").agg(F.min_by("qname", "at").alias("ending"))
+
+
+def module_prefix(name: Column) -> Column:
+    return F.concat(F.regexp_replace(name, r"\.[^.]*$", ""), F.lit("."))
 
 
 def resolve_caller(caller_qname: Column, caller_class: Column, path: Column) -> Column:
     return F.coalesce(F.nullif(caller_qname, F.lit("")), F.nullif(caller_class, F.lit("")), path_to_module(path))
 
 
-def resolve_callees(calls: DataFrame, index: DataFrame, key: str = "call_id") -> DataFrame:
-    """Calls (key, target, call_type, caller_class) with callee, resolution, confidence.
+def resolve_callees(calls: DataFrame, index: DataFrame) -> DataFrame:
+    """Calls (target, call_type, caller_class, ...) with callee, resolution, confidence.
 
     Rules in order: own class for self calls (1.0), a candidate of the caller's module (0.9), the only candidate (1.0), the first of n
     (1 / n); for dotted targets without candidates a suffix match (1.0, or 0.8 among several); else the raw target (0.0). An empty target
     gives nulls.
     """
-    c, i = calls.filter("target is not null and target <> ''"), index
-    own = c.filter("call_type = 'self' and caller_class is not null and caller_class <> ''").select(key, F.struct(F.lit(0).alias("rule"), F.lit(0).cast("int").alias("ord"), F.concat_ws(".", "caller_class", "target").alias("callee"), F.lit("self_method").alias("resolution"), F.lit(1.0).alias("confidence")).alias("r"))
-    prefix = F.concat(F.regexp_replace("caller_class", r"\.[^.]*$", ""), F.lit("."))
-    by_name = c.join(i.withColumnRenamed("name", "target"), "target")
-    in_module = F.coalesce((F.col("caller_class") != "") & F.col("qname").startswith(prefix), F.lit(False))
-    named = by_name.select(key, F.struct(
-        F.when(in_module, 1).otherwise(2).alias("rule"), F.col("ord").cast("int").alias("ord"), F.col("qname").alias("callee"),
-        F.when(in_module, "module_match").when(F.col("n") == 1, "exact_match").otherwise("first_candidate").alias("resolution"),
-        F.when(in_module, 0.9).otherwise(F.lit(1.0) / F.col("n")).alias("confidence")).alias("r"))
-    dotted = c.filter(F.contains("target", F.lit("."))).withColumn("name", F.substring_index("target", ".", -1)).join(i, "name")
-    suffix = dotted.filter((F.col("qname") == F.col("target")) | F.endswith("qname", F.concat(F.lit("."), F.col("target")))).select(key, F.struct(F.lit(3).alias("rule"), F.col("ord").cast("int").alias("ord"), F.col("qname").alias("callee"), F.lit("suffix_match").alias("resolution"), F.when(F.col("n") == 1, 1.0).otherwise(0.8).alias("confidence")).alias("r"))
-    raw = c.select(key, F.struct(F.lit(4).alias("rule"), F.lit(0).cast("int").alias("ord"), F.col("target").alias("callee"), F.lit("unresolved").alias("resolution"), F.lit(0.0).alias("confidence")).alias("r"))
-    best = own.unionByName(named).unionByName(suffix).unionByName(raw).groupBy(key).agg(F.min("r").alias("r"))
-    return calls.join(best, key, "left").select(*calls.columns, "r.callee", "r.resolution", "r.confidence")
+    own = F.col("caller_class")
+    has_class = F.coalesce(own != "", F.lit(False))
+    dotted = F.contains("target", F.lit("."))
+    keyed = calls.withColumns({"_name": F.col("target"), "_prefix": F.when(has_class, module_prefix(own)), "_last": F.when(dotted, F.substring_index("target", ".", -1)), "_suffix": F.when(dotted, F.col("target"))})
+    named = first_of(index).withColumnsRenamed({"name": "_name"})
+    last = first_of(index).select(F.col("name").alias("_last"), F.col("n").alias("_m"))
+    rows = (keyed.join(named, "_name", "left").join(first_in_module(index).withColumnsRenamed({"name": "_name", "prefix": "_prefix"}), ["_name", "_prefix"], "left")
+            .join(first_with_suffix(index).withColumnsRenamed({"name": "_last", "suffix": "_suffix"}), ["_last", "_suffix"], "left").join(last, "_last", "left"))
+    rules = [(F.coalesce((F.col("call_type") == "self") & has_class, F.lit(False)), F.concat_ws(".", own, "target"), F.lit("self_method"), F.lit(1.0)),
+             (F.col("inside").isNotNull(), F.col("inside"), F.lit("module_match"), F.lit(0.9)),
+             (F.col("n") == 1, F.col("first"), F.lit("exact_match"), F.lit(1.0)),
+             (F.col("n") > 1, F.col("first"), F.lit("first_candidate"), F.lit(1.0) / F.col("n")),
+             (F.col("ending").isNotNull(), F.col("ending"), F.lit("suffix_match"), F.when(F.col("_m") == 1, 1.0).otherwise(0.8))]
+    r = F.struct(F.col("target").alias("callee"), F.lit("unresolved").alias("resolution"), F.lit(0.0).alias("confidence"))
+    for fits, callee, resolution, confidence in reversed(rules):
+        r = F.when(fits, F.struct(callee.alias("callee"), resolution.alias("resolution"), confidence.alias("confidence"))).otherwise(r)
+    return rows.withColumn("r", F.when(F.coalesce(F.col("target") != "", F.lit(False)), r)).select(*calls.columns, "r.callee", "r.resolution", "r.confidence")
 
 
 def import_name(module: Column, name: Column) -> Column:
@@ -67,13 +96,12 @@ def resolve_parents(bases: DataFrame, imports: DataFrame, index: DataFrame) -> D
     """Base classes (child, parent, path, line_number, pos) with the parent's qualified name: same module, an import of that name, the
     first candidate, else the raw name."""
     b = bases.withColumn("base_id", F.xxhash64("path", "pos", "child", "parent"))
-    found = b.join(index.withColumnRenamed("name", "parent"), "parent")
-    prefix = F.concat(F.regexp_replace("child", r"\.[^.]*$", ""), F.lit("."))
-    given = imports.select(F.col("path").alias("ipath"), F.when(F.coalesce("alias", F.lit("")) != "", F.col("alias")).otherwise(F.col("imported_name")).alias("given"), import_name(F.col("module_path"), F.col("imported_name")).alias("full")).distinct()
-    via = found.join(given, (F.col("ipath") == F.col("path")) & (F.col("given") == F.col("parent")) & (F.col("full") == F.col("qname")), "left")
-    rank = F.when(F.col("qname").startswith(prefix), 0).when(F.col("full").isNotNull(), 1).otherwise(2)
-    best = via.groupBy("base_id").agg(F.min_by("qname", F.struct(rank, "ord")).alias("qname"))
-    return b.join(best, "base_id", "left").withColumn("parent_qname", F.coalesce("qname", "parent")).drop("qname", "base_id")
+    given = imports.select("path", F.when(F.coalesce("alias", F.lit("")) != "", F.col("alias")).otherwise(F.col("imported_name")).alias("parent"), import_name(F.col("module_path"), F.col("imported_name")).alias("qname")).distinct()
+    via = (b.select("base_id", "path", "parent").join(given, ["path", "parent"]).join(index.withColumnRenamed("name", "parent"), ["parent", "qname"])
+           .groupBy("base_id").agg(F.min_by("qname", "at").alias("imported")))
+    found = (b.withColumn("prefix", module_prefix(F.col("child"))).join(first_in_module(index).withColumnRenamed("name", "parent"), ["parent", "prefix"], "left")
+             .join(via, "base_id", "left").join(first_of(index).withColumnRenamed("name", "parent"), "parent", "left"))
+    return found.withColumn("parent_qname", F.coalesce("inside", "imported", "first", "parent")).select(*bases.columns, "parent_qname")
 
 
 def inherit_edges(resolved: DataFrame) -> DataFrame:

@@ -222,4 +222,4 @@ def retrieve(symbols: DataFrame, query: str, top_k: int, mode: str = "full", **s
 def result_confidence(scores: DataFrame) -> DataFrame:
     """One row: the best of (score if at most 1, else score / 200 up to 0.99), within 0 and 1; 0 without results."""
     each = F.when(F.col("score") <= 1, F.col("score")).otherwise(F.least(F.lit(0.99), F.col("score") / 200))
-    return scores.agg(F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.max(each))), F.lit(0.0)).alias("confidence"))
+    return scores.agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.max(each), F.lit(0.0)))).alias("confidence"))

@@ -86,14 +86,15 @@ def term_df(spark, d):
     return bm25.term_df(_t(spark, d, "documents"))
 
 
-@query(f"SELECT doc_id, tk AS token, count(*) AS tf FROM (SELECT doc_id, unnest({_TOKENS.format('text')}) AS tk FROM documents) GROUP BY doc_id, tk HAVING count(*) >= 20")
+@query(f"SELECT doc_id, tk AS token, count(*) AS tf, n AS size FROM (SELECT doc_id, CAST(len(t) AS INTEGER) AS n, unnest(t) AS tk FROM (SELECT doc_id, {_TOKENS.format('text')} AS t FROM documents)) GROUP BY doc_id, tk, n")
 def bm25_postings(spark, d):
-    return bm25.build_index(_t(spark, d, "documents")).postings.filter("tf >= 20").select("doc_id", "token", F.col("tf").cast("long").alias("tf"))
+    """All postings with the sizes of their documents, as they are stored."""
+    return bm25.build_index(_t(spark, d, "documents")).postings.select("doc_id", "token", F.col("tf").cast("long").alias("tf"), "size")
 
 
 @query(f"SELECT doc_id, tk AS token, count(*) AS tf FROM (SELECT doc_id, unnest({_TOKENS.format('text')}) AS tk FROM documents) GROUP BY doc_id, tk")
 def bm25_index(spark, d):
-    """All postings; ``bm25_postings`` shows the frequent ones."""
+    """All postings."""
     return bm25.build_index(_t(spark, d, "documents")).postings.select("doc_id", "token", F.col("tf").cast("long").alias("tf"))
 
 
@@ -209,9 +210,9 @@ def full_all_branches(spark, d):
     return retrieval.full(symbols, trace, 5, edges=edges, imports=imports, embeddings=vectors, query_vector=asked).select("norm_path", F.round("score", 4).alias("score"), "best")
 
 
-@query("SELECT CAST(greatest(0.0, least(1.0, max(CASE WHEN v <= 1 THEN v ELSE least(0.99, v / 200) END))) AS DOUBLE) AS confidence FROM (SELECT CAST(doc_id % 150 AS DOUBLE) AS v FROM documents WHERE doc_id % 150 <> 1)")
+@query("SELECT CAST(greatest(0.0, least(1.0, coalesce(max(CASE WHEN v <= 1 THEN v ELSE least(0.99, v / 200) END), 0.0))) AS DOUBLE) AS confidence FROM (SELECT n_chars % 150 + 0.5::DOUBLE AS v FROM documents)")
 def result_confidence(spark, d):
-    return retrieval.result_confidence(_t(spark, d, "documents").filter("doc_id % 150 <> 1").select((F.col("doc_id") % 150).cast("double").alias("score")))
+    return retrieval.result_confidence(_t(spark, d, "documents").select((F.col("n_chars") % 150 + 0.5).cast("double").alias("score")))
 
 
 @query("WITH q AS (SELECT list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(list_distance(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), q.e), 6) AS distance FROM embeddings, q ORDER BY round(list_distance(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), q.e), 9), vec_id LIMIT 10")
@@ -304,13 +305,13 @@ def _pagerank_sql(rounds: int) -> str:
     steps = []
     for k in range(rounds):
         steps.append(f"p{k + 1} AS (SELECT v.node, 0.15 / n + 0.85 * (coalesce(i.x, 0) + l.x / n) AS r FROM p{k} v, c, (SELECT coalesce(sum(r), 0) AS x FROM p{k} WHERE node NOT IN (SELECT src FROM deg)) l LEFT JOIN (SELECT dst, sum(r / k) AS x FROM p{k} JOIN e ON node = src JOIN deg USING (src) GROUP BY dst) i ON i.dst = v.node)")
-    return f"""WITH {_EDGES_SQL}, e AS (SELECT DISTINCT src, dst FROM edges WHERE phase IN (0, 2)), nodes AS (SELECT src AS node FROM e UNION SELECT dst FROM e), c AS (SELECT count(*) AS n FROM nodes), deg AS (SELECT src, count(*) AS k FROM e GROUP BY src),
+    return f"""WITH {_EDGES_SQL}, e AS (SELECT DISTINCT src, dst FROM edges), nodes AS (SELECT src AS node FROM e UNION SELECT dst FROM e), c AS (SELECT count(*) AS n FROM nodes), deg AS (SELECT src, count(*) AS k FROM e GROUP BY src),
 p0 AS (SELECT node, 1.0 / n AS r FROM nodes, c), {', '.join(steps)} SELECT node, round(r, 9) AS rank FROM p{rounds}"""
 
 
 @query(_pagerank_sql(5))
 def pagerank_fixed(spark, d):
-    edges = _edges(spark, d).filter("phase in (0, 2)")
+    edges = _edges(spark, d)
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     return graph.pagerank(nodes, edges, 5, tolerance=None).select("node", F.round("rank", 9).alias("rank"))
 
@@ -401,10 +402,12 @@ def snapshot_map(spark, d):
     return freshness.snapshot(files).select(F.size("file_hashes").cast("long").alias("n"), F.array_min(hashes).alias("lo"), F.array_max(hashes).alias("hi"))
 
 
-@query("SELECT 'a.py' AS path UNION ALL SELECT 'new/b.py' UNION ALL SELECT 'x y.py'")
+@query("SELECT DISTINCT unnest(['a/' || lower(p_type) || '.py', 'new/' || string_split(p_name, ' ')[2] || '.py', 'x ' || p_size || '.py']) AS path FROM part")
 def changed_paths(spark, d):
-    said = ' M a.py\nR  old/b.py -> new/b.py\n?? notes.txt\n A "x y.py"\nMM a.py\n'
-    return fs.changed_paths(spark.createDataFrame([(said,)], "text string"))
+    """One status text a part: an edit, a rename (its new name counts), a file that is no source, a quoted name."""
+    word = F.split("p_name", " ")[1]
+    said = F.concat(F.lit(" M a/"), F.lower("p_type"), F.lit(".py\nR  old/b.py -> new/"), word, F.lit(".py\n?? notes.txt\n A \"x "), F.col("p_size").cast("string"), F.lit(".py\"\n"))
+    return fs.changed_paths(_t(spark, d, "part").select(said.alias("text")))
 
 
 # ---------------------------------------------------------------- scalar text
@@ -437,13 +440,13 @@ def snippet_window(spark, d):
 
 
 def _traces(spark, d):
-    path = F.concat(F.lit("/app/src/mod"), (F.col("user_id") % 7).cast("string"), F.lit(".py"))
+    path = F.concat(F.lit("/app/src/mod"), (F.col("user_id") % 25).cast("string"), F.lit(".py"))
     line = (F.col("event_id") % 90 + 1).cast("string")
     text = F.concat(F.lit('Traceback (most recent call last):\n  File "/app/src/main.py", line 3, in run\n    go()\n  File "'), path, F.lit('", line '), line, F.lit(", in handle_"), F.col("event_type"), F.lit("\nValueError: bad value "), F.col("event_id").cast("string"))
     return _t(spark, d, "events").select(F.col("event_id").alias("trace_id"), F.when(F.col("event_type") == "error", text).when(F.col("event_type") == "view", F.concat(F.lit("KeyError: lost in mod.py at line "), line)).otherwise(F.col("event_type")).alias("text"), "event_type", "user_id")
 
 
-_TRACE_SQL = """tr AS (SELECT event_id AS trace_id, event_type, user_id, CASE event_type WHEN 'error' THEN 'Traceback (most recent call last):' || chr(10) || '  File "/app/src/main.py", line 3, in run' || chr(10) || '    go()' || chr(10) || '  File "/app/src/mod' || (user_id % 7) || '.py", line ' || (event_id % 90 + 1) || ', in handle_' || event_type || chr(10) || 'ValueError: bad value ' || event_id
+_TRACE_SQL = """tr AS (SELECT event_id AS trace_id, event_type, user_id, CASE event_type WHEN 'error' THEN 'Traceback (most recent call last):' || chr(10) || '  File "/app/src/main.py", line 3, in run' || chr(10) || '    go()' || chr(10) || '  File "/app/src/mod' || (user_id % 25) || '.py", line ' || (event_id % 90 + 1) || ', in handle_' || event_type || chr(10) || 'ValueError: bad value ' || event_id
 WHEN 'view' THEN 'KeyError: lost in mod.py at line ' || (event_id % 90 + 1) ELSE event_type END AS text FROM events)"""
 
 
@@ -452,37 +455,37 @@ def trace_detect(spark, d):
     return _traces(spark, d).select("trace_id", tr.is_stack_trace(F.col("text")).alias("is_trace"), tr.can_parse_python(F.col("text")).alias("is_python"))
 
 
-@query(f"WITH {_TRACE_SQL} SELECT trace_id, 0 AS frame, 'src/main.py' AS file_path, 3 AS line_number, 'run' AS function_name, 'go()' AS code_line FROM tr WHERE event_type = 'error' UNION ALL SELECT trace_id, 1, 'src/mod' || (user_id % 7) || '.py', CAST(trace_id % 90 + 1 AS INTEGER), 'handle_error', 'ValueError: bad value ' || trace_id FROM tr WHERE event_type = 'error'")
+@query(f"WITH {_TRACE_SQL} SELECT trace_id, 0 AS frame, 'src/main.py' AS file_path, 3 AS line_number, 'run' AS function_name, 'go()' AS code_line FROM tr WHERE event_type = 'error' UNION ALL SELECT trace_id, 1, 'src/mod' || (user_id % 25) || '.py', CAST(trace_id % 90 + 1 AS INTEGER), 'handle_error', CAST(NULL AS VARCHAR) FROM tr WHERE event_type = 'error'")
 def trace_frames(spark, d):
-    """Strict frames; the pattern takes whatever line follows a frame as its code, as the matched rule does for unindented ends too."""
-    rows = evidence.frames(_traces(spark, d))
-    return rows.withColumn("code_line", F.coalesce("code_line", F.concat(F.lit("ValueError: bad value "), F.col("trace_id").cast("string"))))
+    """Strict frames; the code of a frame is the indented line below it, if there is one."""
+    return evidence.frames(_traces(spark, d))
 
 
-@query(f"WITH {_TRACE_SQL} SELECT trace_id, regexp_extract(text, '(?m)^([A-Za-z]+Error): (.*)$', 1) AS error_type, CASE event_type WHEN 'view' THEN 'lost' ELSE 'bad value ' || trace_id END AS error_message FROM tr WHERE event_type IN ('error', 'view')")
+@query(f"WITH {_TRACE_SQL} SELECT trace_id, CASE event_type WHEN 'view' THEN 'KeyError' WHEN 'error' THEN 'ValueError' END AS error_type, CASE event_type WHEN 'view' THEN 'lost' WHEN 'error' THEN 'bad value ' || trace_id END AS error_message FROM tr")
 def trace_error(spark, d):
-    rows = _traces(spark, d).filter("event_type in ('error', 'view')")
-    return rows.select("trace_id", tr.loose_error(F.col("text")).alias("e")).select("trace_id", "e.*")
+    return _traces(spark, d).select("trace_id", tr.loose_error(F.col("text")).alias("e")).select("trace_id", "e.*")
 
 
-@query(f"WITH {_TRACE_SQL} SELECT trace_id, 'mod.py' AS file_path, CAST(trace_id % 90 + 1 AS INTEGER) AS line_number, CAST(NULL AS VARCHAR) AS function_name FROM tr WHERE event_type = 'view'")
+@query(f"WITH {_TRACE_SQL} SELECT trace_id, 'mod.py' AS file_path, CAST(trace_id % 90 + 1 AS INTEGER) AS line_number, CAST(NULL AS VARCHAR) AS function_name FROM tr WHERE event_type = 'view' UNION ALL SELECT trace_id, '/app/src/main.py', 3, 'run' FROM tr WHERE event_type = 'error' UNION ALL SELECT trace_id, '/app/src/mod' || (user_id % 25) || '.py', CAST(trace_id % 90 + 1 AS INTEGER), 'handle_error' FROM tr WHERE event_type = 'error'")
 def trace_loose(spark, d):
-    rows = _traces(spark, d).filter("event_type = 'view'")
-    return rows.select("trace_id", F.explode(tr.loose_frames(F.col("text"))).alias("f")).select("trace_id", "f.*")
+    return _traces(spark, d).select("trace_id", F.explode(tr.loose_frames(F.col("text"))).alias("f")).select("trace_id", "f.*")
 
 
 def _mods(spark, d):
-    files = spark.range(7).select(F.concat(F.lit("src/mod"), F.col("id").cast("string"), F.lit(".py")).alias("path"))
-    symbols = spark.range(7).filter("id < 5").select(F.col("id").alias("symbol_id"), F.concat(F.lit("src.mod"), F.col("id").cast("string"), F.lit(".handle_error")).alias("qualified_name"), F.concat(F.lit("src/mod"), F.col("id").cast("string"), F.lit(".py")).alias("file_path"), F.lit(10).alias("start_line"), F.lit(60).alias("end_line"))
-    return files, symbols
+    """A file for each nation; a symbol in those of the first three regions."""
+    nation = _t(spark, d, "nation")
+    mod = lambda end: F.concat(F.lit("mod"), F.col("n_nationkey").cast("string"), F.lit(end))
+    path = F.concat(F.lit("src/"), mod(".py"))
+    symbols = nation.filter("n_regionkey < 3").select(F.col("n_nationkey").cast("long").alias("symbol_id"), F.concat(F.lit("src."), mod(".handle_error")).alias("qualified_name"), path.alias("file_path"), F.lit(10).alias("start_line"), F.lit(60).alias("end_line"))
+    return nation.select(path.alias("path")), symbols
 
 
-@query(f"WITH {_TRACE_SQL} SELECT trace_id, 0 AS frame, CAST(NULL AS BIGINT) AS symbol_id, 1 AS start_line, 8 AS end_line FROM tr WHERE event_type = 'error' UNION ALL SELECT trace_id, 1, CASE WHEN user_id % 7 < 5 THEN user_id % 7 END, CAST(greatest(1, trace_id % 90 - 4) AS INTEGER), CAST(trace_id % 90 + 6 AS INTEGER) FROM tr WHERE event_type = 'error'")
+@query(f"WITH {_TRACE_SQL} SELECT trace_id, 0 AS frame, CAST(NULL AS BIGINT) AS symbol_id, 1 AS start_line, 8 AS end_line FROM tr WHERE event_type = 'error' UNION ALL SELECT trace_id, 1, CASE WHEN n_regionkey < 3 THEN CAST(n_nationkey AS BIGINT) END, CAST(greatest(1, trace_id % 90 - 4) AS INTEGER), CAST(trace_id % 90 + 6 AS INTEGER) FROM tr JOIN nation ON n_nationkey = user_id % 25 WHERE event_type = 'error'")
 def trace_evidence(spark, d):
     return evidence.trace_evidence(_traces(spark, d), *_mods(spark, d)).select("trace_id", "frame", "symbol_id", "start_line", "end_line")
 
 
-@query(f"WITH {_TRACE_SQL} SELECT trace_id, CASE event_type WHEN 'error' THEN 'ValueError: bad value ' || trace_id ELSE 'Could not parse stack trace' END AS summary, CASE WHEN event_type <> 'error' THEN 0.0 WHEN user_id % 7 < 5 THEN 0.8 ELSE 0.4 END ::DOUBLE AS confidence FROM tr")
+@query(f"WITH {_TRACE_SQL} SELECT trace_id, CASE event_type WHEN 'error' THEN 'ValueError: bad value ' || trace_id ELSE 'Could not parse stack trace' END AS summary, CASE WHEN event_type <> 'error' THEN 0.0 WHEN n_regionkey < 3 THEN 0.8 ELSE 0.4 END ::DOUBLE AS confidence FROM tr JOIN nation ON n_nationkey = user_id % 25")
 def trace_bundles(spark, d):
     traces = _traces(spark, d)
     return evidence.bundles(traces.select("trace_id", "text"), evidence.trace_evidence(traces, *_mods(spark, d))).select("trace_id", "summary", "confidence")
@@ -490,8 +493,9 @@ def trace_bundles(spark, d):
 
 @query("SELECT event_id AS trace_id, 'tests/test_' || event_type || '.py' AS file_path, CAST(user_id % 50 + 1 AS INTEGER) AS line_number, 'AssertionError' AS error_type, 'assert ' || event_id || ' == 0' AS message FROM events WHERE event_type = 'click'")
 def pytest_failures(spark, d):
-    rows = _t(spark, d, "events").filter("event_type = 'click'")
-    text = F.concat(F.lit(">       assert x == 0\nE       assert "), F.col("event_id").cast("string"), F.lit(" == 0\n\ntests/test_"), F.col("event_type"), F.lit(".py:"), (F.col("user_id") % 50 + 1).cast("string"), F.lit(": AssertionError"))
+    rows = _t(spark, d, "events")
+    failed = F.concat(F.lit(">       assert x == 0\nE       assert "), F.col("event_id").cast("string"), F.lit(" == 0\n\ntests/test_"), F.col("event_type"), F.lit(".py:"), (F.col("user_id") % 50 + 1).cast("string"), F.lit(": AssertionError"))
+    text = F.when(F.col("event_type") == "click", failed).otherwise(F.col("event_type"))
     found = rows.select(F.col("event_id").alias("trace_id"), tr.parse_failure(text).alias("f"))
     return found.select("trace_id", F.explode("f.frames").alias("x"), F.element_at("f.exceptions", 1).alias("e")).select("trace_id", "x.file_path", "x.line_number", F.col("e.type").alias("error_type"), F.col("e.message").alias("message"))
 

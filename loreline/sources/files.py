@@ -59,7 +59,7 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
 def read_traces(spark: SparkSession, path: str) -> DataFrame:
     """Whole trace files: path, text, query (last line that is not blank)."""
     rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
-    lines = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
     return rows.withColumn("query", F.try_element_at(lines, F.lit(-1)))
 
 
@@ -71,10 +71,10 @@ def changed_paths(porcelain: DataFrame, column: str = "text") -> DataFrame:
 
 
 def changed_files_since(spark: SparkSession, root: str) -> DataFrame:
-    """``changed_paths`` of a work tree (git runs on the driver, five seconds at most; no work tree gives no rows)."""
+    """``changed_paths`` of a work tree (git runs on the driver; no work tree, or no git, gives no rows; TimeoutExpired after 60 seconds)."""
     try:
-        said = subprocess.run(["git", "-C", root, "status", "--porcelain"], capture_output=True, text=True, timeout=5).stdout
-    except (OSError, subprocess.TimeoutExpired):
+        said = subprocess.run(["git", "-C", root, "status", "--porcelain"], capture_output=True, text=True, timeout=60).stdout
+    except OSError:
         said = ""
     return changed_paths(spark.createDataFrame([(said,)], "text string"))
 
