@@ -89,6 +89,43 @@ def test_decontamination_is_the_same_in_any_blocks(spark, monkeypatch):
     assert found() == one and left() == kept
 
 
+def test_decontamination_against_every_window(spark):
+    """Brute force over all starts and items, with words changed, put in and left out: the same pairs, but for those outside the radius."""
+    import math
+    from collections import Counter
+
+    r = random.Random(15)
+    bag = lambda w: Counter(tuple(w[j:j + 5]) for j in range(len(w) - 4)) if len(w) >= 5 else Counter({tuple(w): 1} if w else {})
+    phrases = [[f"p{k}w{j}" for j in range(7)] for k in range(5)]
+    items = [(k, [f"i{k}w{j}" for j in range(r.randint(6, 40))] + r.choice(phrases)) for k in range(30)] + [(30, ["only", "three", "words"])]
+    docs = []
+    for i in range(400):
+        w = list(r.choice(items)[1])
+        for _ in range(r.choice([0, 1, 1, 2, 3])):
+            at = r.randrange(len(w) + 1)
+            w[at:at + r.choice([0, 1])] = r.choice([[f"x{i}"], [f"x{i}", "y"], []])
+        docs.append((i, ["lead"] * r.randint(0, 30) + w + r.choice(phrases)[:r.randint(0, 7)] + ["tail"] * r.randint(0, 9)))
+    df = Counter(s for _, w in items for s in bag(w))
+    weight = lambda s: 1 + math.log(len(items) / df[s]) if s in df else 1 + math.log(len(items))
+    want = set()
+    for i, w in docs:
+        for k, own in items:
+            b = bag(own)
+            for at in range(max(1, len(w) - len(own) + 1)):
+                a = bag(w[at:at + len(own)])
+                low = sum(min(n, a[s]) * weight(s) for s, n in b.items())
+                high = sum(max(a[s], b[s]) * weight(s) for s in a.keys() | b.keys())
+                if low >= 0.8 * high - 1e-9:
+                    want.add((i, k))
+                    break
+    frame = spark.createDataFrame([(i, " ".join(w), 0) for i, w in docs], "doc_id long, text string, item long")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontam.find_contamination(frame, bench).collect()}
+    assert got <= want and len(got) >= 0.98 * len(want) and 150 < len(want)
+    kept = decontam.drop_contaminated(frame, bench)
+    assert kept.columns == frame.columns and {x.doc_id for x in kept.collect()} == {i for i, _ in docs} - {i for i, _ in got}
+
+
 def test_multi_index_finds_all_within_the_radius():
     r = np.random.default_rng(3)
     words = lambda: " ".join(f"w{x}" for x in r.integers(0, 10**6, 20))
