@@ -1,8 +1,8 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, exact weighted-shingle similarity.
 
 Benchmark items become bags of weighted shingles and 64-bit SimHash fingerprints. Every run of words of a text that is as long as some item
-is a window, at every start. Windows whose known shingles (those of any item) hold less than ``similarity`` of their weight cannot reach it
-with any item; running sums over the text tell them, and they are not fingerprinted. Of every other window the multi-index gives
+is a window, at every start. Windows in which the shingles of items of that length hold less than ``similarity`` of the weight cannot
+reach it with any of them; running sums over the text tell them, and they are not fingerprinted. Of every other window the multi-index gives
 the items of its length whose fingerprint lies within ``RADIUS`` bits: the fingerprint is cut into ``PARTS`` blocks, a pair within the
 radius differs by at most RADIUS // PARTS bits in some block, and each block is probed with all values so near, so none within the
 radius is missed. Candidates are verified exactly: weighted Jaccard of shingle bags (weight: rarity among the items) of at least
@@ -114,6 +114,8 @@ class Index:
             return
         every = every or shingles_of(texts, shingle)
         self.place = every.find(self.bag)
+        size_of = np.repeat(self.length, np.diff(self.begin))
+        self.of_size = [np.unique(self.place[size_of == n]) for n in self.sizes]  # the shingles of items of each length
         self.print = fingerprints(self.bag, every.weight(self.place), self.begin[:-1])
         # items by block and value; blocks are runs of bits of nearly equal width
         edge = np.linspace(0, BITS, parts + 1).astype(int)
@@ -170,27 +172,27 @@ def similarities(index: Index, every: Shingles, place: np.ndarray, begin: np.nda
 
 
 def windows_of(index: Index, every: Shingles, words: X.Words, hashes: np.ndarray, ok: np.ndarray, similarity: float) -> tuple[np.ndarray, ...]:
-    """(first word, words) of every item-sized window whose known shingles have enough of its weight, and each word's place."""
+    """(first word, words) of every item-sized window in which shingles of items of that length have enough of the weight, and each word's place."""
     place = np.where(ok, every.find(hashes), -1)
     known = np.flatnonzero(place >= 0)
     if not len(known):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), place
-    n = len(hashes)
     weight = np.where(ok, every.weight(place), 0.0)
-    every_sum = np.concatenate([[0.0], np.cumsum(weight)])
-    known_sum = np.concatenate([[0.0], np.cumsum(np.where(place >= 0, weight, 0.0))])
+    total = np.concatenate([[0.0], np.cumsum(weight)])
     count = np.diff(words.first)
-    starts, sizes = [], []
-    for size in index.sizes:
-        # starts from which the window reaches a known shingle, kept inside the text
-        near = X.spans_cover(np.maximum(known - size + 1, 0), int(size), n)
-        start = np.flatnonzero(near)
-        text = words.text[start]
-        start = np.unique(np.clip(start, words.first[text], np.maximum(words.first[text + 1] - size, words.first[text])))
-        own = np.minimum(size, count[words.text[start]])
-        stop = start + np.maximum(own - index.shingle + 1, 1)
-        told = known_sum[stop] - known_sum[start]
-        good = (told > 0) & (told >= (similarity - 1e-9) * (every_sum[stop] - every_sum[start]))
+    starts, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for size, own in zip(index.sizes, index.of_size):
+        mine = known[np.isin(place[known], own)]
+        if not len(mine):
+            continue
+        told = np.concatenate([[0.0], np.cumsum(weight[mine])])
+        # starts from which the window reaches such a shingle, kept inside the text
+        text = words.text[mine]
+        low = words.first[text]
+        start = np.unique(np.clip(mine[:, None] - np.arange(size), low[:, None], np.maximum(words.first[text + 1] - size, low)[:, None]))
+        stop = start + np.maximum(np.minimum(size, count[words.text[start]]) - index.shingle + 1, 1)
+        inside = told[np.searchsorted(mine, stop)] - told[np.searchsorted(mine, start)]
+        good = (inside > 0) & (inside >= (similarity - 1e-9) * (total[stop] - total[start]))
         starts.append(start[good])
         sizes.append(np.full(int(good.sum()), size))
     return np.concatenate(starts), np.concatenate(sizes), place
