@@ -1,19 +1,27 @@
 """License scan: MinHash bands over overlapping text windows retrieve templates; exact shingle containment verifies them.
 
-Texts are cut into overlapping windows of ``2 n`` words with a step of ``n``, one width for each class of template lengths
-(n the next power of two), so a notice lies whole in some window. A window and a template share a band if their MinHash values
-agree in all ``ROWS`` rows of it; with the shortest share of shingles that a hidden template can have in its window (about
-1 / 4 before edits), ``BANDS`` bands of one row miss it with probability below (3 / 4) ** 32, that is 0.01 %. Candidates are verified
-exactly: at least ``containment`` of the template's shingles stand in the window (or in the two windows that it touches).
-One map over the texts without a shuffle; templates are a fixed, broadcast table.
+Templates are whole license texts (the files in ``licenses``) and the notices by which a work names its license. Texts are cut into
+overlapping windows, one width for each class of template lengths: a class of width w holds templates of w / 1.25 to w words, its windows
+have 3 w / 2 words and begin every w / 2, so a template lies whole in some window. A window and a template share a band if their MinHash
+values agree in all ``ROWS`` rows of it. A template of which the share ``CONTAINMENT`` stands in its window has a Jaccard similarity of at
+least 0.38 with it, so each of the ``BANDS`` bands of two rows is shared with probability 0.148 or more, and all are missed with
+probability below 0.0005. Candidates are verified exactly: at least ``containment`` of the template's shingles stand in the window and the
+halves of the windows beside it.
+
+Windows with fewer shingles of the class's templates than ``containment`` of the smallest one's contain none; they are not hashed. One map
+over the texts without a shuffle; templates are a fixed, broadcast table.
 
 Defined cases: words are runs of letters and digits, ASCII case folded; shingles are ``SHINGLE`` words; null or empty texts match nothing;
 null ids pass through; repeated rows each give their matches; several matches of a license in one text count, the best is
-reported (ties: the first); other columns are ignored; an empty table gives an empty result.
+reported (ties: the first); of templates that overlap in a text, the one with the most shingles there counts; a template of fewer words
+than a shingle is left out; very long texts are mapped alone; other columns are ignored, whatever their names; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,11 +30,12 @@ from pyspark.sql import functions as F
 from loreline.llm import _text as X
 from loreline.llm._frames import col
 
-SHINGLE, BANDS, ROWS, CONTAINMENT = 2, 32, 1, 0.8
+SHINGLE, BANDS, ROWS, CONTAINMENT = 2, 48, 2, 0.8
 U = X.U
+_SECOND = U(0x9FB21C651E98DF25)
 
 # Opening lines and notices of public licenses.
-TEMPLATES = [
+NOTICES = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
@@ -50,41 +59,55 @@ TEMPLATES = [
 ]
 
 
+def templates() -> list[tuple[str, str]]:
+    """(license, text): the notices, and the whole texts by file name."""
+    names = {"GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-3": "LGPL-3.0", "BSD-2-Clause": "BSD", "BSD-3-Clause": "BSD"}
+    files = sorted((Path(__file__).parent / "licenses").glob("*.txt"))
+    return NOTICES + [(names.get(f.stem, f.stem), f.read_text(encoding="utf-8", errors="replace")) for f in files]
+
+
+def width_of(words: int) -> int:
+    """The width of a template's class: 4, and each time a quarter more."""
+    w = 4
+    while w < words:
+        w = -(-5 * w // 4)
+    return w
+
+
+def bands_of(low: np.ndarray) -> np.ndarray:
+    """(bands, n) values of bands from (bands * rows, n) MinHash values."""
+    out = np.zeros((BANDS, low.shape[1]), U)
+    with np.errstate(over="ignore"):
+        for r in range(ROWS):
+            out = X.mix(out * _SECOND + low[r::ROWS])
+    return out
+
+
 class Index:
-    """Templates by width class: shingle sets and the band tables."""
+    """Templates by class: shingle sets and band values."""
 
-    def __init__(self, templates: list[tuple[str, str]], shingle: int = SHINGLE, bands: int = BANDS):
-        self.shingle, self.bands = shingle, bands
+    def __init__(self, given: list[tuple[str, str]], shingle: int = SHINGLE):
+        self.shingle = shingle
         self.names, self.sets, self.words = [], [], []
-        for name, text in templates:
+        for name, text in given:
             data, offsets = X.bytes_of(pa.array([text], pa.large_string()))
-            words = X.split_words(data, offsets, X.NOT_ALNUM)
-            hashes = X.hash_words(data, words, X.LOWER)
-            if len(hashes) < shingle:
-                continue
-            self.names.append(name)
-            self.sets.append(np.unique(X.mix(X.roll(hashes, shingle))))
-            self.words.append(len(hashes))
-        self.half = [1 << (n - 1).bit_length() for n in self.words]
-        self.salts = X.mix(np.arange(1, bands + 1, dtype=U))
-        self.widths = sorted(set(self.half))
-        # (width, band) -> sorted values and the templates that have them
-        self.table = {}
-        for w in self.widths:
-            own = [t for t, h in enumerate(self.half) if h == w]
-            for j, salt in enumerate(self.salts):
-                value = np.array([X.mix(self.sets[t] ^ salt).min() for t in own], U)
-                order = np.argsort(value)
-                self.table[w, j] = (value[order], np.array(own)[order])
-        every = np.unique(np.concatenate(self.sets)) if self.sets else np.zeros(0, U)
-        self.every = every
+            hashes = X.hash_words(data, X.split_words(data, offsets, X.NOT_ALNUM), X.LOWER)
+            if len(hashes) >= shingle:
+                self.names.append(name)
+                self.sets.append(np.unique(X.mix(X.roll(hashes, shingle))))
+                self.words.append(len(hashes))
+        self.salts = X.mix(np.arange(1, BANDS * ROWS + 1, dtype=U))
+        width = np.array([width_of(n) for n in self.words], np.int64)
+        self.classes = []
+        for w in np.unique(width):
+            own = np.flatnonzero(width == w)
+            value = bands_of(np.stack([[X.mix(self.sets[t] ^ salt).min() for t in own] for salt in self.salts]).astype(U))
+            self.classes.append((int(w), own, value, np.unique(np.concatenate([self.sets[t] for t in own])), min(len(self.sets[t]) for t in own)))
+        self.every = np.unique(np.concatenate(self.sets)) if self.sets else np.zeros(0, U)
 
 
 def scan(index: Index, data: np.ndarray, offsets: np.ndarray, containment: float) -> list[tuple]:
-    """(text, license, share of the template's shingles, first word, words) for the best match of each license in each text.
-
-    Of templates that match at one place, those with the largest share count.
-    """
+    """(text, license, share of the template's shingles, first word, words) for the best match of each license in each text."""
     words = X.split_words(data, offsets, X.NOT_ALNUM)
     hashes = X.hash_words(data, words, X.LOWER)
     m = len(hashes) - index.shingle + 1
@@ -93,53 +116,57 @@ def scan(index: Index, data: np.ndarray, offsets: np.ndarray, containment: float
     sh = X.mix(X.roll(hashes, index.shingle))
     inside = words.text[:m] == words.text[index.shingle - 1:]
     at = np.minimum(np.searchsorted(index.every, sh), len(index.every) - 1)
-    told = np.concatenate([[0], np.cumsum(inside & (index.every[at] == sh))])  # a window without any template's shingle contains none
-    count = np.diff(words.first)
+    known = np.flatnonzero(inside & (index.every[at] == sh))
     matches: dict[int, list[tuple]] = {}
-    for half in index.widths:
-        # windows start every ``half`` words of a text and hold the shingles of 2 * half words
-        per = -(-count // half)
-        text = np.repeat(np.arange(len(per)), per)
-        start = words.first[text] + (np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per)) * half
-        stop = np.minimum(start + 2 * half, words.first[text + 1]) - index.shingle + 1
-        ok = (stop > start) & (start < m)
-        ok[ok] = told[np.minimum(stop[ok], m)] > told[start[ok]]
-        start, stop, text = start[ok], stop[ok], text[ok]
+    for width, own, values, shingles, least in index.classes:
+        mine = known[np.isin(sh[known], shingles)]
+        if not len(mine):
+            continue
+        step = max(1, width // 2)
+        first = words.first[words.text[mine]]
+        last = (mine - first) // step  # windows that reach a shingle begin at most width + step words before it
+        back = np.arange((width + step) // step + 1)
+        start = np.unique((first[:, None] + np.maximum(last[:, None] - back, 0) * step).ravel())
+        ends = words.first[words.text[start] + 1]
+        stop = np.minimum(start + width + step, ends) - index.shingle + 1
+        told = np.searchsorted(mine, stop) - np.searchsorted(mine, start)
+        good = (stop > start) & (told >= containment * least)
+        start, stop, ends = start[good], stop[good], ends[good]
         if not len(start):
             continue
         size = stop - start
         begin = np.cumsum(size) - size
-        own = sh[np.repeat(start, size) + np.arange(int(size.sum())) - np.repeat(begin, size)]
-        found = []
-        for j, salt in enumerate(index.salts):
-            low = np.minimum.reduceat(X.mix(own ^ salt), begin)
-            known, who = index.table[half, j]
-            first, last = np.searchsorted(known, low, "left"), np.searchsorted(known, low, "right")
-            for w in np.flatnonzero(last > first):
-                found += [w * len(index.names) + t for t in who[first[w]:last[w]]]
-        for code in np.unique(np.array(found, np.int64)):
-            w, t = divmod(int(code), len(index.names))
-            mine = sh[start[w]:stop[w]]
-            share = len(np.intersect1d(mine, index.sets[t])) / len(index.sets[t])
-            if share >= containment:
-                hit = int(start[w] + np.flatnonzero(np.isin(mine, index.sets[t]))[0] - words.first[text[w]])
-                matches.setdefault(int(text[w]), []).append((-share, hit, index.words[t], index.names[t]))
+        content = sh[np.repeat(start, size) + np.arange(int(size.sum())) - np.repeat(begin, size)]
+        low = np.stack([np.minimum.reduceat(X.mix(content ^ salt), begin) for salt in index.salts])
+        shared = (bands_of(low)[:, :, None] == values[:, None, :]).any(axis=0)
+        for w, t in zip(*np.nonzero(shared)):
+            text = int(words.text[start[w]])
+            lo, hi = max(start[w] - step, words.first[text]), min(stop[w] + step, ends[w] - index.shingle + 1)
+            template = index.sets[own[t]]
+            stands = np.isin(sh[lo:hi], template)
+            n = len(np.unique(sh[lo:hi][stands]))
+            if n >= containment * len(template):
+                begins = int(lo + np.flatnonzero(stands)[0] - words.first[text])
+                matches.setdefault(text, []).append((-n, -n / len(template), begins, index.words[own[t]], index.names[own[t]]))
     out = []
     for text, rows in sorted(matches.items()):
         best: dict[str, tuple] = {}
-        taken: list[tuple] = []
-        for less, hit, n, name in sorted(rows):
-            if any(less > l and hit < h + k and h < hit + n for l, h, k in taken):
-                continue  # another template fits this place better
-            taken.append((less, hit, n))
-            best.setdefault(name, (text, name, -less, hit, n))
+        ranked = sorted(set(rows))
+        rank = {key: k + 1 for k, key in enumerate(sorted({r[:2] for r in ranked}))}
+        taken = np.zeros(max(hit + size for _, _, hit, size, _ in ranked), np.int32)  # at each word the rank of the best match over it
+        for n, share, hit, size, name in ranked:
+            place, own_rank = taken[hit:hit + size], rank[n, share]
+            if ((place > 0) & (place < own_rank)).any():
+                continue  # another template has more in this place
+            place[place == 0] = own_rank
+            best.setdefault(name, (text, name, -share, hit, size))
         out += [best[name] for name in sorted(best)]
     return out
 
 
-def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text", containment: float = CONTAINMENT) -> DataFrame:
+def scan_licenses(docs: DataFrame, given: list[tuple[str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text", containment: float = CONTAINMENT) -> DataFrame:
     """Licenses that a text names: id, license, containment, start_word, n_words."""
-    index = Index(TEMPLATES if templates is None else templates)
+    index = Index(templates() if given is None else given)
     shared = docs.sparkSession.sparkContext.broadcast(index)  # the size of the template list
 
     def run(batches):

@@ -139,11 +139,39 @@ def test_multi_index_finds_all_within_the_radius():
 def test_licenses(spark):
     r = random.Random(4)
     filler = lambda n: " ".join(f"f{r.randrange(900)}" for _ in range(n))
-    docs = [(1, f"{filler(33)}\nReleased under the MIT License.\n{filler(20)}"), (2, "Licensed under CC BY-NC 4.0."), (3, filler(500)), (4, None), (5, ""), (6, filler(90) + " " + license_scan.TEMPLATES[2][1] + " " + filler(7)), (7, "the license of this work is unknown")]
+    docs = [(1, f"{filler(33)}\nReleased under the MIT License.\n{filler(20)}"), (2, "Licensed under CC BY-NC 4.0."), (3, filler(500)), (4, None), (5, ""), (6, filler(90) + " " + license_scan.NOTICES[2][1] + " " + filler(7)), (7, "the license of this work is unknown")]
     got = {(x.doc_id, x.license) for x in license_scan.scan_licenses(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == {(1, "MIT"), (2, "CC-BY-NC-4.0"), (6, "MIT")}
 
 
+def test_licenses_against_plain_containment(spark):
+    """Whole licenses and notices with words changed, left out and put in: what has 0.8 of a template's shingles is found."""
+    import re
+
+    r = random.Random(31)
+    plain = lambda t: [w.lower() for w in re.findall(r"[A-Za-z0-9]+", t)]
+    pairs = lambda w: {tuple(w[j:j + 2]) for j in range(len(w) - 1)}
+    own = [(n, plain(t)) for n, t in license_scan.templates()]
+    assert len({n for n, _ in own}) > 15 and max(len(w) for _, w in own) > 5000
+    docs, want = [], []
+    for i in range(120):
+        name, w = own[i % len(own)]
+        w = list(w)
+        for _ in range(int(len(w) * r.choice([0, 0.01, 0.03, 0.06]))):
+            at = r.randrange(len(w))
+            w[at:at + r.choice([0, 1])] = r.choice([[], [f"x{r.randrange(999)}"]])
+        if len(pairs(w) & pairs(own[i % len(own)][1])) >= 0.8 * len(pairs(own[i % len(own)][1])):
+            want.append((i, name))
+        docs.append((i, " ".join([f"f{r.randrange(999)}" for _ in range(r.randint(0, 700))] + w + [f"f{r.randrange(999)}" for _ in range(90)])))
+    got = {(x.doc_id, x.license) for x in license_scan.scan_licenses(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    missed = [x for x in want if x not in got]
+    assert len(want) > 60 and len(missed) <= 0.02 * len(want), missed
+    clean = [(i, " ".join(r.choice(plain(license_scan.templates()[-1][1])) for _ in range(400))) for i in range(40)]
+    assert license_scan.scan_licenses(spark.createDataFrame(clean, "doc_id long, text string")).count() == 0
+    odd = spark.createDataFrame([(None, "Released under the MIT License.", "a"), (1, None, "b"), (2, "Released under the MIT License. " * 20000, "c")], "doc_id long, text string, license string")
+    assert sorted((x.doc_id or 0, x.license) for x in license_scan.scan_licenses(odd).collect()) == [(0, "MIT"), (2, "MIT")]
+
+
 def labelled(n=400):
     r = random.Random(5)
     calm, rude = [f"calm{k}" for k in range(60)], ["vile", "nasty", "rotten"]
