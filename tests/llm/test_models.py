@@ -269,6 +269,35 @@ def test_html_neighbours_on_the_host(spark, monkeypatch):
     assert got[None, "http://nulls.example/x"] == "m" and got[901, "http://nulls.example/x"] == "o"
 
 
+def test_html_figures_comments_and_broken_markup(spark):
+    import time
+
+    f = html_extract.page_blocks
+    assert f("<article><p>One</p><figure><img src=x><figcaption>A caption</figcaption></figure><p>x<math><mi>y</mi></math></p></article><p>out</p>") == (["One", "A caption", "xy"], True)
+    assert f("<!-- <article> --><script>'<main>'</script><p>text</p>") == (["text"], False)
+    assert f("<p title='a > b'>in</p><p class=\"x>tail</p>") == (["in", "tail"], False)
+    began = time.time()
+    assert len(f("<p><a href=\"x>" * 20001)[0]) >= 0 and len(f("<div class='" * 30000)[0]) >= 0 and f("<!-- " * 50000) == ([], False)
+    long = "".join(f"<p>line {k}</p>" for k in range(30000))
+    assert len(f(long)[0]) == 30000 and time.time() - began < 20
+    rows = [(k, f"http://h.example/{k}", f"<article><p>Head</p><p>{'word ' * 9}{k}</p></article>", "t") for k in range(3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    text = lambda **o: [x.text for x in html_extract.extract_html(df, **o).orderBy("page_id").collect()]
+    assert text() == [f"Head\n{'word ' * 9}{k}" for k in range(3)] and text(difference_marked=True) == [f"{'word ' * 9}{k}" for k in range(3)]
+
+
+def test_lcs_takes_little_memory():
+    import tracemalloc
+
+    r = np.random.default_rng(4)
+    x, y = r.integers(0, 3000, 4000), r.integers(0, 3000, 4000)
+    tracemalloc.start()
+    n = html_extract.shared_lines(x, y).sum()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n > 50 and peak < 4 << 20
+
+
 def test_lcs_mask():
     a = lambda *x: np.array(x, np.int64)
     assert html_extract.shared_lines(a(1, 2, 3, 4, 5), a(1, 3, 9, 5)).tolist() == [True, False, True, False, True]
