@@ -30,16 +30,17 @@ from pyspark.sql import types as T
 from loreline.llm import _linear as L
 from loreline.llm import _text as X
 from loreline.llm._frames import checkpoint, col, discard
-from loreline.llm._sample import take
+from loreline.llm._sample import take, telling
 
 DIMS = 1 << 15
+EFFECT = 0.15  # correlation of a feature with a domain from which it tells it
 SAMPLE = 8_000  # labelled texts the classifier is fitted on, at most
 STEPS = 100  # at most; steps end when the targets are met, or when a step no longer brings them nearer
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, domains: list[str], sample: int = SAMPLE, dims: int = DIMS) -> np.ndarray:
     """Softmax weights (dims, domains); a domain without labelled texts gets the lowest score everywhere."""
-    got = take(docs, labels, id_col, text_col, label_col, sample, dims)
+    got = take(docs, labels, id_col, text_col, label_col, sample, dims, lambda names, df, n: telling(df, n, max(4.0, EFFECT * float(n.sum()) ** 0.5)))
     w = np.zeros((dims + 1, len(domains)))
     use = np.isin(got.names, domains)[got.y] & (got.words > 0) if got.names else np.zeros(0, bool)
     if not use.any():
