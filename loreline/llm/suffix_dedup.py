@@ -192,9 +192,9 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     n = len(text)
     padded = np.concatenate([text.astype(U), np.zeros(8, U)])
     rank = np.zeros(n, U)
-    for j in range(6):  # six symbols of ten bits
-        rank = (rank << U(10)) | padded[j:j + n]
-    have = 6
+    for j in range(7):  # seven symbols of nine bits (bytes and the separator), so that three doublings pass 50
+        rank = (rank << U(9)) | padded[j:j + n]
+    have = 7
     order = np.argsort(rank)
     while True:
         ranked = rank[order]
