@@ -15,6 +15,7 @@ from loreline.functions.text import bm25_tokens
 
 K1, B = 1.5, 0.75
 BROADCAST_ROWS = 100_000
+PUSHED = 200  # tokens that are given to the scan by name
 
 
 @dataclass
@@ -42,9 +43,7 @@ def term_df(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 
 def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Bm25Index:
     tokens = docs.select(F.col(doc_id).alias("doc_id"), bm25_tokens(F.col(text)).alias("tokens")).withColumn("size", F.size("tokens"))
-    # term frequencies inside the row: no shuffle for tf
-    tf = F.transform(F.array_distinct("tokens"), lambda t: F.struct(t.alias("token"), F.size(F.filter(F.col("tokens"), lambda x: x == t)).alias("tf")))
-    postings = tokens.select("doc_id", "size", F.explode(tf).alias("t")).select("t.token", "doc_id", "t.tf", "size")
+    postings = tokens.select("doc_id", "size", F.explode("tokens").alias("token")).groupBy("token", "doc_id").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.first("size").alias("size"))
     return Bm25Index(postings, postings.groupBy("token").agg(F.count(F.lit(1)).alias("df")), corpus_stats(docs, doc_id, text))
 
 
@@ -62,16 +61,33 @@ def search(docs: DataFrame, queries: DataFrame, k: int, doc_id: str = "doc_id",
     One pass finds the query tokens in the corpus (semi-join on the query terms before anything is shuffled), one aggregate
     scores; the document frequency comes from the same filtered postings.
     """
-    asked = queries.select("query_id", F.explode(bm25_tokens(F.col("query"))).alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("times"))
+    asked, side = _asked(queries)
     wanted = asked.select("token").distinct()
-    small = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    side = F.broadcast if small else (lambda d: d)
     tokens = docs.select(F.col(doc_id).alias("doc_id"), bm25_tokens(F.col(text)).alias("tokens"))
     hits = (tokens.select("doc_id", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
             .join(side(wanted), "token", "left_semi").groupBy("token", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.first("size").alias("size")))
     df = hits.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     stats = corpus_stats(docs, doc_id, text)
-    terms = asked.join(df, "token").crossJoin(F.broadcast(stats))  # stats is one row
+    return _ranked(hits, asked.join(df, "token").crossJoin(F.broadcast(stats)), side, k)  # stats is one row
+
+
+def search_index(index: Bm25Index, queries: DataFrame, k: int) -> DataFrame:
+    """``search`` on a stored index: reads the postings of the asked tokens only (files are sorted by token, few tokens are pushed down)."""
+    asked, side = _asked(queries)
+    known = [r[0] for r in asked.select("token").distinct().limit(PUSHED + 1).collect()]
+    postings = index.postings.filter(F.col("token").isin(known)) if len(known) <= PUSHED else index.postings
+    terms = index.terms.filter(F.col("token").isin(known)) if len(known) <= PUSHED else index.terms
+    return _ranked(postings, asked.join(terms, "token").crossJoin(F.broadcast(index.stats)), side, k)  # stats is one row
+
+
+def _asked(queries: DataFrame):
+    """Terms of the queries (query_id, token, times), and broadcast where there are few enough of them."""
+    asked = queries.select("query_id", F.explode(bm25_tokens(F.col("query"))).alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("times"))
+    small = asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return asked, (F.broadcast if small else (lambda d: d))
+
+
+def _ranked(hits: DataFrame, terms: DataFrame, side, k: int) -> DataFrame:
     scored = (hits.join(side(terms), "token")
               .groupBy("query_id", "doc_id")
               .agg(F.sum(F.col("times") * idf(F.col("n"), F.col("df")) * tf_norm(F.col("tf"), F.col("size"), F.col("avgdl"))).alias("score"))

@@ -39,11 +39,11 @@ def rrf(ranked: DataFrame, k: int = RRF_K, by: str | None = None) -> DataFrame:
     return per.groupBy(*part, "key").agg(
         F.sum(F.col("times") / (F.lit(k) + F.col("rank"))).alias("score"),
         F.array_join(F.sort_array(F.collect_set("source")), "+").alias("sources"),
-        F.max_by("source", F.struct("top", -F.col("ord"))).alias("best_source"))
+        F.min_by("source", F.struct(-F.col("top"), "ord")).alias("best_source"))
 
 
 def file_aggregate(rows: DataFrame, top_k: int | None = None, path: str = "file_path", member: str = "symbol_id", by: str | None = None) -> DataFrame:
-    """Group results (path, score, ord, member) by normalised path: best score plus a tenth of the others'; empty paths go.
+    """Group results (path, score, ord, member; ``ord`` of any type that sorts) by normalised path: best score plus a tenth of the others'; empty paths go.
 
     The first of the best (strictly greater wins) gives the row; members are listed in arrival order.
     """
@@ -51,7 +51,7 @@ def file_aggregate(rows: DataFrame, top_k: int | None = None, path: str = "file_
     norm = rows.withColumn("norm_path", normalize_path(F.col(path))).filter("norm_path is not null and norm_path <> ''")
     out = norm.groupBy(*part, "norm_path").agg(
         (F.max("score") + 0.1 * (F.sum("score") - F.max("score"))).alias("score"),
-        F.max_by(member, F.struct("score", -F.col("ord"))).alias("best"),
+        F.min_by(member, F.struct(-F.col("score"), "ord")).alias("best"),
         F.transform(F.array_sort(F.collect_list(F.struct("ord", F.col(member).alias("m")))), lambda x: x["m"]).alias("members"),
         F.min("ord").alias("ord"))
     if top_k is None:
@@ -67,24 +67,39 @@ def merge_candidates(branches: DataFrame) -> DataFrame:
     return branches.groupBy("symbol_id").agg(F.min_by("score", first).alias("score"), F.min(first).alias("at"), F.sort_array(F.collect_set("source")).alias("sources"), F.max(F.when(F.col("source") == "vector", F.col("score"))).alias("vector_score"), F.max(F.when(F.col("source") == "bm25", F.col("score"))).alias("bm25_score"))
 
 
-def _branch(rows: DataFrame, at: int, source: str, score: Column, order: list) -> DataFrame:
-    return rows.select(F.lit(at).alias("branch_ord"), F.row_number().over(Window.orderBy(*order)).cast("long").alias("ord"), "symbol_id", score.cast("double").alias("score"), F.lit(source).alias("source"))
+def _order(*keys: Column) -> Column:
+    """Place within a branch: up to five numbers, compared in turn. No window ranks a branch, which may hold a share of all symbols."""
+    return F.struct(*[(keys[j] if j < len(keys) else F.lit(0)).cast("double" if j == 0 else "long").alias(f"k{j}") for j in range(5)])
 
 
-def lexical(symbols: DataFrame, query: str, k: int, text: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """Branches bm25 and keyword, ``k`` rows at most each."""
-    spark = symbols.sparkSession
-    body = text if text is not None else symbol_text(F.col("name"), F.col("qualified_name"), F.col("docstring"), F.col("signature"))
-    docs = symbols.select("symbol_id", body.alias("text"))
-    asked = spark.createDataFrame([(0, query)], "query_id int, query string")
-    found = bm25.search(docs, asked, k, "symbol_id")
+def _branch(rows: DataFrame, at: int, source: str, score: Column, order: list[str]) -> DataFrame:
+    return rows.select(F.lit(at).alias("branch_ord"), _order(*[F.col(c) for c in order]).alias("ord"), "symbol_id", score.cast("double").alias("score"), F.lit(source).alias("source"))
+
+
+def _top(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Rows of a branch that a limit bounds, numbered from 1."""
+    return rows.withColumn("at", F.row_number().over(Window.orderBy(*order)))
+
+
+def index_text() -> Column:
+    """What the lexical index holds of a symbol."""
+    return symbol_text(F.col("name"), F.col("qualified_name"), F.col("docstring"), F.col("signature"))
+
+
+def lexical(symbols: DataFrame, query: str, k: int, text: Column | None = None, index: bm25.Bm25Index | None = None) -> tuple[DataFrame, DataFrame]:
+    """Branches bm25 and keyword, ``k`` rows at most each. A stored ``index`` of the symbols' text saves reading it all."""
+    asked = symbols.sparkSession.createDataFrame([(0, query)], "query_id int, query string")
+    if index is not None:
+        found = bm25.search_index(index, asked, k)
+    else:
+        found = bm25.search(symbols.select("symbol_id", (text if text is not None else index_text()).alias("text")), asked, k, "symbol_id")
     return (_branch(found.select(F.col("doc_id").alias("symbol_id"), "score", "rank"), 1, "bm25", F.col("score"), ["rank"]),
-            _branch(like_search(symbols, query, k), 2, "keyword", F.lit(KEYWORD), ["symbol_id"]))
+            _branch(_top(like_search(symbols, query, k), ["symbol_id"]), 2, "keyword", F.lit(KEYWORD), ["at"]))
 
 
-def keyword_only(symbols: DataFrame, query: str, top_k: int, text: Column | None = None) -> DataFrame:
+def keyword_only(symbols: DataFrame, query: str, top_k: int, text: Column | None = None, index: bm25.Bm25Index | None = None) -> DataFrame:
     """Substring hits, then BM25 hits not yet seen; the score falls by 0.01 a place (no floor); files."""
-    words, like = lexical(symbols, query, OVERFETCH * top_k, text)
+    words, like = lexical(symbols, query, OVERFETCH * top_k, text, index)
     both = like.withColumn("b", F.lit(0)).unionByName(words.withColumn("b", F.lit(1)))
     first = both.groupBy("symbol_id").agg(F.min(F.struct("b", "ord")).alias("at"))
     ranked = first.withColumn("ord", F.row_number().over(Window.orderBy("at.b", "at.ord")).cast("long"))  # at most 8 k rows
@@ -116,7 +131,7 @@ def graph_branch(symbols: DataFrame, seeds: DataFrame, edges: DataFrame, hops: i
 
 def seeds_of(like: DataFrame, words: DataFrame) -> DataFrame:
     """The first three of each list, in that order, once each."""
-    both = like.filter(F.col("ord") <= SEEDS).withColumn("b", F.lit(0)).unionByName(words.filter(F.col("ord") <= SEEDS).withColumn("b", F.lit(1)))
+    both = like.filter(F.col("ord.k0") <= SEEDS).withColumn("b", F.lit(0)).unionByName(words.filter(F.col("ord.k0") <= SEEDS).withColumn("b", F.lit(1)))
     first = both.groupBy("symbol_id").agg(F.min(F.struct("b", "ord")).alias("at"))
     return first.select("symbol_id", F.row_number().over(Window.orderBy("at.b", "at.ord")).alias("seed_ord"))
 
@@ -133,18 +148,22 @@ def trace_branch(symbols: DataFrame, edges: DataFrame, imports: DataFrame, query
     neighbours = near.join(symbols.select("symbol_id", F.col("qualified_name").alias("node")), "node").select(F.col("o.frame").alias("frame"), F.col("o.symbol_id").alias("match"), F.lit(1).alias("phase"), "depth", "symbol_id")
     files = direct.select("frame", F.col("symbol_id").alias("match"), "file_path").join(imports.select(F.col("path").alias("file_path"), "module_path", F.coalesce("line_number", F.lit(0)).alias("depth")), "file_path")
     targets = files.select("frame", "match", "depth", F.concat(F.lower("module_path"), F.lit(".py")).alias("tail"))
-    imported = symbols.select("symbol_id", F.lower("file_path").alias("p"), F.substring_index(F.lower("file_path"), "/", -1).alias("last")).join(F.broadcast(targets), F.expr("endswith(p, tail)")).select("frame", "match", F.lit(2).alias("phase"), "depth", "symbol_id")
+    # a path that ends with a target ends with its last characters, as many as the shortest target has: an equality to join by
+    shortest = targets.agg(F.min(F.length("tail")).alias("n"))
+    ends = lambda d, c: d.crossJoin(F.broadcast(shortest)).withColumn("end", F.right(F.col(c), F.col("n"))).drop("n")  # one row
+    imported = (ends(symbols.select("symbol_id", F.lower("file_path").alias("p")), "p").join(ends(targets, "tail"), "end").filter(F.expr("endswith(p, tail)"))
+                .select("frame", "match", F.lit(2).alias("phase"), "depth", "symbol_id"))
     every = (direct.select("frame", F.col("symbol_id").alias("match"), F.lit(0).alias("phase"), F.lit(0).alias("depth"), "symbol_id").unionByName(neighbours).unionByName(imported))
     first = every.groupBy("symbol_id").agg(F.min(F.struct("frame", "match", "phase", "depth")).alias("at"))
     score = F.when(F.col("at.phase") == 0, TRACE_DIRECT).when(F.col("at.phase") == 1, TRACE_GRAPH).otherwise(TRACE_IMPORT)
     source = F.when(F.col("at.phase") == 0, "trace_direct").when(F.col("at.phase") == 1, "trace_graph").otherwise("trace_import")
     rows = first.select("symbol_id", "at", score.alias("score"), source.alias("source"))
-    return rows.select(F.lit(0).alias("branch_ord"), F.row_number().over(Window.orderBy("at", "symbol_id")).cast("long").alias("ord"), "symbol_id", "score", "source")
+    return rows.select(F.lit(0).alias("branch_ord"), _order(*[F.col(f"at.{c}") for c in ("frame", "match", "phase", "depth")], F.col("symbol_id")).alias("ord"), "symbol_id", "score", "source")
 
 
-def branches(symbols: DataFrame, query: str, top_k: int, edges: DataFrame | None = None, imports: DataFrame | None = None, embeddings: DataFrame | None = None, query_vector: list[float] | None = None, hops: int = 2, text: Column | None = None) -> DataFrame:
+def branches(symbols: DataFrame, query: str, top_k: int, edges: DataFrame | None = None, imports: DataFrame | None = None, embeddings: DataFrame | None = None, query_vector: list[float] | None = None, hops: int = 2, text: Column | None = None, index: bm25.Bm25Index | None = None) -> DataFrame:
     """Bag union of all branches in the order trace, bm25, keyword, vector, graph."""
-    words, like = lexical(symbols, query, OVERFETCH * top_k, text)
+    words, like = lexical(symbols, query, OVERFETCH * top_k, text, index)
     parts = [words, like]
     if embeddings is not None and query_vector is not None:
         near = vector.knn(embeddings.withColumnRenamed("symbol_id", "id"), query_vector, OVERFETCH * top_k)
@@ -159,7 +178,7 @@ def branches(symbols: DataFrame, query: str, top_k: int, edges: DataFrame | None
 def hybrid(symbols: DataFrame, query: str, top_k: int, **sides) -> DataFrame:
     """Reciprocal rank fusion of all branches, then files."""
     rows = branches(symbols, query, top_k, **sides)
-    fused = rrf(rows.select("source", F.col("symbol_id").alias("key"), "score", (F.col("branch_ord") * 1_000_000 + F.col("ord")).alias("ord")))
+    fused = rrf(rows.select("source", F.col("symbol_id").alias("key"), "score", F.struct("branch_ord", "ord").alias("ord")))
     named = fused.select(F.col("key").alias("symbol_id"), "score", "sources", F.col("key").alias("ord")).join(symbols.select("symbol_id", "file_path", "name", "qualified_name"), "symbol_id")
     return file_aggregate(named, top_k)
 
@@ -203,13 +222,12 @@ def rerank(candidates: DataFrame, symbols: DataFrame, query: str, corrected: boo
 def full(symbols: DataFrame, query: str, top_k: int, corrected: bool = False, **sides) -> DataFrame:
     """Merge all branches by symbol, rerank, files."""
     scored = rerank(merge_candidates(branches(symbols, query, top_k, **sides)), symbols, query, corrected)
-    ranked = scored.withColumn("ord", F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), "at.branch_ord", "at.ord")).cast("long"))
-    return file_aggregate(ranked, top_k)
+    return file_aggregate(scored.withColumn("ord", F.struct(-F.round("score", 9), "at")), top_k)
 
 
 def retrieve(symbols: DataFrame, query: str, top_k: int, mode: str = "full", **sides) -> DataFrame:
     if mode == "keyword_only":
-        return keyword_only(symbols, query, top_k)
+        return keyword_only(symbols, query, top_k, index=sides.get("index"))
     if mode == "symbol_only":
         return symbol_only(symbols, query, top_k)
     if mode == "hybrid":

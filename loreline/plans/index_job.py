@@ -1,4 +1,8 @@
-"""The index job: scan, diff, parse what changed, resolve, commit a version."""
+"""The index job: scan, diff, parse what changed, resolve, commit a version.
+
+A version holds the parsed rows of its files, so a later one parses only files whose (path, hash) is new; inferred types and embeddings of
+unchanged files are carried over too. Names are resolved anew over all files, as a new file may change what an old one refers to.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loreline import schemas
-from loreline.operators import freshness, graph, resolve, types
+from loreline.functions.text import content_hash
+from loreline.operators import bm25, freshness, graph, resolve, retrieval, types, vector
 from loreline.options import IndexOptions, IndexResult
 from loreline.sources import files as sources
 from loreline.sources import python_source as py
@@ -20,9 +25,15 @@ def _pick(df: DataFrame, schema) -> DataFrame:
     return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
 
 
-def build_tables(spark: SparkSession, scanned: DataFrame, embeddings: DataFrame | None = None) -> tuple[dict[str, DataFrame], dict[str, int], list[str]]:
-    """All index tables of a scan (path, content, size_bytes). Parsing happens once: its result is written to the shared folder."""
-    parsed = checkpoint(py.parse_files(scanned))
+def build_tables(spark: SparkSession, scanned: DataFrame, embeddings: DataFrame | None = None, store: IndexStore | None = None) -> tuple[dict[str, DataFrame], dict[str, int], list[str]]:
+    """All index tables of a scan (path, content, size_bytes). Parsing happens once: its result is written to the shared folder.
+
+    With a ``store`` only files that its latest version does not hold are parsed. ``embeddings`` (symbol_id, embedding) replace carried ones.
+    """
+    hashed = scanned.withColumn("hash", content_hash(F.col("content").cast("binary")))
+    old = store.read("parsed") if store is not None and store.version() else spark.createDataFrame([], schemas.PARSED)
+    fresh = checkpoint(py.parse_files(freshness.to_parse(hashed, old)))
+    parsed = checkpoint(freshness.unchanged(old, hashed).unionByName(fresh))
     symbols = checkpoint(py.with_parents(py.symbols_of(parsed)))
     imports, bases, raw_calls = py.imports_of(parsed), py.bases_of(parsed), py.calls_of(parsed)
     index = resolve.symbol_index(symbols)
@@ -31,33 +42,46 @@ def build_tables(spark: SparkSession, scanned: DataFrame, embeddings: DataFrame
     parents = resolve.resolve_parents(bases, imports, index)
     edges = resolve.import_edges(imports, symbols).unionByName(resolve.inherit_edges(parents)).unionByName(resolve.call_edges(resolved))
     files = parsed.select(F.xxhash64("path").alias("file_id"), "path", "hash", F.lit("python").alias("language"), "line_count", "size_bytes")
+    of_fresh = symbols.join(fresh.select(F.col("path").alias("file_path")), "file_path", "left_semi")
+    of_kept = symbols.join(fresh.select(F.col("path").alias("file_path")), "file_path", "left_anti")
+
+    def carried(table: str) -> DataFrame:
+        rows = store.read(table) if store is not None and store.version() else spark.createDataFrame([], schemas.TABLES[table])
+        return vector.drop_stale(rows, of_kept)
+
+    lexical = bm25.build_index(symbols.select("symbol_id", retrieval.index_text().alias("text")), "symbol_id")
     nodes = symbols.select("qualified_name", "type", "file_path", (F.col("end_line") - F.col("start_line") + 1).alias("line_count"))
     tables = {"files": _pick(files, schemas.FILES), "symbols": symbols.select(*[c for c in symbols.columns if c != "pos"]), "imports": _pick(imports, schemas.IMPORTS), "calls": _pick(calls, schemas.CALLS),
-              "inherits": _pick(resolve.stored_inherits(parents, symbols), schemas.INHERITS), "type_info": _pick(types.type_info(symbols, scanned), schemas.TYPE_INFO), "nodes": _pick(nodes, schemas.NODES), "edges": _pick(graph.digraph(edges), schemas.EDGES)}
+              "inherits": _pick(resolve.stored_inherits(parents, symbols), schemas.INHERITS), "type_info": _pick(types.type_info(of_fresh, scanned), schemas.TYPE_INFO).unionByName(_pick(carried("type_info"), schemas.TYPE_INFO)), "nodes": _pick(nodes, schemas.NODES), "edges": _pick(graph.digraph(edges), schemas.EDGES)}
+    tables |= {"parsed": parsed, "errors": parsed.filter("error is not null").select("path", "error"), "bm25_postings": lexical.postings, "bm25_terms": lexical.terms, "bm25_stats": lexical.stats}
     if embeddings is not None:
-        tables["embeddings"] = embeddings
+        new = embeddings.select("symbol_id", "embedding", *(["ord"] if "ord" in embeddings.columns else [F.lit(0).alias("ord")]))
+        tables["embeddings"] = vector.upsert(carried("embeddings").select("symbol_id", "embedding"), new)
+    elif store is not None and store.version():
+        tables["embeddings"] = carried("embeddings")
     n = symbols.agg(F.count(F.lit(1)), F.count_if(F.col("type") == "class")).first()
-    errors = [r[0] for r in parsed.filter("error is not null").select(F.concat_ws(": ", "path", "error")).orderBy("path").limit(1000).collect()]  # a report keeps at most 1000
-    stats = {"files": parsed.count(), "parse_errors": parsed.filter("error is not null").count(), "symbols": n[0], "classes": n[1], "functions": n[0] - n[1], "imports": imports.count(), "calls": raw_calls.count(), "resolved_calls": calls.count(), "unresolved_calls": misses.count()}
+    errors = [r[0] for r in parsed.filter("error is not null").select(F.concat_ws(": ", "path", "error")).orderBy("path").limit(1000).collect()]  # for display; the table ``errors`` holds all
+    stats = {"files": parsed.count(), "parsed": fresh.count(), "parse_errors": parsed.filter("error is not null").count(), "symbols": n[0], "classes": n[1], "functions": n[0] - n[1], "imports": imports.count(), "calls": raw_calls.count(), "resolved_calls": calls.count(), "unresolved_calls": misses.count()}
     return tables, stats, errors
 
 
 def index_directory(spark: SparkSession, root: str, store_root: str, options: IndexOptions = IndexOptions(), embeddings: DataFrame | None = None) -> IndexResult:
-    """Index a source tree into a new version. Incremental: nothing is parsed or written if no file changed."""
+    """Index a source tree into a new version. Incremental: only new and changed files are parsed, and nothing is written if there are none.
+
+    ``skipped`` counts files that do not parse.
+    """
     began = time.time()
     store = IndexStore(spark, store_root)
     scanned = sources.scan_tree(spark, root, options)
-    skipped = 0
     if options.incremental and store.version():
         status = freshness.diff(store.read("files"), sources.file_table(scanned))
         counts = {r[0]: r[1] for r in status.groupBy("status").count().collect()}
-        skipped = counts.get("unchanged", 0)
-        if set(counts) <= {"unchanged"}:
+        if set(counts) <= {"unchanged"} and embeddings is None:
             s = store.stats()
-            return IndexResult(store.version(), s.get("files", 0), skipped, s.get("symbols", 0), s.get("classes", 0), s.get("functions", 0), s.get("imports", 0), s.get("calls", 0), s.get("resolved_calls", 0), s.get("unresolved_calls", 0), time.time() - began)
-    tables, stats, errors = build_tables(spark, scanned, embeddings)
+            return IndexResult(store.version(), s.get("files", 0), s.get("parse_errors", 0), *[s.get(k, 0) for k in ("symbols", "classes", "functions", "imports", "calls", "resolved_calls", "unresolved_calls")], time.time() - began)
+    tables, stats, errors = build_tables(spark, scanned, embeddings, store if options.incremental else None)
     version = store.write_version(tables, stats)
-    return IndexResult(version, stats["files"], skipped + stats["parse_errors"], stats["symbols"], stats["classes"], stats["functions"], stats["imports"], stats["calls"], stats["resolved_calls"], stats["unresolved_calls"], time.time() - began, errors)
+    return IndexResult(version, stats["files"], stats["parse_errors"], stats["symbols"], stats["classes"], stats["functions"], stats["imports"], stats["calls"], stats["resolved_calls"], stats["unresolved_calls"], time.time() - began, errors)
 
 
 def check_freshness(spark: SparkSession, root: str, store_root: str, options: IndexOptions = IndexOptions()) -> DataFrame:

@@ -10,6 +10,7 @@ from loreline.operators import evidence, freshness, graph, retrieval, skeleton
 from loreline.options import QueryOptions
 from loreline.plans import index_job
 from loreline.sources import files as sources
+from loreline.sources.shared import checkpoint
 from loreline.sources.store import IndexStore
 
 
@@ -31,13 +32,13 @@ class QueryService:
         """Files in rank order: path, score, best symbol with its place, members, confidence of the whole result, snippet or skeleton."""
         self._fresh()
         symbols = self.symbols()
-        sides = {}
+        sides = {"index": self.store.lexical()}
         if options.mode in ("hybrid", "full"):
             embeddings = self.store.read("embeddings") if query_vector else None
-            sides = dict(edges=self.store.read("edges"), imports=self.store.read("imports"), embeddings=embeddings, query_vector=query_vector, hops=options.graph_hops)
+            sides |= dict(edges=self.store.read("edges"), imports=self.store.read("imports"), embeddings=embeddings, query_vector=query_vector, hops=options.graph_hops)
             if options.mode == "full":
                 sides["corrected"] = options.corrected_scores
-        found = retrieval.retrieve(symbols, query, options.max_results, options.mode, **sides)
+        found = checkpoint(retrieval.retrieve(symbols, query, options.max_results, options.mode, **sides))  # max_results rows, planned once
         rows = found.join(symbols.select(F.col("symbol_id").alias("best"), "name", "qualified_name", "file_path", "start_line", "end_line", "docstring", "signature"), "best")
         rows = rows.crossJoin(F.broadcast(retrieval.result_confidence(found)))  # one row
         if options.include_code and self.root:
@@ -45,7 +46,8 @@ class QueryService:
         return rows.orderBy(F.desc(F.round("score", 9)), "ord")
 
     def _with_code(self, rows: DataFrame, query: str) -> DataFrame:
-        code = sources.scan_tree(self.spark, self.root).select(F.col("path").alias("file_path"), F.decode("content", "UTF-8").alias("content"))
+        paths = [r[0] for r in rows.select("file_path").distinct().collect()]  # at most max_results
+        code = sources.read_files(self.spark, self.root, paths).select(F.col("path").alias("file_path"), F.decode("content", "UTF-8").alias("content"))
         failure = self.spark.range(1).select(parse_failure(F.lit(query)).alias("f")).filter("f is not null").select(F.explode("f.frames").alias("x")).select("x.*")
         active = skeleton.match_active_lines(rows.select("file_path").distinct(), skeleton.active_lines(failure))
         rows = rows.join(code, "file_path", "left").join(active, "file_path", "left")
@@ -59,8 +61,9 @@ class QueryService:
         return self.store.symbol(qualified_name)
 
     def symbol_source(self, qualified_name: str) -> DataFrame:
-        code = sources.scan_tree(self.spark, self.root).select("path", F.decode("content", "UTF-8").alias("content"))
-        return sources.extract_symbols_source(self.symbol_info(qualified_name), code)
+        found = self.symbol_info(qualified_name)
+        code = sources.read_files(self.spark, self.root, [r[0] for r in found.select("path").collect()])  # one symbol
+        return sources.extract_symbols_source(found, code.select("path", F.decode("content", "UTF-8").alias("content")))
 
     def callers(self, qualified_name: str) -> DataFrame:
         return graph.callers(self.store.read("calls"), self.symbols(), qualified_name)

@@ -20,8 +20,6 @@ TYPE_INFO = _struct(symbol_id=L, parameter_name=S, type_annotation=S, inferred_t
 EMBEDDINGS = _struct(symbol_id=L, embedding=T.ArrayType(T.FloatType()))
 NODES = _struct(qualified_name=S, type=S, file_path=S, line_count=I)
 EDGES = _struct(src=S, dst=S, relation_type=S, line_number=I, weight=D, confidence=D, resolution=S, phase=I, ord=L)
-TABLES = {"files": FILES, "symbols": SYMBOLS, "imports": IMPORTS, "calls": CALLS, "inherits": INHERITS, "type_info": TYPE_INFO, "embeddings": EMBEDDINGS, "nodes": NODES, "edges": EDGES}
-
 SYMBOL_TYPES = ("class", "function", "method", "variable", "module", "interface", "enum", "property")
 
 PARSED = T.StructType([
@@ -31,4 +29,9 @@ PARSED = T.StructType([
     T.StructField("calls", T.ArrayType(_struct(target=S, call_type=S, caller_class=S, caller_qname=S, line_number=I, chain=S))),
     T.StructField("bases", T.ArrayType(_struct(child=S, parent=S, line_number=I))),
 ])
+POSTINGS = _struct(token=S, doc_id=L, tf=I, size=I)
+TERMS = _struct(token=S, df=L)
+BM25_STATS = _struct(n=L, avgdl=D)
+ERRORS = _struct(path=S, error=S)
+TABLES = {"files": FILES, "symbols": SYMBOLS, "imports": IMPORTS, "calls": CALLS, "inherits": INHERITS, "type_info": TYPE_INFO, "embeddings": EMBEDDINGS, "nodes": NODES, "edges": EDGES, "parsed": PARSED, "errors": ERRORS, "bm25_postings": POSTINGS, "bm25_terms": TERMS, "bm25_stats": BM25_STATS}
 CASES = T.StructType([T.StructField("case_id", S), T.StructField("type", S), T.StructField("query", S), T.StructField("expected_files", T.ArrayType(S)), T.StructField("expected_functions", T.ArrayType(S))])

@@ -33,6 +33,19 @@ def scan_tree(spark: SparkSession, root: str, options: IndexOptions = IndexOptio
     return rows.filter(~ignored(F.col("path"), options))
 
 
+def read_files(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
+    """path, content of these files of a tree, those that exist; nothing else is listed or read."""
+    base = root.rstrip("/")
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    there = [p for p in paths if p and (at := jvm.org.apache.hadoop.fs.Path(f"{base}/{p}")).getFileSystem(conf).exists(at)]
+    if not there:
+        return spark.createDataFrame([], "path string, content binary")
+    files = spark.read.format("binaryFile").load([re.sub(r"([\\*?\[\]{}])", r"\\\1", f"{base}/{p}") for p in there])
+    tail = base.split("://")[-1].lstrip("/")
+    return files.select(F.substring_index("path", tail + "/", -1).alias("path"), "content")
+
+
 def ignored(path: Column, options: IndexOptions = IndexOptions()) -> Column:
     """Glob match, prefix of the bare pattern, or a folder that is never scanned."""
     parts = F.split(path, "/")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loreline.errors import GraphChecksumError, IndexNotFound
+from loreline.operators.bm25 import Bm25Index
 from loreline.schemas import TABLES
 
 MANIFEST = "version long, stats map<string,long>, checksum string"
@@ -56,11 +57,20 @@ class IndexStore:
         v = self.version() + 1
         order = {"files": "path", "symbols": "qualified_name", "edges": "src", "nodes": "qualified_name", "imports": "path"}
         for name, df in tables.items():
+            if name == "bm25_postings":  # files by token, so that a search reads those of its tokens; a hot token spreads over several
+                df = df.repartitionByRange("token", "doc_id").sortWithinPartitions("token")
             (df.sortWithinPartitions(order[name]) if name in order else df).write.mode("overwrite").parquet(self._path(f"v={v}", name))
         sum_of = graph_checksum(self.spark.read.parquet(self._path(f"v={v}", "edges"))) if "edges" in tables else ""
         self.spark.createDataFrame([(v, {k: int(x) for k, x in stats.items()}, sum_of)], MANIFEST).coalesce(1).write.mode("append").parquet(self._path("manifest"))
         return v
 
+    def lexical(self) -> Bm25Index | None:
+        """The stored inverted index; None before the first version and in versions without one."""
+        v = self.version()
+        if not v or not self._exists(self._path(f"v={v}", "bm25_postings")):
+            return None
+        return Bm25Index(*[self.read(f"bm25_{t}", v) for t in ("postings", "terms", "stats")])
+
     def load_graph(self) -> tuple[DataFrame, DataFrame]:
         """(nodes, edges) after a checksum test; without an index an empty graph."""
         if not self.version():

@@ -112,6 +112,43 @@ def test_index_query_refresh(spark, project, tmp_path):
     assert svc.store.version() == 0 and svc.store.load_graph()[1].count() == 0
 
 
+def test_refresh_parses_what_changed_and_keeps_the_rest(spark, project, tmp_path):
+    store = str(tmp_path / "ix")
+    vectors = lambda ix: {r.symbol_id: list(r.embedding) for r in ix.read("embeddings").collect()}
+    assert index_job.index_directory(spark, str(project), store).skipped == 1
+    ix = IndexStore(spark, store)
+    assert ix.get_stat("parsed") == 3
+    ids = {r.qualified_name: r.symbol_id for r in ix.read("symbols").collect()}
+    given = spark.createDataFrame([(i, [float(k), 1.0]) for k, i in enumerate(ids.values())], "symbol_id long, embedding array<float>")
+    index_job.index_directory(spark, str(project), store, IndexOptions(incremental=True), given)
+    assert ix.version() == 2 and ix.get_stat("parsed") == 0 and len(vectors(ix)) == len(ids) == 7
+    types = ix.read("type_info").count()
+    (project / "db.py").write_text("def query(sql):\n    return sql\n\n\ndef more(x: int):\n    return x\n")
+    done = index_job.refresh_if_stale(spark, str(project), store)
+    assert (done.version, done.files, done.skipped, done.symbols) == (3, 3, 1, 8) and ix.get_stat("parsed") == 1
+    assert set(vectors(ix)) == {i for n, i in ids.items() if n.startswith("auth.")} and ix.read("type_info").count() >= types
+    assert [r.path for r in ix.read("errors").collect()] == ["bad.py"]
+    # a rebuild from nothing gives the same tables
+    index_job.index_directory(spark, str(project), str(tmp_path / "other"))
+    for table in ("files", "symbols", "imports", "calls", "inherits", "type_info", "edges", "nodes", "bm25_postings", "bm25_terms", "bm25_stats"):
+        rows = lambda at: sorted(map(str, IndexStore(spark, at).read(table).collect()))  # noqa: B023, E731
+        assert rows(store) == rows(str(tmp_path / "other")), table
+
+
+def test_a_stored_index_answers_like_a_scan(spark, project, tmp_path):
+    from loreline.operators import bm25, retrieval
+
+    store = str(tmp_path / "ix")
+    index_job.index_directory(spark, str(project), store)
+    symbols, stored = IndexStore(spark, store).read("symbols"), IndexStore(spark, store).lexical()
+    asked = spark.createDataFrame([(0, "log a user in"), (1, "query query"), (2, "zzz")], "query_id int, query string")
+    docs = symbols.select("symbol_id", retrieval.index_text().alias("text"))
+    want = sorted((r.query_id, r.doc_id, round(r.score, 9), r["rank"]) for r in bm25.search(docs, asked, 5, "symbol_id").collect())
+    got = bm25.search_index(stored, asked, 5)
+    assert want and sorted((r.query_id, r.doc_id, round(r.score, 9), r["rank"]) for r in got.collect()) == want
+    assert "PushedFilters: [In(token" in got._jdf.queryExecution().toString()
+
+
 def test_watch_stream(spark, project, tmp_path):
     import time
 
