@@ -33,7 +33,7 @@ def neighbours(edges: DataFrame) -> DataFrame:
 
 def bfs_from(edges: DataFrame, starts: DataFrame, tag: str, hops: int) -> DataFrame:
     """Undirected reach of many starts (tag, node) at once: tag, node, depth. A start that is no node of the graph reaches nothing."""
-    pairs = neighbours(edges)
+    pairs = checkpoint(neighbours(edges))  # read in every hop
     known = pairs.select(F.col("a").alias("node")).distinct()
     seen = starts.select(tag, "node").distinct().join(known, "node", "left_semi").select(tag, "node", F.lit(0).alias("depth"))
     front = seen
@@ -98,7 +98,7 @@ def shortest_path(edges: DataFrame, source: str, target: str, most: int | None =
     A breadth-first front keeps one parent a node (the one with the smallest path), so a level holds each node once.
     """
     spark = edges.sparkSession
-    pairs = edges.select("src", "dst").distinct()
+    pairs = checkpoint(edges.select("src", "dst").distinct())
     if source == target:
         return [source] if not pairs.filter((F.col("src") == source) | (F.col("dst") == source)).isEmpty() else None
     front = spark.createDataFrame([(source, [source])], "node string, path array<string>")
@@ -118,7 +118,7 @@ def shortest_path(edges: DataFrame, source: str, target: str, most: int | None =
 def path_lengths(edges: DataFrame, source: str, most: int | None = None) -> DataFrame:
     """node, length of the shortest directed path from the source (of ``most`` hops, if given)."""
     spark = edges.sparkSession
-    pairs = edges.select("src", "dst").distinct()
+    pairs = checkpoint(edges.select("src", "dst").distinct())
     seen = front = spark.createDataFrame([(source, 0)], "node string, length int")
     for d in itertools.count(1) if most is None else range(1, most + 1):
         front = checkpoint(front.join(pairs, front["node"] == pairs["src"]).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("length", F.lit(d)))

@@ -112,7 +112,9 @@ def token_overlap(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.round(fx.token_overlap(asked, own), 6).alias("overlap")).filter("overlap > 0")
 
 
-@query()
+# names here have no runs of capitals, so one pattern gives their camel parts
+@query(r"""SELECT p_partkey, list_sort(list_distinct(list_filter(flatten(list_transform(string_split(x, ' '), lambda w: list_concat([lower(w)], list_transform(string_split_regex(w, '[/.\\\-_]+'), lambda t: lower(t)), list_transform(string_split(w, '_'), lambda t: lower(t)), list_transform(regexp_extract_all(w, '[A-Z]?[a-z]+'), lambda t: lower(t))))), lambda t: len(t) > 1))) AS tokens
+FROM (SELECT p_partkey, 'src/' || replace(p_name, ' ', '_') || '/' || array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ') || 'Test.py' AS x FROM part)""")
 def code_tokenize(spark, d):
     name = F.concat(F.lit("src/"), F.regexp_replace("p_name", " ", "_"), F.lit("/"), F.initcap("p_name"), F.lit("Test.py"))
     return _t(spark, d, "part").select("p_partkey", F.array_sort(fx.code_tokens(name)).alias("tokens"))
