@@ -203,6 +203,28 @@ def test_toxicity_and_quality(spark):
     assert score_toxicity(df.limit(0), lab).count() == quality.score_quality(df.limit(0), lab).count() == 0
 
 
+def test_severity_follows_given_grades(spark):
+    """Labels 0 .. 3 by people: on texts held out, severity orders the grades and its mean error is small; conflicting labels, odd columns."""
+    r = random.Random(41)
+    calm = [f"calm{k}" for k in range(80)]
+    marks = {1: ["silly", "dull"], 2: ["nasty", "rotten"], 3: ["vile", "hateful"]}
+    docs = []
+    for i in range(900):
+        g = r.choice([0, 0, 0, 1, 2, 3])
+        w = [r.choice(calm) for _ in range(r.randint(10, 50))]
+        for k in range(1, g + 1):
+            w.insert(r.randrange(len(w)), r.choice(marks[k]))
+        docs.append((i, " ".join(w), g))
+    df = spark.createDataFrame(docs, "doc_id long, text string, toxic int")
+    lab = spark.createDataFrame([(i, g) for i, _, g in docs if i % 3] + [(1, 0), (2, None), (None, 3)], "doc_id long, toxic int")
+    got = {x.doc_id: x for x in score_toxicity(df, lab, grades=4).collect()}
+    held = [(g, got[i].severity, got[i].grade) for i, _, g in docs if i % 3 == 0]
+    assert np.mean([abs(g - s) for g, s, _ in held]) < 0.35 and np.mean([g == k for g, _, k in held]) > 0.85
+    means = [np.mean([s for g, s, _ in held if g == k]) for k in range(4)]
+    assert means == sorted(means) and means[3] - means[0] > 2
+    assert score_toxicity(df.union(df), lab, grades=4, sample=50).count() == 1800
+
+
 def test_trees_match_a_plain_walk():
     r = np.random.default_rng(6)
     x = r.normal(size=(500, 4)).astype(np.float32)
