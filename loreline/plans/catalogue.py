@@ -330,6 +330,11 @@ def communities(spark, d):
     return graph.communities(_edges(spark, d))
 
 
+@query()
+def modularity_communities(spark, d):
+    return graph.modularity_communities(_edges(spark, d))
+
+
 @query(f"WITH {_EDGES_SQL}, n AS (SELECT src AS q FROM edges UNION SELECT dst FROM edges) SELECT (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM edges) AS edges")
 def graph_counts(spark, d):
     edges = _edges(spark, d)

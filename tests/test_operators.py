@@ -199,3 +199,35 @@ def test_bm25_index_holds_every_posting(spark, tmp_path):
     want = {(i, w, n) for i, t in docs for w, n in Counter((t or "").lower().split()).items()}
     got = catalogue.queries()["bm25_index"](spark, str(tmp_path)).collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_modularity_communities(spark):
+    """Planted groups are found, and modularity comes near that of a plain one-by-one Louvain."""
+    import random
+
+    r = random.Random(3)
+    group = {f"g{k}n{j}": k for k in range(6) for j in range(8)}
+    names = sorted(group)
+    links = {(a, b) for a in names for b in names if a < b and r.random() < (0.7 if group[a] == group[b] else 0.03)}
+    e = edges(spark, *links, ("solo", "solo"))
+    got = {x.node: x.community for x in graph.modularity_communities(e).collect()}
+    assert got.pop("solo") == "solo" and got.keys() == group.keys()
+
+    def score(label):
+        k = {x: sum(x in p for p in links) for x in names}
+        inside = sum(label[a] == label[b] for a, b in links) / len(links)
+        return inside - sum((sum(k[x] for x in names if label[x] == c) / (2 * len(links))) ** 2 for c in set(label.values()))
+
+    plain = {x: x for x in names}
+    moved = True
+    while moved:  # first phase of the plain method, one node at a time
+        moved = False
+        for x in names:
+            best = max(sorted({plain[b if a == x else a] for a, b in links if x in (a, b)} | {plain[x]}), key=lambda c: score(plain | {x: c}))
+            if score(plain | {x: best}) > score(plain) + 1e-9:
+                plain[x], moved = best, True
+    assert score(got) >= max(score(group), score(plain)) - 0.02
+    assert all(c == min(x for x in names if got[x] == c) for c in set(got.values()))
+    two = graph.modularity_communities(edges(spark, ("a", "b"), ("b", "c"), ("a", "c"), ("c", "x"), ("x", "y"), ("y", "z"), ("x", "z"))).collect()
+    assert {x.node: x.community for x in two} == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x", "z": "x"}
+    assert graph.modularity_communities(edges(spark, ("a", "a"))).collect()[0].community == "a"
