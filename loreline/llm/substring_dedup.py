@@ -25,7 +25,7 @@ from loreline.llm import _text as X
 from loreline.llm._frames import col, text_bytes
 
 GROUP_BYTES = 4 << 20  # text in one group
-BUCKET_BYTES = 16 << 20  # text whose windows meet in one bucket
+BUCKET_BYTES = 8 << 20  # text whose windows meet in one bucket
 _SECOND = X.U(0xC2B2AE3D27D4EB4F)
 
 
@@ -125,7 +125,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tie = F.xxhash64(col(id_col), col(text_col))
     texts = docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text"), tie.alias("tie"), F.pmod(tie, F.lit(groups)).alias("grp"), *[col(k).alias(h) for k, h in zip(keep, held)])
     entries = texts.select("id", "text", "tie", "grp", *held).groupBy("grp").applyInArrow(_entries(window, buckets), "bucket int, grp long, owners binary, entries binary")
-    answers = entries.groupBy("bucket").applyInArrow(_answers, "grp long, bucket int, bits binary")
+    # as many partitions as buckets, so that a task holds few of them at any size
+    answers = entries.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_answers, "grp long, bucket int, bits binary")
     schema = T.StructType([T.StructField("id", T.LongType()), *[T.StructField(h, docs.schema[k].dataType) for k, h in zip(keep, held)], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
     cut = texts.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(_cut(window, buckets, held, ["n_words", "n_removed", "kept_text"]), schema)
     return cut.select(F.col("id").alias(id_col), *[F.col(h).alias(k) for k, h in zip(keep, held)], "n_words", "n_removed", "kept_text")
