@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from loreline.llm import _text as X
 from loreline.llm._frames import col, text_bytes
 
-GROUP_BYTES = 4 << 20  # text in one group
+GROUP_BYTES = 3 << 20  # text in one group
 BUCKET_BYTES = 8 << 20  # text whose windows meet in one bucket
 _SECOND = X.U(0xC2B2AE3D27D4EB4F)
 
