@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loreline.llm.decontam import find_contamination
+from loreline.llm.divergence import source_divergence
+from loreline.llm.fill_middle import fill_in_middle, restored
 from loreline.llm.html_extract import extract_html
 from loreline.llm.jaccard_join import near_duplicates
 from loreline.llm.license_scan import scan_licenses
@@ -114,13 +116,55 @@ SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 5
 """
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text cut at its own two places: doc_id, n, form, prefix_chars, middle_chars, and digests of the output and of the text rebuilt from it."""
+    made = fill_in_middle(_read(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(), 256).alias("restored_sha256"))
+
+
+_OP12_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT *, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+      CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+x AS (SELECT *, substring(t, 1, a) AS pre, substring(t, a + 1, b - a) AS mid, substring(t, b + 1) AS suf FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(a AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(b - a AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM x
+"""
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of every source from the others of its language, and its own terms: lang, source, part, item, value, rank."""
+    return source_divergence(_read(spark, sf_dir, "documents"), min_docs=3, top=200)
+
+
+_OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT r, lang, source, translate(unnest(w), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d),
+k AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY lang, source, term),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+tot AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0) AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY g.lang, g.source),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 1)) // (tot.total + v.v) AS p
+      FROM g JOIN k USING (lang) JOIN tot USING (lang, source) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)),
+lp AS (SELECT lang, term, 1 + (CAST(1000000000 AS HUGEINT) * (sum(n) + 1)) // (any_value(l.total) + any_value(v.v)) AS q
+       FROM c JOIN (SELECT lang, sum(total) AS total FROM tot GROUP BY lang) l USING (lang) JOIN v USING (lang) GROUP BY lang, term),
+pr AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+pall AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(pr.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pr ON pr.lang = a.lang AND pr.source = a.source AND pr.item = b.source),
+tm AS (SELECT p.lang, p.source, 'term' AS part, p.term AS item, (p.p - lp.q) * (p.p - lp.q) // lp.q AS value FROM p JOIN lp USING (lang, term) WHERE p.n > 0 AND p.p > lp.q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS k FROM (FROM pall UNION ALL FROM tm))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(k AS INTEGER) AS rank FROM r WHERE part = 'pair' OR k <= 200
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from corpus_pipeline import run
 
-    return {"pipeline": run} | {f.__name__: f for f in (op1_decontamination, op2_license_scan, op3_toxicity, op4_quality, op5_html_extraction, op6_substring_dedup, op7_suffix_dedup, op8_mixing, op9_jaccard_join, op10_topk)}
+    return {"pipeline": run} | {f.__name__: f for f in (op1_decontamination, op2_license_scan, op3_toxicity, op4_quality, op5_html_extraction, op6_substring_dedup, op7_suffix_dedup, op8_mixing, op9_jaccard_join, op10_topk, op12_fill_in_middle, op13_source_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
     from corpus_pipeline import ORACLE_SQL
 
-    return ({"pipeline": ORACLE_SQL} if ORACLE_SQL else {}) | {"op6_substring_dedup": _OP6_SQL, "op9_jaccard_join": _OP9_SQL, "op10_topk": _OP10_SQL}
+    return ({"pipeline": ORACLE_SQL} if ORACLE_SQL else {}) | {"op6_substring_dedup": _OP6_SQL, "op9_jaccard_join": _OP9_SQL, "op10_topk": _OP10_SQL, "op12_fill_in_middle": _OP12_SQL, "op13_source_divergence": _OP13_SQL}
