@@ -599,6 +599,31 @@ def parse_calls(spark, d):
     return py.calls_of(py.parse_files(_sources(spark, d))).select("path", "target", "call_type", "line_number")
 
 
+def _broken_sources(spark, d):
+    """A file a part that does not parse: an unclosed call in a method, a header without its bracket, a half assignment, then sound code."""
+    word = F.split("p_name", " ")
+    cls = F.concat(F.initcap(word[1]), F.col("p_partkey").cast("string"))
+    code = F.concat(F.lit("import os\nfrom pkg.base import Base\n\n\nclass "), cls, F.lit("(Base):\n    def size(self, n):\n        return self.check(n\n\n    def ok(self):\n        return os.getcwd()\n\n\ndef broken_"), word[0],
+                    F.lit("(x:\n    y =\n    use(x)\n\n\ndef make_"), word[1], F.lit("(x):\n    return "), cls, F.lit("().ok()\n"))
+    return _t(spark, d, "part").select(F.concat(F.lit("src/m"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), code.alias("content"))
+
+
+@query("""WITH p AS (SELECT 'src/m' || p_partkey || '.py' AS path, 'src.m' || p_partkey || '.' AS m, string_split(p_name, ' ')[1] AS a, string_split(p_name, ' ')[2] AS w, upper(left(string_split(p_name, ' ')[2], 1)) || substr(string_split(p_name, ' ')[2], 2) || p_partkey AS c FROM part)
+SELECT path, 'symbol' AS kind, unnest([m || c, m || c || '.size', m || c || '.ok', m || 'broken_' || a, m || 'make_' || w]) AS name, unnest(['class', 'method', 'method', 'function', 'function']) AS type, unnest([5, 6, 9, 13, 18]) AS start_line, unnest([10, 7, 10, 15, 19]) AS end_line FROM p
+UNION ALL SELECT path, 'import', unnest(['os', 'pkg.base']), NULL, unnest([1, 2]), NULL FROM p UNION ALL SELECT path, 'call', unnest(['os.getcwd', 'use', 'ok', c]), unnest(['method', 'direct', 'method', 'direct']), unnest([10, 15, 19, 19]), NULL FROM p
+UNION ALL SELECT path, 'base', 'Base', NULL, 5, NULL FROM p UNION ALL SELECT path, 'error', 'SyntaxError', NULL, NULL, NULL FROM p""")
+def parse_broken(spark, d):
+    """All rows of files that do not parse as a whole."""
+    parsed = py.parse_files(_broken_sources(spark, d))
+    none = F.lit(None).cast("int").alias("end_line")
+    parts = [py.symbols_of(parsed).select(F.col("file_path").alias("path"), F.lit("symbol").alias("kind"), F.col("qualified_name").alias("name"), "type", "start_line", "end_line"),
+             py.imports_of(parsed).select("path", F.lit("import").alias("kind"), F.col("module_path").alias("name"), F.lit(None).cast("string").alias("type"), F.col("line_number").alias("start_line"), none),
+             py.calls_of(parsed).select("path", F.lit("call").alias("kind"), F.col("chain").alias("name"), F.col("call_type").alias("type"), F.col("line_number").alias("start_line"), none),
+             py.bases_of(parsed).select("path", F.lit("base").alias("kind"), F.col("parent").alias("name"), F.lit(None).cast("string").alias("type"), F.col("line_number").alias("start_line"), none),
+             parsed.filter("error is not null").select("path", F.lit("error").alias("kind"), F.substring_index("error", ":", 1).alias("name"), F.lit(None).cast("string").alias("type"), F.lit(None).cast("int").alias("start_line"), none)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).unionByName(parts[4])
+
+
 @query("SELECT relation_type, count(*) AS n FROM (SELECT 'inherits' AS relation_type FROM part UNION ALL SELECT unnest(['calls', 'calls', 'calls', 'calls']) FROM part) GROUP BY relation_type")
 def call_graph_build(spark, d):
     parsed = py.parse_files(_sources(spark, d))

@@ -1,7 +1,7 @@
 """Python parsing: one pass of the standard ast module in Arrow batches, nested rows out, exploded into relations.
 
 Symbols, imports, calls and base classes come from one visitor, so callers and symbols share one scope rule (nested functions included).
-A file that does not parse gives no rows and an error text.
+A file that does not parse gives the rows of its sound blocks (``islands``) and an error text.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from loreline.functions.text import content_hash, line_count
 from loreline.schemas import PARSED
+from loreline.sources import islands
 
 
 def module_name(path: str) -> str:
@@ -104,14 +105,18 @@ class _Visitor(ast.NodeVisitor):
 
 
 def parse_source(source: str, path: str) -> dict:
-    """Rows of one file: symbols, imports, calls, bases; or an error."""
+    """Rows of one file: symbols, imports, calls, bases; and an error if only parts of it parse."""
     out = dict(error=None, symbols=[], imports=[], calls=[], bases=[])
     try:
         tree = ast.parse(source)
-    except (SyntaxError, ValueError, RecursionError) as e:
-        return out | dict(error=f"{type(e).__name__}: {e}")
+    except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
+        out["error"] = f"{type(e).__name__}: {e}"
+        tree = islands.recover(source)
     visitor = _Visitor(module_name(path))
-    visitor.visit(tree)
+    try:
+        visitor.visit(tree)
+    except RecursionError as e:  # an expression nested too deep to walk: what was met before it stays
+        out["error"] = out["error"] or f"{type(e).__name__}: {e}"
     return out | dict(symbols=visitor.symbols, imports=visitor.imports, calls=visitor.calls, bases=visitor.bases)
 
 
