@@ -289,10 +289,14 @@ def _texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     shared = wanted.sparkSession.sparkContext.broadcast(np.packbits(bits))
 
     def run(batches):
+        done = np.zeros(0, np.int64)  # ids that this task has sent: exactly repeated rows go once
         for b in batches:
             c = b.column("cell").to_numpy()
-            told = (shared.value[c >> 3] >> (7 - (c & 7))) & 1 > 0
-            yield b.select(["id", "text"]).filter(pa.array(told))
+            told = np.flatnonzero((shared.value[c >> 3] >> (7 - (c & 7))) & 1 > 0)
+            ids, first = np.unique(b.column("id").to_numpy(zero_copy_only=False)[told], return_index=True)
+            fresh = ~np.isin(ids, done)
+            done = np.union1d(done, ids[fresh])
+            yield b.select(["id", "text"]).take(pa.array(np.sort(told[first[fresh]])))
 
     return texts.select("id", "text", cell("id").alias("cell")).mapInArrow(run, "id long, text string")
 
@@ -490,19 +494,25 @@ def _verify_many(texts: DataFrame, pairs: DataFrame, width: int, percent: int) -
     return found
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """Per text: id, n_shingles (size of its set), component_id (smallest id reachable by links, itself included)."""
+def describe_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(texts by doc and id, each one's size and sketches, one row for each different set, links between documents of equal sets)."""
     doc = col(id_col).cast("long")
     rows = docs.select(doc.alias("doc"), F.when(doc.isNotNull(), F.xxhash64(doc, col(text_col))).alias("id"), col(text_col).alias("text"))
-    _, size = text_bytes(docs, "`" + text_col + "`")
-    buckets = max(1, -(-size // BUCKET_BYTES))
     told = checkpoint(rows.mapInArrow(_describe(width), "doc long, id long, n long, h1 long, h2 long, sketch binary, fine binary"))
     full = told.filter("n > 0 and id is not null")
     name = F.col("h1").bitwiseAND(F.lit((1 << 8 * NAME) - 1)).alias("name")  # sets of one name are all members of its groups
     sets = checkpoint(full.groupBy("h1", "h2").agg(F.min(F.struct("id", "doc", "n", "sketch", "fine")).alias("r"), F.min("doc").alias("doc")).select(name, "h1", "h2", F.col("r.id").alias("rep"), "doc", "r.n", "r.sketch", "r.fine"))
     equal = full.join(sets.select("h1", "h2", F.col("doc").alias("least")), ["h1", "h2"]).filter("doc <> least").select(F.col("least").alias("a"), F.col("doc").alias("b")).distinct()
-    met = rows.select("id", "text").mapInArrow(_send(width, percent, buckets), "bucket int, entries binary").groupBy("bucket").applyInArrow(_meet(PAGE, CHUNK), "sig long, members array<long>")
-    groups = checkpoint(met.groupBy(F.xxhash64("members").alias("unit"), F.col("sig")).agg(F.first("members").alias("members")).select("unit", F.coalesce("sig", "unit").alias("grp"), F.col("sig").isNotNull().alias("paged"), "members"))
+    return rows, told, sets, equal
+
+
+def distinct_groups(met: DataFrame) -> DataFrame:
+    """Groups of names (sig null), or pages of a group (sig), each one once."""
+    return checkpoint(met.groupBy(F.xxhash64("members").alias("unit"), F.col("sig")).agg(F.first("members").alias("members")).select("unit", F.coalesce("sig", "unit").alias("grp"), F.col("sig").isNotNull().alias("paged"), "members"))
+
+
+def linked_classes(rows: DataFrame, told: DataFrame, sets: DataFrame, equal: DataFrame, groups: DataFrame, buckets: int, width: int, percent: int) -> DataFrame:
+    """Steps 3 to 5: (doc, n, component) from groups of sets, within which every link is found by exact verification."""
     # each set against the nearest one of its groups that it may link with
     bucket = lambda c: F.pmod(c, F.lit(buckets)).alias("bucket")
     member = groups.select("unit", "grp", "paged", F.explode("members").alias("name"))
@@ -537,8 +547,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges = named_links[0] if len(links) == 1 else named_links[0].unionByName(named_links[1])
     every = components(edges.unionByName(equal))
     discard(second, sets, *links)
-    out = told.join(every.withColumnRenamed("id", "doc"), "doc", "left")
-    return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
+    return told.join(every.withColumnRenamed("id", "doc"), "doc", "left").select("doc", "n", F.coalesce("component", "doc").alias("component"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """Per text: id, n_shingles (size of its set), component_id (smallest id reachable by links, itself included)."""
+    _, size = text_bytes(docs, "`" + text_col + "`")
+    buckets = max(1, -(-size // BUCKET_BYTES))
+    rows, told, sets, equal = describe_sets(docs, id_col, text_col, width)
+    met = rows.select("id", "text").mapInArrow(_send(width, percent, buckets), "bucket int, entries binary").groupBy("bucket").applyInArrow(_meet(PAGE, CHUNK), "sig long, members array<long>")
+    out = linked_classes(rows, told, sets, equal, distinct_groups(met), buckets, width, percent)
+    return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

@@ -13,6 +13,7 @@ from loreline.llm.fill_middle import fill_in_middle, restored
 from loreline.llm.html_extract import extract_html
 from loreline.llm.jaccard_join import near_duplicates
 from loreline.llm.license_scan import scan_licenses
+from loreline.llm.lsh_forest import forest_duplicates
 from loreline.llm.mixing import LANG_TARGETS, lang_labels, mix_sources
 from loreline.llm.quality import score_quality
 from loreline.llm.substring_dedup import substring_dedup
@@ -116,6 +117,15 @@ SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 5
 """
 
 
+def op11_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document by 2-word shingles: doc_id, n_shingles, component_id, kept."""
+    return forest_duplicates(_read(spark, sf_dir, "documents"), width=2, percent=80)
+
+
+_OP11_SQL = (_OP9_SQL.replace("array_to_string(w[i:i + 4], ' ')", "array_to_string(w[i:i + 1], ' ')").replace("greatest(len(w) - 3, 2)", "greatest(len(w), 2)")
+             .replace("comp.component_id FROM", "comp.component_id, d.doc_id = comp.component_id AS kept FROM"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text cut at its own two places: doc_id, n, form, prefix_chars, middle_chars, and digests of the output and of the text rebuilt from it."""
     made = fill_in_middle(_read(spark, sf_dir, "documents"))
@@ -161,10 +171,10 @@ SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(k AS INTEG
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from corpus_pipeline import run
 
-    return {"pipeline": run} | {f.__name__: f for f in (op1_decontamination, op2_license_scan, op3_toxicity, op4_quality, op5_html_extraction, op6_substring_dedup, op7_suffix_dedup, op8_mixing, op9_jaccard_join, op10_topk, op12_fill_in_middle, op13_source_divergence)}
+    return {"pipeline": run} | {f.__name__: f for f in (op1_decontamination, op2_license_scan, op3_toxicity, op4_quality, op5_html_extraction, op6_substring_dedup, op7_suffix_dedup, op8_mixing, op9_jaccard_join, op10_topk, op11_lsh_forest, op12_fill_in_middle, op13_source_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
     from corpus_pipeline import ORACLE_SQL
 
-    return ({"pipeline": ORACLE_SQL} if ORACLE_SQL else {}) | {"op6_substring_dedup": _OP6_SQL, "op9_jaccard_join": _OP9_SQL, "op10_topk": _OP10_SQL, "op12_fill_in_middle": _OP12_SQL, "op13_source_divergence": _OP13_SQL}
+    return ({"pipeline": ORACLE_SQL} if ORACLE_SQL else {}) | {"op6_substring_dedup": _OP6_SQL, "op9_jaccard_join": _OP9_SQL, "op10_topk": _OP10_SQL, "op11_lsh_forest": _OP11_SQL, "op12_fill_in_middle": _OP12_SQL, "op13_source_divergence": _OP13_SQL}
