@@ -10,13 +10,14 @@ radius is missed. Candidates are verified exactly: weighted Jaccard of shingle b
 99.9 % of the pairs at the threshold, and more above it.
 
 The index is broadcast in blocks of at most about ``BLOCK_ITEMS`` items (about 1 kB each); texts are mapped once for each, without a shuffle.
-The shingles of all items with their weights are broadcast too, so that results are the same however items are dealt to blocks.
+Weights are the same however items are dealt to blocks: a shingle of one item weighs as much as one of none, and those that several items have
+(a small share: phrases of templates) go with every block.
 
 Defined cases: words are runs of letters and digits, ASCII case folded; items or texts with fewer words than a shingle count as one
 shingle of all their words; a text shorter than an item is one window for it; null or empty items and texts match nothing; null ids pass
-through as null; repeated rows and items each give their matches; ties between windows go to the first, then the shortest; very long
-texts are mapped alone; other columns are ignored, or kept by ``drop_contaminated`` whatever their names; empty tables give an
-empty result.
+through as null; repeated rows and items each give their matches; ties between windows go to the first, then the shortest; memory
+follows the longest text and twice the longest item, not their product; other columns are ignored, or kept by ``drop_contaminated``
+whatever their names; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -35,6 +36,10 @@ SHINGLE, SIMILARITY = 5, 0.8
 BITS, PARTS, RADIUS = 64, 5, 19
 BLOCK_ITEMS = 50_000
 PROBED = 4096  # windows probed at once
+WINDOWS = 1 << 16  # windows that are looked at together
+VOTE_ROWS = 1 << 15  # shingles whose running votes are held at a time
+PAIR_ROWS = 1 << 20  # shingles of pairs that are compared at a time
+MANY = 1 << 16  # shingles in all windows of an item from which on those that cannot be the best are told first
 _SALT = X.U(0x94D049BB133111EB)
 
 
@@ -55,20 +60,35 @@ def _shingles(data, words: X.Words, width: int) -> tuple[np.ndarray, np.ndarray]
     return out, ok
 
 
-def fingerprints(shingles: np.ndarray, weights: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """Weighted SimHash of each run shingles[begin[i]:begin[i + 1]] (runs are not empty)."""
-    bits = np.unpackbits(X.mix(shingles ^ _SALT).view(np.uint8).reshape(-1, 8), axis=1).astype(np.float32)
-    votes = np.add.reduceat((bits * 2 - 1) * weights[:, None].astype(np.float32), begin, axis=0)
-    return np.packbits(votes > 0, axis=1).copy().view(X.U).ravel()
+def fingerprints(shingles: np.ndarray, votes: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Weighted SimHash of each run shingles[first[i]:first[i] + count[i]] (none empty; begins and ends do not fall).
+
+    The votes of a run are a difference of running sums, 64 of them whatever its length. Votes are whole numbers, so sums are exact; at most about
+    ``VOTE_ROWS`` of them, or twice the longest run, are held at a time.
+    """
+    out = np.empty((len(first), 8), np.uint8)
+    end = first + count
+    room = max(VOTE_ROWS, 2 * int(count.max(initial=0)))
+    at = 0
+    while at < len(first):
+        lo = first[at]
+        stop = max(at + 1, int(np.searchsorted(end, lo + room, "right")))
+        hi = end[stop - 1]
+        bits = np.unpackbits(X.mix(shingles[lo:hi] ^ _SALT).view(np.uint8).reshape(-1, 8), axis=1)
+        sums = np.zeros((hi - lo + 1, BITS), np.int64)
+        np.cumsum(np.where(bits, votes[lo:hi, None], -votes[lo:hi, None]), axis=0, out=sums[1:])
+        out[at:stop] = np.packbits(sums[end[at:stop] - lo] > sums[first[at:stop] - lo], axis=1)
+        at = stop
+    return out.view(X.U).ravel()
 
 
 class Shingles:
-    """The shingles of all items, whatever block an item is in, with their weights: 1 + log(items / items that hold it)."""
+    """Known shingles with their weights: 1 + log(items / items that hold it). One that stands in a single item weighs as much as an unknown one."""
 
     def __init__(self, hashes: np.ndarray, df: np.ndarray, items: int):
         order = np.argsort(hashes)
-        self.known = hashes[order]
-        self.idf = 1 + np.log(items / df[order])
+        self.known, self.df, self.items = hashes[order], df[order], items
+        self.idf = 1 + np.log(items / self.df)
         self.rare = 1 + np.log(max(items, 1))
         self.gate = np.zeros(1 << 20, bool)
         self.gate[(self.known >> X.U(44)).astype(np.int64)] = True
@@ -83,25 +103,40 @@ class Shingles:
         return out
 
     def weight(self, place: np.ndarray) -> np.ndarray:
-        return np.where(place >= 0, self.idf[place], self.rare)
+        return np.where(place >= 0, self.idf[place], self.rare) if len(self.idf) else np.full(len(place), self.rare)
 
+    def votes(self, place: np.ndarray) -> np.ndarray:
+        return np.round(self.weight(place) * (1 << 16)).astype(np.int64)
 
-def shingles_of(texts: list[str], width: int) -> Shingles:
-    data, offsets = X.bytes_of(pa.array(texts, pa.large_string()))
+    def joined(self, hashes: np.ndarray) -> Shingles:
+        """These and other shingles, of which each stands in one item."""
+        more = np.setdiff1d(hashes, self.known)
+        return Shingles(np.concatenate([self.known, more]), np.concatenate([self.df, np.ones(len(more), self.df.dtype)]), self.items)
+
+
+def hashes_of(texts: list[str] | pa.Array, width: int) -> tuple[np.ndarray, X.Words, np.ndarray]:
+    """Shingle hashes of texts, their words, and which hashes count."""
+    data, offsets = X.bytes_of(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()))
     words = X.split_words(data, offsets, X.NOT_ALNUM)
     hashes, ok = _shingles(data, words, width)
+    return hashes, words, ok
+
+
+def shingles_of(texts: list[str], width: int) -> Shingles:
+    hashes, words, ok = hashes_of(texts, width)
     pair = np.unique(np.stack([words.text[ok].astype(X.U), hashes[ok]]), axis=1)
     known, df = np.unique(pair[1], return_counts=True)
     return Shingles(known, df, len(np.unique(words.text[ok])))
 
 
 class Index:
-    """Items of one block and the multi-index over their fingerprints. ``every`` holds the shingles of all items (default: these)."""
+    """Items of one block and the multi-index over their fingerprints.
+
+    ``shared`` holds the shingles that several of all items have (default: all of these items'); ``every`` is that and the block's own.
+    """
 
-    def __init__(self, item_ids: list, texts: list[str], shingle: int = SHINGLE, parts: int = PARTS, radius: int = RADIUS, every: Shingles | None = None):
-        data, offsets = X.bytes_of(pa.array(texts, pa.large_string()))
-        words = X.split_words(data, offsets, X.NOT_ALNUM)
-        hashes, ok = _shingles(data, words, shingle)
+    def __init__(self, item_ids: list, texts: list[str], shingle: int = SHINGLE, parts: int = PARTS, radius: int = RADIUS, shared: Shingles | None = None):
+        hashes, words, ok = hashes_of(texts, shingle)
         text = words.text[ok]
         keep = np.unique(text)
         self.ids = [item_ids[i] for i in keep]
@@ -112,11 +147,11 @@ class Index:
         self.sizes = np.unique(self.length)
         if not len(keep):
             return
-        every = every or shingles_of(texts, shingle)
+        self.every = every = shared.joined(self.bag) if shared is not None else shingles_of(texts, shingle)
         self.place = every.find(self.bag)
         size_of = np.repeat(self.length, np.diff(self.begin))
         self.of_size = [np.unique(self.place[size_of == n]) for n in self.sizes]  # the shingles of items of each length
-        self.print = fingerprints(self.bag, every.weight(self.place), self.begin[:-1])
+        self.print = fingerprints(self.bag, every.votes(self.place), self.begin[:-1], np.diff(self.begin))
         # items by block and value; blocks are runs of bits of nearly equal width
         edge = np.linspace(0, BITS, parts + 1).astype(int)
         self.blocks = []
@@ -156,31 +191,76 @@ def _bags(pair: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique((pair << 33) | (place + 1), return_counts=True)
 
 
-def similarities(index: Index, every: Shingles, place: np.ndarray, begin: np.ndarray, size: np.ndarray, window: np.ndarray, item: np.ndarray) -> np.ndarray:
-    """Exact weighted Jaccard of the bags of windows (runs of ``place``) and items, pair by pair. Unknown shingles are in no item."""
-    n = len(window)
-    spread = lambda first, count: np.repeat(first, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-    mine, its = size[window], np.diff(index.begin)[item]
-    a = place[spread(begin[window], mine)]
-    b = index.place[spread(index.begin[:-1][item], its)]
-    of_a, of_b = np.repeat(np.arange(n), mine), np.repeat(np.arange(n), its)
-    total = np.bincount(of_a, every.weight(a), n) + np.bincount(of_b, every.weight(b), n)
-    (ka, na), (kb, nb) = _bags(of_a[a >= 0], a[a >= 0]), _bags(of_b, b)
-    both, ia, ib = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
-    low = np.bincount(both >> 33, np.minimum(na[ia], nb[ib]) * every.weight((both & ((1 << 33) - 1)) - 1), n)
+def _spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """All positions of runs that begin at ``first``."""
+    return np.repeat(first, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+
+
+def similarities(index: Index, place: np.ndarray, start: np.ndarray, size: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """Exact weighted Jaccard of the bags of windows (runs of ``place``) and items, pair by pair, ``PAIR_ROWS`` shingles at a time."""
+    its = np.diff(index.begin)[item]
+    done = np.cumsum(size + its)
+    out, at = [np.zeros(0)], 0
+    while at < len(item):
+        stop = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + PAIR_ROWS, "right")))
+        n, mine, own = stop - at, size[at:stop], its[at:stop]
+        a, b = place[_spread(start[at:stop], mine)], index.place[_spread(index.begin[:-1][item[at:stop]], own)]
+        of_a, of_b = np.repeat(np.arange(n), mine), np.repeat(np.arange(n), own)
+        total = np.bincount(of_a, index.every.weight(a), n) + np.bincount(of_b, index.every.weight(b), n)
+        (ka, na), (kb, nb) = _bags(of_a[a >= 0], a[a >= 0]), _bags(of_b, b)  # unknown shingles are in no item
+        both, ia, ib = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
+        low = np.bincount(both >> 33, np.minimum(na[ia], nb[ib]) * index.every.weight((both & ((1 << 33) - 1)) - 1), n)
+        out.append(low / np.maximum(total - low, 1e-12))
+        at = stop
+    return np.concatenate(out)
+
+
+def sliding(index: Index, place: np.ndarray, start: np.ndarray, size: int, item: int) -> np.ndarray:
+    """Weighted Jaccard of one item and many windows of ``size`` shingles (ascending starts), in time linear in the words they span.
+
+    A shingle that the item has c times counts at a position unless c others of its kind stand before it in the window: it counts for the windows
+    that begin after the c-th one before it, which is one interval of starts.
+    """
+    own, times = np.unique(index.place[index.begin[item]:index.begin[item + 1]], return_counts=True)
+    lo, hi = int(start[0]), int(start[-1])
+    span = place[lo:hi + size]
+    weight = index.every.weight(span)
+    at = np.minimum(np.searchsorted(own, span), len(own) - 1)
+    pos = np.flatnonzero(own[at] == span)
+    kind = at[pos]
+    order = np.argsort(kind, kind="stable")
+    pos, kind = pos[order], kind[order]
+    back = np.arange(len(pos)) - times[kind]
+    earlier = np.maximum(back, 0)
+    same = (back >= 0) & (kind[earlier] == kind)
+    left = np.maximum(np.where(same, pos[earlier] + 1, 0), pos - size + 1)
+    right = np.minimum(pos, hi - lo)
+    ok = left <= right
+    change = np.bincount(left[ok], weight[pos[ok]], hi - lo + 2) - np.bincount(right[ok] + 1, weight[pos[ok]], hi - lo + 2)
+    low = np.cumsum(change)[start - lo]
+    sums = np.concatenate([[0.0], np.cumsum(weight)])
+    total = sums[start - lo + size] - sums[start - lo] + float((index.every.weight(own) * times).sum())
     return low / np.maximum(total - low, 1e-12)
 
 
-def windows_of(index: Index, every: Shingles, words: X.Words, hashes: np.ndarray, ok: np.ndarray, similarity: float) -> tuple[np.ndarray, ...]:
-    """(first word, words) of every item-sized window in which shingles of items of that length have enough of the weight, and each word's place."""
-    place = np.where(ok, every.find(hashes), -1)
+def _ranges(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """All numbers of the intervals low .. high, once; both ascend."""
+    if not len(low):
+        return np.zeros(0, np.int64)
+    fresh = np.concatenate([[True], low[1:] > high[:-1]])
+    first = np.flatnonzero(fresh)
+    last = np.append(first[1:], len(low)) - 1
+    return _spread(low[first], high[last] - low[first] + 1)
+
+
+def windows_of(index: Index, words: X.Words, place: np.ndarray, ok: np.ndarray, similarity: float):
+    """For each length of items (words), the starts of windows in which shingles of items of that length have enough of the weight."""
     known = np.flatnonzero(place >= 0)
     if not len(known):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), place
-    weight = np.where(ok, every.weight(place), 0.0)
+        return
+    weight = np.where(ok, index.every.weight(place), 0.0)
     total = np.concatenate([[0.0], np.cumsum(weight)])
     count = np.diff(words.first)
-    starts, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for size, own in zip(index.sizes, index.of_size):
         mine = known[np.isin(place[known], own)]
         if not len(mine):
@@ -188,67 +268,98 @@ def windows_of(index: Index, every: Shingles, words: X.Words, hashes: np.ndarray
         told = np.concatenate([[0.0], np.cumsum(weight[mine])])
         # starts from which the window reaches such a shingle, kept inside the text
         text = words.text[mine]
-        low = words.first[text]
-        start = np.unique(np.clip(mine[:, None] - np.arange(size), low[:, None], np.maximum(words.first[text + 1] - size, low)[:, None]))
+        low, high = words.first[text], np.maximum(words.first[text + 1] - size, words.first[text])
+        start = _ranges(np.clip(mine - size + 1, low, high), np.clip(mine, low, high))
         stop = start + np.maximum(np.minimum(size, count[words.text[start]]) - index.shingle + 1, 1)
         inside = told[np.searchsorted(mine, stop)] - told[np.searchsorted(mine, start)]
         good = (inside > 0) & (inside >= (similarity - 1e-9) * (total[stop] - total[start]))
-        starts.append(start[good])
-        sizes.append(np.full(int(good.sum()), size))
-    return np.concatenate(starts), np.concatenate(sizes), place
+        if good.any():
+            yield int(size), start[good]
 
 
-def matches_in(index: Index, every: Shingles, data, offsets, similarity: float) -> list[tuple]:
+def _best(found: list[np.ndarray]) -> list[np.ndarray]:
+    """The best window of each text and item: rows (text, item, similarity, start, words, distance)."""
+    text, item, same, start, size, _ = found
+    order = np.lexsort((size, start, -same.round(12), item, text))
+    first = np.ones(len(order), bool)
+    first[1:] = (text[order][1:] != text[order][:-1]) | (item[order][1:] != item[order][:-1])
+    return [x[order[first]] for x in found]
+
+
+def matches_in(index: Index, data, offsets, similarity: float) -> list[tuple]:
     """(text, item, similarity, first word, words, Hamming distance) of the best window of each pair in a batch."""
     words = X.split_words(data, offsets, X.NOT_ALNUM)
     hashes, ok = _shingles(data, words, index.shingle)
-    start, length, place = windows_of(index, every, words, hashes, ok, similarity)
-    if not len(start):
-        return []
-    size = np.minimum(length, np.diff(words.first)[words.text[start]])
-    n_sh = np.maximum(size - index.shingle + 1, 1)
-    begin = np.cumsum(n_sh) - n_sh
-    inside = np.repeat(start, n_sh) + np.arange(int(n_sh.sum())) - np.repeat(begin, n_sh)
-    prints = fingerprints(hashes[inside], every.weight(place[inside]), begin)
-    window, item = index.candidates(prints, length)
-    same = np.array([], float)
-    for at in range(0, len(window), PROBED):
-        same = np.append(same, similarities(index, every, place[inside], begin, n_sh, window[at:at + PROBED], item[at:at + PROBED]))
-    good = same >= similarity
-    window, item, same = window[good], item[good], same[good]
-    text = words.text[start[window]]
-    order = np.lexsort((length[window], start[window], -same.round(12), item, text))
-    first = np.ones(len(order), bool)
-    first[1:] = (text[order][1:] != text[order][:-1]) | (item[order][1:] != item[order][:-1])
-    return [(int(text[k]), int(item[k]), float(same[k]), int(start[window[k]] - words.first[text[k]]), int(size[window[k]]), int(np.bitwise_count(prints[window[k]] ^ index.print[item[k]]))) for k in order[first]]
+    place = np.where(ok, index.every.find(hashes), -1)
+    votes = index.every.votes(place)
+    count = np.diff(words.first)
+    best = [np.zeros(0, t) for t in (np.int64, np.int64, float, np.int64, np.int64, np.int64)]
+    for length, starts in windows_of(index, words, place, ok, similarity):
+        for at in range(0, len(starts), WINDOWS):
+            start = starts[at:at + WINDOWS]
+            size = np.minimum(length, count[words.text[start]])
+            n = np.maximum(size - index.shingle + 1, 1)
+            prints = fingerprints(hashes, votes, start, n)
+            window, item = index.candidates(prints, np.full(len(start), length))
+            keep = _promising(index, place, words.text, start, n, window, item, similarity)
+            window, item = window[keep], item[keep]
+            same = similarities(index, place, start[window], n[window], item)
+            good = same >= similarity
+            window, item, same = window[good], item[good], same[good]
+            rows = [words.text[start[window]], item, same, start[window], size[window], np.bitwise_count(prints[window] ^ index.print[item]).astype(np.int64)]
+            best = _best([np.concatenate(x) for x in zip(best, rows)])
+    text, item, same, start, size, distance = best
+    return list(zip(text.tolist(), item.tolist(), same.tolist(), (start - words.first[text]).tolist(), size.tolist(), distance.tolist()))
+
+
+def _promising(index: Index, place, text, start, n, window, item, similarity: float) -> np.ndarray:
+    """Pairs worth an exact look: all but those of an item with very many windows that another window of their text beats, or that miss the similarity."""
+    keep = np.ones(len(window), bool)
+    order = np.lexsort((window, item))
+    begin = np.flatnonzero(np.concatenate([[True], item[order][1:] != item[order][:-1]])) if len(order) else np.zeros(0, np.int64)
+    for a, b in zip(begin, np.append(begin[1:], len(order))):
+        of = order[a:b]
+        own = start[window[of]]
+        if int(n[window[of]].sum()) < MANY:
+            continue
+        for size in np.unique(n[window[of]]):
+            mine = of[n[window[of]] == size]
+            own = start[window[mine]]
+            cut = np.flatnonzero(np.diff(own) > size) + 1  # stretches that share no word
+            same = np.concatenate([sliding(index, place, part, int(size), int(item[mine[0]])) for part in np.split(own, cut)])
+            _, whose = np.unique(text[own], return_inverse=True)
+            top = np.zeros(whose.max() + 1)
+            np.maximum.at(top, whose, same)
+            keep[mine] = same >= np.maximum(top[whose], similarity) - 1e-6
+    return keep
 
 
-def _every_shingle(rows: DataFrame, shingle: int) -> Shingles:
-    """The shingles of all items with the number of items that hold each, counted in Spark."""
+def _shared_shingles(rows: DataFrame, shingle: int) -> Shingles:
+    """The shingles that several items have, with the number of items that hold each, counted in Spark."""
 
     def run(batches):
         for b in X.slices(batches, "text"):
-            data, offsets = X.bytes_of(b.column("text"))
-            words = X.split_words(data, offsets, X.NOT_ALNUM)
-            hashes, ok = _shingles(data, words, shingle)
+            hashes, words, ok = hashes_of(b.column("text"), shingle)
             pair = np.unique(np.stack([words.text[ok].astype(X.U), hashes[ok]]), axis=1)
             yield pa.record_batch({"hash": pa.array(pair[1].view(np.int64)), "first": pa.array(np.concatenate([[True], pair[0][1:] != pair[0][:-1]])[:pair.shape[1]])})
 
-    told = rows.select("text").mapInArrow(run, "hash long, first boolean").groupBy("hash").agg(F.count(F.lit(1)).alias("df"), F.count_if("first").alias("items")).toArrow()
-    return Shingles(told["hash"].to_numpy().view(X.U), told["df"].to_numpy(), int(told["items"].to_numpy().sum()))
+    told = rows.select("text").mapInArrow(run, "hash long, first boolean")
+    items = told.agg(F.count_if("first")).first()[0]
+    several = told.groupBy("hash").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").toArrow()
+    return Shingles(several["hash"].to_numpy().view(X.U), several["df"].to_numpy(), int(items))
 
 
 def _indexes(items: DataFrame, item_id_col: str, item_text_col: str, shingle: int, radius: int):
-    """Broadcast indexes over blocks of at most about BLOCK_ITEMS items, each with the broadcast shingles of all items."""
+    """Broadcast indexes over blocks of at most about BLOCK_ITEMS items, with their own shingles and those that several items have."""
     spark = items.sparkSession
     rows = items.select(col(item_id_col).cast("long").alias("item"), col(item_text_col).alias("text")).filter("text is not null")
     blocks = max(1, -(-rows.count() // BLOCK_ITEMS))
-    every = spark.sparkContext.broadcast(_every_shingle(rows, shingle))
+    shared = _shared_shingles(rows, shingle)
     for k in range(blocks):
         part = rows.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).toArrow()
-        index = Index(part["item"].to_pylist(), part["text"].to_pylist(), shingle, PARTS, radius, every.value)
+        index = Index(part["item"].to_pylist(), part["text"].to_pylist(), shingle, PARTS, radius, shared)
         if index.ids:
-            yield spark.sparkContext.broadcast(index), every
+            yield spark.sparkContext.broadcast(index)
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -256,12 +367,12 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     named = docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text"))
     schema = "id long, item long, similarity double, start_word long, n_words long, distance int"
     out = docs.sparkSession.createDataFrame([], schema)
-    for shared, every in _indexes(items, item_id_col, item_text_col, shingle, radius):
+    for shared in _indexes(items, item_id_col, item_text_col, shingle, radius):
 
-        def run(batches, shared=shared, every=every):
+        def run(batches, shared=shared):
             index = shared.value
             for b in X.slices(batches, "text"):
-                found = matches_in(index, every.value, *X.bytes_of(b.column("text")), similarity)
+                found = matches_in(index, *X.bytes_of(b.column("text")), similarity)
                 ids = b.column("id")
                 yield pa.record_batch({"id": ids.take(pa.array([f[0] for f in found], pa.int64())), "item": pa.array([index.ids[f[1]] for f in found], pa.int64()), "similarity": pa.array([f[2] for f in found], pa.float64()), "start_word": pa.array([f[3] for f in found], pa.int64()), "n_words": pa.array([f[4] for f in found], pa.int64()), "distance": pa.array([f[5] for f in found], pa.int32())})
 
@@ -272,12 +383,12 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` whose text holds no benchmark item, with all their columns: one map, no join back."""
     out = docs
-    for shared, every in _indexes(items, item_id_col, item_text_col, shingle, radius):
+    for shared in _indexes(items, item_id_col, item_text_col, shingle, radius):
 
-        def run(batches, shared=shared, every=every):
+        def run(batches, shared=shared):
             for b in X.slices(batches, text_col):
                 hit = np.zeros(b.num_rows, bool)
-                hit[[f[0] for f in matches_in(shared.value, every.value, *X.bytes_of(b.column(text_col)), similarity)]] = True
+                hit[[f[0] for f in matches_in(shared.value, *X.bytes_of(b.column(text_col)), similarity)]] = True
                 yield b.filter(pa.array(~hit))
 
         out = out.mapInArrow(run, out.schema)
