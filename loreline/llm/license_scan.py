@@ -13,7 +13,8 @@ over the texts without a shuffle; templates are a fixed, broadcast table.
 
 Defined cases: words are runs of letters and digits, ASCII case folded; shingles are ``SHINGLE`` words; null or empty texts match nothing;
 null ids pass through; repeated rows each give their matches; several matches of a license in one text count, the best is
-reported (ties: the first); of templates that overlap in a text, the one with the most shingles there counts; a template of fewer words
+reported (by shingles times containment; ties: the first), with the words from its first to its last shingle; a match of which most
+positions belong to better ones is left out; a template of fewer words
 than a shingle is left out; very long texts are mapped alone; other columns are ignored, whatever their names; an empty table gives an
 empty result.
 """
@@ -88,13 +89,15 @@ class Index:
 
     def __init__(self, given: list[tuple[str, str]], shingle: int = SHINGLE):
         self.shingle = shingle
-        self.names, self.sets, self.words = [], [], []
+        self.names, self.sets, self.words, self.heads = [], [], [], []
         for name, text in given:
             data, offsets = X.bytes_of(pa.array([text], pa.large_string()))
             hashes = X.hash_words(data, X.split_words(data, offsets, X.NOT_ALNUM), X.LOWER)
             if len(hashes) >= shingle:
                 self.names.append(name)
-                self.sets.append(np.unique(X.mix(X.roll(hashes, shingle))))
+                rolled = X.mix(X.roll(hashes, shingle))
+                self.sets.append(np.unique(rolled))
+                self.heads.append(rolled[0])
                 self.words.append(len(hashes))
         self.salts = X.mix(np.arange(1, BANDS * ROWS + 1, dtype=U))
         width = np.array([width_of(n) for n in self.words], np.int64)
@@ -117,7 +120,7 @@ def scan(index: Index, data: np.ndarray, offsets: np.ndarray, containment: float
     inside = words.text[:m] == words.text[index.shingle - 1:]
     at = np.minimum(np.searchsorted(index.every, sh), len(index.every) - 1)
     known = np.flatnonzero(inside & (index.every[at] == sh))
-    matches: dict[int, list[tuple]] = {}
+    matches: dict[int, set[tuple]] = {}
     for width, own, values, shingles, least in index.classes:
         mine = known[np.isin(sh[known], shingles)]
         if not len(mine):
@@ -142,26 +145,46 @@ def scan(index: Index, data: np.ndarray, offsets: np.ndarray, containment: float
         for w, t in zip(*np.nonzero(shared)):
             text = int(words.text[start[w]])
             lo, hi = max(start[w] - step, words.first[text]), min(stop[w] + step, ends[w] - index.shingle + 1)
-            template = index.sets[own[t]]
-            stands = np.isin(sh[lo:hi], template)
-            n = len(np.unique(sh[lo:hi][stands]))
-            if n >= containment * len(template):
-                begins = int(lo + np.flatnonzero(stands)[0] - words.first[text])
-                matches.setdefault(text, []).append((-n, -n / len(template), begins, index.words[own[t]], index.names[own[t]]))
-    out = []
-    for text, rows in sorted(matches.items()):
-        best: dict[str, tuple] = {}
-        ranked = sorted(set(rows))
-        rank = {key: k + 1 for k, key in enumerate(sorted({r[:2] for r in ranked}))}
-        taken = np.zeros(max(hit + size for _, _, hit, size, _ in ranked), np.int32)  # at each word the rank of the best match over it
-        for n, share, hit, size, name in ranked:
-            place, own_rank = taken[hit:hit + size], rank[n, share]
-            if ((place > 0) & (place < own_rank)).any():
-                continue  # another template has more in this place
-            place[place == 0] = own_rank
-            best.setdefault(name, (text, name, -share, hit, size))
-        out += [best[name] for name in sorted(best)]
-    return out
+            n, begins, ends_at = _place(sh[lo:hi], index.sets[own[t]], index.heads[own[t]], index.words[own[t]] - index.shingle + 1, containment)
+            if n:
+                whole = len(index.sets[own[t]])
+                matches.setdefault(text, set()).add((-n * n / whole, -n / whole, lo + begins, lo + ends_at, int(own[t])))
+    return [row for text, rows in sorted(matches.items()) for row in _settle(index, sh, text, int(words.first[text]), sorted(rows))]
+
+
+def _place(sh: np.ndarray, template: np.ndarray, head: np.uint64, size: int, containment: float) -> tuple[int, int, int]:
+    """(different shingles of the template, first, last) of the stretch in which it stands; 0 if it does not.
+
+    The stretch is the ``size`` positions that hold most shingles of it (its own beginning decides between equals), cut to the first and
+    last one; a quarter more positions, or all, where these hold too few, as in a text with words put in.
+    """
+    stands = np.isin(sh, template)
+    for room in (size, size + -(-size // 4), len(sh)):
+        room = min(room, len(sh))
+        total = np.concatenate([[0], np.cumsum(stands)])
+        held = 2 * (total[room:] - total[:len(total) - room]) + (sh[:len(sh) - room + 1] == head)
+        at = int(held.argmax())
+        own = at + np.flatnonzero(stands[at:at + room])
+        n = len(np.unique(sh[own]))
+        if n >= containment * len(template):
+            return n, int(own[0]), int(own[-1])
+    return 0, 0, 0
+
+
+def _settle(index: Index, sh: np.ndarray, text: int, first: int, ranked: list[tuple]) -> list[tuple]:
+    """The best match of each license, without matches that are explained by better ones: most of their positions stand in such too."""
+    rank = {key: k + 1 for k, key in enumerate(sorted({r[:2] for r in ranked}))}
+    low, high = min(r[2] for r in ranked), max(r[3] for r in ranked) + 1
+    taken = np.zeros(high - low, np.int32)  # at each position the rank of the best match of which it is a part
+    best: dict[str, tuple] = {}
+    for worth, share, begins, ends, t in ranked:
+        own = begins - low + np.flatnonzero(np.isin(sh[begins:ends + 1], index.sets[t]))
+        place, mine = taken[own], rank[worth, share]
+        if 2 * int(((place > 0) & (place < mine)).sum()) > len(own):
+            continue
+        taken[own[place == 0]] = mine
+        best.setdefault(index.names[t], (text, index.names[t], -share, int(begins - first), int(ends - begins + index.shingle)))
+    return [best[name] for name in sorted(best)]
 
 
 def scan_licenses(docs: DataFrame, given: list[tuple[str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text", containment: float = CONTAINMENT) -> DataFrame:
