@@ -8,7 +8,10 @@ Labels may be grades themselves (any label above 1). Labels of 0 and 1 are grade
 1 .. grades - 1 by how often the words stand in them that the sample shows to mark toxic texts (quantiles among its toxic texts), so
 there severity above the threshold of toxicity is learned from a derived word list, not from people's grades.
 
-Defined cases: null or empty text has no features and gets the base severity; null ids and repeated rows are scored like others; null
+Labelled texts are often picked for being toxic, so their share is not that of all texts. Where it is above ``prior``, all thresholds are
+moved by the difference of the two log-odds: a text that tells nothing is then toxic with a chance of ``prior``, below one half.
+
+Defined cases: null or empty text, and one without known features, gets the base severity and grade 0 at any share of toxic labels; null ids and repeated rows are scored like others; null
 labels are not used; of conflicting labels of an id the largest counts, of several texts of a labelled id one is fitted on; without
 labels of both kinds the severity is 0; other columns pass only if named in ``keep``, even those called like a result column.
 """
@@ -29,6 +32,7 @@ from loreline.llm._sample import Sample, take, telling
 DIMS = 1 << 18
 SAMPLE = 24_000  # labelled texts the model is fitted on, at most
 GRADES = 3
+PRIOR = 0.25  # largest share of toxic texts that is assumed of all texts
 
 
 def marks(df: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -101,7 +105,7 @@ def _pick(names: list[str], df: np.ndarray, n: np.ndarray) -> np.ndarray:
     return telling(two, n2) | marks(two, n2)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, grades: int, sample: int, dims: int):
+def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, grades: int, sample: int, dims: int, prior: float = PRIOR):
     got = take(docs, labels, id_col, text_col, label_col, sample, dims, _pick)
     toxic = _toxic(got.names)
     if toxic.all() or not toxic.any():  # no labels, or of one kind only
@@ -110,12 +114,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     use[got.told[telling(_two(got.df, toxic), _two(got.per_class(), toxic))]] = True
     rows = got.rows(use[got.cell].astype(float), np.ones(len(got.y), bool), dims)
     w, th = fit(rows, grades_of(got, toxic, grades), grades)
-    return w.astype(np.float32), th
+    odds = lambda p: np.log(p / (1 - p))
+    return w.astype(np.float32), th + max(0.0, odds(toxic[got.y].mean()) - odds(prior))
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", grades: int = GRADES, sample: int = SAMPLE, dims: int = DIMS, keep: tuple[str, ...] = ()) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", grades: int = GRADES, sample: int = SAMPLE, dims: int = DIMS, keep: tuple[str, ...] = (), prior: float = PRIOR) -> DataFrame:
     """Per text: id, the columns of ``keep``, severity (expected grade, 0 .. grades - 1), grade (most severe one that is likelier than not), toxic (grade >= 1)."""
-    w, th = train(docs, labels, id_col, text_col, label_col, grades, sample, dims)
+    w, th = train(docs, labels, id_col, text_col, label_col, grades, sample, dims, prior)
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast((w, th))  # dims weights: a fixed size
     held = ["text" if k == text_col else f"k{i}" for i, k in enumerate(keep)]  # the text goes to Python once
