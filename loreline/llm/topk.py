@@ -3,14 +3,15 @@
 The score of a vector is the sum of its scores on ``LISTS`` slices of the components, one local list each. Local scores are lifted
 by a bound per query and slice (Cauchy-Schwarz) so that none is negative.
 
-1. Gather: every task keeps, for each query and list, its k best local scores; merged, they give a lower bound t1 of the k-th total.
+1. Gather: every cell keeps, for each query and list, its k best local scores; merged, they give a lower bound t1 of the k-th total.
 2. Cutoff: a vector with every local score below t1 / LISTS cannot reach t1. The cutoffs travel with the queries (one number each);
-   tasks send the vectors with a local score at the cutoff or above: their partial sums and which lists they cover. The k-th partial
+   cells send the vectors with a local score at the cutoff or above: their partial sums and which lists they cover. The k-th partial
    sum is a better bound t2; vectors that cannot reach it, their missing lists taken at the cutoff, go.
 3. Resolve: the totals of what is left are worked out from the whole vectors, and the k highest are the answer.
 
 Candidates are packed into chunks of about ``CHUNK_BYTES`` with vectors of one length, queries into blocks of ``QUERY_BLOCK`` at most,
-both in place, without a shuffle. A phase is one job over all pairs of a chunk and a block of its length (the stated query set against all rows, in blocks); nothing but counts and bounds
+both in place, without a shuffle. In a phase blocks and chunks meet in the cells of a grid, of about ``CELL_BYTES`` of either (the stated query
+set against all rows, in blocks): a shuffle by cell, no product of tables; a cell works on one block at a time. Nothing but counts and bounds
 of the whole table comes to the driver. Candidates are all rows, never sampled. Matrix products run in double precision where sums
 stay below 2 ** 52, and in int64 beyond that; where a score could pass 2 ** 62, ``top_k`` raises.
 
@@ -32,7 +33,8 @@ from loreline.llm._frames import checkpoint, col, discard
 
 LISTS = 4
 QUERY_BLOCK = 1024
-CHUNK_BYTES = 1 << 20  # of packed candidates; a batch of pairs holds many
+CHUNK_BYTES = 1 << 20  # of packed candidates
+CELL_BYTES = 32 << 20  # of blocks, and of chunks, that meet in one cell of the grid
 ROWS = 1024  # candidate rows scored at once
 
 
@@ -64,6 +66,8 @@ def _pack(most: int | None):
     return run
 
 
+_LOCAL = (("query", pa.int64()), ("list", pa.int32()), ("row", pa.int64()), ("u", pa.int64()))
+_PART = (("query", pa.int64()), ("row", pa.int64()), ("part", pa.int64()), ("most", pa.int64()))
 _PACKED = "d int, named array<long>, rows binary, vecs binary, x binary, norms array<double>, top double"
 
 
@@ -89,16 +93,6 @@ def _pieces(row: dict, dims: int):
         yield rows[at:at + ROWS], vecs[at:at + ROWS], x[at:at + ROWS]
 
 
-def _pairs(batches):
-    """(block, its cutoffs, chunk) of every pair; a block is read once while it stays the same."""
-    name = block = None
-    for b in batches:
-        for row in b.to_pylist():
-            if row["block"] != name:
-                name, block = row["block"], _Block(row)
-            yield name, block, row
-
-
 def _keep(best: np.ndarray, k: int, score: np.ndarray, *more: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
     """The k best of ``best`` and ``score`` along the last axis, with what goes along (pairs of old and new)."""
     every = np.concatenate([best, score], axis=-1)
@@ -107,45 +101,73 @@ def _keep(best: np.ndarray, k: int, score: np.ndarray, *more: tuple[np.ndarray,
 
 
 def _gather(k: int):
-    def run(batches):
-        best: dict[int, tuple] = {}
-        for name, block, pair in _pairs(batches):
-            n, m = len(block.rows), len(block.cut)
-            if name not in best:
-                best[name] = (block.rows, np.full((m, n, k), -1, np.int64), np.zeros((m, n, k), np.int64))
-            _, u, row = best[name]
-            for rows, ids, x in _pieces(pair, block.q.shape[1]):
-                new = block.local(x)
-                new[:, block.ids[:, None] == ids[None, :]] = -1
-                u, row = _keep(u, k, new, (row, np.broadcast_to(rows, new.shape)))
-            best[name] = (block.rows, u, row)
-        for rows, u, row in best.values():
+    def run(blocks: pa.Table, chunks: pa.Table) -> pa.Table:
+        """The k best local scores of each query and list among the candidates of a cell."""
+        out = [pa.table({c: pa.array([], t) for c, t in _LOCAL})]
+        for asked in blocks.to_pylist():
+            block = _Block(asked)
+            shape = (len(block.cut), len(block.rows), k)
+            u, row = np.full(shape, -1, np.int64), np.zeros(shape, np.int64)
+            for chunk in _each(chunks):
+                for rows, ids, x in _pieces(chunk, block.q.shape[1]):
+                    new = block.local(x)
+                    new[:, block.ids[:, None] == ids[None, :]] = -1
+                    u, row = _keep(u, k, new, (row, np.broadcast_to(rows, new.shape)))
             j, q, r = np.nonzero(u >= 0)
-            yield pa.record_batch({"query": pa.array(rows[q]), "list": pa.array(j.astype(np.int32)), "row": pa.array(row[j, q, r]), "u": pa.array(u[j, q, r])})
+            out.append(pa.table({"query": pa.array(block.rows[q]), "list": pa.array(j.astype(np.int32)), "row": pa.array(row[j, q, r]), "u": pa.array(u[j, q, r])}))
+        return pa.concat_tables(out)
 
     return run
 
 
 def _send(k: int):
-    def run(batches):
-        floors: dict[int, np.ndarray] = {}  # the k best partial sums so far: a lower bound that only grows
-        for name, block, pair in _pairs(batches):
-            known = dict(zip(pair["asked"] or [], pair["t1"] or []))
+    def run(blocks: pa.Table, chunks: pa.Table) -> pa.Table:
+        """What may reach the k-th total among the candidates of a cell."""
+        out = [pa.table({c: pa.array([], t) for c, t in _PART})]
+        for asked in blocks.to_pylist():
+            block = _Block(asked)
+            known = dict(zip(asked["asked"] or [], asked["t1"] or []))
             cut = np.array([-(-known.get(int(q), 0) // len(block.cut)) for q in block.rows], np.int64)
-            floor = floors.setdefault(name, np.full((len(block.rows), k), -1, np.int64))
-            for rows, ids, x in _pieces(pair, block.q.shape[1]):
-                u = block.local(x)
-                over = (u >= cut[None, :, None]) & ~(block.ids[:, None] == ids[None, :])[None]
-                some = over.any(axis=0)
-                part = np.where(over, u, 0).sum(axis=0)
-                floor = floors[name] = _keep(floor, k, np.where(some, part, -1))[0]
-                most = part + (~over).sum(axis=0) * np.maximum(cut[:, None] - 1, 0)
-                q, r = np.nonzero(some & (most >= floor.min(axis=1)[:, None]))
-                yield pa.record_batch({"query": pa.array(block.rows[q]), "row": pa.array(rows[r]), "part": pa.array(part[q, r]), "most": pa.array(most[q, r])})
+            floor = np.full((len(block.rows), k), -1, np.int64)  # the k best partial sums so far: a lower bound that only grows
+            found = []
+            for chunk in _each(chunks):
+                for rows, ids, x in _pieces(chunk, block.q.shape[1]):
+                    u = block.local(x)
+                    over = (u >= cut[None, :, None]) & ~(block.ids[:, None] == ids[None, :])[None]
+                    some = over.any(axis=0)
+                    part = np.where(over, u, 0).sum(axis=0)
+                    floor = _keep(floor, k, np.where(some, part, -1))[0]
+                    most = part + (~over).sum(axis=0) * np.maximum(cut[:, None] - 1, 0)
+                    q, r = np.nonzero(some & (most >= floor.min(axis=1)[:, None]))
+                    found.append(np.stack([q, rows[r], part[q, r], most[q, r]]))
+            q, row, part, most = np.concatenate(found, axis=1) if found else np.zeros((4, 0), np.int64)
+            still = most >= floor.min(axis=1)[q]
+            out.append(pa.table({"query": pa.array(block.rows[q[still]]), "row": pa.array(row[still]), "part": pa.array(part[still]), "most": pa.array(most[still])}))
+        return pa.concat_tables(out)
 
     return run
 
 
+def _each(chunks: pa.Table):
+    for b in chunks.to_batches():
+        for k in range(b.num_rows):
+            yield {c: b.column(c)[k].as_py() for c in ("rows", "vecs", "x")}
+
+
+class _Grid:
+    """Blocks and chunks dealt to the cells of a grid: each cell holds about CELL_BYTES of either, and every pair of equal length meets in one cell."""
+
+    def __init__(self, blocks: DataFrame, chunks: DataFrame):
+        parts = lambda df, c: max(1, -(-int(df.agg(F.coalesce(F.sum(F.octet_length(c)), F.lit(0))).first()[0]) // CELL_BYTES))
+        self.across, self.down = parts(blocks, "q_x"), parts(chunks, "x")
+        self.chunks = chunks.select("d", "rows", "vecs", "x", F.pmod(F.xxhash64("rows"), F.lit(self.down)).alias("cg"), F.explode(F.sequence(F.lit(0), F.lit(self.across - 1))).alias("bg"))
+
+    def meet(self, blocks: DataFrame, run, schema: str) -> DataFrame:
+        dealt = blocks.withColumn("bg", F.pmod(F.xxhash64("block"), F.lit(self.across))).withColumn("cg", F.explode(F.sequence(F.lit(0), F.lit(self.down - 1))))
+        cell = ("d", "bg", "cg")
+        return dealt.groupBy(*cell).cogroup(self.chunks.groupBy(*cell)).applyInArrow(run, schema)
+
+
 def top_k(vectors: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0) -> DataFrame:
     """For each query its k highest integer inner products of floor(scale * component): query_id, rank, vec_id, score.
 
@@ -164,11 +186,9 @@ def top_k(vectors: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vecto
         raise ValueError("inner products of these vectors can pass 2 ** 62")
     blocks = checkpoint(packed(rows.filter("is_query"), QUERY_BLOCK).join(facts.select("d", F.col("top").alias("peak"), "reach"), "d")
                         .select(F.col("named")[0].alias("block"), "d", "named", F.col("rows").alias("q_rows"), F.col("vecs").alias("q_vecs"), F.col("x").alias("q_x"), F.col("peak").alias("top"), "reach"))
-    thin = chunks.select(F.col("d").alias("cd"), "rows", "vecs", "x")
-    # all blocks against all chunks of their length: no equality that Spark could shuffle by, as lengths are few
-    meet = lambda asked: asked.join(thin, (F.col("d") - F.col("cd")) == 0)
+    grid = _Grid(blocks, chunks)
     # 1: k best local scores a query and list; the k-th of their partial sums
-    local = meet(blocks.drop("named")).mapInArrow(_gather(k), "query long, list int, row long, u long")
+    local = grid.meet(blocks.drop("named"), _gather(k), "query long, list int, row long, u long")
     tops = local.withColumn("r", F.row_number().over(Window.partitionBy("query", "list").orderBy(F.desc("u"), "row"))).filter(F.col("r") <= k)
     sums = tops.groupBy("query", "row").agg(F.sum("u").alias("part"))
     kth = lambda df, name: df.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("part")))).filter(F.col("r") == k).select("query", F.col("part").alias(name))
@@ -176,7 +196,7 @@ def top_k(vectors: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vecto
     cutoffs = t1.groupBy("block").agg(F.collect_list("query").alias("asked"), F.collect_list("t1").alias("t1"))  # QUERY_BLOCK of them at most
     given = checkpoint(blocks.drop("named").join(cutoffs, "block", "left"))
     # 2: what may reach the k-th total
-    sent = checkpoint(meet(given).mapInArrow(_send(k), "query long, row long, part long, most long"))
+    sent = checkpoint(grid.meet(given, _send(k), "query long, row long, part long, most long"))
     left = sent.join(kth(sent, "t2"), "query", "left").filter(F.col("most") >= F.coalesce("t2", F.lit(0))).select("query", "row")
     discard(blocks, given, chunks)
     # 3: whole scores of what is left
