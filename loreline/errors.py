@@ -11,3 +11,7 @@ class IndexNotFound(LorelineError):
 
 class GraphChecksumError(LorelineError):
     """A stored graph does not match its manifest."""
+
+
+class CommitConflict(LorelineError):
+    """Another job has committed the version that this one was about to commit."""

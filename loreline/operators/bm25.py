@@ -27,8 +27,8 @@ class Bm25Index:
     stats: DataFrame
 
 
-def sizes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    return docs.select(F.col(doc_id).alias("doc_id"), F.size(bm25_tokens(F.col(text))).alias("size"))
+def sizes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    return docs.select(F.col(doc_id).alias("doc_id"), *carry, F.size(bm25_tokens(F.col(text))).alias("size"))
 
 
 def corpus_stats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

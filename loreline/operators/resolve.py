@@ -85,11 +85,16 @@ def import_name(module: Column, name: Column) -> Column:
     return F.when(name.isNotNull() & (name != ""), F.when(module != "", F.concat_ws(".", module, name)).otherwise(name)).otherwise(F.nullif(module, F.lit("")))
 
 
+def import_edges_of(resolved: DataFrame) -> DataFrame:
+    """Edges from a module to what it imports, of imports (path, pos, line_number, dst, known)."""
+    return resolved.filter("known").select(path_to_module(F.col("path")).alias("src"), "dst", F.lit("imports").alias("relation_type"), "line_number", F.lit(1.0).alias("weight"), F.lit(1.0).alias("confidence"), F.lit(None).cast("string").alias("resolution"), F.lit(1).alias("phase"), F.xxhash64("path", "pos").alias("ord"))
+
+
 def import_edges(imports: DataFrame, symbols: DataFrame) -> DataFrame:
     """Edges from a module to the symbols it imports (only names that exist)."""
     rows = imports.withColumn("dst", import_name(F.col("module_path"), F.col("imported_name")))
     known = symbols.select(F.col("qualified_name").alias("dst")).distinct()
-    return rows.join(known, "dst").select(path_to_module(F.col("path")).alias("src"), "dst", F.lit("imports").alias("relation_type"), "line_number", F.lit(1.0).alias("weight"), F.lit(1.0).alias("confidence"), F.lit(None).cast("string").alias("resolution"), F.lit(1).alias("phase"), F.xxhash64("path", "pos").alias("ord"))
+    return import_edges_of(rows.join(known, "dst").withColumn("known", F.lit(True)))
 
 
 def resolve_parents(bases: DataFrame, imports: DataFrame, index: DataFrame) -> DataFrame:
@@ -117,22 +122,15 @@ def call_edges(resolved: DataFrame) -> DataFrame:
     return resolved.filter("caller is not null and callee is not null").select(F.col("caller").alias("src"), F.col("callee").alias("dst"), F.lit("calls").alias("relation_type"), "line_number", F.lit(1.0).alias("weight"), "confidence", "resolution", F.lit(3).alias("phase"), F.xxhash64("path", "pos").alias("ord"))
 
 
-def stored_calls(resolved: DataFrame, symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(calls rows whose two ends exist, the misses). Within one top package confidence is 0.85 at least and the label same_module."""
-    ids = symbols.groupBy("qualified_name").agg(F.min("symbol_id").alias("id"))
+def is_known() -> Column:
+    return F.col("caller_id").isNotNull() & F.col("callee_id").isNotNull()
+
+
+def stored_of(resolved: DataFrame, *also: str) -> DataFrame:
+    """calls rows of resolved calls whose two ends exist. Within one top package confidence is 0.85 at least and the label same_module."""
     near = same_top_package(F.col("caller"), F.col("callee"))
-    rows = resolved.filter("callee is not null").withColumns({"call_type": F.when(near, "same_module").otherwise(F.col("resolution")), "confidence": F.when(near, F.greatest(F.lit(0.85), F.col("confidence"))).otherwise(F.col("confidence"))})
-    both = rows.join(ids.select(F.col("qualified_name").alias("caller"), F.col("id").alias("caller_id")), "caller", "left").join(ids.select(F.col("qualified_name").alias("callee"), F.col("id").alias("callee_id")), "callee", "left")
-    known = F.col("caller_id").isNotNull() & F.col("callee_id").isNotNull()
-    return both.filter(known).select("caller_id", "callee_id", "call_type", "confidence", "line_number"), both.filter(~known)
-
-
-def stored_inherits(resolved: DataFrame, symbols: DataFrame) -> DataFrame:
-    """inherits rows: the child must exist, the parent may be unknown."""
-    ids = symbols.groupBy("qualified_name").agg(F.min("symbol_id").alias("id"))
-    return (resolved.join(ids.select(F.col("qualified_name").alias("child"), F.col("id").alias("child_id")), "child")
-            .join(ids.select(F.col("qualified_name").alias("parent_qname"), F.col("id").alias("parent_id")), "parent_qname", "left")
-            .select("child_id", "parent_id", F.col("parent").alias("parent_name")))
+    kind, sure = F.when(near, "same_module").otherwise(F.col("resolution")), F.when(near, F.greatest(F.lit(0.85), F.col("confidence"))).otherwise(F.col("confidence"))
+    return resolved.filter(is_known()).select("caller_id", "callee_id", kind.alias("call_type"), sure.alias("confidence"), "line_number", *also)
 
 
 def build_edges(symbols: DataFrame, imports: DataFrame, bases: DataFrame, calls: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from loreline.functions import text as fx
 from loreline.functions import trace as tr
-from loreline.operators import bm25, evaluate, evidence, freshness, graph, resolve, retrieval, skeleton, types, vector
+from loreline.operators import bm25, delta, evaluate, evidence, freshness, graph, resolve, retrieval, skeleton, types, vector
 from loreline.sources import files as fs
 from loreline.sources import python_source as py
 
@@ -555,6 +555,42 @@ def callee_resolution(spark, d):
     return resolve.resolve_callees(calls, index).select("call_id", "callee", "resolution", F.round("confidence", 6).alias("confidence"))
 
 
+def _name_snapshots(spark, d):
+    """Two states of a tree with one symbol or one call a file: symbols go, come and are renamed, a few calls change their target."""
+    symbols, calls = _names(spark, d)
+    k = F.col("symbol_id")
+    row = lambda name, qname: symbols.select(name.alias("name"), qname.alias("qname"), F.concat(F.lit("s"), k).alias("path"), k.cast("int").alias("pos"), F.lit("function").alias("type"), k.cast("long").alias("symbol_id"))
+    old = row(F.col("name"), F.col("qualified_name")).filter("symbol_id % 41 <> 0")
+    moved = lambda c: F.when(k % 97 == 0, F.concat(F.col(c), F.lit("er"))).otherwise(F.col(c))
+    new = row(moved("name"), moved("qualified_name")).filter("symbol_id % 53 <> 0")
+    c = F.col("call_id")
+    call = lambda target: calls.select(F.concat(F.lit("c"), c).alias("path"), F.lit(0).alias("pos"), target.alias("target"), "call_type", "caller_class", F.lit(None).cast("string").alias("caller_qname"), F.lit(1).alias("line_number"))
+    return old, new, call(F.col("target")), call(F.when(c % 59 == 0, F.concat(F.col("target"), F.lit("er"))).otherwise(F.col("target")))
+
+
+_DELTA_SQL = """pt AS (SELECT p_partkey AS k, string_split(p_name, ' ')[2] AS w, replace(p_brand, '#', '') AS module, lower(p_type) AS t, p_size FROM part),
+o AS (SELECT w AS name, module || '.' || t || '.' || w AS qname, k FROM pt WHERE k % 41 <> 0),
+sy AS (SELECT w || CASE WHEN k % 97 = 0 THEN 'er' ELSE '' END AS name, module || '.' || t || '.' || w || CASE WHEN k % 97 = 0 THEN 'er' ELSE '' END AS qname, k FROM pt WHERE k % 53 <> 0),
+ch AS (SELECT DISTINCT name FROM ((FROM o EXCEPT FROM sy) UNION ALL (FROM sy EXCEPT FROM o))),
+ix AS (SELECT name, qname, row_number() OVER (PARTITION BY name ORDER BY 's' || k, k, qname) AS ord, count(*) OVER (PARTITION BY name) AS n FROM sy),
+ca AS (SELECT k AS call_id, CASE p_size % 10 WHEN 0 THEN t || '.' || w WHEN 1 THEN 'nothing' ELSE w END || CASE WHEN k % 59 = 0 THEN 'er' ELSE '' END AS target, p_size % 10 = 2 AS is_self, module FROM pt),
+mm AS (SELECT call_id, min(ord) AS ord FROM ca JOIN ix ON name = target AND starts_with(qname, module || '.') GROUP BY call_id),
+sf AS (SELECT call_id, min(ord) AS ord FROM ca JOIN ix ON contains(target, '.') AND name = string_split(target, '.')[-1] AND (qname = target OR ends_with(qname, '.' || target)) GROUP BY call_id)"""
+
+
+@query(f"""WITH {_DELTA_SQL} SELECT 'c' || call_id AS path, CASE WHEN is_self THEN module || '.Holder.' || target WHEN a.qname IS NOT NULL THEN a.qname WHEN b.qname IS NOT NULL THEN b.qname WHEN c.qname IS NOT NULL THEN c.qname ELSE target END AS callee,
+CASE WHEN is_self THEN 'self_method' WHEN a.qname IS NOT NULL THEN 'module_match' WHEN b.n = 1 THEN 'exact_match' WHEN b.qname IS NOT NULL THEN 'first_candidate' WHEN c.qname IS NOT NULL THEN 'suffix_match' ELSE 'unresolved' END AS resolution,
+round(CASE WHEN is_self THEN 1.0 WHEN a.qname IS NOT NULL THEN 0.9 WHEN b.qname IS NOT NULL THEN 1.0 / b.n WHEN c.qname IS NOT NULL THEN CASE WHEN c.n = 1 THEN 1.0 ELSE 0.8 END ELSE 0.0 END, 6) AS confidence,
+(call_id % 59 = 0 OR string_split(target, '.')[-1] IN (SELECT name FROM ch)) AS again
+FROM ca LEFT JOIN mm USING (call_id) LEFT JOIN ix a ON a.name = target AND a.ord = mm.ord LEFT JOIN ix b ON b.name = target AND b.ord = 1 LEFT JOIN sf USING (call_id) LEFT JOIN ix c ON c.name = string_split(target, '.')[-1] AND c.ord = sf.ord""")
+def delta_resolution(spark, d):
+    """Calls resolved on the first state and maintained to the second; ``again`` tells which were resolved a second time."""
+    old, new, calls, now = _name_snapshots(spark, d)
+    edited = now.join(calls, ["path", "target"], "left_anti")
+    after = delta.maintain_calls(delta.resolve_calls(calls, old), edited, edited, new, delta.changed_names(old, new))
+    return after.select("path", "callee", "resolution", F.round("confidence", 6).alias("confidence"), "again")
+
+
 @query(f"WITH {_NAMES_SQL} SELECT name, CAST(count(*) AS INTEGER) AS n, min(qname) AS least FROM ix GROUP BY name")
 def symbol_candidates(spark, d):
     found = resolve.candidates(resolve.symbol_index(_names(spark, d)[0]))

@@ -1,7 +1,8 @@
-"""The index job: scan, diff, parse what changed, resolve, commit a version.
+"""The index job: scan, diff, parse what changed, resolve what that concerns, rewrite the buckets it touches, commit a version.
 
-A version holds the parsed rows of its files, so a later one parses only files whose (path, hash) is new; inferred types and embeddings of
-unchanged files are carried over too. Names are resolved anew over all files, as a new file may change what an old one refers to.
+One function (``changes_of``) serves the first build and every refresh: it derives the short names whose symbols differ, finds the files that mention one
+of them, resolves only their rows that do, and carries all others over. Written are the buckets of changed files, of files with rows resolved
+again, and of graph nodes whose edges moved. If another job commits first, the work is done again on what that job left.
 """
 
 from __future__ import annotations
@@ -11,77 +12,184 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreline import schemas
+from loreline.errors import CommitConflict
 from loreline.functions.text import content_hash
-from loreline.operators import bm25, freshness, graph, resolve, retrieval, types, vector
+from loreline.operators import bm25, delta, freshness, graph, resolve, retrieval, types, vector
 from loreline.options import IndexOptions, IndexResult
 from loreline.sources import files as sources
 from loreline.sources import python_source as py
-from loreline.sources.shared import checkpoint
-from loreline.sources.store import IndexStore
+from loreline.sources.shared import Scratch
+from loreline.sources.store import BUCKETS, Commit, IndexSnapshot, IndexStore, bucket_of
 
+BUCKET_BYTES = 256 << 20  # source text of a bucket; a first build chooses their number
+ATTEMPTS = 10
+SHOWN = 1000
 
-def _pick(df: DataFrame, schema) -> DataFrame:
-    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
 
+def _numbers(rows: DataFrame) -> set[int]:
+    """The different bucket numbers of some rows (as many as there are buckets at most)."""
+    return {r[0] for r in rows.select("bucket").distinct().collect()}
 
-def build_tables(spark: SparkSession, scanned: DataFrame, embeddings: DataFrame | None = None, store: IndexStore | None = None) -> tuple[dict[str, DataFrame], dict[str, int], list[str]]:
-    """All index tables of a scan (path, content, size_bytes). Parsing happens once: its result is written to the shared folder.
 
-    With a ``store`` only files that its latest version does not hold are parsed. ``embeddings`` (symbol_id, embedding) replace carried ones.
-    """
-    hashed = scanned.withColumn("hash", content_hash(F.col("content").cast("binary")))
-    old = store.read("parsed") if store is not None and store.version() else spark.createDataFrame([], schemas.PARSED)
-    fresh = checkpoint(py.parse_files(freshness.to_parse(hashed, old)))
-    parsed = checkpoint(freshness.unchanged(old, hashed).unionByName(fresh))
-    symbols = checkpoint(py.with_parents(py.symbols_of(parsed)))
-    imports, bases, raw_calls = py.imports_of(parsed), py.bases_of(parsed), py.calls_of(parsed)
-    index = resolve.symbol_index(symbols)
-    resolved = checkpoint(resolve.resolved_calls(raw_calls, index))
-    calls, misses = resolve.stored_calls(resolved, symbols)
-    parents = resolve.resolve_parents(bases, imports, index)
-    edges = resolve.import_edges(imports, symbols).unionByName(resolve.inherit_edges(parents)).unionByName(resolve.call_edges(resolved))
-    files = parsed.select(F.xxhash64("path").alias("file_id"), "path", "hash", F.lit("python").alias("language"), "line_count", "size_bytes")
-    of_fresh = symbols.join(fresh.select(F.col("path").alias("file_path")), "file_path", "left_semi")
-    of_kept = symbols.join(fresh.select(F.col("path").alias("file_path")), "file_path", "left_anti")
-
-    def carried(table: str) -> DataFrame:
-        rows = store.read(table) if store is not None and store.version() else spark.createDataFrame([], schemas.TABLES[table])
-        return vector.drop_stale(rows, of_kept)
+def changes_of(base: IndexSnapshot, changed: DataFrame, touched: DataFrame, keep: Scratch, embeddings: DataFrame | None = None) -> tuple[dict, DataFrame]:
+    """(table -> (rows, buckets that they replace), parsed rows of the changed files).
 
+    ``changed``: (path, content, size_bytes) of new and changed files; ``touched``: paths of those and of deleted ones. ``embeddings``
+    (symbol_id, embedding, ord) are written over carried ones.
+    """
+    n, first = base.commit.buckets, not base.commit.tables
+    at = lambda c: bucket_of(F.col(c), n).alias("bucket")
+    touched = keep(touched.select("path", at("path")))
+    near = _numbers(touched)
+    fresh = keep(py.parse_files(changed))
+    spread = None if first else near
+
+    def old(table: str, buckets: set[int] | None, key: str | None = "path") -> DataFrame:
+        """Rows of some buckets, without those of touched files."""
+        rows = base.read_with_bucket(table, buckets)
+        return rows if key is None else rows.join(touched.select(F.col("path").alias(key)), key, "left_anti")
+
+    symbols = keep(py.symbols_of(fresh))
+    calls, bases, imports = py.calls_of(fresh), py.bases_of(fresh), py.imports_of(fresh)
+    # the short names whose symbols differ, and the files with rows that mention one
+    before = keep(base.read("names", near).join(touched.select("path"), "path", "left_semi"))
+    after = delta.names_of(symbols)
+    differ = keep(delta.changed_rows(before, after))
+    changed_names = keep(differ.select("name").distinct())
+    wide = near if first else near | _numbers(base.read_with_bucket("mentions").join(changed_names, "name", "left_semi"))
+    # stale rows and those of changed files are resolved, against the symbols that have one of the names that they mention
+    raw = {"resolved": calls.select(*delta.CALL), "resolved_imports": imports.select(*delta.IMPORT), "resolved_bases": bases.select(*delta.BASE)}
+    enclosing = F.regexp_replace("qualified_name", r"\.[^.]+$", "")
+    classes = differ.filter("type = 'class'").select(F.col("qname").alias("parent_qname")).distinct()
+    if first:
+        todo, todo_symbols, names = raw, symbols.withColumn("bucket", at("file_path")), after
+    else:
+        held = {t: old(t, wide) for t in raw}
+        todo = {t: keep(delta.stale(t, held[t], changed_names).select(*raw[t].columns).unionByName(raw[t])) for t in raw}
+        moved_class = base.read_with_bucket("symbols").withColumn("parent_qname", enclosing).join(classes, "parent_qname", "left_semi").drop("parent_qname", "parent_class_id")
+        moved_class = moved_class.join(touched.select(F.col("path").alias("file_path")), "file_path", "left_anti")
+        todo_symbols = keep(moved_class.unionByName(symbols.withColumn("bucket", at("file_path")).select(*moved_class.columns)))
+        wanted = delta.mentions(todo["resolved"], todo["resolved_bases"], todo["resolved_imports"], todo_symbols).select("name").distinct()
+        names = keep(old("names", None).drop("bucket").unionByName(after).join(wanted, "name", "left_semi"))
+    run = {"resolved": lambda rows: delta.resolve_calls(rows, names), "resolved_imports": lambda rows: delta.resolve_imports(rows, names), "resolved_bases": lambda rows: delta.resolve_bases(rows, now["resolved_imports"], names)}
+    now, again, dropped = {}, {}, {}
+    for table in run:  # base classes look at the imports of their file
+        again[table] = keep(run[table](todo[table]).withColumn("bucket", at("path")))
+        now[table] = again[table] if first else keep(delta.carried(table, held[table], changed_names).unionByName(again[table]))
+        if not first:
+            gone = base.read(table, near).join(touched.select("path"), "path", "left_semi")
+            dropped[table] = gone.unionByName(delta.stale(table, held[table], changed_names).drop("bucket"))
+    out = {t: (rows, None if first else wide) for t, rows in now.items()}
+    out["calls"] = (resolve.stored_of(now["resolved"], "bucket"), None if first else wide)
+    out["inherits"] = (now["resolved_bases"].filter("child_id is not null").select("child_id", "parent_id", F.col("parent").alias("parent_name"), "bucket"), None if first else wide)
+    # edges of the source nodes whose rows came, went or were resolved again
+    if first:
+        out["edges"] = (graph.digraph(delta.edges_of(now["resolved"], now["resolved_bases"], now["resolved_imports"])).withColumn("bucket", at("src")), None)
+    else:
+        edges = lambda t: delta.edges_of(t["resolved"], t["resolved_bases"], t["resolved_imports"])
+        moved = keep(edges(dropped).select("src").union(edges(again).select("src")).distinct().withColumn("bucket", at("src")))
+        ends = _numbers(moved)
+        others = set(range(n)) - wide
+        whole = {t: base.read(t, others).unionByName(now[t].drop("bucket")) for t in now}
+        mine = graph.digraph(edges(whole).join(moved.select("src"), "src", "left_semi")).withColumn("bucket", at("src"))
+        rest = base.read_with_bucket("edges", ends).join(moved.select("src"), "src", "left_anti")
+        out["edges"] = (rest.unionByName(mine.select(*rest.columns)), ends)
+    # symbols of changed files, and those of other files whose class has another id
+    also = near if first else near | _numbers(todo_symbols)
+    found = py.with_parents(todo_symbols, names)
+    if first:
+        all_symbols = keep(found)
+    else:
+        kept = old("symbols", also, "file_path").join(todo_symbols.select("symbol_id"), "symbol_id", "left_anti")
+        all_symbols = keep(kept.unionByName(found.select(*kept.columns)))
+    out["symbols"] = (all_symbols, None if first else also)
+    # tables of a file's own rows
+    file = lambda rows, key="path": rows.withColumn("bucket", at(key))
+    gone_ids = before.select("symbol_id")
+    mine = {"parsed": file(fresh), "names": file(after), "imports": file(imports), "errors": file(fresh.filter("error is not null").select("path", "error")),
+            "mentions": file(delta.mentions(calls, bases, imports, symbols)),
+            "files": file(fresh.select(F.xxhash64("path").alias("file_id"), "path", "hash", F.lit("python").alias("language"), "line_count", "size_bytes")),
+            "nodes": file(symbols.select("qualified_name", "type", "file_path", (F.col("end_line") - F.col("start_line") + 1).alias("line_count")), "file_path")}
+    for table, rows in mine.items():
+        out[table] = (old(table, near, "file_path" if table == "nodes" else "path").unionByName(rows, allowMissingColumns=True), spread)
+    of_symbols = symbols.select("symbol_id", at("file_path"))
+    typed = types.type_info(symbols, changed).join(of_symbols, "symbol_id")
+    out["type_info"] = (base.read_with_bucket("type_info", near).join(gone_ids, "symbol_id", "left_anti").unionByName(typed), spread)
+    # the inverted index
     lexical = bm25.build_index(symbols.select("symbol_id", retrieval.index_text().alias("text")), "symbol_id")
-    nodes = symbols.select("qualified_name", "type", "file_path", (F.col("end_line") - F.col("start_line") + 1).alias("line_count"))
-    tables = {"files": _pick(files, schemas.FILES), "symbols": symbols.select(*[c for c in symbols.columns if c != "pos"]), "imports": _pick(imports, schemas.IMPORTS), "calls": _pick(calls, schemas.CALLS),
-              "inherits": _pick(resolve.stored_inherits(parents, symbols), schemas.INHERITS), "type_info": _pick(types.type_info(of_fresh, scanned), schemas.TYPE_INFO).unionByName(_pick(carried("type_info"), schemas.TYPE_INFO)), "nodes": _pick(nodes, schemas.NODES), "edges": _pick(graph.digraph(edges), schemas.EDGES)}
-    tables |= {"parsed": parsed, "errors": parsed.filter("error is not null").select("path", "error"), "bm25_postings": lexical.postings, "bm25_terms": lexical.terms, "bm25_stats": lexical.stats}
+    posted = keep(base.read_with_bucket("bm25_postings", near).join(gone_ids.withColumnRenamed("symbol_id", "doc_id"), "doc_id", "left_anti")
+                  .unionByName(lexical.postings.join(of_symbols.withColumnRenamed("symbol_id", "doc_id"), "doc_id").select("token", "doc_id", "tf", "size", "bucket")))
+    in_near = all_symbols if first else all_symbols.filter(F.col("bucket").isin(*near) if near else F.lit(False))
+    sizes = bm25.sizes(in_near.select("symbol_id", retrieval.index_text().alias("text"), "bucket").withColumnRenamed("symbol_id", "doc_id"), "doc_id", carry=("bucket",))
+    out["bm25_postings"] = (posted, spread)
+    out["bm25_terms"] = (posted.groupBy("bucket", "token").agg(F.count(F.lit(1)).alias("df")), spread)
+    out["bm25_stats"] = (sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")), spread)
+    # embeddings of changed files go, as their text may have changed; given ones are written over the rest
+    carried = base.read_with_bucket("embeddings", None if embeddings is not None else near).join(gone_ids, "symbol_id", "left_anti")
     if embeddings is not None:
         new = embeddings.select("symbol_id", "embedding", *(["ord"] if "ord" in embeddings.columns else [F.lit(0).alias("ord")]))
-        tables["embeddings"] = vector.upsert(carried("embeddings").select("symbol_id", "embedding"), new)
-    elif store is not None and store.version():
-        tables["embeddings"] = carried("embeddings")
-    n = symbols.agg(F.count(F.lit(1)), F.count_if(F.col("type") == "class")).first()
-    errors = [r[0] for r in parsed.filter("error is not null").select(F.concat_ws(": ", "path", "error")).orderBy("path").limit(1000).collect()]  # for display; the table ``errors`` holds all
-    stats = {"files": parsed.count(), "parsed": fresh.count(), "parse_errors": parsed.filter("error is not null").count(), "symbols": n[0], "classes": n[1], "functions": n[0] - n[1], "imports": imports.count(), "calls": raw_calls.count(), "resolved_calls": calls.count(), "unresolved_calls": misses.count()}
-    return tables, stats, errors
+        put = vector.upsert(carried.select("symbol_id", "embedding"), new)
+        place = old("names", None).drop("bucket").unionByName(after).select("symbol_id", at("path"))
+        out["embeddings"] = (put.join(place, "symbol_id", "left").withColumn("bucket", F.coalesce("bucket", F.pmod("symbol_id", F.lit(n)).cast("int"))), None)
+    elif not first:
+        out["embeddings"] = (carried, spread)
+    return out, fresh
 
 
-def index_directory(spark: SparkSession, root: str, store_root: str, options: IndexOptions = IndexOptions(), embeddings: DataFrame | None = None) -> IndexResult:
-    """Index a source tree into a new version. Incremental: only new and changed files are parsed, and nothing is written if there are none.
+def _stats(snapshot: IndexSnapshot, parsed: int) -> dict[str, int]:
+    one = lambda table, *more: snapshot.read(table).agg(F.count(F.lit(1)), *more)  # one row
+    names = one("names", F.count_if(F.col("type") == "class").alias("classes"))
+    calls = one("resolved", F.count_if(resolve.is_known()).alias("known"), F.count_if(F.col("callee").isNotNull() & ~resolve.is_known()).alias("open"))
+    row = one("files").crossJoin(F.broadcast(one("errors"))).crossJoin(F.broadcast(names)).crossJoin(F.broadcast(one("imports"))).crossJoin(F.broadcast(calls)).first()
+    files, errors, symbols, classes, imports, called, resolved, missed = row
+    return {"files": files, "parsed": parsed, "parse_errors": errors, "symbols": symbols, "classes": classes, "functions": symbols - classes, "imports": imports, "calls": called, "resolved_calls": resolved, "unresolved_calls": missed}
+
+
+def _result(snapshot: IndexSnapshot, began: float) -> IndexResult:
+    s = snapshot.commit.stats
+    shown = snapshot.read("errors").select(F.concat_ws(": ", "path", "error")).orderBy("path").limit(SHOWN).collect() if s.get("parse_errors") else []  # the table holds all
+    return IndexResult(snapshot.version, s.get("files", 0), s.get("parse_errors", 0), *[s.get(k, 0) for k in ("symbols", "classes", "functions", "imports", "calls", "resolved_calls", "unresolved_calls")], time.time() - began, [r[0] for r in shown])
+
 
-    ``skipped`` counts files that do not parse.
+def apply(store: IndexStore, base: IndexSnapshot, changed: DataFrame, touched: DataFrame, keep: Scratch, embeddings: DataFrame | None = None) -> int:
+    """Commit the version after ``base`` in which these files stand as given, and touched ones without content are gone."""
+    changes, fresh = changes_of(base, changed, touched, keep, embeddings)
+    return store.commit(base, changes, lambda made: _stats(made, fresh.count()))
+
+
+def _nothing(store: IndexStore, scanned: DataFrame) -> IndexSnapshot:
+    """An empty version to build on: as many buckets as the text needs, never fewer than BUCKETS."""
+    size = scanned.agg(F.coalesce(F.sum("size_bytes"), F.lit(0))).first()[0]
+    return IndexSnapshot(store, Commit(version=store.version(), buckets=max(BUCKETS, -(-size // BUCKET_BYTES))))
+
+
+def index_directory(spark: SparkSession, root: str, store_root: str, options: IndexOptions = IndexOptions(), embeddings: DataFrame | None = None) -> IndexResult:
+    """Index a source tree into a new version. Incremental: only new and changed files are read whole and parsed, and nothing is written if there are
+    none. ``skipped`` counts files that parse in part or not at all.
     """
-    began = time.time()
+    began, store = time.time(), IndexStore(spark, store_root)
+    for attempt in range(ATTEMPTS):
+        scanned = sources.scan_tree(spark, root, options)
+        base = store.at() if options.incremental and store.version() else _nothing(store, scanned)
+        with Scratch() as keep:
+            files = base.read("files").select("path", "hash")
+            changed = keep(freshness.to_parse(scanned.withColumn("hash", content_hash(F.col("content"))), files).drop("hash"))
+            gone = files.select("path").join(scanned.select("path"), "path", "left_anti")
+            touched = keep(changed.select("path").union(gone))
+            if base.commit.tables and embeddings is None and touched.isEmpty():
+                return _result(base, began)
+            try:
+                return _result(store.at(apply(store, base, changed, touched, keep, embeddings)), began)
+            except CommitConflict:
+                if attempt + 1 == ATTEMPTS:
+                    raise
+
+
+def delete_paths(spark: SparkSession, store_root: str, paths: DataFrame) -> int:
+    """A version without these files (path): their rows go from every table, and what referred to them is resolved again."""
     store = IndexStore(spark, store_root)
-    scanned = sources.scan_tree(spark, root, options)
-    if options.incremental and store.version():
-        status = freshness.diff(store.read("files"), sources.file_table(scanned))
-        counts = {r[0]: r[1] for r in status.groupBy("status").count().collect()}
-        if set(counts) <= {"unchanged"} and embeddings is None:
-            s = store.stats()
-            return IndexResult(store.version(), s.get("files", 0), s.get("parse_errors", 0), *[s.get(k, 0) for k in ("symbols", "classes", "functions", "imports", "calls", "resolved_calls", "unresolved_calls")], time.time() - began)
-    tables, stats, errors = build_tables(spark, scanned, embeddings, store if options.incremental else None)
-    version = store.write_version(tables, stats)
-    return IndexResult(version, stats["files"], stats["parse_errors"], stats["symbols"], stats["classes"], stats["functions"], stats["imports"], stats["calls"], stats["resolved_calls"], stats["unresolved_calls"], time.time() - began, errors)
+    with Scratch() as keep:
+        return apply(store, store.at(), spark.createDataFrame([], "path string, content binary, size_bytes long"), paths.select("path").distinct(), keep)
 
 
 def check_freshness(spark: SparkSession, root: str, store_root: str, options: IndexOptions = IndexOptions()) -> DataFrame:
@@ -91,7 +199,6 @@ def check_freshness(spark: SparkSession, root: str, store_root: str, options: In
 
 def refresh_if_stale(spark: SparkSession, root: str, store_root: str, options: IndexOptions = IndexOptions()) -> IndexResult | None:
     """None if nothing changed, else the result of an incremental index."""
-    store = IndexStore(spark, store_root)
-    if store.version() and check_freshness(spark, root, store_root, options).first()["freshness"] == "current":
-        return None
-    return index_directory(spark, root, store_root, IndexOptions(options.ignore_patterns, options.ignored_dirs, options.max_file_size_mb, True))
+    before = IndexStore(spark, store_root).version()
+    done = index_directory(spark, root, store_root, IndexOptions(options.ignore_patterns, options.ignored_dirs, options.max_file_size_mb, True))
+    return None if before and done.version == before else done

@@ -31,11 +31,12 @@ class QueryService:
     def search(self, query: str, options: QueryOptions = QueryOptions(), query_vector: list[float] | None = None) -> DataFrame:
         """Files in rank order: path, score, best symbol with its place, members, confidence of the whole result, snippet or skeleton."""
         self._fresh()
-        symbols = self.symbols()
-        sides = {"index": self.store.lexical()}
+        now = self.store.at()  # one version for the whole search
+        symbols = now.read("symbols")
+        sides = {"index": now.lexical()}
         if options.mode in ("hybrid", "full"):
-            embeddings = self.store.read("embeddings") if query_vector else None
-            sides |= dict(edges=self.store.read("edges"), imports=self.store.read("imports"), embeddings=embeddings, query_vector=query_vector, hops=options.graph_hops)
+            embeddings = now.read("embeddings") if query_vector else None
+            sides |= dict(edges=now.read("edges"), imports=now.read("imports"), embeddings=embeddings, query_vector=query_vector, hops=options.graph_hops)
             if options.mode == "full":
                 sides["corrected"] = options.corrected_scores
         found = checkpoint(retrieval.retrieve(symbols, query, options.max_results, options.mode, **sides))  # max_results rows, planned once
@@ -66,21 +67,25 @@ class QueryService:
         return sources.extract_symbols_source(found, code.select("path", F.decode("content", "UTF-8").alias("content")))
 
     def callers(self, qualified_name: str) -> DataFrame:
-        return graph.callers(self.store.read("calls"), self.symbols(), qualified_name)
+        now = self.store.at()
+        return graph.callers(now.read("calls"), now.read("symbols"), qualified_name)
 
     def callees(self, qualified_name: str) -> DataFrame:
-        return graph.callees(self.store.read("calls"), self.symbols(), qualified_name)
+        now = self.store.at()
+        return graph.callees(now.read("calls"), now.read("symbols"), qualified_name)
 
     def relations(self, qualified_name: str, direction: str = "both") -> DataFrame:
-        return graph.relations(self.store.read("calls"), self.symbols(), qualified_name, direction)
+        now = self.store.at()
+        return graph.relations(now.read("calls"), now.read("symbols"), qualified_name, direction)
 
     def call_graph(self, root: str, depth: int = 2) -> tuple[DataFrame, DataFrame]:
         nodes, edges = self.store.load_graph()
         return graph.call_graph(nodes, edges, root, depth)
 
     def stats(self) -> DataFrame:
-        s = self.store.stats()
-        return freshness.index_stats(self.symbols(), self.store.read("files"), self.store.read("imports"), self.store.read("calls"), s.get("resolved_calls", 0), s.get("unresolved_calls", 0))
+        now = self.store.at()
+        s = now.commit.stats
+        return freshness.index_stats(*[now.read(t) for t in ("symbols", "files", "imports", "calls")], s.get("resolved_calls", 0), s.get("unresolved_calls", 0))
 
     def snapshot(self, paths: list[str] | None = None) -> DataFrame:
         return freshness.snapshot(self.store.read("files"), paths)
@@ -92,5 +97,6 @@ class QueryService:
         """(bundles, evidence) of traces (trace_id, text)."""
         self._fresh()
         code = sources.scan_tree(self.spark, self.root) if self.root else None
-        found = evidence.trace_evidence(traces, self.store.read("files"), self.symbols(), code, self.root)
+        now = self.store.at()
+        found = evidence.trace_evidence(traces, now.read("files"), now.read("symbols"), code, self.root)
         return evidence.bundles(traces, found), found

@@ -1,7 +1,8 @@
 """Syntax trees of files that do not parse: the sound blocks of a broken file, each parsed alone.
 
 A file is cut into blocks by indentation, over logical lines (brackets, strings and continuations are joined). A block that parses is taken
-as it stands. Of one that does not, the header of a class or function is kept and its body is cut in turn, so that only the smallest broken
+as it stands. Of one that does not, the header of a class or function is kept (its name alone, if it is the header that is broken, and only above a
+sound statement) and its body is cut in turn, so that only the smallest broken
 statement is lost. A bracket that is never closed ends where a line begins with a word that no expression can begin with; a string
 that is never closed is cut in the same way, but only if that leaves fewer broken rows (sound strings often hold code).
 """
@@ -167,7 +168,7 @@ class _Islands:
             return [x for part in _blocks(lines) for x in self.recover(part, True)]
         self.lost += (line.last + 1 - line.first) * (head is None)
         found = [x for part in _blocks(rest) for x in self.recover(part, strict)] if rest else []
-        if named:
+        if named and (head is not None or found):  # a broken header counts if something sound stands below it
             node = head if head is not None else _stub(named[1], named[2], line)
             node.body = found or [ast.copy_location(ast.Pass(), node)]
             node.end_lineno = last + 1

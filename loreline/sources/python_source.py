@@ -140,9 +140,9 @@ def symbols_of(parsed: DataFrame) -> DataFrame:
     return rows.select(sid.alias("symbol_id"), F.xxhash64("path").alias("file_id"), F.col("path").alias("file_path"), "pos", "name", "type", "qualified_name", "start_line", "end_line", "docstring", "signature", "is_exported", "parent_class")
 
 
-def with_parents(symbols: DataFrame) -> DataFrame:
-    """parent_class_id by the qualified name of what encloses a symbol (left self-join)."""
-    parents = symbols.filter("type = 'class'").groupBy(F.col("qualified_name").alias("parent_qname")).agg(F.min("symbol_id").alias("parent_class_id"))
+def with_parents(symbols: DataFrame, names: DataFrame) -> DataFrame:
+    """parent_class_id by the qualified name of what encloses a symbol. names: (qname, type, symbol_id)."""
+    parents = names.filter("type = 'class'").groupBy(F.col("qname").alias("parent_qname")).agg(F.min("symbol_id").alias("parent_class_id"))
     enclosing = F.regexp_replace("qualified_name", r"\.[^.]+$", "")
     return symbols.withColumn("parent_qname", enclosing).join(parents, "parent_qname", "left").drop("parent_qname")
 

@@ -25,4 +25,31 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Write and reread: lineage ends there, and a lost executor costs nothing."""
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/loreline-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``checkpoint`` wrote and that nothing reads any more."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Scratch:
+    """Checkpoints of one job, removed when it ends: ``with Scratch() as keep: rows = keep(rows)``."""
+
+    def __init__(self):
+        self.tables: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.tables.append(checkpoint(df))
+        return self.tables[-1]
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        discard(*self.tables)
