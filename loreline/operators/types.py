@@ -1,7 +1,7 @@
 """Type inference over (source, line, name) rows: a cascade of strategies, the first hit wins.
 
 Strategies whose pattern depends on a column run in one Arrow-batched Python function; imports, self and confidences are column
-expressions. The engine-backed strategy (0.60) is absent: it needs a library that is not part of this build.
+expressions. Between assignment and duck typing stands what flows in from other functions and files (``operators.flow``), where that was worked out.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Confidence of each strategy.
-CONFIDENCE = {"explicit_hint": 0.95, "import_mapping": 0.90, "self_inference": 0.85, "assignment": 0.70, "duck_typing": 0.40}
+CONFIDENCE = {"explicit_hint": 0.95, "import_mapping": 0.90, "self_inference": 0.85, "assignment": 0.70, "data_flow": 0.60, "duck_typing": 0.40}
 LOOK_BACK = 50
 
 
@@ -100,11 +100,12 @@ def self_type(source: Column, line: Column, name: Column) -> Column:
     return F.when(name == "self", F.try_element_at(heads, F.lit(-1)))
 
 
-def infer(rows: DataFrame) -> DataFrame:
-    """Add type_name, confidence, strategy to rows of (source, line, name)."""
+def infer(rows: DataFrame, flowing: DataFrame | None = None) -> DataFrame:
+    """Add type_name, confidence, strategy to rows of (source, line, name). With ``flowing`` (slot, type_name) rows have a ``slot`` too."""
     s, n, x = F.col("source"), F.col("line"), F.coalesce("name", F.lit(""))
     own = rows.withColumn("_u", _by_name(s, n, x))
-    found = {"explicit_hint": F.col("_u.hint"), "import_mapping": imported_type(s, x), "self_inference": self_type(s, n, x), "assignment": F.col("_u.assigned"), "duck_typing": F.col("_u.ducks")}
+    own = own.withColumn("_f", F.lit(None).cast("string")) if flowing is None else own.join(flowing.select("slot", F.col("type_name").alias("_f")), "slot", "left")
+    found = {"explicit_hint": F.col("_u.hint"), "import_mapping": imported_type(s, x), "self_inference": self_type(s, n, x), "assignment": F.col("_u.assigned"), "data_flow": F.col("_f"), "duck_typing": F.col("_u.ducks")}
     best = F.coalesce(*[F.when(c.isNotNull(), F.struct(c.alias("type_name"), F.lit(CONFIDENCE[k]).alias("confidence"), F.lit(k).alias("strategy"))) for k, c in found.items()],
                       F.struct(F.lit(None).cast("string").alias("type_name"), F.lit(0.0).alias("confidence"), F.lit("none").alias("strategy")))
     return own.withColumn("_t", best).select(*rows.columns, "_t.type_name", "_t.confidence", "_t.strategy")

@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from loreline.functions import text as fx
 from loreline.functions import trace as tr
-from loreline.operators import bm25, delta, evaluate, evidence, freshness, graph, resolve, retrieval, skeleton, types, vector
+from loreline.operators import bm25, delta, evaluate, evidence, flow, freshness, graph, resolve, retrieval, skeleton, types, vector
 from loreline.sources import files as fs
 from loreline.sources import python_source as py
+from loreline.sources.shared import checkpoint
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -674,6 +675,42 @@ def type_cascade(spark, d):
     return types.infer(rows).select("p_partkey", "type_name", "strategy", F.col("confidence").cast("double").alias("confidence"))
 
 
+def _flow_sources(spark, d):
+    """File k has a class whose method gives an instance of the class of file k / 2, and functions that pass such values on through that file."""
+    k = F.col("p_partkey")
+    n, up = k.cast("string"), F.floor(k / 2).cast("string")
+    code = F.concat(F.lit("import src.m"), up, F.lit(" as other\n\n\nclass W"), n, F.lit(":\n    def up(self):\n        return other.W"), up, F.lit("()\n\n\nclass V"), n, F.lit("(W"), n, F.lit("):\n    pass\n\n\ndef make():\n    value = V"), n,
+                    F.lit("()\n    return value.up()\n\n\ndef chain(flag):\n    if flag:\n        return chain(False)\n    found = other.make()\n    return same(found)\n\n\ndef same(x):\n    return x\n\n\ndef duck(thing):\n    thing.quack()\n    return thing.swim()\n"))
+    return _t(spark, d, "part").select(F.concat(F.lit("src/m"), n, F.lit(".py")).alias("path"), code.alias("content"), k.alias("k"))
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, CAST(floor(p_partkey / 2) AS BIGINT) AS u, CAST(floor(floor(p_partkey / 2) / 2) AS BIGINT) AS v FROM part), a AS (SELECT p.*, p.u IN (SELECT k FROM p) AS has_u, p.u IN (SELECT k FROM p) AND p.v IN (SELECT k FROM p) AS has_v FROM p)
+SELECT k, unnest(['make', 'chain', 'x', 'thing']) AS name, unnest([CASE WHEN has_u THEN 'W' || u END, CASE WHEN has_v THEN 'W' || v END, CASE WHEN has_v THEN 'W' || v END, 'DuckType(quack, swim)']) AS type_name,
+unnest([CASE WHEN has_u THEN 'data_flow' ELSE 'none' END, CASE WHEN has_v THEN 'data_flow' ELSE 'none' END, CASE WHEN has_v THEN 'data_flow' ELSE 'none' END, 'duck_typing']) AS strategy,
+unnest([CASE WHEN has_u THEN 0.6 ELSE 0.0 END, CASE WHEN has_v THEN 0.6 ELSE 0.0 END, CASE WHEN has_v THEN 0.6 ELSE 0.0 END, 0.4]::DOUBLE[]) AS confidence FROM a""")
+def type_across_files(spark, d):
+    """Types that come through calls, methods, inheritance and arguments of other files; where nothing flows, what a value is asked to do."""
+    files = _flow_sources(spark, d)
+    parsed = checkpoint(py.parse_files(files))
+    names = delta.names_of(py.symbols_of(parsed))
+    bases = resolve.resolve_parents(py.bases_of(parsed), py.imports_of(parsed), delta.index_of(names))
+    types_of = flow.named_types(flow.flow_types(py.flows_of(parsed), names, bases))
+    module = F.concat(F.lit("src.m"), F.col("k").cast("string"), F.lit("."))
+    asked = F.array(*[F.struct(F.lit(n).alias("line"), F.lit(x).alias("name"), F.concat(module, F.lit(s)).alias("slot")) for n, x, s in ((13, "make", "make()"), (18, "chain", "chain()"), (26, "x", "same.x"), (30, "thing", "duck.thing"))])
+    rows = files.select("k", F.col("content").alias("source"), F.explode(asked).alias("q")).select("k", "source", "q.*")
+    return types.infer(rows, types_of).select("k", "name", "type_name", "strategy", F.col("confidence").cast("double").alias("confidence"))
+
+
+@query("""WITH RECURSIVE seeds AS (SELECT p_partkey AS slot, p_brand AS type FROM part WHERE p_partkey % 37 = 0), moves AS (SELECT p_partkey AS dst, CAST(floor(p_partkey / 2) AS BIGINT) AS src FROM part UNION ALL SELECT CAST(floor(p_partkey / 3) AS BIGINT), p_partkey FROM part WHERE p_partkey % 13 = 0),
+known AS (SELECT slot, type FROM seeds UNION SELECT dst, type FROM known JOIN moves ON src = slot) SELECT slot, type FROM known""")
+def type_fixpoint(spark, d):
+    """The closure of types along moves, cycles included."""
+    part = _t(spark, d, "part")
+    k = F.col("p_partkey")
+    moves = part.select(k.alias("dst"), F.floor(k / 2).alias("src")).unionByName(part.filter(k % 13 == 0).select(F.floor(k / 3).alias("dst"), k.alias("src")))
+    return flow.fixpoint(part.filter(k % 37 == 0).select(k.alias("slot"), F.col("p_brand").alias("type")), moves)
+
+
 @query("SELECT p_partkey, CAST(len(string_split(s, chr(10))) AS INTEGER) AS lines FROM (SELECT p_partkey, 'import os' || chr(10) || 'from' || chr(10) || chr(10) || chr(10) || 'c' || chr(10) || 'd' || chr(10) || chr(10) || 'def' || chr(10) || '#' || chr(10) || chr(10) || chr(10) || 'def' || chr(10) || 'a' || chr(10) || 'b' || chr(10) || 'c' || chr(10) AS s FROM part)")
 def skeletonize(spark, d):
     made = skeleton.skeleton(F.col("content"), F.array(F.lit(15)))

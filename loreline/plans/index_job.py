@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from loreline.errors import CommitConflict
 from loreline.functions.text import content_hash
-from loreline.operators import bm25, delta, freshness, graph, resolve, retrieval, types, vector
+from loreline.operators import bm25, delta, flow, freshness, graph, resolve, retrieval, types, vector
 from loreline.options import IndexOptions, IndexResult
 from loreline.sources import files as sources
 from loreline.sources import python_source as py
@@ -192,6 +192,26 @@ def delete_paths(spark: SparkSession, store_root: str, paths: DataFrame) -> int:
         return apply(store, store.at(), spark.createDataFrame([], "path string, content binary, size_bytes long"), paths.select("path").distinct(), keep)
 
 
+def add_flow_types(spark: SparkSession, store_root: str) -> int:
+    """A version whose type_info has what flows across files: for functions that no surer strategy tells, and for parameters.
+
+    A fixpoint over the facts of the whole index; refreshes carry its rows over until it is run again.
+    """
+    store = IndexStore(spark, store_root)
+    base = store.at()
+    with Scratch() as keep:
+        flows = keep(py.flows_of(base.read("parsed")))
+        known = keep(flow.flow_types(flows, base.read("names"), base.read("resolved_bases")))
+        rows = flow.type_rows(base.read("symbols"), flows, known)
+        held = base.read("type_info").filter(F.col("inference_strategy") != flow.STRATEGY)
+        surer = held.filter((F.col("confidence") >= flow.CONFIDENCE) & F.col("parameter_name").isNull()).select("symbol_id", F.lit("").alias("_p")).distinct()
+        new = keep(rows.withColumn("_p", F.coalesce("parameter_name", F.lit(""))).join(surer, ["symbol_id", "_p"], "left_anti").drop("_p"))
+        beaten = new.filter("parameter_name is null").select("symbol_id")
+        left = held.join(beaten, "symbol_id", "left_anti")
+        place = base.read("names").select("symbol_id", bucket_of(F.col("path"), base.commit.buckets).alias("bucket"))
+        return store.commit(base, {"type_info": (left.unionByName(new).join(place, "symbol_id"), None)}, lambda _: base.commit.stats)
+
+
 def check_freshness(spark: SparkSession, root: str, store_root: str, options: IndexOptions = IndexOptions()) -> DataFrame:
     """One row: freshness and path lists."""
     return freshness.listed(freshness.diff(IndexStore(spark, store_root).read("files"), sources.file_table(sources.scan_tree(spark, root, options))))

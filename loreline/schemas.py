@@ -28,6 +28,7 @@ PARSED = T.StructType([
     T.StructField("imports", T.ArrayType(_struct(module_path=S, imported_name=S, alias=S, is_relative=B, relative_level=I, line_number=I))),
     T.StructField("calls", T.ArrayType(_struct(target=S, call_type=S, caller_class=S, caller_qname=S, line_number=I, chain=S))),
     T.StructField("bases", T.ArrayType(_struct(child=S, parent=S, line_number=I))),
+    T.StructField("flows", T.ArrayType(_struct(dst=S, kind=S, src=S, member=S, line_number=I))),
 ])
 POSTINGS = _struct(token=S, doc_id=L, tf=I, size=I)
 TERMS = _struct(token=S, df=L)

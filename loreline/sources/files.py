@@ -12,25 +12,98 @@ from pyspark.sql import functions as F
 from loreline.functions.text import content_hash, line_count
 from loreline.options import IndexOptions
 from loreline.schemas import CASES
+from loreline.sources.shared import checkpoint
 
 
 def _glob_regex(pattern: str) -> str:
     return re.sub(r"\\z$|\\Z$", "$", fnmatch.translate(pattern.replace("**/", "*"))).replace("(?s:", "(?s:")
 
 
+def _literal(path: str) -> str:
+    """A path that is no pattern to Spark or Hadoop."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
+
+
+# Spark's file sources pass over names that begin with an underscore, which would lose every __init__.py: those are listed and read apart.
+
+
+def underscored(spark: SparkSession, base: str) -> list[str]:
+    """URIs of .py files that, or a folder of which below ``base``, begin with an underscore: one listing call a pattern and level. Names
+    that begin with a dot are passed over, as Spark does it.
+    """
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(base)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def names(pattern: str) -> list[str]:
+        found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(pattern))
+        return [s.getPath().toString() for s in found or ()]
+
+    root = _literal(base)
+    out: set[str] = set()
+    level = 0
+    while not level or names(f"{root}{'/[!.]*' * level}/"):
+        for at in range(level + 1):
+            parts = ["[!.]*"] * level + ["*.py"]
+            parts[at] = "_*.py" if at == level else "_*"
+            out.update(names("/".join([root, *parts])))
+        level += 1
+    return sorted(out)
+
+
+def read_apart(spark: SparkSession, uris: list[str]) -> DataFrame:
+    """path (URI), content, length of files by name: by executors where their store is a disk or one that Arrow reads, else through the driver's
+    file system in batches that are written to the shared folder.
+    """
+    schema = "path string, content binary, length long"
+    if not uris:
+        return spark.createDataFrame([], schema)
+    if all(re.match(r"(file:|/)", u) or re.match(r"(hdfs|s3|gs)://", u) for u in uris):
+        def read(batches):
+            import pyarrow as pa
+            from pyarrow import fs
+
+            for b in batches:
+                for uri in b.column("path").to_pylist():  # a file at a time: memory follows the largest one
+                    local = re.match(r"(?:file:)?/+(?=[^/])", uri)
+                    store, path = (fs.LocalFileSystem(), "/" + uri[local.end():]) if local else fs.FileSystem.from_uri(uri)
+                    with store.open_input_stream(path) as f:
+                        data = f.read()
+                    yield pa.record_batch({"path": pa.array([uri]), "content": pa.array([data], pa.binary()), "length": pa.array([len(data)], pa.int64())})
+
+        n = max(1, min(len(uris) // 64, 4096))
+        return spark.createDataFrame([(u,) for u in uris], "path string").repartition(n).mapInArrow(read, schema)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out, rows, size = None, [], 0
+    for k, uri in enumerate(uris):
+        path = jvm.org.apache.hadoop.fs.Path(uri)
+        stream = path.getFileSystem(conf).open(path)
+        data = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+        stream.close()
+        rows.append((uri, bytearray(data), len(data)))
+        size += len(data)
+        if size > 16 << 20 or k + 1 == len(uris):
+            part = checkpoint(spark.createDataFrame(rows, schema))
+            out, rows, size = part if out is None else out.unionByName(part), [], 0
+    return out
+
+
+def _below(base: str):
+    """The path below ``base`` of a URI: what follows the root folder's own name."""
+    tail = base.split("://")[-1].lstrip("/")
+    return F.substring_index(F.col("path"), tail + "/", -1)
+
+
 def scan_tree(spark: SparkSession, root: str, options: IndexOptions = IndexOptions()) -> DataFrame:
     """path (relative), content, size_bytes of every .py file that no ignore rule hits and that is not too large; sorted when written.
 
     Any store Spark reads will do. Size and path filters run before content is decoded.
     """
-    base = root.rstrip("/")
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.py").option("recursiveFileLookup", "true").load(base)
-             .filter(F.col("length") <= int(options.max_file_size_mb * 1024 * 1024)))
-    # paths come back as URIs; what follows the root folder's own name is the relative path
-    tail = base.split("://")[-1].lstrip("/")
-    rel = F.substring_index(F.col("path"), tail + "/", -1)
-    rows = files.select(rel.alias("path"), "content", F.col("length").alias("size_bytes"))
-    return rows.filter(~ignored(F.col("path"), options))
+    base, most = root.rstrip("/"), int(options.max_file_size_mb * 1024 * 1024)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.py").option("recursiveFileLookup", "true").load(_literal(base)).select("path", "content", "length")
+    apart = [u for u in underscored(spark, base) if not set(u[len(base):].split("/")) & set(options.ignored_dirs)]
+    rows = files.unionByName(read_apart(spark, apart)) if apart else files
+    return rows.filter(F.col("length") <= most).select(_below(base).alias("path"), "content", F.col("length").alias("size_bytes")).filter(~ignored(F.col("path"), options))
 
 
 def read_files(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
@@ -39,11 +112,11 @@ def read_files(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     there = [p for p in paths if p and (at := jvm.org.apache.hadoop.fs.Path(f"{base}/{p}")).getFileSystem(conf).exists(at)]
-    if not there:
-        return spark.createDataFrame([], "path string, content binary")
-    files = spark.read.format("binaryFile").load([re.sub(r"([\\*?\[\]{}])", r"\\\1", f"{base}/{p}") for p in there])
-    tail = base.split("://")[-1].lstrip("/")
-    return files.select(F.substring_index("path", tail + "/", -1).alias("path"), "content")
+    apart = [p for p in there if any(x.startswith("_") for x in p.split("/"))]
+    files = read_apart(spark, [f"{base}/{p}" for p in apart]).select("path", "content")
+    if plain := [_literal(f"{base}/{p}") for p in there if p not in apart]:
+        files = spark.read.format("binaryFile").load(plain).select("path", "content").unionByName(files)
+    return files.select(_below(base).alias("path"), "content")
 
 
 def ignored(path: Column, options: IndexOptions = IndexOptions()) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from loreline.functions.text import content_hash, line_count
 from loreline.schemas import PARSED
 from loreline.sources import islands
+from loreline.sources.facts import facts_of
 
 
 def module_name(path: str) -> str:
@@ -105,8 +106,8 @@ class _Visitor(ast.NodeVisitor):
 
 
 def parse_source(source: str, path: str) -> dict:
-    """Rows of one file: symbols, imports, calls, bases; and an error if only parts of it parse."""
-    out = dict(error=None, symbols=[], imports=[], calls=[], bases=[])
+    """Rows of one file: symbols, imports, calls, bases, value flows; and an error if only parts of it parse."""
+    out = dict(error=None, symbols=[], imports=[], calls=[], bases=[], flows=[])
     try:
         tree = ast.parse(source)
     except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
@@ -117,7 +118,7 @@ def parse_source(source: str, path: str) -> dict:
         visitor.visit(tree)
     except RecursionError as e:  # an expression nested too deep to walk: what was met before it stays
         out["error"] = out["error"] or f"{type(e).__name__}: {e}"
-    return out | dict(symbols=visitor.symbols, imports=visitor.imports, calls=visitor.calls, bases=visitor.bases)
+    return out | dict(symbols=visitor.symbols, imports=visitor.imports, calls=visitor.calls, bases=visitor.bases, flows=facts_of(tree, module_name(path), path.endswith("__init__.py")))
 
 
 def parse_files(files: DataFrame) -> DataFrame:
@@ -127,7 +128,7 @@ def parse_files(files: DataFrame) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            parsed = pd.DataFrame([parse_source(bytes(c).decode("utf-8", "replace"), p) for c, p in zip(pdf["content"], pdf["path"])], columns=["error", "symbols", "imports", "calls", "bases"])
+            parsed = pd.DataFrame([parse_source(bytes(c).decode("utf-8", "replace"), p) for c, p in zip(pdf["content"], pdf["path"])], columns=["error", "symbols", "imports", "calls", "bases", "flows"])
             yield pd.concat([pdf[["path", "hash", "line_count", "size_bytes"]].reset_index(drop=True), parsed], axis=1)[PARSED.names]
 
     return rows.mapInPandas(run, PARSED)
@@ -157,3 +158,7 @@ def calls_of(parsed: DataFrame) -> DataFrame:
 
 def bases_of(parsed: DataFrame) -> DataFrame:
     return parsed.select("path", F.posexplode("bases").alias("pos", "b")).select("path", "pos", "b.*")
+
+
+def flows_of(parsed: DataFrame) -> DataFrame:
+    return parsed.select("path", F.explode("flows").alias("f")).select("path", "f.*")

@@ -67,6 +67,24 @@ def test_scan(spark, project):
     assert sorted(r.path for r in fs.scan_tree(spark, str(project), only).collect()) == ["auth.py"]
 
 
+def test_scan_of_names_that_begin_with_an_underscore(spark, tmp_path):
+    root = tmp_path / "a [b] c"
+    for name in ("__init__.py", "pkg/__init__.py", "pkg/_own/deep/x y.py", "pkg/_own/__main__.py", "pkg/plain.py", "_top.py", "__pycache__/z.py", "pkg/é_ü/_ö.py", "pkg/_big.py"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(f"# {name}\n" + "x" * (3000 if "big" in name else 0))
+    (root / "pkg" / "_own" / "note.txt").write_text("no")
+    want = ["__init__.py", "_top.py", "pkg/__init__.py", "pkg/_own/__main__.py", "pkg/_own/deep/x y.py", "pkg/plain.py", "pkg/é_ü/_ö.py"]
+    got = fs.scan_tree(spark, str(root), IndexOptions(max_file_size_mb=2000 / 1024 / 1024)).collect()
+    assert sorted(r.path for r in got) == want and all(bytes(r.content).decode() == f"# {r.path}\n" and r.size_bytes == len(r.content) for r in got)
+    asked = fs.read_files(spark, str(root), ["pkg/__init__.py", "pkg/plain.py", "gone.py", "pkg/_own/deep/x y.py"]).collect()
+    assert sorted(r.path for r in asked) == ["pkg/__init__.py", "pkg/_own/deep/x y.py", "pkg/plain.py"]
+    # a store that only the driver's file system opens
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.under.link./in", f"file://{tmp_path}")
+    far = fs.read_apart(spark, ["viewfs://under/in/a [b] c/pkg/_own/deep/x y.py", "viewfs://under/in/a [b] c/_top.py"]).collect()
+    assert sorted(bytes(r.content).decode() for r in far) == ["# _top.py\n", "# pkg/_own/deep/x y.py\n"]
+
+
 def test_index_query_refresh(spark, project, tmp_path):
     store = str(tmp_path / "ix")
     with pytest.raises(IndexNotFound):

@@ -13,7 +13,7 @@ from loreline.sources import python_source as py
 
 warnings.simplefilter("ignore", SyntaxWarning)
 HERE = Path(__file__).parent
-SOUND = [*sorted(Path(sysconfig.get_paths()["stdlib"]).glob("*.py"))[::4], *sorted(HERE.parent.rglob("loreline/**/*.py"))]
+SOUND = [*sorted(Path(sysconfig.get_paths()["stdlib"]).glob("*.py"))[::8], *sorted(HERE.parent.rglob("loreline/**/*.py"))]
 
 
 def rows(tree):
@@ -36,14 +36,14 @@ def test_sound_files_give_the_same_rows():
             continue
         assert rows(islands.recover(source)) == rows(tree), f
         read += 1
-    assert read > 40
+    assert read > 30
 
 
 @pytest.mark.parametrize("junk", ["if x =", "foo(1, [2", "y = )", "def (:", "'''never closed", "x = 'open", "class :", "return return"])
 def test_one_broken_statement_costs_no_symbol(junk):
     r = random.Random(junk)
     lost = extra = 0
-    for f in SOUND[:40]:
+    for f in SOUND[:14]:
         source = f.read_text(encoding="utf-8", errors="replace")
         try:
             tree = ast.parse(source)
