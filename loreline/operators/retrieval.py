@@ -61,10 +61,10 @@ def file_aggregate(rows: DataFrame, top_k: int | None = None, path: str = "file_
     return out.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(F.round("score", 9)), "ord"))).filter(F.col("rank") <= top_k)
 
 
-def merge_candidates(branches: DataFrame) -> DataFrame:
-    """One row a symbol: score of the first arrival (branch_ord, ord), all sources."""
+def merge_candidates(branches: DataFrame, *by: str) -> DataFrame:
+    """One row a symbol (and query, if ``by`` names one): score of the first arrival (branch_ord, ord), all sources."""
     first = F.struct("branch_ord", "ord")
-    return branches.groupBy("symbol_id").agg(F.min_by("score", first).alias("score"), F.min(first).alias("at"), F.sort_array(F.collect_set("source")).alias("sources"), F.max(F.when(F.col("source") == "vector", F.col("score"))).alias("vector_score"), F.max(F.when(F.col("source") == "bm25", F.col("score"))).alias("bm25_score"))
+    return branches.groupBy(*by, "symbol_id").agg(F.min_by("score", first).alias("score"), F.min(first).alias("at"), F.sort_array(F.collect_set("source")).alias("sources"), F.max(F.when(F.col("source") == "vector", F.col("score"))).alias("vector_score"), F.max(F.when(F.col("source") == "bm25", F.col("score"))).alias("bm25_score"))
 
 
 def _order(*keys: Column) -> Column:
@@ -136,6 +136,15 @@ def seeds_of(like: DataFrame, words: DataFrame) -> DataFrame:
     return first.select("symbol_id", F.row_number().over(Window.orderBy("at.b", "at.ord")).alias("seed_ord"))
 
 
+def ending_with(symbols: DataFrame, targets: DataFrame) -> DataFrame:
+    """Targets (tail, ...) with every symbol_id whose path ends with the tail, case folded: an equality between tails and all ends of the paths."""
+    path = F.lower("file_path")
+    n = F.length("p")
+    paths = symbols.select(path.alias("p")).distinct().filter("p <> ''")
+    ends = paths.select("p", F.explode(F.transform(F.sequence(F.lit(1), n), lambda k: F.substring("p", k, n))).alias("tail"))
+    return ends.join(targets, "tail").join(symbols.select("symbol_id", path.alias("p")), "p")
+
+
 def trace_branch(symbols: DataFrame, edges: DataFrame, imports: DataFrame, query: str) -> DataFrame:
     """Symbols of a trace's frames (1.2), their two-hop neighbours (0.9), symbols of files they import (0.8); first emission counts."""
     spark = symbols.sparkSession
@@ -148,11 +157,7 @@ def trace_branch(symbols: DataFrame, edges: DataFrame, imports: DataFrame, query
     neighbours = near.join(symbols.select("symbol_id", F.col("qualified_name").alias("node")), "node").select(F.col("o.frame").alias("frame"), F.col("o.symbol_id").alias("match"), F.lit(1).alias("phase"), "depth", "symbol_id")
     files = direct.select("frame", F.col("symbol_id").alias("match"), "file_path").join(imports.select(F.col("path").alias("file_path"), "module_path", F.coalesce("line_number", F.lit(0)).alias("depth")), "file_path")
     targets = files.select("frame", "match", "depth", F.concat(F.lower("module_path"), F.lit(".py")).alias("tail"))
-    # a path that ends with a target ends with its last characters, as many as the shortest target has: an equality to join by
-    shortest = targets.agg(F.min(F.length("tail")).alias("n"))
-    ends = lambda d, c: d.crossJoin(F.broadcast(shortest)).withColumn("end", F.right(F.col(c), F.col("n"))).drop("n")  # one row
-    imported = (ends(symbols.select("symbol_id", F.lower("file_path").alias("p")), "p").join(ends(targets, "tail"), "end").filter(F.expr("endswith(p, tail)"))
-                .select("frame", "match", F.lit(2).alias("phase"), "depth", "symbol_id"))
+    imported = ending_with(symbols, targets).select("frame", "match", F.lit(2).alias("phase"), "depth", "symbol_id")
     every = (direct.select("frame", F.col("symbol_id").alias("match"), F.lit(0).alias("phase"), F.lit(0).alias("depth"), "symbol_id").unionByName(neighbours).unionByName(imported))
     first = every.groupBy("symbol_id").agg(F.min(F.struct("frame", "match", "phase", "depth")).alias("at"))
     score = F.when(F.col("at.phase") == 0, TRACE_DIRECT).when(F.col("at.phase") == 1, TRACE_GRAPH).otherwise(TRACE_IMPORT)
@@ -183,13 +188,13 @@ def hybrid(symbols: DataFrame, query: str, top_k: int, **sides) -> DataFrame:
     return file_aggregate(named, top_k)
 
 
-def rerank(candidates: DataFrame, symbols: DataFrame, query: str, corrected: bool = False) -> DataFrame:
+def rerank(candidates: DataFrame, symbols: DataFrame, query: str | Column, corrected: bool = False) -> DataFrame:
     """Add semantic, keyword, path, symbol, stacktrace and the final score to merged candidates.
 
     The first arrival's score stands for both the vector and the BM25 score, as in the scoring rule that is matched; ``corrected``
     uses each branch's own score.
     """
-    q = F.lit(query)
+    q = query if isinstance(query, Column) else F.lit(query)
     asked = code_tokens(q)
     rows = candidates.withColumnRenamed("score", "first_score").join(symbols, "symbol_id")
     doc = code_tokens(symbol_text(F.col("name"), F.col("qualified_name"), F.col("docstring"), F.col("signature")))

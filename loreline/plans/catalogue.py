@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from loreline.functions import text as fx
 from loreline.functions import trace as tr
-from loreline.operators import bm25, delta, evaluate, evidence, flow, freshness, graph, resolve, retrieval, skeleton, types, vector
+from loreline.operators import batch, bm25, delta, evaluate, evidence, flow, freshness, graph, resolve, retrieval, skeleton, types, vector
 from loreline.sources import files as fs
 from loreline.sources import python_source as py
 from loreline.sources.shared import checkpoint
@@ -191,6 +191,33 @@ def symbol_only(spark, d):
     return _files(retrieval.symbol_only(_part_symbols(spark, d), "red widget", 5))
 
 
+def _asked_parts(spark, d):
+    """A query for each type and brand number that some part of every fifth size has."""
+    parts = _t(spark, d, "part").filter("p_size % 5 = 0")
+    kind = F.lower("p_type")
+    return parts.select(F.concat_ws(" ", kind, F.split("p_brand", "#")[1], F.lit("widget")).alias("query_id")).distinct().withColumn("query", F.col("query_id"))
+
+
+_ASKED_SQL = "asked AS (SELECT DISTINCT lower(p_type) || ' ' || string_split(p_brand, '#')[2] || ' widget' AS query_id, [lower(p_type), string_split(p_brand, '#')[2], 'widget'] AS q FROM part WHERE p_size % 5 = 0)"
+
+
+@query(f"""WITH {_PART_SQL}, {_ASKED_SQL}, s AS (SELECT query_id, symbol_id, file_path, (CASE WHEN list_contains(q, name) THEN 10.0 ELSE 0 END) + 2.0 * len(list_intersect(qt, q)) + (CASE WHEN list_contains(q, name) THEN 4.0 ELSE 0 END) AS score FROM asked, tk),
+g AS (SELECT query_id, lower(file_path) AS norm_path, round(CAST(max(score) + 0.1 * (sum(score) - max(score)) AS DOUBLE), 6) AS score, arg_max(symbol_id, score * 1e12 - symbol_id) AS best, min(symbol_id) AS ord FROM s WHERE score > 0 GROUP BY ALL)
+SELECT query_id, norm_path, score, best, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ord) AS INTEGER) AS rank FROM g QUALIFY rank <= 5""")
+def symbol_only_batch(spark, d):
+    """Mode symbol_only for a table of queries, in one plan."""
+    return batch.symbol_only(_part_symbols(spark, d), _asked_parts(spark, d), 5).select("query_id", "norm_path", F.round("score", 6).alias("score"), "best", "rank")
+
+
+@query("""WITH asked AS (SELECT DISTINCT substr(p_name, 2, 5) AS query_id FROM part WHERE p_size % 5 = 0 UNION SELECT DISTINCT upper(substr(p_type, 1, 2)) FROM part), h AS (SELECT query_id, p_partkey, row_number() OVER (PARTITION BY query_id ORDER BY p_partkey) AS at FROM asked JOIN part ON contains(lower(p_name), lower(query_id)) OR contains(lower(p_type), lower(query_id)))
+SELECT query_id, p_partkey, CAST(at AS INTEGER) AS at FROM h WHERE at <= 20""")
+def like_search_batch(spark, d):
+    """Substring search for a table of queries by their rarest trigram; those of two characters meet all rows."""
+    part = _t(spark, d, "part")
+    asked = part.filter("p_size % 5 = 0").select(F.substring("p_name", 2, 5).alias("query_id")).union(part.select(F.upper(F.substring("p_type", 1, 2)))).distinct()
+    return batch.like_search(part, asked.withColumn("query", F.col("query_id")), 20, ("p_name", "p_type"), "p_partkey")
+
+
 @query(f"""WITH {_PART_SQL}, {_bm25_sql("SELECT symbol_id AS doc_id, name || ' ' || qualified_name AS text FROM sym", "SELECT 0 AS query_id, 'widget' AS query")},
 lk AS (SELECT symbol_id, row_number() OVER (ORDER BY symbol_id) AS ord FROM sym WHERE contains(lower(name), 'widget') OR contains(lower(qualified_name), 'widget') QUALIFY ord <= 20),
 bm AS (SELECT doc_id AS symbol_id, score, rank AS ord FROM rk WHERE rank <= 20),
