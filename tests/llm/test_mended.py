@@ -132,3 +132,19 @@ def test_the_pipeline_keeps_odd_rows(spark, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{tmp_path}/a/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/b/{t}.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/b").collect() == []
+
+
+@pytest.mark.parametrize("html,want", [
+    ('<body><div class="layout has-sidebar"><p>Body of the page.</p><div class="sidebar">side</div></div></body>', ["Body of the page."]),
+    ('<body class="x"><div class="page no-comments"><p>Text.</p></div><div class="comments">what readers say, at length</div></body>', ["Text."]),
+    ('<div id="page-sidebar"><p>All the text of this page, a lot of it, stands in here.</p></div>', ["All the text of this page, a lot of it, stands in here."]),
+    ('<div class="page"><p>The main body, long enough to be told from what is beside it.</p></div><article>teaser one</article><article><p>teaser two</p></article>', ["The main body, long enough to be told from what is beside it."]),
+    ('<article><p>Short.</p></article><div>Longer text beside the only article of the page, which it marks.</div>', ["Short."]),
+    ('<article><h1>A</h1><p>First of several articles that are most of the page.</p></article><article>Second of them, with its own text.</article><p>foot</p>', ["A", "First of several articles that are most of the page.", "Second of them, with its own text."]),
+    ('<article><p>Text <span class="ad">buy</span> goes on.</p><div class="related-posts">more</div><div class="share">x</div></article>', ["Text goes on."]),
+    ('<div class="comments">' + "reader " * 40 + '</div><div><p>' + "body " * 12 + "</p></div>", [" ".join(["body"] * 12)]),
+])
+def test_layout_classes_and_teasers(html, want):
+    from loreline.llm.html_extract import blocks_of
+
+    assert blocks_of(html) == want
