@@ -209,13 +209,13 @@ def symbol_only_batch(spark, d):
     return batch.symbol_only(_part_symbols(spark, d), _asked_parts(spark, d), 5).select("query_id", "norm_path", F.round("score", 6).alias("score"), "best", "rank")
 
 
-@query("""WITH asked AS (SELECT DISTINCT substr(p_name, 2, 5) AS query_id FROM part WHERE p_size % 5 = 0 UNION SELECT DISTINCT upper(substr(p_type, 1, 2)) FROM part), h AS (SELECT query_id, p_partkey, row_number() OVER (PARTITION BY query_id ORDER BY p_partkey) AS at FROM asked JOIN part ON contains(lower(p_name), lower(query_id)) OR contains(lower(p_type), lower(query_id)))
-SELECT query_id, p_partkey, CAST(at AS INTEGER) AS at FROM h WHERE at <= 20""")
+@query("""WITH asked AS (SELECT DISTINCT substr(p_name, 2, 5) AS query_id FROM part WHERE p_size % 5 = 0 UNION SELECT DISTINCT upper(substr(p_type, 1, 2)) FROM part), h AS (SELECT query_id, p_partkey, row_number() OVER (PARTITION BY query_id ORDER BY p_partkey) AS place FROM asked JOIN part ON contains(lower(p_name), lower(query_id)) OR contains(lower(p_type), lower(query_id)))
+SELECT query_id, p_partkey, CAST(place AS INTEGER) AS place FROM h WHERE place <= 20""")
 def like_search_batch(spark, d):
     """Substring search for a table of queries by their rarest trigram; those of two characters meet all rows."""
     part = _t(spark, d, "part")
     asked = part.filter("p_size % 5 = 0").select(F.substring("p_name", 2, 5).alias("query_id")).union(part.select(F.upper(F.substring("p_type", 1, 2)))).distinct()
-    return batch.like_search(part, asked.withColumn("query", F.col("query_id")), 20, ("p_name", "p_type"), "p_partkey")
+    return batch.like_search(part, asked.withColumn("query", F.col("query_id")), 20, ("p_name", "p_type"), "p_partkey").withColumnRenamed("at", "place")
 
 
 @query(f"""WITH {_PART_SQL}, {_bm25_sql("SELECT symbol_id AS doc_id, name || ' ' || qualified_name AS text FROM sym", "SELECT 0 AS query_id, 'widget' AS query")},
