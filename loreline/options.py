@@ -15,6 +15,7 @@ class IndexOptions:
     ignored_dirs: tuple[str, ...] = IGNORED_DIRS
     max_file_size_mb: float = 5.0
     incremental: bool = False
+    settle_s: float = 0.0  # files changed less than this ago wait for the next refresh
 
 
 @dataclass(frozen=True)

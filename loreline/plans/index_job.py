@@ -8,6 +8,7 @@ again, and of graph nodes whose edges moved. If another job commits first, the w
 from __future__ import annotations
 
 import time
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,8 @@ from loreline.sources.store import BUCKETS, Commit, IndexSnapshot, IndexStore, b
 
 BUCKET_BYTES = 256 << 20  # source text of a bucket; a first build chooses their number
 ATTEMPTS = 10
+RACY_S = 2  # a file that changed so shortly before it was listed is read again
+READ_BY_NAME = 10_000  # changed files up to which they are read by name
 SHOWN = 1000
 
 
@@ -151,9 +154,18 @@ def _result(snapshot: IndexSnapshot, began: float) -> IndexResult:
     return IndexResult(snapshot.version, s.get("files", 0), s.get("parse_errors", 0), *[s.get(k, 0) for k in ("symbols", "classes", "functions", "imports", "calls", "resolved_calls", "unresolved_calls")], time.time() - began, [r[0] for r in shown])
 
 
-def apply(store: IndexStore, base: IndexSnapshot, changed: DataFrame, touched: DataFrame, keep: Scratch, embeddings: DataFrame | None = None) -> int:
-    """Commit the version after ``base`` in which these files stand as given, and touched ones without content are gone."""
+def apply(store: IndexStore, base: IndexSnapshot, changed: DataFrame, touched: DataFrame, keep: Scratch, embeddings: DataFrame | None = None, listing: DataFrame | None = None) -> int:
+    """Commit the version after ``base`` in which these files stand as given, and touched ones without content are gone.
+
+    ``listing`` (path, size_bytes, modified, listed) tells later refreshes what need not be read again; without it touched files will be.
+    """
     changes, fresh = changes_of(base, changed, touched, keep, embeddings)
+    near = changes["files"][1]
+    left = base.read_with_bucket("listing", near).join(touched.select("path"), "path", "left_anti")
+    if listing is not None:
+        own = listing.join(changed.select("path"), "path", "left_semi").withColumn("bucket", bucket_of(F.col("path"), base.commit.buckets))
+        left = left.unionByName(own.select(*left.columns))
+    changes["listing"] = (left, near)
     return store.commit(base, changes, lambda made: _stats(made, fresh.count()))
 
 
@@ -163,23 +175,44 @@ def _nothing(store: IndexStore, scanned: DataFrame) -> IndexSnapshot:
     return IndexSnapshot(store, Commit(version=store.version(), buckets=max(BUCKETS, -(-size // BUCKET_BYTES))))
 
 
+def _suspects(listing: DataFrame, held: DataFrame) -> DataFrame:
+    """Listed files that may differ from what the index holds: new ones, those of another size or time, and those whose time was so near that of
+    their listing that they may have changed again within it."""
+    same = held.filter(F.col("modified") < F.col("listed") - F.expr(f"INTERVAL {RACY_S} SECONDS")).select("path", "size_bytes", "modified")
+    return listing.join(same, ["path", "size_bytes", "modified"], "left_anti")
+
+
+def _current(spark: SparkSession, root: str, options: IndexOptions, base: IndexSnapshot, listing: DataFrame, keep: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(files that are read: path, content, size_bytes; paths that the index holds and the tree does not). Content is read only where size or time differ."""
+    if not base.commit.tables.get("listing"):
+        return sources.scan_tree(spark, root, options), base.read("files").select("path").join(listing.select("path"), "path", "left_anti")
+    gone = base.read("files").select("path").join(listing.select("path"), "path", "left_anti")
+    suspects = _suspects(listing, base.read("listing"))
+    if options.settle_s:
+        suspects = suspects.filter(F.col("modified") < F.current_timestamp() - F.expr(f"INTERVAL {options.settle_s} SECONDS"))
+    paths = [r[0] for r in suspects.select("path").limit(READ_BY_NAME + 1).collect()]
+    if len(paths) > READ_BY_NAME:  # most of the tree: one scan
+        return sources.scan_tree(spark, root, options).join(suspects.select("path"), "path", "left_semi"), gone
+    return sources.read_files(spark, root, paths).withColumn("size_bytes", F.length("content").cast("long")), gone
+
+
 def index_directory(spark: SparkSession, root: str, store_root: str, options: IndexOptions = IndexOptions(), embeddings: DataFrame | None = None) -> IndexResult:
-    """Index a source tree into a new version. Incremental: only new and changed files are read whole and parsed, and nothing is written if there are
-    none. ``skipped`` counts files that parse in part or not at all.
+    """Index a source tree into a new version. Incremental: only files whose size or time differ are read, only new and changed ones parsed, and nothing
+    is written if there are none. ``skipped`` counts files that parse in part or not at all.
     """
     began, store = time.time(), IndexStore(spark, store_root)
     for attempt in range(ATTEMPTS):
-        scanned = sources.scan_tree(spark, root, options)
-        base = store.at() if options.incremental and store.version() else _nothing(store, scanned)
         with Scratch() as keep:
+            listing = keep(sources.list_tree(spark, root, options).withColumn("listed", F.current_timestamp()))
+            base = store.at() if options.incremental and store.version() else _nothing(store, listing)
+            read, gone = _current(spark, root, options, base, listing, keep)
             files = base.read("files").select("path", "hash")
-            changed = keep(freshness.to_parse(scanned.withColumn("hash", content_hash(F.col("content"))), files).drop("hash"))
-            gone = files.select("path").join(scanned.select("path"), "path", "left_anti")
+            changed = keep(freshness.to_parse(read.withColumn("hash", content_hash(F.col("content"))), files).drop("hash"))
             touched = keep(changed.select("path").union(gone))
             if base.commit.tables and embeddings is None and touched.isEmpty():
                 return _result(base, began)
             try:
-                return _result(store.at(apply(store, base, changed, touched, keep, embeddings)), began)
+                return _result(store.at(apply(store, base, changed, touched, keep, embeddings, listing)), began)
             except CommitConflict:
                 if attempt + 1 == ATTEMPTS:
                     raise
@@ -220,5 +253,5 @@ def check_freshness(spark: SparkSession, root: str, store_root: str, options: In
 def refresh_if_stale(spark: SparkSession, root: str, store_root: str, options: IndexOptions = IndexOptions()) -> IndexResult | None:
     """None if nothing changed, else the result of an incremental index."""
     before = IndexStore(spark, store_root).version()
-    done = index_directory(spark, root, store_root, IndexOptions(options.ignore_patterns, options.ignored_dirs, options.max_file_size_mb, True))
+    done = index_directory(spark, root, store_root, replace(options, incremental=True))
     return None if before and done.version == before else done

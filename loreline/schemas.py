@@ -35,11 +35,12 @@ TERMS = _struct(token=S, df=L)
 BM25_STATS = _struct(n=L, size=L)  # documents and tokens of a bucket
 NAMES = _struct(name=S, qname=S, path=S, pos=I, type=S, symbol_id=L)
 MENTIONS = _struct(path=S, name=S)
+LISTING = _struct(path=S, size_bytes=L, modified=T.TimestampType(), listed=T.TimestampType())
 _CALL = dict(path=S, pos=I, target=S, call_type=S, caller_class=S, caller_qname=S, line_number=I)
 RESOLVED = _struct(**_CALL, caller=S, callee=S, resolution=S, confidence=D, caller_id=L, callee_id=L)
 RESOLVED_BASES = _struct(path=S, pos=I, child=S, parent=S, line_number=I, parent_qname=S, child_id=L, parent_id=L)
 RESOLVED_IMPORTS = _struct(path=S, pos=I, module_path=S, imported_name=S, alias=S, line_number=I, dst=S, known=B)
 ERRORS = _struct(path=S, error=S)
 TABLES = {"files": FILES, "symbols": SYMBOLS, "imports": IMPORTS, "calls": CALLS, "inherits": INHERITS, "type_info": TYPE_INFO, "embeddings": EMBEDDINGS, "nodes": NODES, "edges": EDGES, "parsed": PARSED, "errors": ERRORS, "bm25_postings": POSTINGS, "bm25_terms": TERMS, "bm25_stats": BM25_STATS,
-          "names": NAMES, "mentions": MENTIONS, "resolved": RESOLVED, "resolved_bases": RESOLVED_BASES, "resolved_imports": RESOLVED_IMPORTS}
+          "listing": LISTING, "names": NAMES, "mentions": MENTIONS, "resolved": RESOLVED, "resolved_bases": RESOLVED_BASES, "resolved_imports": RESOLVED_IMPORTS}
 CASES = T.StructType([T.StructField("case_id", S), T.StructField("type", S), T.StructField("query", S), T.StructField("expected_files", T.ArrayType(S)), T.StructField("expected_functions", T.ArrayType(S))])

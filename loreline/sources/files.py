@@ -27,26 +27,25 @@ def _literal(path: str) -> str:
 # Spark's file sources pass over names that begin with an underscore, which would lose every __init__.py: those are listed and read apart.
 
 
-def underscored(spark: SparkSession, base: str) -> list[str]:
-    """URIs of .py files that, or a folder of which below ``base``, begin with an underscore: one listing call a pattern and level. Names
+def underscored(spark: SparkSession, base: str) -> list[tuple[str, int, int]]:
+    """(URI, length, time of change in ms) of .py files that, or a folder of which below ``base``, begin with an underscore: one listing call a pattern and level. Names
     that begin with a dot are passed over, as Spark does it.
     """
     jvm = spark.sparkContext._jvm
     top = jvm.org.apache.hadoop.fs.Path(base)
     fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def names(pattern: str) -> list[str]:
-        found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(pattern))
-        return [s.getPath().toString() for s in found or ()]
+    def found(pattern: str) -> list[tuple[str, int, int]]:
+        return [(s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in fs.globStatus(jvm.org.apache.hadoop.fs.Path(pattern)) or ()]
 
     root = _literal(base)
-    out: set[str] = set()
+    out: set[tuple[str, int, int]] = set()
     level = 0
-    while not level or names(f"{root}{'/[!.]*' * level}/"):
+    while not level or found(f"{root}{'/[!.]*' * level}/"):
         for at in range(level + 1):
             parts = ["[!.]*"] * level + ["*.py"]
             parts[at] = "_*.py" if at == level else "_*"
-            out.update(names("/".join([root, *parts])))
+            out.update(found("/".join([root, *parts])))
         level += 1
     return sorted(out)
 
@@ -101,11 +100,25 @@ def scan_tree(spark: SparkSession, root: str, options: IndexOptions = IndexOptio
     """
     base, most = root.rstrip("/"), int(options.max_file_size_mb * 1024 * 1024)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.py").option("recursiveFileLookup", "true").load(_literal(base)).select("path", "content", "length")
-    apart = [u for u in underscored(spark, base) if not set(u[len(base):].split("/")) & set(options.ignored_dirs)]
+    apart = [u for u, *_ in _apart(spark, base, options)]
     rows = files.unionByName(read_apart(spark, apart)) if apart else files
     return rows.filter(F.col("length") <= most).select(_below(base).alias("path"), "content", F.col("length").alias("size_bytes")).filter(~ignored(F.col("path"), options))
 
 
+def _apart(spark: SparkSession, base: str, options: IndexOptions) -> list[tuple[str, int, int]]:
+    return [x for x in underscored(spark, base) if not set(x[0].split("/")[base.split("://")[-1].strip("/").count("/") + 1:]) & set(options.ignored_dirs)]
+
+
+def list_tree(spark: SparkSession, root: str, options: IndexOptions = IndexOptions()) -> DataFrame:
+    """path, size_bytes, modified of what ``scan_tree`` reads; no content is read."""
+    base, most = root.rstrip("/"), int(options.max_file_size_mb * 1024 * 1024)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.py").option("recursiveFileLookup", "true").load(_literal(base)).select("path", "length", "modificationTime")
+    if apart := _apart(spark, base, options):
+        rows = spark.createDataFrame(apart, "path string, length long, ms long").select("path", "length", F.timestamp_millis("ms").alias("modificationTime"))
+        files = files.unionByName(rows)
+    return files.filter(F.col("length") <= most).select(_below(base).alias("path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified")).filter(~ignored(F.col("path"), options))
+
+
 def read_files(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
     """path, content of these files of a tree, those that exist; nothing else is listed or read."""
     base = root.rstrip("/")

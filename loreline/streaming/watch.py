@@ -1,12 +1,14 @@
-"""Watching a source tree: each tick compares whole snapshots and refreshes the index if anything changed.
+"""Watching a source tree: each tick lists it and refreshes the index if anything changed.
 
-A file stream does not tell of changed or deleted files, so the ticks come from a rate stream and every micro-batch runs a full,
-idempotent snapshot diff: replaying a batch after a failure does no harm.
+A file stream does not tell of changed or deleted files, so the ticks come from a rate stream and every micro-batch compares the listing (names, sizes,
+times) with that of the index, and reads only what differs there. That is idempotent: replaying a batch after a failure does no harm. Files
+that changed less than ``settle_s`` ago wait for a later tick, so a burst of writes is one refresh.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +18,9 @@ from loreline.options import IndexOptions
 from loreline.plans import index_job
 
 
-def watch(spark: SparkSession, root: str, store_root: str, interval_s: float = 2.0, options: IndexOptions = IndexOptions(), on_refresh: Callable | None = None):
+def watch(spark: SparkSession, root: str, store_root: str, interval_s: float = 2.0, options: IndexOptions = IndexOptions(), on_refresh: Callable | None = None, settle_s: float = 0.0):
     """A running StreamingQuery; stop() ends it."""
+    options = replace(options, settle_s=settle_s or options.settle_s)
 
     def tick(_: DataFrame, batch_id: int) -> None:
         done = index_job.refresh_if_stale(spark, root, store_root, options)
