@@ -103,11 +103,26 @@ def should_stop(iteration: int, confidence: float, most: int = 5, enough: float
     return iteration >= most or confidence >= enough
 
 
+def _binned(spans: DataFrame, start: str, end: str) -> DataFrame:
+    """Spans with a level, whose bins are 2 ** level lines wide and no shorter than the span, and each of the one or two bins that they touch."""
+    level = F.ceil(F.log2(F.col(end) - F.col(start) + 1)).cast("int")
+    leveled = spans.filter(F.col(start) <= F.col(end)).withColumn("_level", level)
+    bins = F.array_distinct(F.array(F.expr(f"shiftright(`{start}`, _level)"), F.expr(f"shiftright(`{end}`, _level)")))
+    return leveled.withColumn("_bin", F.explode(bins))
+
+
 def frame_ranges(frames_: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Range join of frames to the symbols around their line: equi on path, then the line test; the innermost first."""
-    rows = frames_.alias("t").join(symbols.alias("s"), F.col("t.file_path") == F.col("s.file_path")).filter(F.col("t.line_number").between(F.col("s.start_line"), F.col("s.end_line")))
+    """Range join of frames to the symbols around their line; the innermost first.
+
+    An equality on path, level and bin: a frame looks into one bin for each level that its file has (32 at most), so a file with very many
+    symbols costs its matches and their neighbours, not all of its pairs, and its rows spread over many tasks.
+    """
+    spans = _binned(symbols.select("file_path", "symbol_id", "start_line", "end_line"), "start_line", "end_line")
+    levels = spans.groupBy("file_path").agg(F.collect_set("_level").alias("_levels"))
+    asked = frames_.select("trace_id", "frame", "file_path", "line_number").join(levels, "file_path").withColumn("_level", F.explode("_levels")).withColumn("_bin", F.expr("shiftright(line_number, _level)")).drop("_levels")
+    rows = asked.join(spans, ["file_path", "_level", "_bin"]).filter(F.col("line_number").between(F.col("start_line"), F.col("end_line")))
     inner = Window.partitionBy("trace_id", "frame").orderBy(F.col("end_line") - F.col("start_line"), "symbol_id")
-    return rows.select("t.trace_id", "t.frame", "s.symbol_id", "s.start_line", "s.end_line").withColumn("rank", F.row_number().over(inner))
+    return rows.select("trace_id", "frame", "symbol_id", "start_line", "end_line").withColumn("rank", F.row_number().over(inner))
 
 
 __all__ = ["append_new", "best_hypothesis", "bundles", "can_parse_pytest", "can_parse_python", "dangling", "frame_name", "frame_ranges", "frames", "known_paths", "should_stop", "symbol_evidence", "trace_evidence", "trace_path"]

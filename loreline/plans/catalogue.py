@@ -639,6 +639,19 @@ def prioritized_parent(spark, d):
     return resolve.resolve_parents(bases, imports, resolve.symbol_index(symbols)).select("pos", "parent_qname")
 
 
+@query(f"""WITH {_NAMES_SQL}, im AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE replace(p_brand, '#', '') || '.' || lower(p_type) END AS m, CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'gone' ELSE string_split(p_name, ' ')[2] END AS n FROM part),
+x AS (SELECT k, CASE WHEN n IS NULL THEN nullif(m, '') WHEN m <> '' THEN m || '.' || n ELSE n END AS dst FROM im)
+SELECT 'pkg.s' || k AS src, dst, CAST(k % 9 + 1 AS INTEGER) AS line_number FROM x WHERE dst IN (SELECT qname FROM sy)""")
+def import_edges(spark, d):
+    """Edges from modules to the symbols that they import; names that no symbol has give none."""
+    symbols, _ = _names(spark, d)
+    k = F.col("p_partkey")
+    module = F.when(k % 5 == 0, "").otherwise(F.concat_ws(".", F.regexp_replace("p_brand", "#", ""), F.lower("p_type")))
+    name = F.when(k % 4 == 0, None).when(k % 4 == 1, "gone").otherwise(F.split("p_name", " ")[1])
+    imports = _t(spark, d, "part").select(F.concat(F.lit("pkg/s"), k.cast("string"), F.lit(".py")).alias("path"), F.lit(0).alias("pos"), module.alias("module_path"), name.alias("imported_name"), F.lit(None).cast("string").alias("alias"), (k % 9 + 1).cast("int").alias("line_number"))
+    return resolve.import_edges(imports, symbols).select("src", "dst", "line_number")
+
+
 # ---------------------------------------------------------------- parsing
 
 
@@ -780,6 +793,22 @@ def file_hits(spark, d):
     return evaluate.file_hits(cases, results)
 
 
+@query("""WITH r AS (SELECT o_custkey AS k, o_orderkey AS o, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rank FROM orders), f AS (SELECT * FROM r WHERE rank <= 5 AND o % 4 = k % 4),
+w AS (SELECT c_custkey AS k, unnest(['fn' || (c_custkey % 5), 'm' || (c_custkey % 3)]) AS fn FROM customer), sp AS (SELECT DISTINCT 'm' || (s_suppkey % 3) AS fn, s_suppkey % 40 + 1 AS a, s_suppkey % 40 + 1 + s_suppkey % 7 AS b FROM supplier),
+h AS (SELECT k, 'fn' || (o % 6) AS fn FROM f UNION SELECT k, 'm' || (o % 2) FROM f UNION SELECT f.k, fn FROM f JOIN sp ON o % 50 + 1 BETWEEN a AND b OR o % 60 + 1 BETWEEN a AND b)
+SELECT CAST(w.k AS VARCHAR) AS case_id, avg(CASE WHEN h.fn IS NULL THEN 0.0 ELSE 1.0 END) AS function_rate FROM w LEFT JOIN h ON h.k = w.k AND h.fn = w.fn GROUP BY w.k""")
+def function_hits(spark, d):
+    """Expected functions that are hit by a name, a matched name, or a symbol around one of the lines."""
+    c, o, s = F.col("c_custkey"), F.col("o_orderkey"), F.col("s_suppkey")
+    text = lambda a, x, b="": F.concat(F.lit(a), x.cast("string"), F.lit(b))
+    cases = _t(spark, d, "customer").select(c.cast("string").alias("case_id"), F.array(text("./SRC/f", c % 4, ".py")).alias("expected_files"), F.array(text("fn", c % 5), text("K.M", c % 3)).alias("expected_functions"))
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    matched = F.array(F.struct(text("K.m", o % 2).alias("name"), (o % 60 + 1).cast("int").alias("start_line")))
+    results = _t(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("case_id"), place.alias("rank"), text("src\\f", o % 4, ".py").alias("file_path"), text("fn", o % 6).alias("name"), (o % 50 + 1).cast("int").alias("line_number"), matched.alias("matched"))
+    symbols = _t(spark, d, "supplier").select(text("m", s % 3).alias("name"), text("K.m", s % 3).alias("qualified_name"), (s % 40 + 1).cast("int").alias("start_line"), (s % 40 + 1 + s % 7).cast("int").alias("end_line"))
+    return evaluate.function_hits(cases, results, symbols)
+
+
 @query(f"WITH {_SNAP_SQL} SELECT path, hash, CASE WHEN status = 'unchanged' THEN 0 ELSE 1 END AS version FROM new JOIN df USING (path)")
 def watch_refresh(spark, d):
     """Two ticks over snapshots; the second finds nothing new."""

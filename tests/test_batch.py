@@ -70,3 +70,18 @@ def test_cases_in_one_plan_and_apart(spark, tmp_path):
     assert plain(evaluation.run_cases(service, two, "keyword_only")) == plain(evaluation.run_cases_apart(service, two, "keyword_only"))
     got = {r.mode: r for r in evaluation.compare_modes(service, cases, ("symbol_only", "full")).collect()}
     assert len(got) == 2 and got["full"].cases == 3 and got["full"].top1_rate == 1.0 and all(r.mean_seconds > 0 for r in got.values())
+
+
+def test_frames_in_one_file_of_very_many_spans(spark):
+    from loreline.operators import evidence
+
+    r = random.Random(8)
+    spans = [("hot.py", k, a := r.randrange(200_000), a + r.choice([0, 1, 2, 3, 7, 8, 30, 31, 400])) for k in range(20_000)]
+    spans += [("hot.py", 20_000, 1, 250_000), ("hot.py", 20_001, 9, 8), ("hot.py", 20_002, None, 5), ("b.py", 30_000, 5, 5), ("c.py", 30_001, 0, 2**31 - 2)]
+    frames = [(t, 0, "hot.py", r.randrange(200_400)) for t in range(400)] + [(900, 1, "b.py", 5), (901, 0, "b.py", 6), (902, 0, "gone.py", 1), (903, 0, "c.py", 7), (904, 0, "hot.py", None)]
+    got = evidence.frame_ranges(spark.createDataFrame(frames, "trace_id long, frame int, file_path string, line_number int"), spark.createDataFrame(spans, "file_path string, symbol_id long, start_line int, end_line int"))
+    want = []
+    for t, f, p, line in frames:
+        hit = sorted((b - a, i) for q, i, a, b in spans if q == p and None not in (a, b, line) and a <= line <= b)
+        want += [(t, f, i, n + 1) for n, (_, i) in enumerate(hit)]
+    assert sorted((x.trace_id, x.frame, x.symbol_id, x["rank"]) for x in got.collect()) == sorted(want) and len(want) > 2000
