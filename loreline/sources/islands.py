@@ -104,7 +104,7 @@ def _blocks(lines: list[_Line]) -> list[list[_Line]]:
     for line in lines:
         base = min(base, line.indent)
         decorated = out and out[-1][-1].text.startswith("@") and out[-1][-1].indent == line.indent
-        if out and (line.indent > base or decorated or (_CLAUSE.match(line.text) and len(out[-1]) > 1)):
+        if out and (line.indent > base or decorated or (_CLAUSE.match(line.text) and len(out[-1]) > 1 and line.indent == out[-1][0].indent)):
             out[-1].append(line)
         else:
             out.append([line])
