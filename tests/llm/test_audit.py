@@ -9,7 +9,7 @@ import pytest
 
 from loreline.llm import divergence as dv
 from loreline.llm.divergence import source_divergence
-from loreline.llm.fill_middle import CODE_POINT, fill_in_middle, restored, splitter
+from loreline.llm.fill_middle import BLOCK, CODE_POINT, TOGETHER, fill_in_middle, restored, splitter, units
 
 DOCS = "doc_id long, text string, lang string, source string"
 
@@ -52,6 +52,18 @@ def test_fill_in_middle_by_other_units_columns_and_no_rows(spark):
     assert fill_in_middle(docs.limit(0)).collect() == []
 
 
+def test_units_give_every_start_without_listing_them():
+    of = units()
+    for text in ("", "é\r\n🤦🏼x", "a" * BLOCK, "éb\n" * (2 * BLOCK)):
+        n, start = of(text)
+        assert n == len(text) and [start(k) for k in range(n + 1)] == list(range(n + 1))
+    n, start = of("ab\n" * (TOGETHER * BLOCK // 2))  # blocks of more than one call
+    assert n == 3 * (TOGETHER * BLOCK // 2) and [start(k) for k in (0, n // 2, n - 1, n)] == [0, n // 2, n - 1, n]
+    text = "ein  zwei\ndrei "
+    n, start = units(r"\s*\S+")(text)
+    assert [start(k) for k in range(n)] == splitter(r"\s*\S+")(text).tolist() == [0, 3, 9, 14] and start(n) == len(text)
+
+
 def plain_divergence(docs, least=3, top=200):
     rows = [(lang or "", source or "", re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))) for _, text, lang, source in docs]
     out = []
