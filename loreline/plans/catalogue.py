@@ -655,25 +655,30 @@ def import_edges(spark, d):
 # ---------------------------------------------------------------- parsing
 
 
+def _spread(spark, d):
+    """Parts dealt to all cores before text is made of them: the table is small, so its file has few splits, but each part becomes a file to parse."""
+    return _t(spark, d, "part").repartition(4 * spark.sparkContext.defaultParallelism, "p_partkey")
+
+
 def _sources(spark, d):
     word = F.split("p_name", " ")
     code = F.concat(F.lit("import os\nfrom pkg.base import Base\n\n\nclass "), F.initcap(word[1]), F.col("p_partkey").cast("string"), F.lit("(Base):\n    \"\"\"A "), word[0], F.lit(" thing.\"\"\"\n\n    def size(self, n: int) -> int:\n        self.check(n)\n        return n + "), F.col("p_size").cast("string"), F.lit("\n\n\ndef make_"), word[1], F.lit("(x):\n    obj = "), F.initcap(word[1]), F.col("p_partkey").cast("string"), F.lit("()\n    obj.size(x)\n    return os.path.join(x)\n"))
-    return _t(spark, d, "part").select(F.concat(F.lit("src/m"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), code.alias("content"), "p_partkey")
+    return _spread(spark, d).select(F.concat(F.lit("src/m"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), code.alias("content"), "p_partkey")
 
 
 @query("SELECT 'src/m' || p_partkey || '.py' AS file_path, unnest([upper(left(w, 1)) || substr(w, 2) || p_partkey, 'size', 'make_' || w]) AS name, unnest(['class', 'method', 'function']) AS type, unnest(['src.m' || p_partkey || '.' || upper(left(w, 1)) || substr(w, 2) || p_partkey, 'src.m' || p_partkey || '.' || upper(left(w, 1)) || substr(w, 2) || p_partkey || '.size', 'src.m' || p_partkey || '.make_' || w]) AS qualified_name, unnest([5, 8, 13]) AS start_line, unnest([10, 10, 16]) AS end_line FROM (SELECT p_partkey, string_split(p_name, ' ')[2] AS w FROM part)")
 def parse_symbols(spark, d):
-    return py.symbols_of(py.parse_files(_sources(spark, d))).select("file_path", "name", "type", "qualified_name", "start_line", "end_line")
+    return py.symbols_of(py.parse_files(_sources(spark, d), ("symbols",))).select("file_path", "name", "type", "qualified_name", "start_line", "end_line")
 
 
 @query("SELECT 'src/m' || p_partkey || '.py' AS path, unnest(['os', 'pkg.base']) AS module_path, unnest([NULL, 'Base']) AS imported_name, unnest([1, 2]) AS line_number FROM part")
 def parse_imports(spark, d):
-    return py.imports_of(py.parse_files(_sources(spark, d))).select("path", "module_path", "imported_name", "line_number")
+    return py.imports_of(py.parse_files(_sources(spark, d), ("imports",))).select("path", "module_path", "imported_name", "line_number")
 
 
 @query("SELECT 'src/m' || p_partkey || '.py' AS path, unnest(['check', upper(left(w, 1)) || substr(w, 2) || p_partkey, 'size', 'join']) AS target, unnest(['self', 'direct', 'method', 'method']) AS call_type, unnest([9, 14, 15, 16]) AS line_number FROM (SELECT p_partkey, string_split(p_name, ' ')[2] AS w FROM part)")
 def parse_calls(spark, d):
-    return py.calls_of(py.parse_files(_sources(spark, d))).select("path", "target", "call_type", "line_number")
+    return py.calls_of(py.parse_files(_sources(spark, d), ("calls",))).select("path", "target", "call_type", "line_number")
 
 
 def _broken_sources(spark, d):
@@ -682,7 +687,7 @@ def _broken_sources(spark, d):
     cls = F.concat(F.initcap(word[1]), F.col("p_partkey").cast("string"))
     code = F.concat(F.lit("import os\nfrom pkg.base import Base\n\n\nclass "), cls, F.lit("(Base):\n    def size(self, n):\n        return self.check(n\n\n    def ok(self):\n        return os.getcwd()\n\n\ndef broken_"), word[0],
                     F.lit("(x:\n    y =\n    use(x)\n\n\ndef make_"), word[1], F.lit("(x):\n    return "), cls, F.lit("().ok()\n"))
-    return _t(spark, d, "part").select(F.concat(F.lit("src/m"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), code.alias("content"))
+    return _spread(spark, d).select(F.concat(F.lit("src/m"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), code.alias("content"))
 
 
 @query("""WITH p AS (SELECT 'src/m' || p_partkey || '.py' AS path, 'src.m' || p_partkey || '.' AS m, string_split(p_name, ' ')[1] AS a, string_split(p_name, ' ')[2] AS w, upper(left(string_split(p_name, ' ')[2], 1)) || substr(string_split(p_name, ' ')[2], 2) || p_partkey AS c FROM part)
@@ -690,20 +695,21 @@ SELECT path, 'symbol' AS kind, unnest([m || c, m || c || '.size', m || c || '.ok
 UNION ALL SELECT path, 'import', unnest(['os', 'pkg.base']), NULL, unnest([1, 2]), NULL FROM p UNION ALL SELECT path, 'call', unnest(['os.getcwd', 'use', 'ok', c]), unnest(['method', 'direct', 'method', 'direct']), unnest([10, 15, 19, 19]), NULL FROM p
 UNION ALL SELECT path, 'base', 'Base', NULL, 5, NULL FROM p UNION ALL SELECT path, 'error', 'SyntaxError', NULL, NULL, NULL FROM p""")
 def parse_broken(spark, d):
-    """All rows of files that do not parse as a whole."""
-    parsed = py.parse_files(_broken_sources(spark, d))
-    none = F.lit(None).cast("int").alias("end_line")
-    parts = [py.symbols_of(parsed).select(F.col("file_path").alias("path"), F.lit("symbol").alias("kind"), F.col("qualified_name").alias("name"), "type", "start_line", "end_line"),
-             py.imports_of(parsed).select("path", F.lit("import").alias("kind"), F.col("module_path").alias("name"), F.lit(None).cast("string").alias("type"), F.col("line_number").alias("start_line"), none),
-             py.calls_of(parsed).select("path", F.lit("call").alias("kind"), F.col("chain").alias("name"), F.col("call_type").alias("type"), F.col("line_number").alias("start_line"), none),
-             py.bases_of(parsed).select("path", F.lit("base").alias("kind"), F.col("parent").alias("name"), F.lit(None).cast("string").alias("type"), F.col("line_number").alias("start_line"), none),
-             parsed.filter("error is not null").select("path", F.lit("error").alias("kind"), F.substring_index("error", ":", 1).alias("name"), F.lit(None).cast("string").alias("type"), F.lit(None).cast("int").alias("start_line"), none)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).unionByName(parts[4])
+    """All rows of files that do not parse as a whole; each file is parsed once."""
+    parsed = py.parse_files(_broken_sources(spark, d), ("symbols", "imports", "calls", "bases"))
+    null = lambda kind: F.lit(None).cast(kind)
+    row = lambda kind, name, what, start, end: F.struct(F.lit(kind).alias("kind"), name.alias("name"), what.alias("type"), start.alias("start_line"), end.alias("end_line"))
+    rows = [F.transform("symbols", lambda s: row("symbol", s["qualified_name"], s["type"], s["start_line"], s["end_line"])),
+            F.transform("imports", lambda i: row("import", i["module_path"], null("string"), i["line_number"], null("int"))),
+            F.transform("calls", lambda c: row("call", c["chain"], c["call_type"], c["line_number"], null("int"))),
+            F.transform("bases", lambda b: row("base", b["parent"], null("string"), b["line_number"], null("int"))),
+            F.filter(F.array(row("error", F.substring_index("error", ":", 1), null("string"), null("int"), null("int"))), lambda e: e["name"].isNotNull())]
+    return parsed.select("path", F.inline(F.concat(*rows)))
 
 
 @query("SELECT relation_type, count(*) AS n FROM (SELECT 'inherits' AS relation_type FROM part UNION ALL SELECT unnest(['calls', 'calls', 'calls', 'calls']) FROM part) GROUP BY relation_type")
 def call_graph_build(spark, d):
-    parsed = py.parse_files(_sources(spark, d))
+    parsed = checkpoint(py.parse_files(_sources(spark, d), ("symbols", "imports", "calls", "bases")))  # read by each kind of edge
     edges = resolve.build_edges(py.symbols_of(parsed), py.imports_of(parsed), py.bases_of(parsed), py.calls_of(parsed))
     return edges.groupBy("relation_type").agg(F.count(F.lit(1)).alias("n"))
 
@@ -721,7 +727,7 @@ def _flow_sources(spark, d):
     n, up = k.cast("string"), F.floor(k / 2).cast("string")
     code = F.concat(F.lit("import src.m"), up, F.lit(" as other\n\n\nclass W"), n, F.lit(":\n    def up(self):\n        return other.W"), up, F.lit("()\n\n\nclass V"), n, F.lit("(W"), n, F.lit("):\n    pass\n\n\ndef make():\n    value = V"), n,
                     F.lit("()\n    return value.up()\n\n\ndef chain(flag):\n    if flag:\n        return chain(False)\n    found = other.make()\n    return same(found)\n\n\ndef same(x):\n    return x\n\n\ndef duck(thing):\n    thing.quack()\n    return thing.swim()\n"))
-    return _t(spark, d, "part").select(F.concat(F.lit("src/m"), n, F.lit(".py")).alias("path"), code.alias("content"), k.alias("k"))
+    return _spread(spark, d).select(F.concat(F.lit("src/m"), n, F.lit(".py")).alias("path"), code.alias("content"), k.alias("k"))
 
 
 @query("""WITH p AS (SELECT p_partkey AS k, CAST(floor(p_partkey / 2) AS BIGINT) AS u, CAST(floor(floor(p_partkey / 2) / 2) AS BIGINT) AS v FROM part), a AS (SELECT p.*, p.u IN (SELECT k FROM p) AS has_u, p.u IN (SELECT k FROM p) AND p.v IN (SELECT k FROM p) AS has_v FROM p)
@@ -731,7 +737,7 @@ unnest([CASE WHEN has_u THEN 0.6 ELSE 0.0 END, CASE WHEN has_v THEN 0.6 ELSE 0.0
 def type_across_files(spark, d):
     """Types that come through calls, methods, inheritance and arguments of other files; where nothing flows, what a value is asked to do."""
     files = _flow_sources(spark, d)
-    parsed = checkpoint(py.parse_files(files))
+    parsed = checkpoint(py.parse_files(files, ("symbols", "imports", "bases", "flows")))
     names = delta.names_of(py.symbols_of(parsed))
     bases = resolve.resolve_parents(py.bases_of(parsed), py.imports_of(parsed), delta.index_of(names))
     types_of = flow.named_types(flow.flow_types(py.flows_of(parsed), names, bases))
