@@ -12,6 +12,12 @@ from pyspark.sql import functions as F
 from loreline.functions.text import path_to_module, same_top_package
 
 
+def _met(rows: DataFrame) -> DataFrame:
+    """Rows to be joined by a shuffle. Symbols come out of parsed or exploded rows, of which the planner knows no size: it would send millions
+    of them through the driver as a small table."""
+    return rows.hint("merge")
+
+
 def symbol_index(symbols: DataFrame) -> DataFrame:
     """name, qname, at: candidates of every short name; ``at`` orders them by arrival."""
     order = [F.col(c) for c in ("file_path", "pos") if c in symbols.columns] or [F.col("symbol_id")]
@@ -68,8 +74,8 @@ def resolve_callees(calls: DataFrame, index: DataFrame) -> DataFrame:
     keyed = calls.withColumns({"_name": F.col("target"), "_prefix": F.when(has_class, module_prefix(own)), "_last": F.when(dotted, F.substring_index("target", ".", -1)), "_suffix": F.when(dotted, F.col("target"))})
     named = first_of(index).withColumnsRenamed({"name": "_name"})
     last = first_of(index).select(F.col("name").alias("_last"), F.col("n").alias("_m"))
-    rows = (keyed.join(named, "_name", "left").join(first_in_module(index).withColumnsRenamed({"name": "_name", "prefix": "_prefix"}), ["_name", "_prefix"], "left")
-            .join(first_with_suffix(index).withColumnsRenamed({"name": "_last", "suffix": "_suffix"}), ["_last", "_suffix"], "left").join(last, "_last", "left"))
+    rows = (keyed.join(_met(named), "_name", "left").join(_met(first_in_module(index).withColumnsRenamed({"name": "_name", "prefix": "_prefix"})), ["_name", "_prefix"], "left")
+            .join(_met(first_with_suffix(index).withColumnsRenamed({"name": "_last", "suffix": "_suffix"})), ["_last", "_suffix"], "left").join(_met(last), "_last", "left"))
     rules = [(F.coalesce((F.col("call_type") == "self") & has_class, F.lit(False)), F.concat_ws(".", own, "target"), F.lit("self_method"), F.lit(1.0)),
              (F.col("inside").isNotNull(), F.col("inside"), F.lit("module_match"), F.lit(0.9)),
              (F.col("n") == 1, F.col("first"), F.lit("exact_match"), F.lit(1.0)),
@@ -94,7 +100,7 @@ def import_edges(imports: DataFrame, symbols: DataFrame) -> DataFrame:
     """Edges from a module to the symbols it imports (only names that exist)."""
     rows = imports.withColumn("dst", import_name(F.col("module_path"), F.col("imported_name")))
     known = symbols.select(F.col("qualified_name").alias("dst")).distinct()
-    return import_edges_of(rows.join(known, "dst").withColumn("known", F.lit(True)))
+    return import_edges_of(rows.join(_met(known), "dst").withColumn("known", F.lit(True)))
 
 
 def resolve_parents(bases: DataFrame, imports: DataFrame, index: DataFrame) -> DataFrame:
@@ -102,10 +108,10 @@ def resolve_parents(bases: DataFrame, imports: DataFrame, index: DataFrame) -> D
     first candidate, else the raw name."""
     b = bases.withColumn("base_id", F.xxhash64("path", "pos", "child", "parent"))
     given = imports.select("path", F.when(F.coalesce("alias", F.lit("")) != "", F.col("alias")).otherwise(F.col("imported_name")).alias("parent"), import_name(F.col("module_path"), F.col("imported_name")).alias("qname")).distinct()
-    via = (b.select("base_id", "path", "parent").join(given, ["path", "parent"]).join(index.withColumnRenamed("name", "parent"), ["parent", "qname"])
+    via = (b.select("base_id", "path", "parent").join(_met(given), ["path", "parent"]).join(_met(index.withColumnRenamed("name", "parent")), ["parent", "qname"])
            .groupBy("base_id").agg(F.min_by("qname", "at").alias("imported")))
-    found = (b.withColumn("prefix", module_prefix(F.col("child"))).join(first_in_module(index).withColumnRenamed("name", "parent"), ["parent", "prefix"], "left")
-             .join(via, "base_id", "left").join(first_of(index).withColumnRenamed("name", "parent"), "parent", "left"))
+    found = (b.withColumn("prefix", module_prefix(F.col("child"))).join(_met(first_in_module(index).withColumnRenamed("name", "parent")), ["parent", "prefix"], "left")
+             .join(_met(via), "base_id", "left").join(_met(first_of(index).withColumnRenamed("name", "parent")), "parent", "left"))
     return found.withColumn("parent_qname", F.coalesce("inside", "imported", "first", "parent")).select(*bases.columns, "parent_qname")
 
 
