@@ -26,6 +26,13 @@ def _grams(text: Column) -> Column:
     return F.array_distinct(F.transform(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), lambda k: F.substring(text, k, GRAM)))
 
 
+def _short(text: Column) -> Column:
+    """The different runs of fewer than GRAM characters of a text, the empty one too; null of a null."""
+    n = F.length(text)
+    of = lambda w: F.transform(F.when(n >= w, F.sequence(F.lit(1), n - w + 1)).otherwise(F.array().cast("array<int>")), lambda k: F.substring(text, k, w))
+    return F.array_distinct(F.concat(F.when(text.isNotNull(), F.array(F.lit(""))), *map(of, range(1, GRAM))))
+
+
 def gram_index(symbols: DataFrame, columns: tuple[str, ...] = ("name", "qualified_name"), key: str = "symbol_id") -> DataFrame:
     """(gram, key): which rows hold a run of three characters in one of the columns, ASCII case folded. A table that can be stored."""
     return symbols.select(key, F.explode(F.array_distinct(F.flatten(F.array(*[F.coalesce(_grams(F.lower(F.col(c))), F.array().cast("array<string>")) for c in columns])))).alias("gram"))
@@ -35,17 +42,24 @@ def like_search(symbols: DataFrame, queries: DataFrame, limit: int, columns: tup
     """For each query its first ``limit`` rows by key in which a column contains it: query_id, key, at (from 1).
 
     A row that contains a query contains the query's rarest trigram: that one alone is looked up, and what it gives is verified. Queries of fewer than
-    three characters meet all rows.
+    three characters are looked up as they are, among the runs of their own length; the empty one stands in every row that has a text. All joins are
+    shuffled: the planner knows no size of exploded rows and would send the index through the driver.
     """
+    met = lambda rows: rows.hint("merge")
     grams = gram_index(symbols, columns, key) if grams is None else grams
     asked = queries.select(Q, F.lower("query").alias("_q"))
     own = asked.filter(F.length("_q") >= GRAM).select(Q, "_q", F.explode(_grams(F.col("_q"))).alias("gram"))
-    often = grams.join(own.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    rarest = own.join(often, "gram", "left").groupBy(Q, "_q").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).filter("r.n > 0").select(Q, "_q", F.col("r.gram").alias("gram"))
-    text = symbols.select(key, *[F.lower(F.col(c)).alias(f"_t{k}") for k, c in enumerate(columns)])
+    often = grams.join(met(own.select("gram").distinct()), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = own.join(met(often), "gram", "left").groupBy(Q, "_q").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).filter("r.n > 0").select(Q, "_q", F.col("r.gram").alias("gram"))
+    texts = [F.lower(F.col(c)) for c in columns]
+    text = symbols.select(key, *[t.alias(f"_t{k}") for k, t in enumerate(texts)])
     hit = reduce(lambda a, b: a | b, [F.coalesce(F.contains(F.col(f"_t{k}"), F.col("_q")), F.lit(False)) for k in range(len(columns))])
-    long = rarest.join(grams, "gram").join(text, key).filter(hit).select(Q, key)
-    short = asked.filter(F.length("_q") < GRAM).join(text, hit).select(Q, key)
+    long = grams.join(met(rarest), "gram").join(met(text), key).filter(hit).select(Q, key)
+    few = asked.filter(F.length("_q") < GRAM)
+    runs = F.array_distinct(F.flatten(F.array(*[F.coalesce(_short(t), F.array().cast("array<string>")) for t in texts])))
+    # a share of all rows has a run of one or two characters, and only the first ``limit`` of them count: these are told before rows meet queries
+    first = symbols.select(key, F.explode(runs).alias("_q")).withColumn("_r", F.row_number().over(Window.partitionBy("_q").orderBy(key))).filter(F.col("_r") <= limit).drop("_r")
+    short = first.join(met(few), "_q").select(Q, key)
     place = Window.partitionBy(Q).orderBy(key)
     return long.unionByName(short).withColumn("at", F.row_number().over(place)).filter(F.col("at") <= limit)
 

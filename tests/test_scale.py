@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from loreline.operators import resolve
+from loreline.operators import batch, resolve
 from loreline.plans import catalogue
 from loreline.sources import python_source as py
 
@@ -35,3 +35,12 @@ def test_resolution_sends_no_symbols_through_the_driver(spark):
     edges = resolve.build_edges(py.symbols_of(parsed), py.imports_of(parsed), py.bases_of(parsed), py.calls_of(parsed))
     assert "Broadcast" not in plan(edges)
     assert [(e.src, e.dst) for e in edges.filter(F.col("relation_type") == "calls").collect()] == [("a.f", "g")]
+
+
+def test_substring_search_sends_no_index_through_the_driver(spark):
+    df = spark.createDataFrame([(k, n, q) for k, (n, q) in enumerate([("Abc", "x"), ("bcd", None), (None, None), ("", "AB"), ("éa", "b"), ("ab", "ab")])], "symbol_id long, name string, qualified_name string")
+    asked = spark.createDataFrame([(q, q) for q in ("bcd", "AB", "b", "", "É", "zz", "abcd")], "query_id string, query string")
+    found = batch.like_search(df, asked, 3)
+    assert "Broadcast" not in plan(found)
+    assert sorted((x.query_id, x.symbol_id, x["at"]) for x in found.collect()) == sorted(
+        [("bcd", 1, 1), ("AB", 0, 1), ("AB", 3, 2), ("AB", 5, 3), ("b", 0, 1), ("b", 1, 2), ("b", 3, 3), ("", 0, 1), ("", 1, 2), ("", 3, 3), ("É", 4, 1)])
