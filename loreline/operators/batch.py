@@ -112,11 +112,11 @@ def trace_branch(symbols: DataFrame, queries: DataFrame, edges: DataFrame, impor
     path, own = F.lower(F.col("s.file_path")), F.lower(F.col("t.file_path"))
     direct = (symbols.alias("s").join(frames.alias("t"), F.col("s.name") == F.col("t.function_name")).filter((path == own) | F.endswith(path, F.substring_index(F.translate(own, "\\", "/"), "/", -1)))
               .select(Q, "frame", F.col("s.symbol_id").alias("symbol_id"), F.col("s.qualified_name").alias("node"), F.col("s.file_path").alias("file_path")))
-    starts = direct.groupBy(Q, "node").agg(F.min(F.struct("frame", "symbol_id")).alias("o")).select(F.struct(Q, F.col("o.frame").alias("frame"), F.col("o.symbol_id").alias("match")).alias("tag"), "node")
-    near = graph.bfs_from(edges, starts, "tag", 2).join(symbols.select("symbol_id", F.col("qualified_name").alias("node")), "node").select("tag.*", F.lit(1).alias("phase"), "depth", "symbol_id")
+    starts = direct.groupBy(Q, "node").agg(F.min(F.struct("frame", "symbol_id")).alias("o")).select(Q, F.struct(F.col("o.frame").alias("frame"), F.col("o.symbol_id").alias("match")).alias("tag"), "node")
+    near = graph.first_reach(edges, starts, "tag", 2, Q).join(symbols.select("symbol_id", F.col("qualified_name").alias("node")), "node").select(Q, "tag.*", F.lit(1).alias("phase"), "depth", "symbol_id")
     files = direct.select(Q, "frame", F.col("symbol_id").alias("match"), "file_path").join(imports.select(F.col("path").alias("file_path"), "module_path", F.coalesce("line_number", F.lit(0)).alias("depth")), "file_path")
-    targets = files.select(Q, "frame", "match", "depth", F.concat(F.lower("module_path"), F.lit(".py")).alias("tail"))
-    imported = retrieval.ending_with(symbols, targets).select(Q, "frame", "match", F.lit(2).alias("phase"), "depth", "symbol_id")
+    targets = files.groupBy(Q, F.concat(F.lower("module_path"), F.lit(".py")).alias("tail")).agg(F.min(F.struct("frame", "match", "depth")).alias("o"))
+    imported = retrieval.ending_with(symbols, targets).select(Q, "o.frame", "o.match", F.lit(2).alias("phase"), "o.depth", "symbol_id")
     every = direct.select(Q, "frame", F.col("symbol_id").alias("match"), F.lit(0).alias("phase"), F.lit(0).alias("depth"), "symbol_id").unionByName(near).unionByName(imported)
     first = every.groupBy(Q, "symbol_id").agg(F.min(F.struct("frame", "match", "phase", "depth")).alias("at"))
     pick = lambda a, b, c: F.when(F.col("at.phase") == 0, a).when(F.col("at.phase") == 1, b).otherwise(c)

@@ -48,6 +48,24 @@ def bfs_from(edges: DataFrame, starts: DataFrame, tag: str, hops: int) -> DataFr
     return seen
 
 
+def first_reach(edges: DataFrame, starts: DataFrame, tag: str, hops: int, by: str | None = None) -> DataFrame:
+    """Undirected reach of many starts (tag, node): for each node (and ``by``) the smallest tag that reaches it within ``hops``, with its depth.
+
+    The same as the least (tag, depth) of ``bfs_from``, but a round keeps one row a node, where many starts around one hub would give their
+    product. Smallest tags spread by rounds; the round in which a node's last tag came is its depth.
+    """
+    part = [by] if by else []
+    pairs = checkpoint(neighbours(edges))
+    known = pairs.select(F.col("a").alias("node")).distinct()
+    least = F.min(F.struct(tag, "depth")).alias("_l")
+    now = starts.select(*part, tag, "node").join(known, "node", "left_semi").withColumn("depth", F.lit(0)).groupBy(*part, "node").agg(least).select(*part, "node", "_l.*")
+    for d in range(1, hops + 1):
+        now = checkpoint(now)
+        step = now.join(pairs, now["node"] == pairs["a"]).select(*part, F.col("b").alias("node"), tag).withColumn("depth", F.lit(d))
+        now = now.select(*part, "node", tag, "depth").unionByName(step).groupBy(*part, "node").agg(least).select(*part, "node", "_l.*")
+    return now
+
+
 def bfs_expand(edges: DataFrame, start: str, hops: int = 2) -> DataFrame:
     """node, depth within ``hops`` of one start, directions ignored."""
     starts = edges.sparkSession.createDataFrame([(0, start)], "tag int, node string")

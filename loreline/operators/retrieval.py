@@ -153,11 +153,11 @@ def trace_branch(symbols: DataFrame, edges: DataFrame, imports: DataFrame, query
     direct = (symbols.alias("s").join(F.broadcast(frames.alias("t")), F.col("s.name") == F.col("t.function_name"))  # one trace's frames
               .filter((path == own) | F.endswith(path, F.substring_index(F.translate(own, "\\", "/"), "/", -1)))
               .select("frame", F.col("s.symbol_id").alias("symbol_id"), F.col("s.qualified_name").alias("node"), F.col("s.file_path").alias("file_path")))
-    near = graph.bfs_from(edges, direct.groupBy("node").agg(F.min(F.struct("frame", "symbol_id")).alias("o")).select(F.col("o"), "node"), "o", 2)
+    near = graph.first_reach(edges, direct.groupBy("node").agg(F.min(F.struct("frame", "symbol_id")).alias("o")).select(F.col("o"), "node"), "o", 2)
     neighbours = near.join(symbols.select("symbol_id", F.col("qualified_name").alias("node")), "node").select(F.col("o.frame").alias("frame"), F.col("o.symbol_id").alias("match"), F.lit(1).alias("phase"), "depth", "symbol_id")
     files = direct.select("frame", F.col("symbol_id").alias("match"), "file_path").join(imports.select(F.col("path").alias("file_path"), "module_path", F.coalesce("line_number", F.lit(0)).alias("depth")), "file_path")
-    targets = files.select("frame", "match", "depth", F.concat(F.lower("module_path"), F.lit(".py")).alias("tail"))
-    imported = ending_with(symbols, targets).select("frame", "match", F.lit(2).alias("phase"), "depth", "symbol_id")
+    targets = files.groupBy(F.concat(F.lower("module_path"), F.lit(".py")).alias("tail")).agg(F.min(F.struct("frame", "match", "depth")).alias("o"))  # a tail gives the same symbols to all
+    imported = ending_with(symbols, targets).select("o.frame", "o.match", F.lit(2).alias("phase"), "o.depth", "symbol_id")
     every = (direct.select("frame", F.col("symbol_id").alias("match"), F.lit(0).alias("phase"), F.lit(0).alias("depth"), "symbol_id").unionByName(neighbours).unionByName(imported))
     first = every.groupBy("symbol_id").agg(F.min(F.struct("frame", "match", "phase", "depth")).alias("at"))
     score = F.when(F.col("at.phase") == 0, TRACE_DIRECT).when(F.col("at.phase") == 1, TRACE_GRAPH).otherwise(TRACE_IMPORT)

@@ -1,9 +1,11 @@
 """Plans that stay bounded on large tables: what is parsed once, spread, shuffled instead of broadcast."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from loreline.operators import batch, resolve
+from loreline.operators import batch, graph, resolve
 from loreline.plans import catalogue
 from loreline.sources import python_source as py
 
@@ -44,3 +46,14 @@ def test_substring_search_sends_no_index_through_the_driver(spark):
     assert "Broadcast" not in plan(found)
     assert sorted((x.query_id, x.symbol_id, x["at"]) for x in found.collect()) == sorted(
         [("bcd", 1, 1), ("AB", 0, 1), ("AB", 3, 2), ("AB", 5, 3), ("b", 0, 1), ("b", 1, 2), ("b", 3, 3), ("", 0, 1), ("", 1, 2), ("", 3, 3), ("É", 4, 1)])
+
+
+def test_first_reach_is_the_least_of_all_reaches_without_their_product(spark):
+    r = random.Random(9)
+    edges = spark.createDataFrame([(f"n{r.randrange(40)}", f"n{r.randrange(40)}") for _ in range(45)] + [(f"h{k}", "hub") for k in range(60)], "src string, dst string")
+    starts = spark.createDataFrame([(r.randrange(3), k, f"h{k}") for k in range(60)] + [(r.randrange(3), 100 + k, f"n{k}") for k in range(0, 40, 3)] + [(0, 999, "no node")], "g int, tag long, node string")
+    want = {(x.g, x.node): tuple(x.t) for x in graph.bfs_from(edges, starts.withColumn("t", F.struct("g", "tag")), "t", 2).groupBy("t.g", "node").agg(F.min(F.struct("t.tag", "depth")).alias("t")).collect()}
+    got = graph.first_reach(edges, starts, "tag", 2, "g").collect()
+    assert {(x.g, x.node): (x.tag, x.depth) for x in got} == want and len(got) == len(want)
+    one = graph.first_reach(edges, starts.filter("node like 'h%'"), "tag", 2).collect()
+    assert len(one) == 61 and {(x.tag, x.depth) for x in one if x.node != "h0"} == {(0, 1), (0, 2)}
