@@ -6,8 +6,11 @@ bucket of their anchor, and strings are never compared over the whole corpus.
 
 1. Groups of texts (about GROUP_BYTES) send one entry for each different segment: anchor, segment hash, smallest id. A bucket
    answers "whole" where an equal segment stands in a text with a smaller id, and "open" where segments with the same
-   anchor differ and come from several ids. Anchors of one id need no answer.
-2. Groups send the bytes of open segments once. A bucket builds the suffix order and the Burrows-Wheeler transform of its segments and
+   anchor differ and come from several ids. Anchors of one id need no answer. Around a common phrase the different segments of one
+   anchor grow with the corpus, so those of anchors with over ``hot`` of them are marked "split".
+2. Groups send the bytes of open segments once. Split segments are cut into pieces of up to PIECE string starts, by how far the
+   anchor lies behind the start; the bytes that all strings of a piece's range share (all but PIECE - 1) choose its bucket, and equal pieces of a
+   group travel once, so no phrase gathers more than the groups in one bucket. A bucket builds the suffix order and the Burrows-Wheeler transform of its segments and
    expands all intervals of equal prefixes breadth first: at depth d + 1 the interval of c.w is the backward step by c from that
    of w, and a boundary is set where it is first seen, that is, common prefix lengths come out by increasing value, up to
    ``length``, where the expansion stops. Suffixes left in one interval share ``length`` bytes; the smallest id of an interval keeps
@@ -36,6 +39,8 @@ LENGTH, ANCHOR = 50, 20
 U = X.U
 _B = U(0x9E3779B97F4A7C15)
 _BYTE = X.mix(np.arange(1, 257, dtype=U))
+HOT = 512  # different segments of one anchor from which they travel in pieces
+PIECE = 4  # string starts in a piece
 _KEY, _HASH = 6, 5  # bytes of anchor and segment hash that travel
 
 
@@ -86,9 +91,9 @@ class _Segments:
             z = np.zeros(0, np.int64)
             self.start, self.count, self.entry = z, z, z
             self.owner, self.key, self.hash, self.first = z, np.zeros(0, U), np.zeros(0, U), z
-            self.order, self.cut, self.local = z, np.zeros(buckets + 1, np.int64), np.zeros(0, bool)
+            self.order, self.cut, self.local, self.at = z, np.zeros(buckets + 1, np.int64), np.zeros(0, bool), z
             return
-        roll = _Rolling(self.data)
+        self.roll = roll = _Rolling(self.data)
         grams = X.mix(roll.of(anchor))
         place = _slide_min((grams & U(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=U), length - anchor + 1)[:n] & U(0xFFFFFFFF)
         head = whole.copy()
@@ -96,7 +101,7 @@ class _Segments:
         self.start = np.flatnonzero(head)
         last = np.flatnonzero(whole & np.concatenate([head[1:] | ~whole[1:], [True]]))
         self.count = last - self.start + 1  # string starts in the segment
-        at = place[self.start].astype(np.int64)
+        self.at = at = place[self.start].astype(np.int64)
         piece = length // 2 + (length % 2)  # three runs of this length cover any segment: its ends, and the middle
         covers = roll.of(piece)
         with np.errstate(over="ignore"):
@@ -121,6 +126,48 @@ class _Segments:
         self.cut = np.searchsorted(bucket[self.order], np.arange(buckets + 1))
 
 
+class _Pieces:
+    """The pieces of some entries of a group, in bucket order; one for each different piece."""
+
+    def __init__(self, s: _Segments, entries: np.ndarray, length: int, anchor: int, buckets: int):
+        entries = np.sort(entries)
+        seg = s.first[entries]
+        at, start = s.at[seg], s.start[seg]
+        near, far = at - (start + s.count[seg] - 1), at - start  # how far the anchor lies behind the last and the first start
+        width = min(PIECE, length)
+        core, string = s.roll.of(length - width + 1), s.roll.of(length)
+        found = []
+        for lo in range(0, length - anchor + 1, width):
+            a, b = np.maximum(near, lo), np.minimum(far, lo + width - 1)
+            has = np.flatnonzero(a <= b)
+            found.append((entries[has], (at - b)[has], (b - a + 1)[has], X.mix(core[at[has] - lo] + U(lo)), (at - b - start)[has], b[has]))
+        self.entry, begin, count, key, self.shift, far = (np.concatenate(x) for x in zip(*found))
+        with np.errstate(over="ignore"):
+            value = X.mix(X.mix(string[begin] + key) + (far * 64 + count).astype(U))
+            value = X.mix(value + string[begin + count - 1])
+        by = np.lexsort((value, (key % U(buckets)).astype(np.int64)))
+        ranked = value[by]
+        new = np.ones(len(ranked), bool)
+        new[1:] = ranked[1:] != ranked[:-1]
+        head = by[np.flatnonzero(new)]
+        self.kind = np.empty(len(value), np.int64)
+        self.kind[by] = np.cumsum(new) - 1
+        self.owner = np.minimum.reduceat(s.owner[self.entry][by], np.flatnonzero(new)) if len(by) else s.owner[:0]
+        self.begin, self.count, self.each = begin[head], count[head], count
+        self.cut = np.searchsorted((key[head] % U(buckets)).astype(np.int64), np.arange(buckets + 1))
+
+    def masks(self, s: _Segments, answered: np.ndarray, into: np.ndarray) -> None:
+        """Add to the masks of entries what was answered for their pieces; a piece that a smaller id of the group has goes whole."""
+        whole = (np.uint32(1) << self.each.astype(np.uint32)) - np.uint32(1)
+        bits = np.where(s.owner[self.entry] > self.owner[self.kind], whole, answered[self.kind])
+        np.bitwise_or.at(into, self.entry, bits << self.shift.astype(np.uint32))
+
+
+def _bytes_at(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> bytes:
+    begin = np.cumsum(size) - size
+    return data[np.repeat(start, size) + np.arange(int(size.sum())) - np.repeat(begin, size)].tobytes()
+
+
 def _ask(length: int, anchor: int, buckets: int):
     def run(table: pa.Table) -> pa.Table:
         s = _Segments(table, length, anchor, buckets)
@@ -139,50 +186,60 @@ def _unpack(raw, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(raw, np.uint8), count=n).astype(bool) if raw is not None else np.zeros(n, bool)
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    key, value, owner, counts = [], [], [], []
-    for o, e in zip(table["owners"].to_pylist(), table["entries"].to_pylist()):
-        n = len(o) // 8
-        counts.append(n)
-        owner.append(np.cumsum(X.unplanes(o, n, 8, np.int64)))
-        key.append(X.unplanes(e[:n * _KEY], n, _KEY))
-        value.append(X.unplanes(e[n * _KEY:], n, _HASH))
-    key, value, owner = np.concatenate(key), np.concatenate(value), np.concatenate(owner)
-    order = np.lexsort((owner, value, key))
-    k, v, o = key[order], value[order], owner[order]
-    new_k = np.ones(len(k), bool)
-    new_k[1:] = k[1:] != k[:-1]
-    new_v = new_k.copy()
-    new_v[1:] |= v[1:] != v[:-1]
-    by_k, by_v = np.cumsum(new_k) - 1, np.cumsum(new_v) - 1
-    least = o[np.flatnonzero(new_v)][by_v]
-    at = np.flatnonzero(new_k)
-    several = np.minimum.reduceat(o, at) < np.maximum.reduceat(o, at)  # anchors of more than one id
-    kinds = np.add.reduceat(new_v.astype(np.int64), at)
-    whole, opened = np.empty(len(k), bool), np.empty(len(k), bool)
-    whole[order] = o > least
-    opened[order] = (o == least) & (several & (kinds > 1))[by_k]
-    edge = np.concatenate([[0], np.cumsum(counts)])
-    spans = list(zip(edge[:-1], edge[1:]))
-    out = pa.table({"grp": table["grp"], "bucket": table["bucket"], "whole": pa.array([_pack(whole[a:b]) for a, b in spans], pa.binary()), "opened": pa.array([_pack(opened[a:b]) for a, b in spans], pa.binary())})
-    return out.filter(pa.compute.or_(out["whole"].is_valid(), out["opened"].is_valid()))
+def _answer(hot: int):
+    def run(table: pa.Table) -> pa.Table:
+        key, value, owner, counts = [], [], [], []
+        for o, e in zip(table["owners"].to_pylist(), table["entries"].to_pylist()):
+            n = len(o) // 8
+            counts.append(n)
+            owner.append(np.cumsum(X.unplanes(o, n, 8, np.int64)))
+            key.append(X.unplanes(e[:n * _KEY], n, _KEY))
+            value.append(X.unplanes(e[n * _KEY:], n, _HASH))
+        key, value, owner = np.concatenate(key), np.concatenate(value), np.concatenate(owner)
+        order = np.lexsort((owner, value, key))
+        k, v, o = key[order], value[order], owner[order]
+        new_k = np.ones(len(k), bool)
+        new_k[1:] = k[1:] != k[:-1]
+        new_v = new_k.copy()
+        new_v[1:] |= v[1:] != v[:-1]
+        by_k, by_v = np.cumsum(new_k) - 1, np.cumsum(new_v) - 1
+        least = o[np.flatnonzero(new_v)][by_v]
+        at = np.flatnonzero(new_k)
+        several = np.minimum.reduceat(o, at) < np.maximum.reduceat(o, at)  # anchors of more than one id
+        kinds = np.add.reduceat(new_v.astype(np.int64), at)
+        whole, opened, split = (np.empty(len(k), bool) for _ in range(3))
+        whole[order] = o > least
+        opened[order] = (o == least) & (several & (kinds > 1))[by_k]
+        split[order] = (o == least) & (several & (kinds > hot))[by_k]
+        edge = np.concatenate([[0], np.cumsum(counts)])
+        spans = list(zip(edge[:-1], edge[1:]))
+        out = pa.table({"grp": table["grp"], "bucket": table["bucket"], "whole": pa.array([_pack(whole[a:b]) for a, b in spans], pa.binary()), "opened": pa.array([_pack(opened[a:b]) for a, b in spans], pa.binary()), "split": pa.array([_pack(split[a:b]) for a, b in spans], pa.binary())})
+        return out.filter(pa.compute.or_(out["whole"].is_valid(), out["opened"].is_valid()))
+
+    return run
 
 
 def _open_bytes(length: int, anchor: int, buckets: int):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
-        rows = []
+        rows, parted = [], []
         if table.num_rows:
-            s = _Segments(table, length, anchor, buckets)
-            for b, raw in zip(answers["bucket"].to_pylist(), answers["opened"].to_pylist()):
+            s, grp = _Segments(table, length, anchor, buckets), table["grp"][0].as_py()
+            for b, raw, cut in zip(*[answers[c].to_pylist() for c in ("bucket", "opened", "split")]):
                 lo, hi = s.cut[b], s.cut[b + 1]
-                e = s.order[lo:hi][_unpack(raw, hi - lo)]
+                apart = _unpack(cut, hi - lo)
+                parted.append(s.order[lo:hi][apart])
+                e = s.order[lo:hi][_unpack(raw, hi - lo) & ~apart]
                 if len(e):
-                    seg = s.first[e]
-                    size = s.count[seg] + length - 1
-                    begin = np.cumsum(size) - size
-                    at = np.repeat(s.start[seg], size) + np.arange(int(size.sum())) - np.repeat(begin, size)
-                    rows.append((b, table["grp"][0].as_py(), s.owner[e].tobytes(), size.astype(np.uint16).tobytes(), s.data[at].tobytes()))
-        return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "grp": pa.array([r[1] for r in rows], pa.int64()), "owners": pa.array([r[2] for r in rows], pa.binary()), "sizes": pa.array([r[3] for r in rows], pa.binary()), "content": pa.array([r[4] for r in rows], pa.binary())})
+                    size = s.count[s.first[e]] + length - 1
+                    rows.append((b, grp, False, s.owner[e].tobytes(), size.astype(np.uint16).tobytes(), _bytes_at(s.data, s.start[s.first[e]], size)))
+            if sum(map(len, parted)):
+                p = _Pieces(s, np.concatenate(parted), length, anchor, buckets)
+                for b in np.flatnonzero(np.diff(p.cut)).tolist():
+                    k = slice(p.cut[b], p.cut[b + 1])
+                    size = p.count[k] + length - 1
+                    rows.append((b, grp, True, p.owner[k].tobytes(), size.astype(np.uint16).tobytes(), _bytes_at(s.data, p.begin[k], size)))
+        kinds = (("bucket", pa.int32()), ("grp", pa.int64()), ("parts", pa.bool_()), ("owners", pa.binary()), ("sizes", pa.binary()), ("content", pa.binary()))
+        return pa.table({c: pa.array([r[j] for r in rows], t) for j, (c, t) in enumerate(kinds)})
 
     return run
 
@@ -266,7 +323,7 @@ def _expand(length: int):
             hit = at[ids > least]
             np.bitwise_or.at(masks, seg_of[hit], np.uint32(1) << offset[hit].astype(np.uint32))
         edge = np.concatenate([[0], np.cumsum(counts)])
-        return pa.table({"grp": table["grp"], "bucket": table["bucket"], "masks": pa.array([X.planes(masks[a:b]) for a, b in zip(edge[:-1], edge[1:])], pa.binary())})
+        return pa.table({"grp": table["grp"], "bucket": table["bucket"], "parts": table["parts"], "masks": pa.array([X.planes(masks[a:b]) for a, b in zip(edge[:-1], edge[1:])], pa.binary())})
 
     return run
 
@@ -278,16 +335,27 @@ def _cut(length: int, anchor: int, buckets: int):
         s = _Segments(table, length, anchor, buckets)
         whole, mask = np.zeros(len(s.key), bool), np.zeros(len(s.key), np.uint32)
         opened: dict[int, np.ndarray] = {}
-        masks: dict[int, bytes] = {}
-        for b, w, o, m in zip(*[answers[c].to_pylist() for c in ("bucket", "whole", "opened", "masks")]):
+        parted: list[np.ndarray] = []
+        masks: dict[tuple[int, bool], bytes] = {}
+        for b, w, o, c, parts, m in zip(*[answers[x].to_pylist() for x in ("bucket", "whole", "opened", "split", "parts", "masks")]):
             if m is not None:
-                masks[b] = m
+                masks[b, parts] = m
                 continue
             lo, hi = s.cut[b], s.cut[b + 1]
+            apart = _unpack(c, hi - lo)
             whole[s.order[lo:hi]] = _unpack(w, hi - lo)
-            opened[b] = s.order[lo:hi][_unpack(o, hi - lo)]
-        for b, m in masks.items():
-            mask[opened[b]] = X.unplanes(m, len(opened[b]), 4, np.uint32)
+            opened[b] = s.order[lo:hi][_unpack(o, hi - lo) & ~apart]
+            parted.append(s.order[lo:hi][apart])
+        pieces = _Pieces(s, np.concatenate(parted), length, anchor, buckets) if sum(map(len, parted)) else None
+        told = np.zeros(len(pieces.owner) if pieces else 0, np.uint32)
+        for (b, parts), m in masks.items():
+            if parts:
+                lo, hi = pieces.cut[b], pieces.cut[b + 1]
+                told[lo:hi] = X.unplanes(m, hi - lo, 4, np.uint32)
+            else:
+                mask[opened[b]] = X.unplanes(m, len(opened[b]), 4, np.uint32)
+        if pieces:
+            pieces.masks(s, told, mask)
         n = len(s.data)
         delta = np.zeros(n + 1, np.int32)
         if len(s.start):
@@ -312,7 +380,7 @@ def _cut(length: int, anchor: int, buckets: int):
     return run
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT) -> DataFrame:
     """Remove every byte covered by a ``length``-byte string that also starts in a text with a smaller id.
 
     Returns id, n_bytes, n_removed, n_spans (maximal removed runs) and kept (binary: the remaining bytes).
@@ -324,9 +392,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     tie = F.xxhash64(col(id_col), col(text_col))
     texts = docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text"), tie.alias("tie"), F.pmod(tie, F.lit(groups)).alias("grp"))
     by_group = texts.groupBy("grp")
-    answers = by_group.applyInArrow(_ask(length, anchor, buckets), "bucket int, grp long, owners binary, entries binary").groupBy("bucket").applyInArrow(_answer, "grp long, bucket int, whole binary, opened binary")
-    opened = by_group.cogroup(answers.groupBy("grp")).applyInArrow(_open_bytes(length, anchor, buckets), "bucket int, grp long, owners binary, sizes binary, content binary")
-    masks = opened.groupBy("bucket").applyInArrow(_expand(length), "grp long, bucket int, masks binary")
-    every = answers.withColumn("masks", F.lit(None).cast("binary")).unionByName(masks.select("grp", "bucket", F.lit(None).cast("binary").alias("whole"), F.lit(None).cast("binary").alias("opened"), "masks"))
+    answers = by_group.applyInArrow(_ask(length, anchor, buckets), "bucket int, grp long, owners binary, entries binary").groupBy("bucket").applyInArrow(_answer(hot), "grp long, bucket int, whole binary, opened binary, split binary")
+    opened = by_group.cogroup(answers.groupBy("grp")).applyInArrow(_open_bytes(length, anchor, buckets), "bucket int, grp long, parts boolean, owners binary, sizes binary, content binary")
+    masks = opened.groupBy("bucket").applyInArrow(_expand(length), "grp long, bucket int, parts boolean, masks binary")
+    every = answers.unionByName(masks, allowMissingColumns=True)
     cut = by_group.cogroup(every.groupBy("grp")).applyInArrow(_cut(length, anchor, buckets), "id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return cut.withColumnRenamed("id", id_col)
