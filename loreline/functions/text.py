@@ -34,7 +34,7 @@ def plain_tokens(text: Column) -> Column:
 
 def token_overlap(query: Column, doc: Column) -> Column:
     """Share of the query tokens that the document has; 0 if either is empty."""
-    return F.when((F.size(query) > 0) & (F.size(doc) > 0), F.size(F.array_intersect(query, doc)) / F.size(query)).otherwise(F.lit(0.0))
+    return F.coalesce(F.size(F.array_intersect(query, doc)) / F.nullif(F.size(query), F.lit(0)), F.lit(0.0))  # each side is named once in what is computed for every row
 
 
 def normalize_path(path: Column) -> Column:

@@ -110,7 +110,8 @@ _PLAIN = "list_distinct(list_filter(string_split_regex(lower({0}), '[^a-z0-9äö
 @query(f"SELECT doc_id, round(len(list_intersect(q, t)) / len(q), 6) AS overlap FROM (SELECT doc_id, {_PLAIN.format('text')} AS t, {_PLAIN.format(f''''{ASKED}' ''')} AS q FROM documents) WHERE len(t) > 0 AND len(list_intersect(q, t)) > 0")
 def token_overlap(spark, d):
     asked, own = fx.plain_tokens(F.lit(ASKED)), fx.plain_tokens(F.col("text"))
-    return _t(spark, d, "documents").select("doc_id", F.round(fx.token_overlap(asked, own), 6).alias("overlap")).filter("overlap > 0")
+    # a generated column, as a filter on a plain one would be computed below it, from the text a second time
+    return _t(spark, d, "documents").select("doc_id", F.explode(F.array(F.round(fx.token_overlap(asked, own), 6))).alias("overlap")).filter("overlap > 0")
 
 
 # names here have no runs of capitals, so one pattern gives their camel parts

@@ -57,3 +57,9 @@ def test_first_reach_is_the_least_of_all_reaches_without_their_product(spark):
     assert {(x.g, x.node): (x.tag, x.depth) for x in got} == want and len(got) == len(want)
     one = graph.first_reach(edges, starts.filter("node like 'h%'"), "tag", 2).collect()
     assert len(one) == 61 and {(x.tag, x.depth) for x in one if x.node != "h0"} == {(0, 1), (0, 2)}
+
+
+def test_texts_are_tokenised_once_for_an_overlap(spark):
+    df = catalogue.queries()["token_overlap"](spark, SF)
+    told = plan(df)
+    assert told.count("split(lower(coalesce(text") == 1
