@@ -738,7 +738,7 @@ unnest([CASE WHEN has_u THEN 0.6 ELSE 0.0 END, CASE WHEN has_v THEN 0.6 ELSE 0.0
 def type_across_files(spark, d):
     """Types that come through calls, methods, inheritance and arguments of other files; where nothing flows, what a value is asked to do."""
     files = _flow_sources(spark, d)
-    parsed = checkpoint(py.parse_files(files, ("symbols", "imports", "bases", "flows")))
+    parsed = checkpoint(py.parse_files(files, ("symbols", "imports", "bases", "flows"), signatures=False))
     names = delta.names_of(py.symbols_of(parsed))
     bases = resolve.resolve_parents(py.bases_of(parsed), py.imports_of(parsed), delta.index_of(names))
     types_of = flow.named_types(flow.flow_types(py.flows_of(parsed), names, bases))

@@ -63,3 +63,10 @@ def test_texts_are_tokenised_once_for_an_overlap(spark):
     df = catalogue.queries()["token_overlap"](spark, SF)
     told = plan(df)
     assert told.count("split(lower(coalesce(text") == 1
+
+
+def test_files_are_walked_for_what_is_asked_only():
+    source = "import a as x\nif x:\n    import b as x\n\n\nclass A(x.B):\n    def f(self, n: int = g(1)) -> int:\n        with x.y() as z:\n            w = [q for q in z if h(q)]\n        return w\n"
+    whole, some = py.parse_source(source, "m.py"), py.parse_source(source, "m.py", ("symbols", "imports", "bases", "flows"), signatures=False)
+    assert some["symbols"] == [s | {"signature": None} for s in whole["symbols"]] and whole["symbols"][1]["signature"]
+    assert all(some[k] == whole[k] for k in ("imports", "bases", "flows", "error")) and whole["calls"] and "calls" not in some
