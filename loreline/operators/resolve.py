@@ -108,7 +108,9 @@ def resolve_parents(bases: DataFrame, imports: DataFrame, index: DataFrame) -> D
     first candidate, else the raw name."""
     b = bases.withColumn("base_id", F.xxhash64("path", "pos", "child", "parent"))
     given = imports.select("path", F.when(F.coalesce("alias", F.lit("")) != "", F.col("alias")).otherwise(F.col("imported_name")).alias("parent"), import_name(F.col("module_path"), F.col("imported_name")).alias("qname")).distinct()
-    via = (b.select("base_id", "path", "parent").join(_met(given), ["path", "parent"]).join(_met(index.withColumnRenamed("name", "parent")), ["parent", "qname"])
+    # symbols of one qualified name may be a share of all: one row for each name, before bases meet them
+    told = index.groupBy(F.col("name").alias("parent"), "qname").agg(F.min("at").alias("at"))
+    via = (b.select("base_id", "path", "parent").join(_met(given), ["path", "parent"]).join(_met(told), ["parent", "qname"])
            .groupBy("base_id").agg(F.min_by("qname", "at").alias("imported")))
     found = (b.withColumn("prefix", module_prefix(F.col("child"))).join(_met(first_in_module(index).withColumnRenamed("name", "parent")), ["parent", "prefix"], "left")
              .join(_met(via), "base_id", "left").join(_met(first_of(index).withColumnRenamed("name", "parent")), "parent", "left"))

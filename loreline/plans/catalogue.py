@@ -559,7 +559,7 @@ def best_hypothesis(spark, d):
 
 def _names(spark, d):
     """Symbols Brand.type.word; calls by word from a brand's class."""
-    parts = _t(spark, d, "part")
+    parts = _spread(spark, d)
     brand = F.regexp_replace("p_brand", "#", "")
     words = F.split("p_name", " ")
     symbols = parts.select(F.col("p_partkey").alias("symbol_id"), words[1].alias("name"), F.concat_ws(".", brand, F.lower("p_type"), words[1]).alias("qualified_name"))
@@ -632,7 +632,7 @@ k AS (SELECT ba.pos, ix.qname, CASE WHEN starts_with(qname, module || '.') THEN
 SELECT pos, arg_min(qname, rule * 1000000 + ord) AS parent_qname FROM k GROUP BY pos""")
 def prioritized_parent(spark, d):
     symbols, _ = _names(spark, d)
-    parts = _t(spark, d, "part")
+    parts = _spread(spark, d)
     brand, word = F.regexp_replace("p_brand", "#", ""), F.split("p_name", " ")[1]
     path = F.col("p_partkey").cast("string").alias("path")
     bases = parts.select(F.concat(brand, F.lit(".Child")).alias("child"), word.alias("parent"), path, F.lit(1).alias("line_number"), F.col("p_partkey").alias("pos"))
@@ -657,7 +657,7 @@ def import_edges(spark, d):
 
 
 def _spread(spark, d):
-    """Parts dealt to all cores before text is made of them: the table is small, so its file has few splits, but each part becomes a file to parse."""
+    """Parts dealt to all cores before text or names are made of them: the table is small, so its file has few splits, but each part becomes a file to parse or some dotted names."""
     return _t(spark, d, "part").repartition(4 * spark.sparkContext.defaultParallelism, "p_partkey")
 
 

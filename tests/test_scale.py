@@ -70,3 +70,12 @@ def test_files_are_walked_for_what_is_asked_only():
     whole, some = py.parse_source(source, "m.py"), py.parse_source(source, "m.py", ("symbols", "imports", "bases", "flows"), signatures=False)
     assert some["symbols"] == [s | {"signature": None} for s in whole["symbols"]] and whole["symbols"][1]["signature"]
     assert all(some[k] == whole[k] for k in ("imports", "bases", "flows", "error")) and whole["calls"] and "calls" not in some
+
+
+def test_bases_meet_one_row_of_a_qualified_name(spark):
+    symbols = spark.createDataFrame([(k, "C", "p.m.C") for k in range(50)], "symbol_id long, name string, qualified_name string")
+    bases = spark.createDataFrame([(f"q.D{k}", "C", f"q{k}.py", 1, k) for k in range(50)], "child string, parent string, path string, line_number int, pos int")
+    imports = spark.createDataFrame([(f"q{k}.py", "p.m", "C", None) for k in range(50)], "path string, module_path string, imported_name string, alias string")
+    got = resolve.resolve_parents(bases, imports, resolve.symbol_index(symbols))
+    assert {x.parent_qname for x in got.collect()} == {"p.m.C"} and got.count() == 50
+    assert "min(at#" in plan(got)
