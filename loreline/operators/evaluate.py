@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loreline.functions.text import normalize_path, normalize_symbol
+from loreline.operators.evidence import _binned
 
 # Classes of failures.
 CATEGORIES = ("stacktrace_parse_miss", "missed_recall", "ranking_error", "function_miss", "evaluator_warning", "other")
@@ -34,7 +35,13 @@ def function_hits(cases: DataFrame, results: DataFrame, symbols: DataFrame, top:
     names = found.select("case_id", F.explode(F.concat(F.array("name"), F.coalesce(F.transform("matched", lambda m: m["name"]), F.array().cast("array<string>")))).alias("n")).select("case_id", normalize_symbol(F.col("n")).alias("fn"))
     lines = found.select("case_id", F.explode(F.concat(F.array(F.col("line_number").cast("int")), F.coalesce(F.transform("matched", lambda m: m["start_line"].cast("int")), F.array().cast("array<int>")))).alias("line")).filter("line is not null")
     spans = symbols.select(normalize_symbol(F.col("name")).alias("fn"), "start_line", "end_line").union(symbols.select(normalize_symbol(F.col("qualified_name")), "start_line", "end_line")).distinct()
-    by_line = asked.join(spans, "fn").join(lines, "case_id").filter(F.col("line").between(F.col("start_line"), F.col("end_line"))).select("case_id", "fn")
+    # a name may have very many spans: cases meet their own few lines, and spans the different (name, line) pairs alone
+    near = asked.join(lines.distinct(), "case_id")
+    binned = _binned(spans, "start_line", "end_line")
+    levels = binned.groupBy("fn").agg(F.collect_set("_level").alias("_levels"))
+    pairs = near.select("fn", "line").distinct().join(levels, "fn").withColumn("_level", F.explode("_levels")).withColumn("_bin", F.expr("shiftright(line, _level)")).drop("_levels")
+    covered = pairs.join(binned, ["fn", "_level", "_bin"]).filter(F.col("line").between(F.col("start_line"), F.col("end_line"))).select("fn", "line").distinct()
+    by_line = near.join(covered, ["fn", "line"], "left_semi").select("case_id", "fn")
     hit = asked.join(names.union(by_line).distinct().withColumn("hit", F.lit(1.0)), ["case_id", "fn"], "left")
     rate = hit.groupBy("case_id").agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias("function_rate"))
     return cases.select("case_id").join(rate, "case_id", "left").select("case_id", F.coalesce("function_rate", F.lit(0.0)).alias("function_rate"))

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from loreline.operators import batch, graph, resolve
+from loreline.operators import batch, evaluate, graph, resolve
 from loreline.plans import catalogue
 from loreline.sources import python_source as py
 
@@ -79,3 +79,13 @@ def test_bases_meet_one_row_of_a_qualified_name(spark):
     got = resolve.resolve_parents(bases, imports, resolve.symbol_index(symbols))
     assert {x.parent_qname for x in got.collect()} == {"p.m.C"} and got.count() == 50
     assert "min(at#" in plan(got)
+
+
+def test_spans_of_a_name_meet_lines_by_bins(spark):
+    cases = spark.createDataFrame([(str(k), ["a.py"], ["f", "g"]) for k in range(3)], "case_id string, expected_files array<string>, expected_functions array<string>")
+    results = spark.createDataFrame([("0", 1, "a.py", "x", 7, [("y", -3)]), ("1", 1, "a.py", "x", None, None), ("2", 1, "b.py", "f", 7, None), ("2", 2, "a.py", "x", 9, [("K.g", None)])],
+                                    "case_id string, rank int, file_path string, name string, line_number int, matched array<struct<name: string, start_line: int>>")
+    symbols = spark.createDataFrame([("f", "K.f", s, s + w) for s in range(-4, 9) for w in (0, 3)] + [("f", "K.f", 9, 8), ("g", "K.g", None, 5)], "name string, qualified_name string, start_line int, end_line int")
+    got = evaluate.function_hits(cases, results, symbols)
+    assert {x.case_id: x.function_rate for x in got.collect()} == {"0": 0.5, "1": 0.0, "2": 1.0}
+    assert "_bin" in plan(got)
