@@ -26,15 +26,20 @@ def with_implicit_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.withColumn("is_external", F.lit(False)).unionByName(ends.select("qualified_name", F.lit("function").alias("type"), F.lit("").alias("file_path"), F.lit(0).alias("line_count"), F.lit(True).alias("is_external")))
 
 
+def both_ways(edges: DataFrame) -> DataFrame:
+    """Undirected pairs (a, b), both ways."""
+    return edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select("dst", "src"))
+
+
 def neighbours(edges: DataFrame) -> DataFrame:
     """Undirected pairs (a, b), both ways, once."""
-    return edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select("dst", "src")).distinct()
+    return both_ways(edges).distinct()
 
 
 def bfs_from(edges: DataFrame, starts: DataFrame, tag: str, hops: int) -> DataFrame:
     """Undirected reach of many starts (tag, node) at once: tag, node, depth. A start that is no node of the graph reaches nothing."""
-    pairs = checkpoint(neighbours(edges))  # read in every hop
-    known = pairs.select(F.col("a").alias("node")).distinct()
+    pairs = both_ways(checkpoint(edges.select("src", "dst")))  # read in every hop; edges that stand twice do no harm
+    known = pairs.select(F.col("a").alias("node"))
     seen = starts.select(tag, "node").distinct().join(known, "node", "left_semi").select(tag, "node", F.lit(0).alias("depth"))
     front = seen
     for d in range(1, hops + 1):
@@ -55,8 +60,8 @@ def first_reach(edges: DataFrame, starts: DataFrame, tag: str, hops: int, by: st
     product. Smallest tags spread by rounds; the round in which a node's last tag came is its depth.
     """
     part = [by] if by else []
-    pairs = checkpoint(neighbours(edges))
-    known = pairs.select(F.col("a").alias("node")).distinct()
+    pairs = both_ways(checkpoint(edges.select("src", "dst")))
+    known = pairs.select(F.col("a").alias("node"))
     least = F.min(F.struct(tag, "depth")).alias("_l")
     now = starts.select(*part, tag, "node").join(known, "node", "left_semi").withColumn("depth", F.lit(0)).groupBy(*part, "node").agg(least).select(*part, "node", "_l.*")
     for d in range(1, hops + 1):

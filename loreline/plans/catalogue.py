@@ -16,7 +16,7 @@ from loreline.functions import trace as tr
 from loreline.operators import batch, bm25, delta, evaluate, evidence, flow, freshness, graph, resolve, retrieval, skeleton, types, vector
 from loreline.sources import files as fs
 from loreline.sources import python_source as py
-from loreline.sources.shared import checkpoint
+from loreline.sources.shared import checkpoint, dealt
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -268,10 +268,12 @@ def _edges(spark, d):
     nation, region = _t(spark, d, "nation"), _t(spark, d, "region")
     e = lambda df, a, b, kind, at: df.select(a.alias("src"), b.alias("dst"), F.lit(kind).alias("relation_type"), F.lit(1.0).alias("weight"), F.lit(at).alias("phase"))
     key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    items = _t(spark, d, "lineitem")
+    sold = dealt(items.select("l_suppkey", "l_partkey"), items.count(), "l_suppkey", "l_partkey").distinct()
     parts = [e(nation.join(region, nation.n_regionkey == region.r_regionkey), key("R", "r_regionkey"), key("N", "n_nationkey"), "contains", 0),
              e(_t(spark, d, "customer"), key("N", "c_nationkey"), key("C", "c_custkey"), "contains", 1),
              e(_t(spark, d, "supplier"), key("N", "s_nationkey"), key("S", "s_suppkey"), "contains", 2),
-             e(_t(spark, d, "lineitem").select("l_suppkey", "l_partkey").distinct(), key("S", "l_suppkey"), key("P", "l_partkey"), "calls", 3)]
+             e(sold, key("S", "l_suppkey"), key("P", "l_partkey"), "calls", 3)]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROWS = 1_000_000  # rows of one task in ``dealt``
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
     own = spark.conf.get("spark.checkpoint.dir", None)
@@ -30,6 +32,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return out
 
 
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """Rows dealt by keys to as many partitions as keep what one task holds bounded (ROWS), whatever number of shuffle partitions is set.
+    What is then grouped by these keys is not shuffled again."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS)), *keys)
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove tables that ``checkpoint`` wrote and that nothing reads any more."""
     for df in tables:

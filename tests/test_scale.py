@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loreline.operators import batch, evaluate, graph, resolve
 from loreline.plans import catalogue
 from loreline.sources import python_source as py
+from loreline.sources import shared
 
 SF = "/root/testdata/sf0.001"
 
@@ -89,3 +90,14 @@ def test_spans_of_a_name_meet_lines_by_bins(spark):
     got = evaluate.function_hits(cases, results, symbols)
     assert {x.case_id: x.function_rate for x in got.collect()} == {"0": 0.5, "1": 0.0, "2": 1.0}
     assert "_bin" in plan(got)
+
+
+def test_reach_writes_edges_once_and_deals_them_by_their_number(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(graph, "checkpoint", lambda df: written.append(df.localCheckpoint()) or written[-1])
+    edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "c"), ("c", "d"), ("d", "a")], "src string, dst string")
+    starts = spark.createDataFrame([(0, "a"), (1, "no node")], "tag int, node string")
+    assert sorted(map(tuple, graph.bfs_from(edges, starts, "tag", 1).collect())) == [(0, "a", 0), (0, "b", 1), (0, "d", 1)]
+    assert written[0].count() == 5  # not both ways, nothing grouped
+    n = spark.sparkContext.defaultParallelism
+    assert [shared.dealt(edges, k, "src").rdd.getNumPartitions() for k in (5, 3 * n * shared.ROWS)] == [n, 3 * n]
