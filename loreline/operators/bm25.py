@@ -42,7 +42,8 @@ def term_df(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 
 
 def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Bm25Index:
-    tokens = docs.select(F.col(doc_id).alias("doc_id"), bm25_tokens(F.col(text)).alias("tokens")).withColumn("size", F.size("tokens"))
+    # texts are dealt by document before they are taken apart: they are far smaller than postings, which then need no shuffle
+    tokens = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).repartition("doc_id").select("doc_id", bm25_tokens(F.col("text")).alias("tokens")).withColumn("size", F.size("tokens"))
     postings = tokens.select("doc_id", "size", F.explode("tokens").alias("token")).groupBy("token", "doc_id").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.first("size").alias("size"))
     return Bm25Index(postings, postings.groupBy("token").agg(F.count(F.lit(1)).alias("df")), corpus_stats(docs, doc_id, text))
 

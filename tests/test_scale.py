@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from loreline.operators import batch, evaluate, graph, resolve
+from loreline.operators import batch, bm25, evaluate, graph, resolve
 from loreline.plans import catalogue
 from loreline.sources import python_source as py
 from loreline.sources import shared
@@ -101,3 +101,11 @@ def test_reach_writes_edges_once_and_deals_them_by_their_number(spark, monkeypat
     assert written[0].count() == 5  # not both ways, nothing grouped
     n = spark.sparkContext.defaultParallelism
     assert [shared.dealt(edges, k, "src").rdd.getNumPartitions() for k in (5, 3 * n * shared.ROWS)] == [n, 3 * n]
+
+
+def test_postings_are_not_shuffled(spark):
+    docs = spark.createDataFrame([(1, "a b a"), (1, "a b a"), (2, None), (3, "B.c")], "doc_id long, text string")
+    got = bm25.build_index(docs).postings
+    assert sorted(map(tuple, got.collect())) == [("a", 1, 4, 3), ("b", 1, 2, 3), ("b", 3, 1, 2), ("c", 3, 1, 2)]
+    told = plan(got).split("== Initial Plan ==")[-1]
+    assert told.count("Exchange") == 1 and "hashpartitioning(doc_id" in told
