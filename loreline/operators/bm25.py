@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loreline.functions.text import bm25_tokens
+from loreline.sources.shared import dealt
 
 K1, B = 1.5, 0.75
 BROADCAST_ROWS = 100_000
@@ -60,13 +61,15 @@ def search(docs: DataFrame, queries: DataFrame, k: int, doc_id: str = "doc_id",
     """Top k of every query (query_id, query): query_id, doc_id, score, rank. Ties go to the smaller doc_id.
 
     One pass finds the query tokens in the corpus (semi-join on the query terms before anything is shuffled), one aggregate
-    scores; the document frequency comes from the same filtered postings.
+    scores; the document frequency comes from the same filtered postings. Hits are dealt by document, to as many tasks as documents
+    times queries ask for: a common word gives a score for nearly all of these pairs, which then leave a task only if they are among its best.
     """
     asked, side = _asked(queries)
     wanted = asked.select("token").distinct()
     tokens = docs.select(F.col(doc_id).alias("doc_id"), bm25_tokens(F.col(text)).alias("tokens"))
     hits = (tokens.select("doc_id", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
-            .join(side(wanted), "token", "left_semi").groupBy("token", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.first("size").alias("size")))
+            .join(side(wanted), "token", "left_semi"))
+    hits = dealt(hits, docs.count() * queries.count(), "doc_id").groupBy("token", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.first("size").alias("size"))
     df = hits.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     stats = corpus_stats(docs, doc_id, text)
     return _ranked(hits, asked.join(df, "token").crossJoin(F.broadcast(stats)), side, k)  # stats is one row

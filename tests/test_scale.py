@@ -109,3 +109,13 @@ def test_postings_are_not_shuffled(spark):
     assert sorted(map(tuple, got.collect())) == [("a", 1, 4, 3), ("b", 1, 2, 3), ("b", 3, 1, 2), ("c", 3, 1, 2)]
     told = plan(got).split("== Initial Plan ==")[-1]
     assert told.count("Exchange") == 1 and "hashpartitioning(doc_id" in told
+
+
+def test_scores_of_documents_and_queries_stay_in_their_task(spark):
+    docs = spark.createDataFrame([(1, "the a a"), (2, "the b"), (3, None), (4, "a.b the")], "doc_id long, text string")
+    asked = spark.createDataFrame([(0, "a the"), (1, "b"), (2, "none")], "query_id int, query string")
+    got = bm25.search(docs, asked, 2)
+    assert sorted((x.query_id, x["rank"], x.doc_id) for x in got.collect()) == [(0, 1, 1), (0, 2, 4), (1, 1, 2), (1, 2, 4)]
+    told = plan(got).split("== Initial Plan ==")[-1]
+    assert "hashpartitioning(doc_id" in told
+    assert not [x for x in told.split("\n") if "hashpartitioning(query_id" in x and "doc_id" in x.split("hashpartitioning(")[1].split(")")[0]]
