@@ -11,7 +11,7 @@ import itertools
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loreline.sources.shared import checkpoint
+from loreline.sources.shared import Scratch, checkpoint, dealt, shares
 
 
 def digraph(edges: DataFrame) -> DataFrame:
@@ -151,22 +151,54 @@ def path_lengths(edges: DataFrame, source: str, most: int | None = None) -> Data
     return seen
 
 
+def _numbered(edges: DataFrame, keep: Scratch) -> tuple[DataFrame, DataFrame, int]:
+    """(node, id) with ids from 0 in the order of names, the edges with ids in place of src and dst, and how many edges. Nulls are no nodes."""
+    told = keep(edges)
+    rows = told.count()
+    nodes = keep(told.select(F.explode(F.array("src", "dst")).alias("node")).filter("node is not null").distinct())
+    count = nodes.count()
+    if count >= 1 << 31:
+        raise ValueError(f"{count} nodes, but ids have 31 bits")
+    at = F.monotonically_increasing_id()
+    placed = keep(nodes.repartitionByRange(shares(told.sparkSession, count), "node").sortWithinPartitions("node").select("node", F.shiftright(at, 33).alias("part"), at.bitwiseAND((1 << 33) - 1).alias("place")))
+    # one row a partition
+    before = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    ids = keep(placed.join(F.broadcast(before), "part").select("node", (F.col("before") + F.col("place")).alias("id")))
+    rest = [c for c in told.columns if c not in ("src", "dst")]
+    first = dealt(told, rows, "src").join(ids.select(F.col("node").alias("src"), F.col("id").alias("_s")), "src").select("_s", "dst", *rest)
+    coded = dealt(first, rows, "dst").join(ids.select(F.col("node").alias("dst"), F.col("id").alias("_d")), "dst").select(F.col("_s").alias("src"), F.col("_d").alias("dst"), *rest)
+    return ids, keep(coded), rows
+
+
+def _by_name(labels: DataFrame, ids: DataFrame) -> DataFrame:
+    """Labels (node, community) of ids, with names."""
+    named = labels.join(ids.select(F.col("id").alias("node"), F.col("node").alias("_n")), "node")
+    return named.join(ids.select(F.col("id").alias("community"), F.col("node").alias("_c")), "community").select(F.col("_n").alias("node"), F.col("_c").alias("community"))
+
+
 def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
     """node, community: label propagation with a fixed order (the most frequent neighbouring label, ties to the smallest).
 
     Offered in place of modularity clustering, which is not deterministic; labels are names of member nodes. Two labels that trade places
-    forever are stopped by damping: a node also counts its own label.
+    forever are stopped by damping: a node also counts its own label. Nodes go by numbers in the order of their names; pairs lie in buckets
+    of the end that sends its label, so that a round shuffles the labels sent, once, and nothing else of their number.
     """
-    pairs = checkpoint(neighbours(edges))
-    labels = checkpoint(pairs.select(F.col("a").alias("node")).distinct().withColumn("community", F.col("node")))
-    for _ in range(rounds):
-        votes = pairs.join(labels.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "community").union(labels)
-        best = votes.groupBy("node", "community").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(F.min_by("community", F.struct(-F.col("n"), "community")).alias("next"))
-        step = checkpoint(labels.join(best, "node").select("node", F.col("next").alias("community"), (F.col("next") != F.col("community")).alias("moved")))
-        labels = step.select("node", "community")
-        if step.filter("moved").isEmpty():
-            break
-    return labels
+    low = (1 << 32) - 1
+    with Scratch() as keep:
+        ids, coded, rows = _numbered(edges.select("src", "dst"), keep)
+        parts = shares(edges.sparkSession, 2 * rows)
+        pairs = keep.buckets(both_ways(coded).repartition(parts, "b").distinct(), parts, "b")
+        labels = ids.select(F.col("id").alias("node"), F.col("id").alias("community"))
+        for _ in range(rounds):
+            sent = pairs.join(labels.withColumnRenamed("node", "b").hint("shuffle_hash"), "b").select(F.col("a").alias("node"), "community", F.lit(False).alias("own"))
+            votes = sent.union(labels.select("node", "community", F.lit(True))).repartition(parts, "node").groupBy("node", "community").agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("own"))
+            # the largest number, then the smallest label
+            best = votes.groupBy("node").agg(F.max(F.shiftleft("n", 32) + (F.lit(low) - F.col("community"))).alias("_b"), F.max(F.when(F.col("own"), F.col("community"))).alias("was"))
+            step = keep(best.select("node", (F.lit(low) - F.col("_b").bitwiseAND(low)).alias("community"), "was"))
+            labels = step.select("node", "community")
+            if step.filter("community <> was").isEmpty():
+                break
+        return checkpoint(_by_name(labels, ids))
 
 
 def modularity(links: DataFrame, labels: DataFrame) -> float:

@@ -32,16 +32,32 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return out
 
 
+def shares(spark: SparkSession, rows: int) -> int:
+    """Partitions that keep what one task holds bounded (ROWS), whatever number of shuffle partitions is set."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // ROWS))
+
+
 def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
-    """Rows dealt by keys to as many partitions as keep what one task holds bounded (ROWS), whatever number of shuffle partitions is set.
-    What is then grouped by these keys is not shuffled again."""
-    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS)), *keys)
+    """Rows dealt by keys to ``shares``. What is then grouped by these keys is not shuffled again."""
+    return df.repartition(shares(df.sparkSession, rows), *keys)
+
+
+def bucketed(df: DataFrame, parts: int, key: str) -> DataFrame:
+    """Write and reread as a table in buckets of a key: joins by it, round after round, do not shuffle these rows again."""
+    name = f"loreline_{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}"
+    df.write.bucketBy(parts, key).option("path", path).format("parquet").saveAsTable(name)
+    out = df.sparkSession.table(name)
+    out.written_to, out.known_as = path, name
+    return out
 
 
 def discard(*tables: DataFrame) -> None:
     """Remove tables that ``checkpoint`` wrote and that nothing reads any more."""
     for df in tables:
         context = df.sparkSession.sparkContext
+        if hasattr(df, "known_as"):
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {df.known_as}")
         path = context._jvm.org.apache.hadoop.fs.Path(df.written_to)
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -56,6 +72,10 @@ class Scratch:
         self.tables.append(checkpoint(df))
         return self.tables[-1]
 
+    def buckets(self, df: DataFrame, parts: int, key: str) -> DataFrame:
+        self.tables.append(bucketed(df, parts, key))
+        return self.tables[-1]
+
     def __enter__(self) -> Scratch:
         return self
 

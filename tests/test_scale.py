@@ -119,3 +119,30 @@ def test_scores_of_documents_and_queries_stay_in_their_task(spark):
     told = plan(got).split("== Initial Plan ==")[-1]
     assert "hashpartitioning(doc_id" in told
     assert not [x for x in told.split("\n") if "hashpartitioning(query_id" in x and "doc_id" in x.split("hashpartitioning(")[1].split(")")[0]]
+
+
+def _odd_graph(spark):
+    r = random.Random(4)
+    pairs = [(f"n{r.randrange(30)}", f"n{r.randrange(30)}") for _ in range(60)] + [("n1", "n2"), ("n2", "n1"), ("n3", "n3"), ("solo", "solo"), ("é", "Z")] + [("hub", f"n{k}") for k in range(30)]
+    return pairs, spark.createDataFrame([*pairs, ("alone", None)], "src string, dst string")
+
+
+def _told(monkeypatch):
+    plans, write = [], shared.checkpoint
+    monkeypatch.setattr(shared, "checkpoint", lambda df: plans.append(plan(df).split("== Initial Plan ==")[-1]) or write(df))
+    return plans
+
+
+def test_a_round_of_label_propagation_shuffles_the_labels_sent_once(spark, monkeypatch):
+    pairs, edges = _odd_graph(spark)
+    told = _told(monkeypatch)
+    got = {x.node: x.community for x in graph.communities(edges, 4).collect()}
+    near = {p for a, b in pairs for p in ((a, b), (b, a))}
+    label = {x: x for p in near for x in p} | {"alone": "alone"}
+    for _ in range(4):
+        votes = {x: [label[b] for a, b in near if a == x] + [label[x]] for x in label}
+        label = {x: min(v, key=lambda c, v=v: (-v.count(c), c)) for x, v in votes.items()}
+    assert got == label
+    rounds = [p for p in told if "shiftleft" in p]
+    assert rounds and all(sum("hashpartitioning(" in x and "Exchange" in x for x in p.split("\n")) <= 2 and "SortMergeJoin" not in p for p in rounds)  # labels by b, votes by node
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("loreline_")]
