@@ -201,57 +201,71 @@ def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
         return checkpoint(_by_name(labels, ids))
 
 
-def modularity(links: DataFrame, labels: DataFrame) -> float:
-    """Modularity of labels (node, community) over links (a, b, w), both ways, a loop once with twice its weight."""
-    named = links.join(labels.select(F.col("node").alias("a"), F.col("community").alias("ca")), "a").join(labels.select(F.col("node").alias("b"), F.col("community").alias("cb")), "b")
-    per = named.groupBy(F.col("ca").alias("c")).agg(F.sum("w").alias("total"), F.sum(F.when(F.col("ca") == F.col("cb"), F.col("w")).otherwise(0.0)).alias("inside"))
-    row = per.agg(F.sum("total"), F.sum("inside"), F.sum(F.pow("total", F.lit(2.0)))).first()
-    return row[1] / row[0] - row[2] / row[0] ** 2 if row[0] else 0.0
-
-
 def modularity_communities(edges: DataFrame, rounds: int = 20, levels: int = 10, least: float = 1e-7) -> DataFrame:
     """node, community (its smallest node): modularity clustering by local moves and contraction (Louvain), in a fixed order.
 
     In a round every node looks at its neighbours' communities and takes the one of largest gain, ties to the smallest label; a community
     of one node joins another of one node only if that has the smaller label, so that two never trade places. Rounds end when modularity
     no longer grows by ``least``, and the best labels are kept; communities then become nodes of the next level.
+
+    Nodes go by numbers in the order of their names; links lie in buckets of the end that sends its label, with its community's weight and
+    size beside it. A round shuffles what is sent, once; from the same rows comes the modularity of the labels that were sent.
     """
-    pairs = edges.filter("src <> dst").groupBy("src", "dst").agg(F.sum(F.col("weight") if "weight" in edges.columns else F.lit(1.0)).alias("w"))
-    links = checkpoint(pairs.select(F.col("src").alias("a"), F.col("dst").alias("b"), "w").union(pairs.select("dst", "src", "w")).groupBy("a", "b").agg(F.sum("w").alias("w")))
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    out = checkpoint(nodes.withColumn("community", F.col("node")))
-    twice_m = links.agg(F.sum("w")).first()[0]
-    if not twice_m:
-        return out
-    quality = modularity(links, out)
-    for _ in range(levels):
-        degree = links.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("k"))
-        labels = checkpoint(degree.withColumn("community", F.col("node")))
-        start = quality
-        for _ in range(rounds):
-            sizes = labels.groupBy("community").agg(F.sum("k").alias("total"), F.count(F.lit(1)).alias("n"))
-            toward = (links.filter("a <> b").join(labels.select(F.col("node").alias("b"), "community"), "b").groupBy(F.col("a").alias("node"), "community").agg(F.sum("w").alias("into"))
-                      .unionByName(labels.select("node", "community", F.lit(0.0).alias("into"))).groupBy("node", "community").agg(F.sum("into").alias("into")))
-            own = labels.select("node", "k", F.col("community").alias("own")).join(sizes.select(F.col("community").alias("own"), F.col("n").alias("mates")), "own")
-            mine = F.col("community") == F.col("own")
-            gain = F.round(F.col("into") - F.col("k") * (F.col("total") - F.when(mine, F.col("k")).otherwise(0.0)) / twice_m, 9)
-            allowed = mine | (F.col("mates") > 1) | (F.col("n") > 1) | (F.col("community") < F.col("own"))
-            best = (toward.join(own, "node").join(sizes, "community").filter(allowed)
-                    .groupBy("node").agg(F.min_by("community", F.struct(-gain, (~mine).cast("int"), "community")).alias("community"), F.first("k").alias("k")))
-            step = checkpoint(best)
-            now = modularity(links, step.select("node", "community"))
-            if now <= quality + least:
+    spark = edges.sparkSession
+    with Scratch() as keep:
+        weight = F.col("weight") if "weight" in edges.columns else F.lit(1.0)
+        ids, coded, rows = _numbered(edges.select("src", "dst", weight.cast("double").alias("w")), keep)
+        parts = shares(spark, 2 * rows)
+        ways = coded.filter("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b"), "w")
+        links = keep.buckets(ways.union(ways.select("b", "a", "w")).repartition(parts, "b").groupBy("a", "b").agg(F.sum("w").alias("w")), parts, "b")
+        out = ids.select(F.col("id").alias("node"), F.col("id").alias("community"))
+        twice_m = links.agg(F.sum("w")).first()[0]
+        if not twice_m:
+            return checkpoint(_by_name(out, ids))
+        quality = None
+        for level in range(levels):
+            loops = links.filter("a = b").agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0] if level else 0.0
+            labels = keep(links.groupBy(F.col("b").alias("node")).agg(F.sum("w").alias("k")).withColumn("community", F.col("node")))
+            good = labels
+            start = quality
+            for done in range(rounds + 1):
+                sizes = labels.groupBy("community").agg(F.sum("k").alias("total"), F.count(F.lit(1)).alias("n"))
+                told = keep(labels.join(sizes, "community").select("node", "k", "community", "total", "n"))
+                step = keep(_moves(links, told, parts, twice_m))
+                inside, squares = step.agg(F.sum("inside")).crossJoin(told.agg(F.sum(F.col("k") * F.col("total")))).first()
+                now = (inside + loops) / twice_m - squares / twice_m**2
+                if quality is None:
+                    start = quality = now
+                if done:
+                    if now <= quality + least:
+                        break
+                    good, quality = labels, now
+                labels = step.select("node", "k", "community")
+            if quality <= start + least:
                 break
-            labels, quality = step, now
-        if quality <= start + least:
-            break
-        # a community goes by its smallest node
-        name = labels.groupBy("community").agg(F.min("node").alias("name"))
-        labels = checkpoint(labels.join(name, "community").select("node", F.col("name").alias("community")))
-        out = checkpoint(out.join(labels.select(F.col("node").alias("community"), F.col("community").alias("next")), "community", "left").select("node", F.coalesce("next", "community").alias("community")))
-        of = lambda c: labels.select(F.col("node").alias(c), F.col("community").alias(f"c{c}"))  # noqa: B023, E731
-        links = checkpoint(links.join(of("a"), "a").join(of("b"), "b").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")))
-    return out
+            # a community goes by its smallest node
+            name = good.groupBy("community").agg(F.min("node").alias("name"))
+            named = keep(good.join(name, "community").select("node", F.col("name").alias("community")))
+            out = keep(out.join(named.select(F.col("node").alias("community"), F.col("community").alias("next")), "community", "left").select("node", F.coalesce("next", "community").alias("community")))
+            ends = lambda c: named.select(F.col("node").alias(c), F.col("community").alias(f"c{c}")).hint("shuffle_hash")  # noqa: B023, E731
+            sent = links.join(ends("b"), "b").select("a", "cb", "w").repartition(parts, "a").groupBy("a", "cb").agg(F.sum("w").alias("w"))
+            joined = keep(sent.join(ends("a"), "a").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")))
+            parts = shares(spark, joined.count())
+            links = keep.buckets(joined.repartition(parts, "b"), parts, "b")
+        return checkpoint(_by_name(out, ids))
+
+
+def _moves(links: DataFrame, told: DataFrame, parts: int, twice_m: float) -> DataFrame:
+    """(node, k, community to go to, inside: weight toward its present community) for all nodes of told (node, k, community, total, n)."""
+    given = told.select(F.col("node").alias("b"), "community", "total", "n").hint("shuffle_hash")
+    sent = links.filter("a <> b").join(given, "b").select(F.col("a").alias("node"), "community", "total", "n", "w").union(told.select("node", "community", "total", "n", F.lit(0.0)))
+    toward = sent.repartition(parts, "node").groupBy("node", "community").agg(F.sum("w").alias("into"), F.max("total").alias("total"), F.max("n").alias("n"))
+    own = told.select("node", "k", F.col("community").alias("own"), F.col("n").alias("mates")).hint("shuffle_hash")
+    mine = F.col("community") == F.col("own")
+    gain = F.round(F.col("into") - F.col("k") * (F.col("total") - F.when(mine, F.col("k")).otherwise(0.0)) / twice_m, 9)
+    allowed = mine | (F.col("mates") > 1) | (F.col("n") > 1) | (F.col("community") < F.col("own"))
+    return (toward.join(own, "node").filter(allowed).groupBy("node")
+            .agg(F.min_by("community", F.struct(-gain, (~mine).cast("int"), "community")).alias("community"), F.first("k").alias("k"), F.sum(F.when(mine, F.col("into"))).alias("inside")))
 
 
 def _ends(calls: DataFrame, symbols: DataFrame, qualified_name: str, given: str, other: str) -> DataFrame:

@@ -146,3 +146,13 @@ def test_a_round_of_label_propagation_shuffles_the_labels_sent_once(spark, monke
     rounds = [p for p in told if "shiftleft" in p]
     assert rounds and all(sum("hashpartitioning(" in x and "Exchange" in x for x in p.split("\n")) <= 2 and "SortMergeJoin" not in p for p in rounds)  # labels by b, votes by node
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("loreline_")]
+
+
+def test_a_round_of_local_moves_shuffles_what_is_sent_once(spark, monkeypatch):
+    _, edges = _odd_graph(spark)
+    told = _told(monkeypatch)
+    got = {x.node: x.community for x in graph.modularity_communities(edges).collect()}
+    assert {x for x in got if got[x] == x} >= {"alone", "solo"} and got["é"] == got["Z"] == "Z" and all(got[c] == c for c in got.values())
+    rounds = [p for p in told if "AS inside" in p or "inside#" in p]
+    assert rounds and all(sum("hashpartitioning(" in x and "Exchange" in x for x in p.split("\n")) <= 3 for p in rounds)  # what is told by b and by node, what is sent by node
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("loreline_")]
