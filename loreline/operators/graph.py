@@ -11,7 +11,7 @@ import itertools
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loreline.sources.shared import Scratch, checkpoint, dealt, shares
+from loreline.sources.shared import Scratch, bucketed, checkpoint, dealt, discard, shares
 
 
 def digraph(edges: DataFrame) -> DataFrame:
@@ -95,19 +95,24 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 100, alpha: f
     if not n:
         return nodes.sparkSession.createDataFrame([], "node string, rank double")
     weight = F.col("weight") if "weight" in edges.columns else F.lit(1.0)
-    flow = edges.groupBy("src", "dst").agg(F.sum(weight).alias("w"))
+    told = checkpoint(edges.select("src", "dst", weight.alias("w")))
+    rows = told.count()
+    flow = checkpoint(dealt(told, rows, "src", "dst").groupBy("src", "dst").agg(F.sum("w").alias("w")))
     out = flow.groupBy("src").agg(F.sum("w").alias("total"))
-    share = checkpoint(flow.join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("p")))
+    # in buckets of the end that gives: a round shuffles ranks, and edges not at all
+    parts = shares(nodes.sparkSession, rows)
+    share = bucketed(flow.join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("p")).repartition(parts, "src"), parts, "src")
     ranks = checkpoint(nodes.select("node").distinct().join(out.withColumnRenamed("src", "node"), "node", "left").select("node", F.col("total").isNull().alias("dangling"), F.lit(1.0 / n).alias("rank")))
     for _ in range(iterations):
         # the dangling mass is one number, joined as a one-row aggregate: no driver round trip
         lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)).alias("lost"))
-        into = share.join(ranks.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("p")).alias("into"))
+        into = share.join(ranks.select(F.col("node").alias("src"), "rank").hint("shuffle_hash"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("p")).alias("into"))
         step = ranks.join(into, "node", "left").crossJoin(F.broadcast(lost)).select("node", "dangling", F.col("rank").alias("was"), ((1 - alpha) / n + alpha * (F.coalesce("into", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
         step = checkpoint(step)
         ranks = step.select("node", "dangling", "rank")
         if tolerance is not None and step.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0] < n * tolerance:
             break
+    discard(share)
     return ranks.select("node", "rank")
 
 

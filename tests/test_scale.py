@@ -156,3 +156,13 @@ def test_a_round_of_local_moves_shuffles_what_is_sent_once(spark, monkeypatch):
     rounds = [p for p in told if "AS inside" in p or "inside#" in p]
     assert rounds and all(sum("hashpartitioning(" in x and "Exchange" in x for x in p.split("\n")) <= 3 for p in rounds)  # what is told by b and by node, what is sent by node
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("loreline_")]
+
+
+def test_a_round_of_pagerank_shuffles_no_edges(spark, monkeypatch):
+    plans, write = [], graph.checkpoint
+    monkeypatch.setattr(graph, "checkpoint", lambda df: plans.append(plan(df)) or write(df))
+    edges = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "c"), ("c", "a")], "src string, dst string")
+    got = {x.node: x["rank"] for x in graph.pagerank(spark.createDataFrame([("a",), ("b",), ("c",)], "node string"), edges, 1, tolerance=None).collect()}
+    assert {k: round(v, 9) for k, v in got.items()} == {"a": round(0.05 + 0.85 / 3, 9), "b": round(0.05 + 0.85 / 6, 9), "c": round(0.05 + 0.85 / 2, 9)}
+    assert "Bucketed: true" in plans[-1]
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("loreline_")]
