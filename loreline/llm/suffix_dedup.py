@@ -35,6 +35,7 @@ from loreline.llm._frames import col, text_bytes
 
 GROUP_BYTES = 2 << 20
 BUCKET_BYTES = 16 << 20
+BLOCK = 8192  # places hashed at a time
 LENGTH, ANCHOR = 50, 20
 U = X.U
 _B = U(0x9E3779B97F4A7C15)
@@ -44,24 +45,33 @@ PIECE = 4  # string starts in a piece
 _KEY, _HASH = 6, 5  # bytes of anchor and segment hash that travel
 
 
-def _power(n: int) -> np.uint64:
-    return U(pow(int(_B), n, 1 << 64))
+class _Runs:
+    """Polynomial hashes of any runs of bytes, from running sums: sum of byte j * B ** j from the start, over B ** start."""
 
-
-class _Rolling:
-    """Polynomial hashes of all runs of a length, from runs of half the length."""
+    up, down = np.ones(1, U), np.ones(1, U)  # powers of B and of its inverse, as far as a task needed them
 
     def __init__(self, data: np.ndarray):
-        self.known = {1: _BYTE[data]}
-
-    def of(self, n: int) -> np.ndarray:
-        if n not in self.known:
-            a = 1 << (n - 1).bit_length() - 1
-            left, right = self.of(a), self.of(n - a)
-            m = len(self.known[1]) - n + 1
-            with np.errstate(over="ignore"):
-                self.known[n] = left[:m] * _power(n - a) + right[a:a + m] if m > 0 else np.zeros(0, U)
-        return self.known[n]
+        if len(_Runs.up) < len(data):
+            _Runs.up, _Runs.down = (np.cumprod(np.concatenate([np.ones(1, U), np.full(len(data) + len(data) // 8, b)]), dtype=U) for b in (_B, U(pow(int(_B), -1, 1 << 64))))
+        self.sums = np.zeros(len(data) + 1, U)
+        for lo in range(0, len(data), BLOCK):
+            part = slice(lo, min(lo + BLOCK, len(data)))
+            np.multiply(_BYTE[data[part]], _Runs.up[part], out=self.sums[part.start + 1:part.stop + 1])
+        np.cumsum(self.sums, out=self.sums)
+
+    def of(self, start: np.ndarray, size) -> np.ndarray:
+        return (self.sums[start + size] - self.sums[start]) * _Runs.down[start]
+
+    def anchors(self, n: int, length: int, anchor: int) -> np.ndarray:
+        """For each of the first ``n`` places: where in its string the ``anchor``-byte run of the smallest hash starts."""
+        place = np.empty(n, np.uint32)
+        for lo in range(0, n, BLOCK):  # blocks that stay in the cache
+            m = min(BLOCK, n - lo) + length - anchor
+            grams = X.mix((self.sums[lo + anchor:lo + anchor + m] - self.sums[lo:lo + m]) * _Runs.down[lo:lo + m])
+            grams &= U(0xFFFFFFFF00000000)
+            grams |= np.arange(lo, lo + m, dtype=U)
+            place[lo:lo + BLOCK] = _slide_min(grams, length - anchor + 1)
+        return place
 
 
 def _slide_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -93,23 +103,17 @@ class _Segments:
             self.owner, self.key, self.hash, self.first = z, np.zeros(0, U), np.zeros(0, U), z
             self.order, self.cut, self.local, self.at = z, np.zeros(buckets + 1, np.int64), np.zeros(0, bool), z
             return
-        self.roll = roll = _Rolling(self.data)
-        grams = X.mix(roll.of(anchor))
-        place = _slide_min((grams & U(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=U), length - anchor + 1)[:n] & U(0xFFFFFFFF)
+        self.runs = runs = _Runs(self.data)
+        place = runs.anchors(n, length, anchor)
         head = whole.copy()
         head[1:] &= ~whole[:-1] | (place[1:] != place[:-1])
         self.start = np.flatnonzero(head)
         last = np.flatnonzero(whole & np.concatenate([head[1:] | ~whole[1:], [True]]))
         self.count = last - self.start + 1  # string starts in the segment
         self.at = at = place[self.start].astype(np.int64)
-        piece = length // 2 + (length % 2)  # three runs of this length cover any segment: its ends, and the middle
-        covers = roll.of(piece)
         with np.errstate(over="ignore"):
-            value = (at - self.start).astype(U) * U(0xC2B2AE3D27D4EB4F) + self.count.astype(U)
-            for j in range(0, 2 * length - anchor - piece + 1, piece):  # runs from the start ...
-                value = X.mix(value + covers[self.start + np.minimum(j, self.count - 1 + length - piece)])
-            value = X.mix(value + covers[self.start + self.count - 1 + length - piece])  # ... and the one at the end
-        key = grams[at]
+            value = X.mix(runs.of(self.start, self.count + (length - 1)) + (at - self.start).astype(U) * U(0xC2B2AE3D27D4EB4F) + self.count.astype(U) * U(0x9FB21C651E98DF25))
+        key = X.mix(runs.of(at, anchor))
         id_at = self.ids[self.text[self.start]]
         by = np.argsort(value)
         ranked = value[by]
@@ -135,16 +139,14 @@ class _Pieces:
         at, start = s.at[seg], s.start[seg]
         near, far = at - (start + s.count[seg] - 1), at - start  # how far the anchor lies behind the last and the first start
         width = min(PIECE, length)
-        core, string = s.roll.of(length - width + 1), s.roll.of(length)
         found = []
         for lo in range(0, length - anchor + 1, width):
             a, b = np.maximum(near, lo), np.minimum(far, lo + width - 1)
             has = np.flatnonzero(a <= b)
-            found.append((entries[has], (at - b)[has], (b - a + 1)[has], X.mix(core[at[has] - lo] + U(lo)), (at - b - start)[has], b[has]))
+            found.append((entries[has], (at - b)[has], (b - a + 1)[has], X.mix(s.runs.of(at[has] - lo, length - width + 1) + U(lo)), (at - b - start)[has], b[has]))
         self.entry, begin, count, key, self.shift, far = (np.concatenate(x) for x in zip(*found))
         with np.errstate(over="ignore"):
-            value = X.mix(X.mix(string[begin] + key) + (far * 64 + count).astype(U))
-            value = X.mix(value + string[begin + count - 1])
+            value = X.mix(X.mix(s.runs.of(begin, count + (length - 1)) + key) + (far * 64 + count).astype(U))
         by = np.lexsort((value, (key % U(buckets)).astype(np.int64)))
         ranked = value[by]
         new = np.ones(len(ranked), bool)
@@ -196,7 +198,10 @@ def _answer(hot: int):
             key.append(X.unplanes(e[:n * _KEY], n, _KEY))
             value.append(X.unplanes(e[n * _KEY:], n, _HASH))
         key, value, owner = np.concatenate(key), np.concatenate(value), np.concatenate(owner)
-        order = np.lexsort((owner, value, key))
+        by = np.argsort(key)
+        same = key[by[1:]] == key[by[:-1]]
+        many = by[np.concatenate([same, [False]]) | np.concatenate([[False], same])]  # an anchor that stands once needs no answer
+        order = many[np.lexsort((owner[many], value[many], key[many]))]
         k, v, o = key[order], value[order], owner[order]
         new_k = np.ones(len(k), bool)
         new_k[1:] = k[1:] != k[:-1]
@@ -207,7 +212,7 @@ def _answer(hot: int):
         at = np.flatnonzero(new_k)
         several = np.minimum.reduceat(o, at) < np.maximum.reduceat(o, at)  # anchors of more than one id
         kinds = np.add.reduceat(new_v.astype(np.int64), at)
-        whole, opened, split = (np.empty(len(k), bool) for _ in range(3))
+        whole, opened, split = (np.zeros(len(key), bool) for _ in range(3))
         whole[order] = o > least
         opened[order] = (o == least) & (several & (kinds > 1))[by_k]
         split[order] = (o == least) & (several & (kinds > hot))[by_k]
@@ -244,28 +249,49 @@ def _open_bytes(length: int, anchor: int, buckets: int):
     return run
 
 
-def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Rank of every suffix by its first ``depth`` symbols or more (prefix doubling; equal prefixes stay in any order)."""
+def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Suffixes in the order of their first ``depth`` symbols or more (prefix doubling; equal prefixes stay in any order).
+
+    With them, which places of the order differ from the one before in the first symbols, and in how many of these.
+    """
     n = len(text)
-    padded = np.concatenate([text.astype(U), np.zeros(8, U)])
-    rank = np.zeros(n, U)
-    for j in range(7):  # seven symbols of nine bits (bytes and the separator), so that three doublings pass 50
-        rank = (rank << U(9)) | padded[j:j + n]
-    have = 7
-    order = np.argsort(rank)
-    while True:
-        ranked = rank[order]
-        new = np.ones(n, bool)
-        new[1:] = ranked[1:] != ranked[:-1]
-        if have >= depth or new.all():
-            return order
-        dense = np.empty(n, U)
-        dense[order] = np.cumsum(new).astype(U)
-        ahead = np.zeros(n, U)
-        ahead[:n - have] = dense[have:]
-        rank = (dense << U(32)) | ahead
-        order = np.argsort(rank)
+    bits = max(1, (n - 1).bit_length())  # of a place; they travel below the key, so that values are sorted and not their places
+    used = np.zeros(1 << 16, bool)
+    used[text] = True
+    used[0] = True
+    wide = max(1, int(used.sum() - 1).bit_length())
+    code = (np.cumsum(used) - 1).astype(U)[text]
+    have = min(depth, (64 - bits) // wide)
+    key = np.zeros(n, U)
+    for j in range(have):
+        key <<= U(wide)
+        key[:max(n - j, 0)] |= code[j:]
+    low = U((1 << bits) - 1)
+    key = np.sort((key << U(bits)) | np.arange(n, dtype=U))
+    order = (key & low).astype(np.int64)
+    new = np.ones(n, bool)
+    new[1:] = (key[1:] >> U(bits)) != (key[:-1] >> U(bits))
+    seed, seeded = new, have
+    dense, new = np.zeros(n + 1, np.uint32), new.copy()
+    while have < depth and not new.all():
+        dense[order] = np.cumsum(new, dtype=np.uint32)  # 0: past the end
+        tied = ~new
+        tied[:-1] |= tied[1:]
+        at = np.flatnonzero(tied)  # only suffixes that are not told apart yet are sorted again, within their groups
+        mine = order[at]
+        group, after = np.cumsum(new[at], dtype=U), dense[np.minimum(mine + have, n)].astype(U)
+        bits, wide = len(at).bit_length(), int(dense.max()).bit_length()
+        value = (group << U(wide)) | after
+        if int(group[-1]).bit_length() + wide + bits <= 64:
+            value = np.sort((value << U(bits)) | np.arange(len(at), dtype=U))
+            order[at] = mine[(value & U((1 << bits) - 1)).astype(np.int64)]
+            value >>= U(bits)
+        else:
+            by = np.argsort(value)
+            order[at], value = mine[by], value[by]
+        new[at[1:]] = value[1:] != value[:-1]
         have *= 2
+    return order, seed, seeded
 
 
 def equal_prefixes(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -276,23 +302,29 @@ def equal_prefixes(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarra
     symbol first[p], so the interval of c.w at depth d + 1 ends between neighbours p - 1, p unless they step from one interval w.
     """
     n = len(text)
-    order = suffix_order(text, length)
-    place = np.empty(n + 1, np.int32)
-    place[order] = np.arange(n, dtype=np.int32)
+    order, edge, depth = suffix_order(text, length)
+    place = np.empty(n + 1, np.int64)
+    place[order] = np.arange(n)
     place[n] = 0
-    next_of = place[order + 1]
-    first = text[order]
-    # depth 1: intervals by first symbol; a separator is an interval of its own, as nothing is extended over it
-    edge = np.ones(n, bool)
-    edge[1:] = (first[1:] != first[:-1]) | (first[1:] == 0)
+    # intervals of the first symbols, as they were sorted; a suffix with a separator there is an interval of its own, as nothing is extended over it
+    gap = np.full(n + 1, n, np.int32)
+    zero = np.flatnonzero(text == 0)
+    gap[zero] = zero
+    gap = np.minimum.accumulate(gap[::-1])[::-1]
+    short = (gap[:n] - np.arange(n) < depth)[order]
+    edge = edge | short
+    edge[1:] |= short[:-1]
     inner = np.flatnonzero(~edge)
-    for _ in range(1, length):
+    left, right = place[order[inner - 1] + 1], place[order[inner] + 1]
+    for _ in range(depth, length):
         if not len(inner):
             break
         interval = np.cumsum(edge, dtype=np.int32)
-        split = interval[next_of[inner]] != interval[next_of[inner - 1]]
+        split = np.take(interval, left) != np.take(interval, right)
         edge[inner[split]] = True
-        inner = inner[~split]
+        if 8 * np.count_nonzero(split) > len(inner):
+            stay = ~split
+            inner, left, right = inner[stay], left[stay], right[stay]
     return order, np.cumsum(edge) - 1
 
 
@@ -359,13 +391,13 @@ def _cut(length: int, anchor: int, buckets: int):
         n = len(s.data)
         delta = np.zeros(n + 1, np.int32)
         if len(s.start):
-            inside = np.arange(int(s.count.sum())) - np.repeat(np.cumsum(s.count) - s.count, s.count)
-            seg = np.repeat(np.arange(len(s.start)), s.count)
-            all_of = (s.local | whole[s.entry])[seg]
-            hit = all_of | ((mask[s.entry][seg] >> inside.astype(np.uint32)) & 1 > 0)
-            at = (s.start[seg] + inside)[hit]
-            delta[:n] += np.bincount(at, minlength=n)[:n].astype(np.int32)
-            delta[:n + 1] -= np.bincount(at + length, minlength=n + 1)[:n + 1].astype(np.int32)
+            all_of = s.local | whole[s.entry]
+            bits = mask[s.entry]
+            some = np.flatnonzero(~all_of & (bits > 0))
+            seg, inside = np.nonzero((bits[some, None] >> np.arange(length - anchor + 1, dtype=np.uint32)) & 1)
+            at = np.concatenate([s.start[all_of], s.start[some[seg]] + inside])
+            end = np.concatenate([(s.start + s.count - 1)[all_of], s.start[some[seg]] + inside]) + length
+            delta += np.bincount(at, minlength=n + 1).astype(np.int32) - np.bincount(end, minlength=n + 1).astype(np.int32)
         gone = np.cumsum(delta[:n]) > 0
         rows = s.table.num_rows
         head = gone.copy()

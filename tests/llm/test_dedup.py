@@ -184,3 +184,24 @@ def test_paged_groups_against_brute_force(spark, seed, monkeypatch):
     r.shuffle(docs)
     got = near_duplicates(spark.createDataFrame(docs, SCHEMA).repartition(6)).collect()
     assert sorted(tuple(x) for x in got) == sorted(brute.near_duplicates(docs))
+
+
+@pytest.mark.parametrize("symbols", [2, 60, 254])
+def test_suffixes_told_apart_are_not_sorted_again(symbols, monkeypatch):
+    rng = np.random.default_rng(symbols)
+    one = rng.integers(2, 2 + symbols, 3000).astype(np.uint16)
+    text = np.concatenate([one, [0], rng.integers(2, 2 + symbols, 17000), [0], one[:2000], [0]]).astype(np.uint16)
+    sizes = []
+    for name in ("sort", "argsort"):
+        own = getattr(np, name)
+        monkeypatch.setattr(sd.np, name, lambda x, *a, own=own, **k: sizes.append(len(x)) or own(x, *a, **k))
+    order, interval = sd.equal_prefixes(text, 50)
+    monkeypatch.undo()
+    assert sizes[0] == len(text) and sum(sizes) < 3 * len(text)
+    raw = text.tobytes() + bytes(100)
+    found = [raw[2 * k:2 * k + 100] for k in order]
+    big = [x.hex() for x in (text[k:k + 50].astype(">u2").tobytes().ljust(100, b"\0") for k in order)]
+    assert big == sorted(big) and sorted(order) == list(range(len(text)))
+    whole = [np.all(text[k:k + 50] > 0) and k + 50 <= len(text) for k in order]
+    for p in range(1, len(order)):
+        assert (interval[p] == interval[p - 1]) == bool(found[p] == found[p - 1] and whole[p])
