@@ -22,7 +22,7 @@ def digraph(edges: DataFrame) -> DataFrame:
 
 def with_implicit_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Add end points that are no symbols (unresolved names) with default attributes."""
-    ends = edges.select(F.col("src").alias("qualified_name")).union(edges.select("dst")).distinct().join(nodes.select("qualified_name"), "qualified_name", "left_anti")
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("qualified_name")).distinct().join(nodes.select("qualified_name"), "qualified_name", "left_anti")
     return nodes.withColumn("is_external", F.lit(False)).unionByName(ends.select("qualified_name", F.lit("function").alias("type"), F.lit("").alias("file_path"), F.lit(0).alias("line_count"), F.lit(True).alias("is_external")))
 
 

@@ -21,6 +21,7 @@ from loreline.sources.shared import checkpoint, dealt
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 ASKED = "the hand of thing"
+PAIRS = 250_000  # pairs that one task tells apart: it keeps each of them twice, and what follows in the same task beside them
 
 
 def query(sql: str | None = None):
@@ -269,7 +270,7 @@ def _edges(spark, d):
     e = lambda df, a, b, kind, at: df.select(a.alias("src"), b.alias("dst"), F.lit(kind).alias("relation_type"), F.lit(1.0).alias("weight"), F.lit(at).alias("phase"))
     key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     items = _t(spark, d, "lineitem")
-    sold = dealt(items.select("l_suppkey", "l_partkey"), items.count(), "l_suppkey", "l_partkey").distinct()
+    sold = dealt(items.select("l_suppkey", "l_partkey"), items.count(), "l_suppkey", "l_partkey", most=PAIRS).distinct()
     parts = [e(nation.join(region, nation.n_regionkey == region.r_regionkey), key("R", "r_regionkey"), key("N", "n_nationkey"), "contains", 0),
              e(_t(spark, d, "customer"), key("N", "c_nationkey"), key("C", "c_custkey"), "contains", 1),
              e(_t(spark, d, "supplier"), key("N", "s_nationkey"), key("S", "s_suppkey"), "contains", 2),

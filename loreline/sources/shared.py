@@ -32,14 +32,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return out
 
 
-def shares(spark: SparkSession, rows: int) -> int:
-    """Partitions that keep what one task holds bounded (ROWS), whatever number of shuffle partitions is set."""
-    return max(spark.sparkContext.defaultParallelism, -(-rows // ROWS))
+def shares(spark: SparkSession, rows: int, most: int = ROWS) -> int:
+    """Partitions that keep what one task holds bounded (``most`` rows), whatever number of shuffle partitions is set."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // most))
 
 
-def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+def dealt(df: DataFrame, rows: int, *keys: str, most: int = ROWS) -> DataFrame:
     """Rows dealt by keys to ``shares``. What is then grouped by these keys is not shuffled again."""
-    return df.repartition(shares(df.sparkSession, rows), *keys)
+    return df.repartition(shares(df.sparkSession, rows, most), *keys)
 
 
 def bucketed(df: DataFrame, parts: int, key: str) -> DataFrame:

@@ -166,3 +166,19 @@ def test_a_round_of_pagerank_shuffles_no_edges(spark, monkeypatch):
     assert {k: round(v, 9) for k, v in got.items()} == {"a": round(0.05 + 0.85 / 3, 9), "b": round(0.05 + 0.85 / 6, 9), "c": round(0.05 + 0.85 / 2, 9)}
     assert "Bucketed: true" in plans[-1]
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("loreline_")]
+
+
+def test_a_task_tells_few_pairs_apart(spark, tmp_path):
+    """Pairs of lineitem are dealt by their number, well below a million a task, and ends of edges are named in one pass over them."""
+    rows = 4_000_000
+    spark.range(rows).select((F.col("id") % 7).alias("l_suppkey"), (F.col("id") % 11).alias("l_partkey")).write.parquet(str(tmp_path / "lineitem.parquet"))
+    for name in ("nation", "region", "customer", "supplier"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"{SF}/{name}.parquet")
+    edges = catalogue._edges(spark, str(tmp_path))
+    assert edges.filter("phase = 3").rdd.getNumPartitions() == max(spark.sparkContext.defaultParallelism, rows // catalogue.PAIRS) == 16
+    assert edges.filter("phase = 3").count() == 77
+    none = spark.createDataFrame([("S1",)], "qualified_name string").selectExpr("qualified_name", "'class' as type", "'' as file_path", "0 as line_count")
+    ends = graph.with_implicit_nodes(none, edges.filter("phase = 3").unionByName(spark.createDataFrame([(None, "S1")], "src string, dst string"), allowMissingColumns=True))
+    assert plan(ends).count("REPARTITION_BY_NUM") == 1
+    got = [(x.qualified_name, x.is_external) for x in ends.collect()]
+    assert len(got) == 19 and set(got) == {("S1", False), (None, True), *((f"S{k}", True) for k in range(7) if k != 1), *((f"P{k}", True) for k in range(11))}
