@@ -4,11 +4,13 @@ A page is scanned once into text blocks. Blocks inside page furniture (by elemen
 marks its article, the blocks outside it too. A block element that holds nine tenths of the text is no furniture for its class alone. What is left is compared with the pages nearest by URL path on the same host: lines are
 aligned by longest common subsequence and shared lines deleted, but for a page that shares all its lines (a copy).
 
-Lines inside a marked article are not deleted unless ``difference_marked`` asks for it: two articles of a host may share a headline or a
-paragraph, which are main text of both (README has figures). If it does, two marked pages that share at least ``ALIKE`` of the shorter
-one's characters count as copies of one article, and take nothing from each other.
+Two articles of a host may share a headline or a paragraph, which are main text of both (README has figures), so inside a marked article
+two neighbours are not enough: it is compared with the ``NEAR`` nearest pages on either side (of the host's marked pages, ``NEAR`` in all
+at least), and a line goes if it is shared with every one of them. ``difference_marked`` compares it with one on either side, as
+unmarked pages are. Two marked pages that share at least ``ALIKE`` of the shorter one's characters count as copies of one article, and
+take nothing from each other. Of marked pages only line hashes travel; their texts do only where very many lose lines.
 
-Pages are ranked within ranges of sorted (host, path, page id); the first and last page of a range are lent to the ranges beside it, so
+Pages are ranked within ranges of sorted (host, path, page id); the first and last pages of a range are lent to the ranges beside it, so
 a host of any size spreads over many tasks and every page still meets its true neighbours. A neighbour travels as one hash and one
 length a line. The alignment takes memory of the lines, not of their product.
 
@@ -50,7 +52,9 @@ _CLASS_WORD = re.compile(r"[A-Za-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 ALIKE = 0.5  # share of the characters from which two marked articles are copies
 WHOLE = 0.9  # share of the text from which a block element is the page itself, whatever its class or id says
-MOST_RANGES, SAMPLED = 4096, 16  # ranges of pages, and keys looked at for each; both affect cost alone
+NEAR = 8  # pages on either side that a line of a marked article must be shared with
+MOST_RANGES, SAMPLED = 4096, 16  # ranges of pages, and keys looked at for each; both affect cost alone, as long as a range gets NEAR pages
+FEW = 20_000  # pages that lose lines of their article, up to which these are broadcast
 
 
 def _furniture(tag: str, attrs: str, in_article: bool) -> str:
@@ -249,6 +253,9 @@ def _difference(blocks: pd.Series, lines: pd.Series, marked: pd.Series, before:
     return pd.Series(out, dtype=object)
 
 
+ORDER = ("host", "path", "key", "tie")
+
+
 def _splits(keyed: DataFrame) -> list[tuple]:
     """Keys at which ranges of pages begin: keys of the table, so that no range but the first is empty."""
     ranges = min(MOST_RANGES, 2 * shuffle_partitions(keyed.sparkSession))
@@ -256,40 +263,75 @@ def _splits(keyed: DataFrame) -> list[tuple]:
     return sorted({tuple(k) for k in sorted(tuple(k) for k in keys)[::SAMPLED]})
 
 
-def _in_ranges(keyed: DataFrame) -> DataFrame:
-    """Pages with the range of their key; the edge pages of each range stand in the ranges beside it too, as ``lent``."""
+def _in_ranges(keyed: DataFrame, most: int = 1) -> DataFrame:
+    """Pages with the range of their key; the ``most`` first and last pages of each range stand in the ranges beside it too, as ``lent``."""
     splits = keyed.sparkSession.sparkContext.broadcast(_splits(keyed))
 
     @F.pandas_udf(T.LongType())
     def which(host: pd.Series, path: pd.Series, key: pd.Series) -> pd.Series:
         return pd.Series([bisect.bisect_right(splits.value, k) for k in zip(host, path, key)], dtype="int64")
 
-    order = ("host", "path", "key", "tie")
     ranged = keyed.withColumn("range", which("host", "path", "key"))
-    edge, at = F.struct(*order, "lines", "sizes", "marked"), F.struct(*order)
-    ends = ranged.groupBy("range").agg(F.max_by(edge, at).alias("last"), F.min_by(edge, at).alias("first"))
-    lent = ends.select((F.col("range") + 1).alias("range"), "last.*").unionByName(ends.select((F.col("range") - 1).alias("range"), "first.*"))
+    within = Window.partitionBy("range").orderBy(*ORDER)
+    here = lambda at: at(F.lit(1), most).over(within).isNull()
+    ends = ranged.select("range", *ORDER, "lines", "sizes", "marked").withColumns({"first": here(F.lag), "last": here(F.lead)})
+    lent = ends.filter("last").withColumn("range", F.col("range") + 1).unionByName(ends.filter("first").withColumn("range", F.col("range") - 1)).drop("first", "last")
     return ranged.withColumn("lent", F.lit(False)).unionByName(lent.withColumn("lent", F.lit(True)), allowMissingColumns=True)
 
 
-def extract_html(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", difference_marked: bool = False) -> DataFrame:
-    """Main text of every page: id, url, text, marked (the page marks its article), n_lines (before differencing)."""
-    rows = pages.select(col(id_col).cast("long").alias("page_id"), col(url_col).alias("url"), col(html_col).alias("html"))
-    parsed = checkpoint(rows.mapInPandas(_parse, "page_id long, url string, blocks array<string>, marked boolean"))
-    # Nearest by URL path within the host: neighbours in the order of host, path and page id.
+def _keyed(parsed: DataFrame) -> DataFrame:
+    """Pages with what they are ordered by (nearest by URL path within the host: neighbours in the order of host, path and page id) and line hashes."""
     url = F.lower(F.coalesce(F.col("url"), F.lit("")))
-    keyed = (parsed if difference_marked else parsed.filter("not marked")).withColumns({
+    return parsed.withColumns({
         "host": F.regexp_extract(url, r"^[a-z][a-z0-9+.-]*://([^/?#]*)", 1),
         "path": F.regexp_replace(F.regexp_replace(url, r"^[a-z][a-z0-9+.-]*://[^/?#]*", ""), r"[?#].*$", ""),
         "key": F.coalesce("page_id", F.lit(-(2**63))),
         "lines": F.transform("blocks", lambda b: F.xxhash64(b)),
         "sizes": F.transform("blocks", lambda b: F.length(b))}).withColumn("tie", F.xxhash64("lines", "url"))
-    near = Window.partitionBy("range").orderBy("host", "path", "key", "tie")
+
+
+def template_lines(lines: np.ndarray, sizes: np.ndarray, others: list[dict]) -> np.ndarray:
+    """Mask of the lines of a marked article that it shares with all ``others`` (lines, total size); none if one of them is a copy of it."""
+    gone = np.ones(len(lines), bool)
+    for other in others:
+        mask = shared_lines(lines, np.asarray(other["lines"], np.int64))
+        gone &= mask
+        if not gone.any() or sizes[mask].sum() >= ALIKE * min(sizes.sum(), other["total"]):
+            return np.zeros(len(lines), bool)
+    return gone
+
+
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
+def _template(lines: pd.Series, sizes: pd.Series, others: pd.Series) -> pd.Series:
+    return pd.Series([template_lines(np.asarray(a, np.int64), np.asarray(b, np.int64), list(o)) for a, b, o in zip(lines, sizes, others)], dtype=object)
+
+
+def _marked_text(parsed: DataFrame) -> DataFrame:
+    """Text of pages that mark an article: page_id, url, text, marked, n_lines. What is shared with all near pages is told by line hashes."""
+    near = Window.partitionBy("range").orderBy(*ORDER)
+    told = F.struct("lines", F.aggregate("sizes", F.lit(0).cast("long"), lambda x, y: x + y).alias("total"))
+    beside = [F.when(at("host", k).over(near) == F.col("host"), at(told, k).over(near)) for k in range(1, NEAR + 1) for at in (F.lag, F.lead)]
+    ranged = _in_ranges(_keyed(parsed).drop("blocks"), NEAR)
+    paired = ranged.withColumn("others", F.filter(F.array(*beside), lambda x: x.isNotNull())).filter(~F.col("lent") & (F.size("others") >= NEAR))
+    # a line that one of them lacks is on no alignment with it
+    some = paired.filter(F.size(F.aggregate("others", F.col("lines"), lambda x, o: F.array_intersect(x, o["lines"]))) > 0)
+    gone = checkpoint(some.select("row", _template("lines", "sizes", "others").alias("gone")).filter(F.exists("gone", lambda x: x)))
+    few = gone.count() <= FEW
+    kept = F.when(F.col("gone").isNull() | F.forall("gone", lambda x: x), F.col("blocks")).otherwise(F.filter("blocks", lambda _, i: ~F.get("gone", i)))
+    return parsed.join(F.broadcast(gone) if few else gone, "row", "left").select("page_id", "url", F.array_join(kept, "\n").alias("text"), "marked", F.size("blocks").cast("long").alias("n_lines"))
+
+
+def extract_html(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", difference_marked: bool = False) -> DataFrame:
+    """Main text of every page: id, url, text, marked (the page marks its article), n_lines (before differencing)."""
+    rows = pages.select(col(id_col).cast("long").alias("page_id"), col(url_col).alias("url"), col(html_col).alias("html"))
+    parsed = checkpoint(rows.mapInPandas(_parse, "page_id long, url string, blocks array<string>, marked boolean").withColumn("row", F.monotonically_increasing_id()))
+    keyed = _keyed(parsed if difference_marked else parsed.filter("not marked"))
+    near = Window.partitionBy("range").orderBy(*ORDER)
     told = F.struct("lines", "sizes", "marked")
     beside = lambda at: F.when(at("host").over(near) == F.col("host"), at(told).over(near))
     none = F.struct(F.lit(None).cast("array<long>").alias("lines"), F.lit(None).cast("array<int>").alias("sizes"), F.lit(None).cast("boolean").alias("marked"))
     paired = _in_ranges(keyed).withColumns({"before": F.coalesce(beside(F.lag), none), "after": F.coalesce(beside(F.lead), none)}).filter(~F.col("lent"))
     cut = paired.select("page_id", "url", _difference("blocks", "lines", "marked", "before", "after").alias("text"), "marked", F.size("blocks").cast("long").alias("n_lines"))
     if not difference_marked:
-        cut = cut.unionByName(parsed.filter("marked").select("page_id", "url", F.array_join("blocks", "\n").alias("text"), "marked", F.size("blocks").cast("long").alias("n_lines")))
+        cut = cut.unionByName(_marked_text(parsed.filter("marked")))
     return cut.select(F.col("page_id").alias(id_col), F.col("url").alias(url_col), "text", "marked", "n_lines")

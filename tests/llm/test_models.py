@@ -332,3 +332,20 @@ def test_lcs_mask():
             for j in range(len(y)):
                 best[i + 1][j + 1] = best[i][j] + 1 if x[i] == y[j] else max(best[i][j + 1], best[i + 1][j])
         assert html_extract.shared_lines(a(*x), a(*y)).sum() == best[-1][-1]
+
+
+def test_lines_that_all_near_articles_share_are_furniture(spark, monkeypatch):
+    """Differencing decides lines of marked articles too: those on all the nearest pages go, those that some share stay, and copies keep all."""
+    body = lambda k: f"<p>{'word ' * 9}{k}</p>"
+    page = lambda k: f"<article><p>Follow us</p>{body(k)}<h2>Part {k // 7}</h2><p>Read more</p></article>"
+    urls = lambda host, n: [(f"https://{host}/{k:04d}", k) for k in range(n)]
+    rows = [(u, page(k)) for u, k in urls("many", 60)] + [(u, page(k)) for u, k in urls("few", html_extract.NEAR)]
+    rows += [(u, f"<article><p>Follow us</p>{body(0)}<p>copy {k}</p></article>") for u, k in urls("copies", 30)] + [(u, "<article><p>Same</p></article>") for u, k in urls("same", 30)]
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(rows)], "page_id long, url string, html string").repartition(4)
+    body = lambda k: f"{'word ' * 9}{k}"
+    whole = lambda k: f"Follow us\n{body(k)}\nPart {k // 7}\nRead more"
+    want = [f"{body(k)}\nPart {k // 7}" for k in range(60)] + [whole(k) for k in range(html_extract.NEAR)]
+    want += [f"Follow us\n{body(0)}\ncopy {k}" for k in range(30)] + ["Same"] * 30
+    for few in (html_extract.FEW, 1):
+        monkeypatch.setattr("loreline.llm.html_extract.FEW", few)
+        assert [x.text for x in html_extract.extract_html(df).orderBy("page_id").collect()] == want
