@@ -260,17 +260,21 @@ def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray,
     used[text] = True
     used[0] = True
     wide = max(1, int(used.sum() - 1).bit_length())
-    code = (np.cumsum(used) - 1).astype(U)[text]
+    code = (np.cumsum(used) - 1).astype(np.uint16)[text]
     have = min(depth, (64 - bits) // wide)
     key = np.zeros(n, U)
     for j in range(have):
         key <<= U(wide)
         key[:max(n - j, 0)] |= code[j:]
     low = U((1 << bits) - 1)
-    key = np.sort((key << U(bits)) | np.arange(n, dtype=U))
+    key <<= U(bits)
+    key |= np.arange(n, dtype=U)
+    key = np.sort(key)
     order = (key & low).astype(np.int64)
+    key >>= U(bits)
     new = np.ones(n, bool)
-    new[1:] = (key[1:] >> U(bits)) != (key[:-1] >> U(bits))
+    new[1:] = key[1:] != key[:-1]
+    del key, code
     seed, seeded = new, have
     dense, new = np.zeros(n + 1, np.uint32), new.copy()
     while have < depth and not new.all():
@@ -279,11 +283,15 @@ def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray,
         tied[:-1] |= tied[1:]
         at = np.flatnonzero(tied)  # only suffixes that are not told apart yet are sorted again, within their groups
         mine = order[at]
-        group, after = np.cumsum(new[at], dtype=U), dense[np.minimum(mine + have, n)].astype(U)
+        value = np.cumsum(new[at], dtype=U)  # groups
         bits, wide = len(at).bit_length(), int(dense.max()).bit_length()
-        value = (group << U(wide)) | after
-        if int(group[-1]).bit_length() + wide + bits <= 64:
-            value = np.sort((value << U(bits)) | np.arange(len(at), dtype=U))
+        packed = int(value[-1]).bit_length() + wide + bits <= 64
+        value <<= U(wide)
+        value |= dense[np.minimum(mine + have, n)]
+        if packed:
+            value <<= U(bits)
+            value |= np.arange(len(at), dtype=U)
+            value = np.sort(value)
             order[at] = mine[(value & U((1 << bits) - 1)).astype(np.int64)]
             value >>= U(bits)
         else:
@@ -303,19 +311,21 @@ def equal_prefixes(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarra
     """
     n = len(text)
     order, edge, depth = suffix_order(text, length)
-    place = np.empty(n + 1, np.int64)
-    place[order] = np.arange(n)
+    place = np.empty(n + 1, np.int32)
+    place[order] = np.arange(n, dtype=np.int32)
     place[n] = 0
     # intervals of the first symbols, as they were sorted; a suffix with a separator there is an interval of its own, as nothing is extended over it
     gap = np.full(n + 1, n, np.int32)
     zero = np.flatnonzero(text == 0)
     gap[zero] = zero
     gap = np.minimum.accumulate(gap[::-1])[::-1]
-    short = (gap[:n] - np.arange(n) < depth)[order]
+    short = (gap[:n] - np.arange(n, dtype=np.int32) < depth)[order]
     edge = edge | short
     edge[1:] |= short[:-1]
-    inner = np.flatnonzero(~edge)
-    left, right = place[order[inner - 1] + 1], place[order[inner] + 1]
+    inner = np.flatnonzero(~edge).astype(np.int32)
+    next_of = place[order + 1]
+    left, right = next_of[inner - 1], next_of[inner]
+    del gap, short, place, next_of
     for _ in range(depth, length):
         if not len(inner):
             break
@@ -325,7 +335,7 @@ def equal_prefixes(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarra
         if 8 * np.count_nonzero(split) > len(inner):
             stay = ~split
             inner, left, right = inner[stay], left[stay], right[stay]
-    return order, np.cumsum(edge) - 1
+    return order, np.cumsum(edge, dtype=np.int32) - 1
 
 
 def _expand(length: int):
