@@ -7,6 +7,7 @@ convergence figures comes back to the driver.
 from __future__ import annotations
 
 import itertools
+import math
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -89,8 +90,14 @@ def call_graph(nodes: DataFrame, edges: DataFrame, root: str, depth: int = 2) ->
     return subgraph(nodes, edges, bfs_expand(edges, root, depth))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 100, alpha: float = 0.85, tolerance: float | None = 1e-6) -> DataFrame:
-    """node, rank: weighted PageRank, dangling rank spread evenly. ``tolerance`` None runs exactly ``iterations`` rounds."""
+def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int | None = None, alpha: float = 0.85, tolerance: float | None = 1e-12) -> DataFrame:
+    """node, rank: weighted PageRank, dangling rank spread evenly.
+
+    Rounds go on until ranks, which sum to 1, move by less than ``tolerance`` in all, whatever the number of nodes; ``iterations`` ends
+    them sooner. ``tolerance`` None runs exactly ``iterations`` rounds.
+    """
+    if iterations is None and not tolerance:
+        raise ValueError("rounds without a tolerance need a number of iterations")
     n = nodes.count()
     if not n:
         return nodes.sparkSession.createDataFrame([], "node string, rank double")
@@ -102,17 +109,22 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 100, alpha: f
     # in buckets of the end that gives: a round shuffles ranks, and edges not at all
     parts = shares(nodes.sparkSession, rows)
     share = bucketed(flow.join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("p")).repartition(parts, "src"), parts, "src")
-    ranks = checkpoint(nodes.select("node").distinct().join(out.withColumnRenamed("src", "node"), "node", "left").select("node", F.col("total").isNull().alias("dangling"), F.lit(1.0 / n).alias("rank")))
-    for _ in range(iterations):
+    ranks = step = checkpoint(nodes.select("node").distinct().join(out.withColumnRenamed("src", "node"), "node", "left").select("node", F.col("total").isNull().alias("dangling"), F.lit(1.0 / n).alias("rank")))
+    for _ in itertools.count() if iterations is None else range(iterations):
         # the dangling mass is one number, joined as a one-row aggregate: no driver round trip
         lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)).alias("lost"))
         into = share.join(ranks.select(F.col("node").alias("src"), "rank").hint("shuffle_hash"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("p")).alias("into"))
-        step = ranks.join(into, "node", "left").crossJoin(F.broadcast(lost)).select("node", "dangling", F.col("rank").alias("was"), ((1 - alpha) / n + alpha * (F.coalesce("into", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
-        step = checkpoint(step)
+        moved = ranks.join(into, "node", "left").crossJoin(F.broadcast(lost)).select("node", "dangling", F.col("rank").alias("was"), ((1 - alpha) / n + alpha * (F.coalesce("into", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
+        last, step = step, checkpoint(moved)
+        discard(last)
         ranks = step.select("node", "dangling", "rank")
-        if tolerance is not None and step.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0] < n * tolerance:
-            break
-    discard(share)
+        if tolerance is not None:
+            by = step.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0]
+            if not math.isfinite(by):
+                raise ValueError("ranks are no numbers; weights must be finite and not negative")
+            if by < tolerance:
+                break
+    discard(share, told, flow)
     return ranks.select("node", "rank")
 
 

@@ -335,19 +335,19 @@ def shortest_path(spark, d):
     return graph.path_lengths(_edges(spark, d), "R0")
 
 
-def _pagerank_sql(rounds: int) -> str:
-    steps = []
-    for k in range(rounds):
-        steps.append(f"p{k + 1} AS (SELECT v.node, 0.15 / n + 0.85 * (coalesce(i.x, 0) + l.x / n) AS r FROM p{k} v, c, (SELECT coalesce(sum(r), 0) AS x FROM p{k} WHERE node NOT IN (SELECT src FROM deg)) l LEFT JOIN (SELECT dst, sum(r / k) AS x FROM p{k} JOIN e ON node = src JOIN deg USING (src) GROUP BY dst) i ON i.dst = v.node)")
-    return f"""WITH {_EDGES_SQL}, e AS (SELECT DISTINCT src, dst FROM edges), nodes AS (SELECT src AS node FROM e UNION SELECT dst FROM e), c AS (SELECT count(*) AS n FROM nodes), deg AS (SELECT src, count(*) AS k FROM e GROUP BY src),
-p0 AS (SELECT node, 1.0 / n AS r FROM nodes, c), {', '.join(steps)} SELECT node, round(r, 9) AS rank FROM p{rounds}"""
+# rounds of the recurrence until ranks move by less than 1e-12 in all
+_PAGERANK_SQL = f"""WITH RECURSIVE {_EDGES_SQL}, e AS (SELECT DISTINCT src, dst FROM edges), nodes AS (SELECT src AS node FROM e UNION SELECT dst FROM e), c AS (SELECT count(*) AS n FROM nodes), deg AS (SELECT src, count(*) AS k FROM e GROUP BY src),
+p AS (SELECT node, CAST(1.0 / n AS DOUBLE) AS r, 0 AS round, CAST(1 AS DOUBLE) AS moved FROM nodes, c
+UNION ALL SELECT node, r, round, sum(abs(r - was)) OVER () AS moved FROM (SELECT v.node, v.round + 1 AS round, v.r AS was, 0.15 / n + 0.85 * (coalesce(i.x, 0) + l.x / n) AS r
+FROM p v CROSS JOIN c CROSS JOIN (SELECT coalesce(sum(r), 0) AS x FROM p WHERE node NOT IN (SELECT src FROM deg)) l LEFT JOIN (SELECT dst, sum(r / k) AS x FROM p JOIN e ON node = src JOIN deg USING (src) GROUP BY dst) i ON i.dst = v.node WHERE v.moved >= 1e-12))
+SELECT node, round(r, 9) AS rank FROM p WHERE round = (SELECT max(round) FROM p)"""
 
 
-@query(_pagerank_sql(5))
+@query(_PAGERANK_SQL)
 def pagerank_fixed(spark, d):
     edges = _edges(spark, d)
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    return graph.pagerank(nodes, edges, 5, tolerance=None).select("node", F.round("rank", 9).alias("rank"))
+    return graph.pagerank(nodes, edges).select("node", F.round("rank", 9).alias("rank"))
 
 
 @query()

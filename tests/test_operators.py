@@ -182,6 +182,35 @@ def test_graph_queries_run_on_the_whole_graph(spark, small_graph):
     assert {r.node: r.community for r in catalogue.queries()["communities"](spark, d).collect()} == label
 
 
+def test_pagerank_goes_on_until_ranks_stand_still(spark, small_graph):
+    import duckdb
+
+    from loreline.plans import catalogue
+
+    def ranks(pairs):
+        nodes = sorted({x for p in pairs for x in p})
+        rank = {x: 1 / len(nodes) for x in nodes}
+        out = {x: [b for a, b in pairs if a == x] for x in nodes}
+        for _ in range(300):
+            lost = sum(rank[x] for x in nodes if not out[x])
+            rank = {x: 0.15 / len(nodes) + 0.85 * (sum(rank[a] / len(out[a]) for a, b in pairs if b == x) + lost / len(nodes)) for x in nodes}
+        return rank
+
+    d, pairs = small_graph
+    want = {x: round(r, 9) for x, r in ranks(pairs).items()}
+    assert {r.node: r["rank"] for r in catalogue.queries()["pagerank_fixed"](spark, d).collect()} == want
+    con = duckdb.connect()
+    for name in ("region", "nation", "customer", "supplier", "lineitem"):
+        con.execute(f"create view {name} as select * from '{d}/{name}.parquet/*.parquet'")
+    assert dict(con.execute(catalogue.oracle_sql()["pagerank_fixed"]).fetchall()) == want
+    # what is left to move does not grow with the number of nodes: a cycle with a tail, beside nodes that stand alone
+    pairs = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), *((f"n{k}", "d") for k in range(2000))]
+    got = {r.node: r["rank"] for r in graph.pagerank(spark.createDataFrame([(x,) for x in ranks(pairs)], "node string"), edges(spark, *pairs)).collect()}
+    assert all(abs(got[x] - r) < 1e-11 for x, r in ranks(pairs).items())
+    with pytest.raises(ValueError):
+        graph.pagerank(spark.createDataFrame([("a",)], "node string"), edges(spark, ("a", "a")), tolerance=None)
+
+
 def test_long_chains_have_paths(spark):
     e = edges(spark, *[(f"n{i:02}", f"n{i + 1:02}") for i in range(52)])
     assert graph.shortest_path(e, "n00", "n52") == [f"n{i:02}" for i in range(53)]
