@@ -4,10 +4,14 @@ What counts is every ``length``-byte string that also starts in a text with a sm
 starts whose strings share the place of their smallest ``anchor``-byte hash. Equal strings have equal anchors, so they meet in the
 bucket of their anchor, and strings are never compared over the whole corpus.
 
-1. Groups of texts (about GROUP_BYTES) send one entry for each different segment: anchor, segment hash, smallest id. A bucket
-   answers "whole" where an equal segment stands in a text with a smaller id, and "open" where segments with the same
-   anchor differ and come from several ids. Anchors of one id need no answer. Around a common phrase the different segments of one
-   anchor grow with the corpus, so those of anchors with over ``hot`` of them are marked "split".
+   A side of a segment is its anchor with half of the bytes before or behind it. Every string has one or the other whole, so segments
+   with no side in common share no string. Anchors alone meet by chance, more often the larger the corpus; sides seldom do.
+
+1. Groups of texts (about GROUP_BYTES) send MARK bits of the sides of each different segment, in order, and a bucket answers which
+   stand there more than once. Only segments with such a side go on: groups send one entry for each of them: anchor, segment hash,
+   sides, smallest id. A bucket answers "whole" where an equal segment stands in a text with a smaller id, and "open" where different
+   segments have anchor and a side in common and come from several ids. Where over ``hot`` segments of one anchor are open, they are
+   marked "split".
 2. Groups send the bytes of open segments once. Split segments are cut into pieces of up to PIECE string starts, by how far the
    anchor lies behind the start; the bytes that all strings of a piece's range share (all but PIECE - 1) choose its bucket, and equal pieces of a
    group travel once, so no phrase gathers more than the groups in one bucket. A bucket builds the suffix order and the Burrows-Wheeler transform of its segments and
@@ -42,7 +46,8 @@ _B = U(0x9E3779B97F4A7C15)
 _BYTE = X.mix(np.arange(1, 257, dtype=U))
 HOT = 512  # different segments of one anchor from which they travel in pieces
 PIECE = 4  # string starts in a piece
-_KEY, _HASH = 6, 5  # bytes of anchor and segment hash that travel
+_KEY, _HASH, _SIDE = 6, 5, 2  # bytes of anchor, segment hash and each side that travel
+MARK = 26  # bits of a side by which it is told whether it stands more than once
 
 
 class _Runs:
@@ -101,6 +106,7 @@ class _Segments:
             z = np.zeros(0, np.int64)
             self.start, self.count, self.entry = z, z, z
             self.owner, self.key, self.hash, self.first = z, np.zeros(0, U), np.zeros(0, U), z
+            self.sides, self.bucket = np.zeros((2, 0), U), z
             self.order, self.cut, self.local, self.at = z, np.zeros(buckets + 1, np.int64), np.zeros(0, bool), z
             return
         self.runs = runs = _Runs(self.data)
@@ -125,10 +131,35 @@ class _Segments:
         self.owner = np.minimum.reduceat(id_at[by], begin)
         self.local = id_at > self.owner[self.entry]
         self.key, self.hash, self.first = key[by[begin]], ranked[begin], by[begin]
-        bucket = (X.mix(self.key) % U(buckets)).astype(np.int64)
+        self.sides = self._sides(length, anchor)
+        self.bucket = bucket = (X.mix(self.key) % U(buckets)).astype(np.int64)
         self.order = np.lexsort((self.owner, bucket))
         self.cut = np.searchsorted(bucket[self.order], np.arange(buckets + 1))
 
+    def asked(self, bucket: int, raw) -> np.ndarray:
+        """The entries that were sent to a bucket, in the order in which they were."""
+        e = self.order[self.cut[bucket]:self.cut[bucket + 1]]
+        return e[_unpack(raw, len(e))]
+
+    def _sides(self, length: int, anchor: int) -> np.ndarray:
+        """For each entry a hash of its anchor with the bytes before it and one with those behind it; 0 where no string has them all."""
+        half = (length - anchor + 1) // 2
+        at, start = self.at[self.first], self.start[self.first]
+        last = start + self.count[self.first] - 1
+        out = np.zeros((2, len(at)), U)
+        # strings whose anchor lies at least half behind their start, and all others
+        for k, (has, before, size) in enumerate(((at - start >= half, half, anchor + half), (at - last < half, 0, length - half + 1))):
+            out[k, has] = X.mix(self.runs.of(at[has] - before, size) + U(k)) | U(1)
+        return out
+
+    def marks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Entry and mark of every side, by bucket and mark, and where each bucket begins."""
+        side, entry = np.nonzero(self.sides)
+        mark = (self.bucket[entry].astype(U) << U(MARK)) | (self.sides[side, entry] >> U(64 - MARK))
+        by = np.argsort(mark)
+        mark = mark[by]
+        return entry[by], mark & U((1 << MARK) - 1), np.searchsorted(mark >> U(MARK), np.arange(len(self.cut), dtype=U))
+
 
 class _Pieces:
     """The pieces of some entries of a group, in bucket order; one for each different piece."""
@@ -170,12 +201,47 @@ def _bytes_at(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> bytes:
     return data[np.repeat(start, size) + np.arange(int(size.sum())) - np.repeat(begin, size)].tobytes()
 
 
-def _ask(length: int, anchor: int, buckets: int):
+def _tell(length: int, anchor: int, buckets: int):
     def run(table: pa.Table) -> pa.Table:
         s = _Segments(table, length, anchor, buckets)
-        owner, key, value = s.owner[s.order], s.key[s.order], s.hash[s.order]
-        rows = [(b, X.planes(np.diff(owner[lo:hi], prepend=np.int64(0))), X.planes(key[lo:hi], _KEY) + X.planes(value[lo:hi], _HASH)) for b, (lo, hi) in enumerate(zip(s.cut[:-1], s.cut[1:])) if hi > lo]
-        return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "grp": pa.array([table["grp"][0].as_py()] * len(rows), pa.int64()), "owners": pa.array([r[1] for r in rows], pa.binary()), "entries": pa.array([r[2] for r in rows], pa.binary())})
+        _, mark, cut = s.marks()
+        rows = [(b, X.planes(np.diff(mark[cut[b]:cut[b + 1]].astype(np.uint32), prepend=np.uint32(0)))) for b in np.flatnonzero(np.diff(cut)).tolist()]
+        return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "grp": pa.array([table["grp"][0].as_py()] * len(rows), pa.int64()), "marks": pa.array([r[1] for r in rows], pa.binary())})
+
+    return run
+
+
+def _again(table: pa.Table) -> pa.Table:
+    """Which marks of a bucket stand there more than once."""
+    marks = [np.cumsum(X.unplanes(x, len(x) // 4, 4, np.uint32), dtype=np.uint32) for x in table["marks"].to_pylist()]
+    every = np.concatenate(marks)
+    by = np.argsort(every)
+    same = every[by[1:]] == every[by[:-1]]
+    found = np.zeros(len(every), bool)
+    found[by] = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+    edge = np.cumsum([0, *map(len, marks)])
+    out = pa.table({"grp": table["grp"], "bucket": table["bucket"], "again": pa.array([_pack(found[a:b]) for a, b in zip(edge[:-1], edge[1:])], pa.binary())})
+    return out.filter(out["again"].is_valid())
+
+
+def _ask(length: int, anchor: int, buckets: int):
+    def run(table: pa.Table, again: pa.Table | None = None) -> pa.Table:
+        rows = []
+        if table.num_rows:
+            s = _Segments(table, length, anchor, buckets)
+            asked = np.full(len(s.key), again is None)
+            if again is not None:
+                entry, _, cut = s.marks()
+                for b, raw in zip(again["bucket"].to_pylist(), again["again"].to_pylist()):
+                    at = entry[cut[b]:cut[b + 1]]
+                    asked[at[_unpack(raw, len(at))]] = True
+            for b, (lo, hi) in enumerate(zip(s.cut[:-1], s.cut[1:])):
+                e = s.order[lo:hi][asked[s.order[lo:hi]]]
+                if len(e):
+                    sides = [X.planes(np.where(x > 0, x % U((1 << 8 * _SIDE) - 1) + U(1), U(0)), _SIDE) for x in s.sides[:, e]]
+                    rows.append((b, table["grp"][0].as_py(), _pack(asked[s.order[lo:hi]]), X.planes(np.diff(s.owner[e], prepend=np.int64(0))), b"".join([X.planes(s.key[e], _KEY), X.planes(s.hash[e], _HASH), *sides])))
+        kinds = (("bucket", pa.int32()), ("grp", pa.int64()), ("asked", pa.binary()), ("owners", pa.binary()), ("entries", pa.binary()))
+        return pa.table({c: pa.array([r[j] for r in rows], t) for j, (c, t) in enumerate(kinds)})
 
     return run
 
@@ -188,16 +254,32 @@ def _unpack(raw, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(raw, np.uint8), count=n).astype(bool) if raw is not None else np.zeros(n, bool)
 
 
+def _meet(anchor: np.ndarray, sides: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Which different segments have anchor and a side in common with one of another id."""
+    found = np.zeros(len(anchor), bool)
+    for side in sides:
+        at = np.flatnonzero(side)
+        value = (anchor[at] << 8 * _SIDE) | side[at]
+        by = np.argsort(value)
+        at, value = at[by], value[by]
+        if len(at):
+            head = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+            several = np.minimum.reduceat(owner[at], head) < np.maximum.reduceat(owner[at], head)
+            found[at] |= np.repeat(several, np.diff(head, append=len(at)))
+    return found
+
+
 def _answer(hot: int):
     def run(table: pa.Table) -> pa.Table:
-        key, value, owner, counts = [], [], [], []
+        key, value, sides, owner, counts = [], [], [], [], []
         for o, e in zip(table["owners"].to_pylist(), table["entries"].to_pylist()):
             n = len(o) // 8
             counts.append(n)
             owner.append(np.cumsum(X.unplanes(o, n, 8, np.int64)))
             key.append(X.unplanes(e[:n * _KEY], n, _KEY))
             value.append(X.unplanes(e[n * _KEY:], n, _HASH))
-        key, value, owner = np.concatenate(key), np.concatenate(value), np.concatenate(owner)
+            sides.append([X.unplanes(e[n * (_KEY + _HASH + k * _SIDE):], n, _SIDE, np.uint16) for k in range(2)])
+        key, value, owner, sides = np.concatenate(key), np.concatenate(value), np.concatenate(owner), np.concatenate(sides, axis=1)
         by = np.argsort(key)
         same = key[by[1:]] == key[by[:-1]]
         many = by[np.concatenate([same, [False]]) | np.concatenate([[False], same])]  # an anchor that stands once needs no answer
@@ -208,17 +290,17 @@ def _answer(hot: int):
         new_v = new_k.copy()
         new_v[1:] |= v[1:] != v[:-1]
         by_k, by_v = np.cumsum(new_k) - 1, np.cumsum(new_v) - 1
-        least = o[np.flatnonzero(new_v)][by_v]
-        at = np.flatnonzero(new_k)
-        several = np.minimum.reduceat(o, at) < np.maximum.reduceat(o, at)  # anchors of more than one id
-        kinds = np.add.reduceat(new_v.astype(np.int64), at)
+        kind = np.flatnonzero(new_v)
+        least = o[kind]
+        near = _meet(by_k[kind], sides[:, order[kind]], least)
+        among = np.bincount(by_k[kind], weights=near, minlength=int(new_k.sum()))  # open segments of each anchor
         whole, opened, split = (np.zeros(len(key), bool) for _ in range(3))
-        whole[order] = o > least
-        opened[order] = (o == least) & (several & (kinds > 1))[by_k]
-        split[order] = (o == least) & (several & (kinds > hot))[by_k]
+        whole[order] = o > least[by_v]
+        opened[order] = (o == least[by_v]) & near[by_v]
+        split[order] = opened[order] & (among > hot)[by_k]
         edge = np.concatenate([[0], np.cumsum(counts)])
         spans = list(zip(edge[:-1], edge[1:]))
-        out = pa.table({"grp": table["grp"], "bucket": table["bucket"], "whole": pa.array([_pack(whole[a:b]) for a, b in spans], pa.binary()), "opened": pa.array([_pack(opened[a:b]) for a, b in spans], pa.binary()), "split": pa.array([_pack(split[a:b]) for a, b in spans], pa.binary())})
+        out = pa.table({"grp": table["grp"], "bucket": table["bucket"], "asked": table["asked"], "whole": pa.array([_pack(whole[a:b]) for a, b in spans], pa.binary()), "opened": pa.array([_pack(opened[a:b]) for a, b in spans], pa.binary()), "split": pa.array([_pack(split[a:b]) for a, b in spans], pa.binary())})
         return out.filter(pa.compute.or_(out["whole"].is_valid(), out["opened"].is_valid()))
 
     return run
@@ -229,11 +311,11 @@ def _open_bytes(length: int, anchor: int, buckets: int):
         rows, parted = [], []
         if table.num_rows:
             s, grp = _Segments(table, length, anchor, buckets), table["grp"][0].as_py()
-            for b, raw, cut in zip(*[answers[c].to_pylist() for c in ("bucket", "opened", "split")]):
-                lo, hi = s.cut[b], s.cut[b + 1]
-                apart = _unpack(cut, hi - lo)
-                parted.append(s.order[lo:hi][apart])
-                e = s.order[lo:hi][_unpack(raw, hi - lo) & ~apart]
+            for b, asked, raw, cut in zip(*[answers[c].to_pylist() for c in ("bucket", "asked", "opened", "split")]):
+                mine = s.asked(b, asked)
+                apart = _unpack(cut, len(mine))
+                parted.append(mine[apart])
+                e = mine[_unpack(raw, len(mine)) & ~apart]
                 if len(e):
                     size = s.count[s.first[e]] + length - 1
                     rows.append((b, grp, False, s.owner[e].tobytes(), size.astype(np.uint16).tobytes(), _bytes_at(s.data, s.start[s.first[e]], size)))
@@ -369,15 +451,15 @@ def _cut(length: int, anchor: int, buckets: int):
         opened: dict[int, np.ndarray] = {}
         parted: list[np.ndarray] = []
         masks: dict[tuple[int, bool], bytes] = {}
-        for b, w, o, c, parts, m in zip(*[answers[x].to_pylist() for x in ("bucket", "whole", "opened", "split", "parts", "masks")]):
+        for b, asked, w, o, c, parts, m in zip(*[answers[x].to_pylist() for x in ("bucket", "asked", "whole", "opened", "split", "parts", "masks")]):
             if m is not None:
                 masks[b, parts] = m
                 continue
-            lo, hi = s.cut[b], s.cut[b + 1]
-            apart = _unpack(c, hi - lo)
-            whole[s.order[lo:hi]] = _unpack(w, hi - lo)
-            opened[b] = s.order[lo:hi][_unpack(o, hi - lo) & ~apart]
-            parted.append(s.order[lo:hi][apart])
+            mine = s.asked(b, asked)
+            apart = _unpack(c, len(mine))
+            whole[mine] = _unpack(w, len(mine))
+            opened[b] = mine[_unpack(o, len(mine)) & ~apart]
+            parted.append(mine[apart])
         pieces = _Pieces(s, np.concatenate(parted), length, anchor, buckets) if sum(map(len, parted)) else None
         told = np.zeros(len(pieces.owner) if pieces else 0, np.uint32)
         for (b, parts), m in masks.items():
@@ -424,7 +506,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     tie = F.xxhash64(col(id_col), col(text_col))
     texts = docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text"), tie.alias("tie"), F.pmod(tie, F.lit(groups)).alias("grp"))
     by_group = texts.groupBy("grp")
-    answers = by_group.applyInArrow(_ask(length, anchor, buckets), "bucket int, grp long, owners binary, entries binary").groupBy("bucket").applyInArrow(_answer(hot), "grp long, bucket int, whole binary, opened binary, split binary")
+    again = by_group.applyInArrow(_tell(length, anchor, buckets), "bucket int, grp long, marks binary").groupBy("bucket").applyInArrow(_again, "grp long, bucket int, again binary")
+    asked = by_group.cogroup(again.groupBy("grp")).applyInArrow(_ask(length, anchor, buckets), "bucket int, grp long, asked binary, owners binary, entries binary")
+    answers = asked.groupBy("bucket").applyInArrow(_answer(hot), "grp long, bucket int, asked binary, whole binary, opened binary, split binary")
     opened = by_group.cogroup(answers.groupBy("grp")).applyInArrow(_open_bytes(length, anchor, buckets), "bucket int, grp long, parts boolean, owners binary, sizes binary, content binary")
     masks = opened.groupBy("bucket").applyInArrow(_expand(length), "grp long, bucket int, parts boolean, masks binary")
     every = answers.unionByName(masks, allowMissingColumns=True)

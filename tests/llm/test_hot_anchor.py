@@ -42,3 +42,41 @@ def test_a_common_phrase_does_not_gather_in_one_bucket():
         return max(sent.values())
 
     assert largest(20) * 2 < largest(10**9)
+
+
+def sent(docs, length=50, anchor=20, buckets=3, groups=4):
+    """Entries that groups ask about, and bytes of those that go open."""
+    tables = [pa.table({"id": [k for k, _ in docs[g::groups]], "text": [t for _, t in docs[g::groups]], "tie": list(range(len(docs[g::groups]))), "grp": [g] * len(docs[g::groups])}) for g in range(groups)]
+    met = lambda rows, f: pa.concat_tables([f(pa.Table.from_pylist([r for r in rows if r["bucket"] == b])) for b in sorted({r["bucket"] for r in rows})])
+    of = lambda t, g: t.filter(pa.compute.equal(t["grp"], g))
+    again = met([r for t in tables for r in sd._tell(length, anchor, buckets)(t).to_pylist()], sd._again)
+    asked = [r for g, t in enumerate(tables) for r in sd._ask(length, anchor, buckets)(t, of(again, g)).to_pylist()]
+    if not asked:
+        return 0, 0
+    answers = met(asked, sd._answer(512))
+    opened = [r for g, t in enumerate(tables) for r in sd._open_bytes(length, anchor, buckets)(t, of(answers, g)).to_pylist()]
+    return sum(len(r["owners"]) // 8 for r in asked), sum(len(r["content"]) for r in opened)
+
+
+def test_anchors_that_meet_by_chance_send_nothing():
+    """Texts that share 30 bytes share anchors and no string of 50: neither they nor their bytes travel."""
+    r = random.Random(1)
+    noise = lambda k: "".join(r.choice("abcdefghijklmnop") for _ in range(k))
+    phrase = noise(30)
+    texts = [(k, noise(90) + phrase + noise(90)) for k in range(200)]
+    assert sent(texts) == (0, 0)
+    # 50 bytes in common at any distance from what surrounds them do
+    asked, opened = sent([(k, noise(90) + phrase + "0123456789abcdefghij" + noise(90)) for k in range(200)])
+    assert asked >= 200 and opened >= 200 * 50
+
+
+def test_strings_that_just_reach_the_length_are_found_wherever_they_stand(spark, monkeypatch):
+    monkeypatch.setattr(sd, "GROUP_BYTES", 3000)
+    monkeypatch.setattr(sd, "BUCKET_BYTES", 4000)
+    r = random.Random(2)
+    noise = lambda k: "".join(r.choice("abcdefghé ") for _ in range(k))
+    shared = [noise(70).encode()[:50 + k % 3].decode(errors="ignore") for k in range(40)]
+    docs = [(k, noise(r.randrange(60)) + shared[k % 40][k % 2:] + noise(r.randrange(60)) + shared[k * 7 % 40]) for k in range(120)]
+    got = sd.suffix_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    want = brute.suffix_dedup(docs, 50)
+    assert sorted((x[0], x[1], x[2], x[3], bytes(x[4])) for x in got) == sorted(want) and sum(x[2] > 0 for x in want) > 40
